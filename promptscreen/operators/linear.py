@@ -26,6 +26,13 @@ class LinearScorer:
     weights: DataFrame    # term, weight   (at most max_features rows)
     bias: float = 0.0
 
+    def materialize(self) -> "LinearScorer":
+        """Write vocabulary and weights to the checkpoint folder (cuts lineage:
+        later scoring jobs read two small tables instead of re-training)."""
+        self.vocab = self.vocab.checkpoint(eager=True)
+        self.weights = self.weights.checkpoint(eager=True)
+        return self
+
     def features(self, df: DataFrame, text_col: str = "prompt",
                  id_col: str = "prompt_id") -> DataFrame:
         dt = T.doc_terms(df, self.spec, text_col, id_col)
@@ -54,10 +61,11 @@ class LinearScorer:
 
 
 def class_counts(train: DataFrame, label_col: str = "label"):
-    """Scalar subqueries for the number of harmful and benign training rows."""
-    n_h = train.agg(F.count_if(F.col(label_col) == 1)).scalar()
-    n_b = train.agg(F.count_if(F.col(label_col) == 0)).scalar()
-    return n_h, n_b
+    """Rows, harmful rows and benign rows of ``train`` as one scalar subquery."""
+    c = train.agg(F.struct(F.count("*").alias("n"),
+                           F.count_if(F.col(label_col) == 1).alias("n_h"),
+                           F.count_if(F.col(label_col) == 0).alias("n_b"))).scalar()
+    return c.getField("n"), c.getField("n_h"), c.getField("n_b")
 
 
 def fit_logodds(train: DataFrame, spec: T.TfidfSpec | None = None, alpha: float = 1.0,
@@ -72,9 +80,8 @@ def fit_logodds(train: DataFrame, spec: T.TfidfSpec | None = None, alpha: float
     spec = spec or T.TfidfSpec()
     base = T.by_id(train.select(id_col, text_col, label_col), id_col)
     dt = T.doc_terms(base, spec, text_col, id_col, keep=(label_col,))
-    n_docs = train.agg(F.count("*")).scalar()
+    n_docs, n_h, n_b = class_counts(train, label_col)
     vocab = T.fit_vocabulary(dt, n_docs, spec, label_col)
-    n_h, n_b = class_counts(train, label_col)
     n = n_h + n_b
     a = F.lit(float(alpha))
     w = (F.log((F.col("df_h") + a * n_h / n) / n_h)

@@ -24,8 +24,9 @@ SAMPLE_N = {1: 45, 0: 200}
 class Workflow:
     def __init__(self, spark: SparkSession, sf_dir: str,
                  gate_spec: T.TfidfSpec = GATE_SPEC, model_spec: T.TfidfSpec = MODEL_SPEC,
-                 alpha: float = 1.0):
+                 alpha: float = 1.0, materialize: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
+        self.materialize = materialize
         self.gate_spec, self.model_spec, self.alpha = gate_spec, model_spec, alpha
 
     @cached_property
@@ -42,7 +43,9 @@ class Workflow:
 
     @cached_property
     def split(self) -> DataFrame:
-        return sampling.stratified_split(self.prompts)
+        split = sampling.stratified_split(self.prompts)
+        # Train, validation and test all read the split: write it once.
+        return split.checkpoint(eager=True) if self.materialize else split
 
     def part(self, name: str) -> DataFrame:
         return self.split.filter(F.col("split") == name).drop("split")
@@ -61,11 +64,13 @@ class Workflow:
 
     @cached_property
     def model(self) -> linear.LinearScorer:
-        return linear.fit_logodds(self.train, self.model_spec, self.alpha)
+        m = linear.fit_logodds(self.train, self.model_spec, self.alpha)
+        return m.materialize() if self.materialize else m
 
     @cached_property
     def gate(self) -> linear.LinearScorer:
-        return linear.fit_logodds(self.train, self.gate_spec, self.alpha)
+        m = linear.fit_logodds(self.train, self.gate_spec, self.alpha)
+        return m.materialize() if self.materialize else m
 
     @cached_property
     def requests(self) -> DataFrame:

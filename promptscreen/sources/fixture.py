@@ -67,14 +67,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def synonyms(spark: SparkSession) -> DataFrame:
+def synonym_rows() -> list[tuple[str, str, int]]:
     """Small lexicon ``(word, synonym, rank)`` standing in for a thesaurus.
 
     Fixed values (test lexicon): label-bearing words of the corpus with
     neutral replacements, plus filler words. It includes an entry with ``_``,
     one in upper case, one equal to its word, and one word with six entries.
     """
-    rows = [
+    return [
         ("idiot", "fool", 1), ("idiot", "simple_person", 2), ("idiot", "friend", 3),
         ("trash", "rubbish", 1), ("trash", "garbage", 2), ("trash", "notes", 3),
         ("scum", "residue", 1), ("scum", "film", 2),
@@ -88,4 +88,7 @@ def synonyms(spark: SparkSession) -> DataFrame:
         ("stupid", "dense", 1), ("stupid", "quiet", 2),
         ("the", "that", 1), ("and", "also", 1), ("is", "be", 1),
     ]
-    return spark.createDataFrame(rows, "word string, synonym string, rank int")
+
+
+def synonyms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(synonym_rows(), "word string, synonym string, rank int")
