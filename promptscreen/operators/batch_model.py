@@ -22,8 +22,7 @@ from promptscreen.constants import DECIMALS, TOKEN_PATTERN
 
 def export_linear(scorer) -> dict:
     """The linear model as a plain dict (at most ``max_features`` terms)."""
-    rows = (scorer.vocab.join(scorer.weights, "term")
-            .select("term", "idf", "weight").collect())
+    rows = scorer.vocab.select("term", "idf", "weight").collect()
     return {"terms": {r["term"]: (float(r["idf"]), float(r["weight"])) for r in rows},
             "bias": float(scorer.bias), "ngram_max": scorer.spec.ngram_max,
             "stop_words": list(scorer.spec.stop_words), "sublinear": scorer.spec.sublinear_tf}

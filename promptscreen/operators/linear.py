@@ -20,17 +20,19 @@ from promptscreen.operators import tfidf as T
 
 @dataclass
 class LinearScorer:
-    """Vocabulary + per-term weights; ``logit = bias + sum(weight * tfidf)``."""
+    """Vocabulary with per-term weights; ``logit = bias + sum(weight * tfidf)``."""
     spec: T.TfidfSpec
-    vocab: DataFrame      # idx, term, idf, ...
-    weights: DataFrame    # term, weight   (at most max_features rows)
+    vocab: DataFrame      # idx, term, idf, weight, ...  (at most max_features rows)
     bias: float = 0.0
 
+    @property
+    def weights(self) -> DataFrame:
+        return self.vocab.select("term", "weight")
+
     def materialize(self) -> "LinearScorer":
-        """Write vocabulary and weights to the checkpoint folder (cuts lineage:
-        later scoring jobs read two small tables instead of re-training)."""
+        """Write the model table to the checkpoint folder: later scoring jobs
+        read one small table instead of re-running the training plan."""
         self.vocab = self.vocab.checkpoint(eager=True)
-        self.weights = self.weights.checkpoint(eager=True)
         return self
 
     def features(self, df: DataFrame, text_col: str = "prompt",
@@ -40,10 +42,12 @@ class LinearScorer:
 
     def contributions(self, df: DataFrame, text_col: str = "prompt",
                       id_col: str = "prompt_id") -> DataFrame:
-        """``(id, term, idx, tf, x, coef, contribution)`` per known term."""
-        x = self.features(df, text_col, id_col).withColumnRenamed("weight", "x")
-        w = F.broadcast(self.weights.select("term", F.col("weight").alias("coef")))
-        return x.join(w, "term").withColumn("contribution", F.col("coef") * F.col("x"))
+        """``(id, idx, term, tf, x, coef, contribution)`` per known term
+        (one broadcast join of the model table)."""
+        dt = T.doc_terms(df, self.spec, text_col, id_col)
+        v = self.vocab.select("term", "idx", "idf", F.col("weight").alias("coef"))
+        x = T.transform(dt, v, self.spec, id_col, carry=("coef",)).withColumnRenamed("weight", "x")
+        return x.withColumn("contribution", F.col("coef") * F.col("x"))
 
     def score(self, df: DataFrame, text_col: str = "prompt", id_col: str = "prompt_id",
               partitioned: bool = False) -> DataFrame:
@@ -68,26 +72,39 @@ def class_counts(train: DataFrame, label_col: str = "label"):
     return c.getField("n"), c.getField("n_h"), c.getField("n_b")
 
 
+def train_term_stats(train: DataFrame, spec: T.TfidfSpec, text_col: str = "prompt",
+                     id_col: str = "prompt_id", label_col: str = "label") -> DataFrame:
+    """Per-term corpus count and document frequencies (overall and per class)."""
+    base = T.by_id(train.select(id_col, text_col, label_col), id_col)
+    dt = T.doc_terms(base, spec, text_col, id_col, keep=(label_col,))
+    return T.term_stats(dt, label_col)
+
+
 def fit_logodds(train: DataFrame, spec: T.TfidfSpec | None = None, alpha: float = 1.0,
                 text_col: str = "prompt", id_col: str = "prompt_id",
-                label_col: str = "label") -> LinearScorer:
+                label_col: str = "label", stats: DataFrame | None = None) -> LinearScorer:
     """Closed-form class-balanced log-odds weights.
 
     ``w_t = ln((df_h + a*n_h/n) / n_h) - ln((df_b + a*n_b/n) / n_b)``: the
     smoothing is proportional to class size, so a rare term does not lean to
     the smaller class. Bias 0 is the balanced prior.
+
+    ``stats`` may be term statistics of a larger n-gram range over the same
+    rows (a 1-2 gram table serves a unigram model: unigrams hold no space),
+    so several models share one pass over the training text.
     """
     spec = spec or T.TfidfSpec()
-    base = T.by_id(train.select(id_col, text_col, label_col), id_col)
-    dt = T.doc_terms(base, spec, text_col, id_col, keep=(label_col,))
+    if stats is None:
+        stats = train_term_stats(train, spec, text_col, id_col, label_col)
+    elif spec.ngram_max == 1:
+        stats = stats.filter(~F.col("term").contains(" "))
     n_docs, n_h, n_b = class_counts(train, label_col)
-    vocab = T.fit_vocabulary(dt, n_docs, spec, label_col)
+    vocab = T.vocabulary_from_stats(stats, n_docs, spec)
     n = n_h + n_b
     a = F.lit(float(alpha))
     w = (F.log((F.col("df_h") + a * n_h / n) / n_h)
          - F.log((F.col("df_b") + a * n_b / n) / n_b))
-    weights = vocab.select("term", w.alias("weight"))
-    return LinearScorer(spec, vocab, weights, 0.0)
+    return LinearScorer(spec, vocab.withColumn("weight", w), 0.0)
 
 
 def class_weights(train: DataFrame, label_col: str = "label") -> DataFrame:
@@ -113,3 +130,70 @@ def weighted_logloss(scored: DataFrame, weights: DataFrame, label_col: str = "la
     j = scored.join(F.broadcast(weights.select(label_col, F.col("weight").alias("_w"))), label_col)
     return j.agg((F.sum(F.col("_w") * nll) / F.sum("_w")).alias("weighted_logloss"),
                  F.count("*").alias("n"))
+
+
+def fit_logreg(train: DataFrame, spec: T.TfidfSpec | None = None, reg_param: float = 0.0,
+               max_iter: int = 100, stats: DataFrame | None = None) -> LinearScorer:
+    """Class-weighted logistic regression on TF-IDF vectors.
+
+    The fitted coefficients (one per vocabulary term) become the weights of
+    a :class:`LinearScorer`, so scoring stays in SQL like the closed form.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from promptscreen.operators.forest import vectors
+
+    spec = spec or T.TfidfSpec()
+    if stats is None:
+        stats = train_term_stats(train, spec)
+    n_docs, _, _ = class_counts(train)
+    vocab = T.vocabulary_from_stats(stats, n_docs, spec).checkpoint(eager=True)
+    base = T.by_id(with_class_weight(train.select("prompt_id", "prompt", "label")))
+    dt = T.doc_terms(base.select("prompt_id", "prompt"), spec)
+    v = vectors(T.transform(dt, vocab, spec), base, spec.max_features).select(
+        "features", F.col("label").cast("double").alias("label"), "weight")
+    lr = LogisticRegression(weightCol="weight", regParam=reg_param, maxIter=max_iter,
+                            standardization=False)
+    m = lr.fit(v)
+    coef = m.coefficients.toArray()           # one value per vocabulary term
+    spark = train.sparkSession
+    w = spark.createDataFrame([(i, float(c)) for i, c in enumerate(coef)], "idx int, weight double")
+    vocab_w = vocab.join(F.broadcast(w), "idx")
+    return LinearScorer(spec, vocab_w, float(m.intercept))
+
+
+def select_by_val_f1(train: DataFrame, val: DataFrame, spec: T.TfidfSpec, alphas: list[float],
+                     stats: DataFrame | None = None, threshold: float = 0.5,
+                     id_col: str = "prompt_id") -> DataFrame:
+    """Score the validation split once for every smoothing candidate (M7).
+
+    The vocabulary and document frequencies do not depend on the smoothing,
+    so they are computed once; candidate weights are the vocabulary rows
+    expanded by the candidate list. Returns per candidate the counters,
+    precision, recall, F1 and ``best`` (highest F1, lowest candidate on ties).
+    """
+    from promptscreen.operators import metrics
+
+    base = fit_logodds(train, spec, 1.0, stats=stats)
+    n_docs, n_h, n_b = class_counts(train)
+    n = n_h + n_b
+    cands = F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("candidate", "alpha")
+    vocab = base.vocab.select("term", "idx", "idf", "df_h", "df_b", cands)
+    a = F.col("alpha")
+    vocab = vocab.withColumn("coef", F.log((F.col("df_h") + a * n_h / n) / n_h)
+                             - F.log((F.col("df_b") + a * n_b / n) / n_b))
+    vb = T.by_id(val.select(id_col, "prompt", "label"), id_col)
+    dt = T.doc_terms(vb.select(id_col, "prompt"), spec, "prompt", id_col)
+    x = T.transform(dt, base.vocab, spec, id_col).select(id_col, "term", F.col("weight").alias("x"))
+    contrib = x.join(F.broadcast(vocab.select("term", "candidate", "alpha", "coef")), "term")
+    sums = contrib.groupBy(id_col, "candidate").agg(F.sum(F.col("coef") * F.col("x")).alias("_s"))
+    grid = vb.select(id_col, "label", F.posexplode(F.array(*[F.lit(float(v)) for v in alphas]))
+                     .alias("candidate", "alpha"))
+    scored = grid.join(sums, [id_col, "candidate"], "left").withColumn(
+        "logit", F.round(F.coalesce(F.col("_s"), F.lit(0.0)), 6))
+    scored = scored.withColumn("predicted_label",
+                               ((F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))) >= threshold)
+                               .cast("int"))
+    per = metrics.prf(scored, by=["candidate", "alpha"])
+    best = metrics.best_candidate(per).select("candidate", F.lit(True).alias("best"))
+    return per.join(best, "candidate", "left").withColumn(
+        "best", F.coalesce(F.col("best"), F.lit(False)))

@@ -71,7 +71,12 @@ def fit_vocabulary(dterms: DataFrame, n_docs, spec: TfidfSpec,
 
     ``n_docs`` is a column (a scalar subquery) or a number.
     """
-    stats = term_stats(dterms, label_col)
+    return vocabulary_from_stats(term_stats(dterms, label_col), n_docs, spec)
+
+
+def vocabulary_from_stats(stats: DataFrame, n_docs, spec: TfidfSpec) -> DataFrame:
+    """Top ``max_features`` terms by corpus count (ties by term), indexed
+    alphabetically, with smooth idf."""
     top = stats.orderBy(F.col("cnt").desc(), F.col("term").asc()).limit(spec.max_features)
     # ``top`` has at most max_features rows, so one ordered window is bounded.
     n = n_docs if not isinstance(n_docs, (int, float)) else F.lit(n_docs)
@@ -80,15 +85,15 @@ def fit_vocabulary(dterms: DataFrame, n_docs, spec: TfidfSpec,
 
 
 def transform(dterms: DataFrame, vocab: DataFrame, spec: TfidfSpec,
-              id_col: str = "prompt_id") -> DataFrame:
+              id_col: str = "prompt_id", carry: tuple = ()) -> DataFrame:
     """``(id, idx, term, tf, weight)``: L2-normalised TF-IDF of known terms (M2).
 
     Unknown terms drop out in the join; a document with no known term has no
     rows here (its vector is empty).
     """
-    v = F.broadcast(vocab.select("term", "idx", "idf"))
+    v = F.broadcast(vocab.select("term", "idx", "idf", *carry))
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if spec.sublinear_tf else F.col("tf").cast("double")
     x = dterms.join(v, "term").withColumn("_v", tfw * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))
     return x.withColumn("weight", F.col("_v") / norm).select(
-        id_col, "idx", "term", "tf", "weight")
+        id_col, "idx", "term", "tf", "weight", *carry)

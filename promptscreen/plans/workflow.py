@@ -62,14 +62,19 @@ class Workflow:
     def test(self) -> DataFrame:
         return self.part("test")
 
+    @cached_property
+    def train_stats(self) -> DataFrame:
+        """1-2 gram statistics of the training text, shared by gate and model."""
+        return linear.train_term_stats(self.train, self.model_spec)
+
     @cached_property
     def model(self) -> linear.LinearScorer:
-        m = linear.fit_logodds(self.train, self.model_spec, self.alpha)
+        m = linear.fit_logodds(self.train, self.model_spec, self.alpha, stats=self.train_stats)
         return m.materialize() if self.materialize else m
 
     @cached_property
     def gate(self) -> linear.LinearScorer:
-        m = linear.fit_logodds(self.train, self.gate_spec, self.alpha)
+        m = linear.fit_logodds(self.train, self.gate_spec, self.alpha, stats=self.train_stats)
         return m.materialize() if self.materialize else m
 
     @cached_property
