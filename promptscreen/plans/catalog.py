@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptscreen.plans import q_cascade, q_explain, q_ml, q_model, q_prepare  # noqa: F401
+from promptscreen.plans import q_cascade, q_explain, q_io, q_ml, q_model, q_prepare  # noqa: F401
 from promptscreen.plans.registry import ORACLE, QUERIES
 
 
