@@ -4,8 +4,7 @@ For a linear scorer, gradient x input is exact: the attribution of term
 ``t`` to the logit is ``coef_t * x_t`` (they sum to the logit when the bias
 is 0); to the probability it is ``p (1 - p) coef_t x_t``. Token positions
 share their unigram term's attribution equally, so position scores also add
-up to the unigram part of the logit. Positions are computed per document in
-array form (a per-document map lookup), keeping rows partitioned by id.
+up to the unigram part of the logit.
 """
 
 from __future__ import annotations
@@ -43,18 +42,17 @@ def position_scores(scorer, df: DataFrame, text_col: str = "prompt",
     """``(id, pos, token, score)`` for every word token of the text.
 
     ``score`` = unigram attribution / tf of that unigram; 0 for tokens that
-    are stop words or out of the vocabulary.
+    are stop words or out of the vocabulary. Positions and attributions are
+    both partitioned by id, so the (id, token) join needs no new shuffle when
+    the session lets joins co-partition on a subset of their keys.
     """
     base = (df if partitioned else T.by_id(df, id_col)).select(id_col, text_col)
     a = attribution(scorer, base, "logit", text_col, id_col, partitioned=True)
-    uni = a.filter(~F.col("term").contains(" ")).groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "term", (F.col("attribution") / F.col("tf")).alias("s")))).alias("_m"))
-    j = base.join(uni, id_col, "left")
-    scored = F.transform(tokens(text_col), lambda t: F.struct(
-        t.alias("token"), F.coalesce(F.element_at(F.col("_m"), t), F.lit(0.0)).alias("score")))
-    return j.select(id_col, F.posexplode(scored).alias("pos", "_t")).select(
-        id_col, "pos", "_t.token", "_t.score")
+    uni = a.filter(~F.col("term").contains(" ")).select(
+        id_col, F.col("term").alias("token"), (F.col("attribution") / F.col("tf")).alias("_s"))
+    pos = base.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
+    j = pos.join(uni, [id_col, "token"], "left")
+    return j.select(id_col, "pos", "token", F.coalesce(F.col("_s"), F.lit(0.0)).alias("score"))
 
 
 def valid_token(c="token"):

@@ -36,14 +36,14 @@ def run_cascade(wf: Workflow, model=None):
 SELECT prompt_id, data_type, label, gate_predicted_label, gate_prob_harmful, model_predicted_label,
        round(model_prob_harmful, 6) AS model_prob_harmful, pipeline_predicted_label FROM casc""")
 def m9_cascade(spark, sf_dir):
-    return fin(run_cascade(Workflow(spark, sf_dir)).select(*_CASC_COLS))
+    return fin(run_cascade(Workflow.get(spark, sf_dir)).select(*_CASC_COLS))
 
 
 @query("m9_cascade_batch_udf", ORACLE_M9 := _CASC_CTES + """
 SELECT prompt_id, data_type, label, gate_predicted_label, gate_prob_harmful, model_predicted_label,
        round(model_prob_harmful, 6) AS model_prob_harmful, pipeline_predicted_label FROM casc""")
 def m9_cascade_batch_udf(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     udf_model = batch_model.BatchUdfScorer(batch_model.export_linear(wf.model))
     out = run_cascade(wf, udf_model).select(*_CASC_COLS)
     return fin(out.withColumn("model_prob_harmful", F.round("model_prob_harmful", 6)))
@@ -52,7 +52,7 @@ def m9_cascade_batch_udf(spark, sf_dir):
 @query("a6_breakdown_cascade", _CASC_CTES + breakdown_sql(
     "SELECT data_type, label, pipeline_predicted_label AS predicted_label FROM casc"))
 def a6_breakdown_cascade(spark, sf_dir):
-    r = run_cascade(Workflow(spark, sf_dir))
+    r = run_cascade(Workflow.get(spark, sf_dir))
     return fin(metrics.breakdown(r, pred="pipeline_predicted_label"))
 
 
@@ -60,14 +60,14 @@ def a6_breakdown_cascade(spark, sf_dir):
 SELECT prompt_id, prompt, data_type, label, gate_prob_harmful FROM casc
 WHERE gate_predicted_label = 0""")
 def p8_passed_prompts(spark, sf_dir):
-    return fin(cascade.passed_prompts(run_cascade(Workflow(spark, sf_dir))))
+    return fin(cascade.passed_prompts(run_cascade(Workflow.get(spark, sf_dir))))
 
 
 @query("a7_gate_counts", _CASC_CTES + """
 SELECT count_if(gate_predicted_label = 1) AS blocked, count_if(gate_predicted_label = 0) AS passed,
        count(*) AS n FROM casc""")
 def a7_gate_counts(spark, sf_dir):
-    return metrics.gate_counts(run_cascade(Workflow(spark, sf_dir)))
+    return metrics.gate_counts(run_cascade(Workflow.get(spark, sf_dir)))
 
 
 @query("p10_result_columns", _CASC_CTES + """
@@ -75,7 +75,7 @@ SELECT prompt_id, data_type, label, CAST(prob_harmful >= 0.5 AS INTEGER) AS pred
        round_even(prob_harmful, 4) AS prob_harmful, CAST(prob_harmful >= 0.5 AS INTEGER) AS blocked
 FROM ge_scored""")
 def p10_result_columns(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(cascade.gate_results(wf.gate, wf.test).select(
         "prompt_id", "data_type", "label", "predicted_label", "prob_harmful", "blocked"))
 
@@ -86,7 +86,7 @@ SELECT t.prompt_id, t.label, coalesce(c.model_predicted_label, 0) AS predicted_l
 FROM test t LEFT JOIN (SELECT * FROM casc WHERE gate_predicted_label = 0) c
   ON t.prompt_id = c.prompt_id""")
 def j1_attach_scores(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     r = run_cascade(wf).filter(F.col("gate_predicted_label") == 0).select(
         "prompt_id", F.col("model_predicted_label").alias("predicted_label"),
         F.col("model_prob_harmful").alias("prob_harmful"))
@@ -98,7 +98,7 @@ def j1_attach_scores(spark, sf_dir):
 SELECT prompt_id, label, CASE WHEN gate_predicted_label = 1 THEN 'blocked' ELSE 'passed' END AS branch
 FROM casc""")
 def j2_blocked_semi_anti(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     g = cascade.gate_results(wf.gate, wf.test, inclusive=False)
     blocked_ids = g.filter(F.col("blocked") == 1).select("prompt_id")
     rows = wf.test.select("prompt_id", "label")
@@ -123,7 +123,7 @@ UNION ALL
 SELECT model, precision, recall, f1, printf('%.4f', precision), printf('%.4f', recall),
        printf('%.4f', f1), 'computed' FROM comp""")
 def a14_comparison(spark, sf_dir):
-    r = run_cascade(Workflow(spark, sf_dir))
+    r = run_cascade(Workflow.get(spark, sf_dir))
     gate = metrics.prf(r, pred="gate_predicted_label").withColumn(
         "model", F.lit("Gate (TF-IDF unigram log-odds)"))
     pipe = metrics.prf(r, pred="pipeline_predicted_label").withColumn(
@@ -138,7 +138,7 @@ SELECT prompt_id, prompt, CASE WHEN prob_harmful > 0.5 THEN 'HARMFUL' ELSE 'BENI
        round(prob_harmful, 6) AS harmful_probability, round(1 - prob_harmful, 6) AS benign_probability
 FROM rq_scored""")
 def s6_score_requests(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(cascade.score_requests(wf.model, wf.requests))
 
 
@@ -147,7 +147,7 @@ def s6_score_requests(spark, sf_dir):
 SELECT prompt_id, prompt, CASE WHEN prob_harmful > 0.5 THEN 'HARMFUL' ELSE 'BENIGN' END AS label,
        round(prob_harmful, 6) AS harmful_probability FROM rq_scored""")
 def p17_response(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     r = cascade.response(cascade.score_requests(wf.model, wf.requests))
     return fin(r.select("prompt_id", "prompt", F.col("prediction.label").alias("label"),
                         F.col("prediction.harmful_probability").alias("harmful_probability")))
@@ -158,7 +158,7 @@ def p17_response(spark, sf_dir):
 SELECT prompt_id, round(prob_harmful, 6) AS prob_harmful,
        CAST(prob_harmful >= 0.5 AS INTEGER) AS predicted_label FROM te_scored""")
 def m8_batch_udf(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     s = batch_model.BatchUdfScorer(batch_model.export_linear(wf.model)).score(wf.test)
     return fin(s.select("prompt_id", "prob_harmful",
                         decide("prob_harmful").alias("predicted_label")))

@@ -40,7 +40,7 @@ _TEST_POS = with_ctes(["train", "test"], STD_MODELS + "," + pos_ctes("te", "test
 @query("m10_attribution_logit", _TEST_POS + """
 SELECT prompt_id, term, round(contribution, 6) AS attribution FROM te_c""")
 def m10_attribution_logit(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(explain.attribution(wf.model, wf.test, "logit").select(
         "prompt_id", "term", "attribution"))
 
@@ -50,7 +50,7 @@ SELECT c.prompt_id, c.term, round(s.prob_harmful * (1 - s.prob_harmful) * c.cont
        AS attribution
 FROM te_c c JOIN te_scored s ON c.prompt_id = s.prompt_id""")
 def m10_attribution_prob(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(explain.attribution(wf.model, wf.test, "probability").select(
         "prompt_id", "term", "attribution"))
 
@@ -58,14 +58,14 @@ def m10_attribution_prob(spark, sf_dir):
 @query("m10_position_scores", _TEST_POS + """
 SELECT prompt_id, pos, token, round(score, 6) AS score FROM te_ps""")
 def m10_position_scores(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(explain.position_scores(wf.model, wf.test))
 
 
 @query("w5_top_tokens", _TEST_POS + """
 SELECT prompt_id, token_rank, pos, token, round(score, 6) AS score FROM te_top""")
 def w5_top_tokens(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     t = explain.top_positions(explain.position_scores(wf.model, wf.test))
     return fin(t.select("prompt_id", "token_rank", "pos", "token", "score"))
 
@@ -75,7 +75,7 @@ SELECT prompt_id, pos, token,
        round(score / (max(abs(score)) OVER (PARTITION BY prompt_id) + 1e-8), 6) AS norm_score
 FROM te_ps""")
 def w7_normalized_scores(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     n = explain.normalized(explain.position_scores(wf.model, wf.test))
     return fin(n.select("prompt_id", "pos", "token", "norm_score"))
 
@@ -91,7 +91,7 @@ FROM sa_ps WHERE token NOT IN ('[CLS]', '[SEP]', '[PAD]') AND NOT starts_with(to
 GROUP BY token HAVING count(*) >= 3
 ORDER BY avg(abs(score)) DESC, token LIMIT 20""")
 def a10_token_importance(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     s = sampling.sample_n(wf.test, 500)
     return fin(explain.token_importance(explain.position_scores(wf.model, s)))
 
@@ -114,7 +114,7 @@ syn AS (
 SELECT t.prompt_id, t.token_rank, t.token, s.synonym, s.syn_rank
 FROM te_top t JOIN syn s ON t.token = s.word""")
 def j3_synonym_candidates(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     top = explain.top_positions(explain.position_scores(wf.model, wf.test))
     c = perturb.synonym_candidates(top, perturb.prepare_synonyms(wf.synonyms))
     return c.select("prompt_id", "token_rank", "token", "synonym", "syn_rank")
@@ -122,7 +122,7 @@ def j3_synonym_candidates(spark, sf_dir):
 
 @query("u5_synonyms", with_ctes([], _lex_sql()) + "SELECT word, synonym, syn_rank FROM syn")
 def u5_synonyms(spark, sf_dir):
-    return perturb.prepare_synonyms(Workflow(spark, sf_dir).synonyms)
+    return perturb.prepare_synonyms(Workflow.get(spark, sf_dir).synonyms)
 
 
 _ATTACK = STD_MODELS + ",\nsrc AS (SELECT prompt_id, prompt, data_type, label FROM split WHERE split <> 'train')," \
@@ -159,7 +159,7 @@ def attack(wf: Workflow):
 
 @query("m11_synonym_flips", with_ctes(["split", "train"], _ATTACK) + "SELECT * FROM attacks")
 def m11_synonym_flips(spark, sf_dir):
-    return attack(Workflow(spark, sf_dir))[0]
+    return attack(Workflow.get(spark, sf_dir))[0]
 
 
 @query("a8_success_rates", with_ctes(["split", "train"], _ATTACK) + """
@@ -169,7 +169,7 @@ SELECT (SELECT count(*) FROM src) AS targets,
              ELSE (SELECT count(DISTINCT prompt_id) FROM attacks) / (SELECT count(*) FROM src) END, 6)
          AS success_rate""")
 def a8_success_rates(spark, sf_dir):
-    a, src = attack(Workflow(spark, sf_dir))
+    a, src = attack(Workflow.get(spark, sf_dir))
     return fin(perturb.success_rates(a, src))
 
 
@@ -183,7 +183,7 @@ aug AS (SELECT * FROM train UNION ALL SELECT * FROM aug_rows)"""
 
 @query("u3_augment_train", with_ctes(["split", "train"], _ATTACK + _AUG_ROWS) + "SELECT * FROM aug")
 def u3_augment_train(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     a, _ = attack(wf)
     return perturb.augment(wf.train, perturb.as_training_rows(a))
 
@@ -198,7 +198,7 @@ UNION ALL
 SELECT 'augmented', * FROM (
   SELECT {_COUNTS} FROM (SELECT label, CAST(prob_harmful >= 0.5 AS INTEGER) AS predicted_label FROM ta_scored))""")
 def m15_augmentation_effect(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     a, _ = attack(wf)
     aug = perturb.augment(wf.train, perturb.as_training_rows(a))
     plain_m = wf.model
@@ -247,7 +247,7 @@ SELECT case_type, prompt_id, case_no, part, title, pos, token, round(score, 6) A
        round(greatest(0, least(1, CASE WHEN ns > 0 THEN 1 - ns ELSE 1 END)), 6) AS color_b
 FROM layout""")
 def m14_case_attribution(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     a, _ = attack(wf)
     res = wf.model.score(wf.test).withColumn("predicted_label", decide("prob_harmful"))
     cases = explain.error_cases(res, a)
@@ -261,7 +261,7 @@ def m14_case_attribution(spark, sf_dir):
 @query("p12_error_cases", with_ctes(["split", "train", "test"], _CASES) + """
 SELECT case_type, prompt_id, label FROM cases""")
 def p12_error_cases(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     a, _ = attack(wf)
     res = wf.model.score(wf.test).withColumn("predicted_label", decide("prob_harmful"))
     return explain.error_cases(res, a).select("case_type", "prompt_id", "label")

@@ -19,7 +19,7 @@ SELECT prompt_id, data_type, CASE WHEN {_IN_EVAL} THEN NULL ELSE vanilla END AS
        adversarial
 FROM raw""")
 def s1_read_raw_tsv(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     raw_train, raw_eval = wf.raw_files
     d = io.scratch_dir(spark, "raw")
     io.write_raw(raw_train, f"{d}/train.tsv")
@@ -32,7 +32,7 @@ def s1_read_raw_tsv(spark, sf_dir):
 @query("s2_read_split", with_ctes(["split"]) + """
 SELECT prompt_id, prompt, data_type, label FROM split WHERE split = 'test'""")
 def s2_read_split(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     d = io.scratch_dir(spark, "csv")
     io.write_csv(wf.test.select("prompt_id", "prompt", "data_type", "label"), d)
     return io.read_split_csv(spark, d)
@@ -40,7 +40,7 @@ def s2_read_split(spark, sf_dir):
 
 @query("s3_write_read_splits", with_ctes(["split"]) + "SELECT * FROM split")
 def s3_write_read_splits(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     d = io.scratch_dir(spark, "splits")
     io.write_splits(wf.split, d)
     return io.read_splits(spark, d).select("prompt_id", "prompt", "data_type", "label", "split")
@@ -53,7 +53,7 @@ _SCORED = with_ctes(["train", "test"], STD_MODELS + "," + score_ctes("te", "m2",
 SELECT prompt_id, logit, round(prob_harmful, 6) AS prob_harmful,
        CAST(prob_harmful >= 0.5 AS INTEGER) AS predicted_label FROM te_scored""")
 def s4_model_roundtrip(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     d = io.scratch_dir(spark, "model")
     io.save_linear(wf.model, d)
     m = io.load_linear(spark, d)
@@ -67,7 +67,7 @@ SELECT prompt_id, prompt, CASE WHEN prob_harmful > 0.5 THEN 'HARMFUL' ELSE 'BENI
        round(prob_harmful, 6) AS harmful_probability, round(1 - prob_harmful, 6) AS benign_probability
 FROM rq_scored""")
 def r1_stream_scores(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     d = io.scratch_dir(spark, "stream")
     # The request feed arrives as several files; each trigger takes one.
     wf.requests.repartition(4, "prompt_id").write.parquet(f"{d}/in")
@@ -84,7 +84,7 @@ SELECT g.prompt_id, CASE WHEN g.prob_harmful > 0.5 THEN 1
                          ELSE CASE WHEN m.prob_harmful > 0.5 THEN 1 ELSE 0 END END AS pipeline_predicted_label
 FROM ge_scored g JOIN te_scored m ON g.prompt_id = m.prompt_id""")
 def r1_stream_cascade(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     d = io.scratch_dir(spark, "stream")
     wf.test.select("prompt_id", "prompt").repartition(3, "prompt_id").write.parquet(f"{d}/in")
     q = stream.start_scoring(spark, wf.model, f"{d}/in", f"{d}/out", f"{d}/ckpt", gate=wf.gate,

@@ -45,20 +45,20 @@ def _select(wf: Workflow):
 SELECT candidate, alpha, tp, fp, fn, tn, n, {_PRF},
        candidate = (SELECT candidate FROM best) AS best FROM per""")
 def m7_select_by_val_f1(spark, sf_dir):
-    return fin(_select(Workflow(spark, sf_dir)))
+    return fin(_select(Workflow.get(spark, sf_dir)))
 
 
 @query("a13_best_candidate", _SELECT + f"""
 SELECT candidate, alpha, tp, fp, fn, tn, n, {_PRF} FROM per
 WHERE candidate = (SELECT candidate FROM best)""")
 def a13_best_candidate(spark, sf_dir):
-    per = _select(Workflow(spark, sf_dir)).drop("best")
+    per = _select(Workflow.get(spark, sf_dir)).drop("best")
     return fin(metrics.best_candidate(per))
 
 
 @query("m6_logreg_train")
 def m6_logreg_train(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     m = linear.fit_logreg(wf.train, wf.model_spec, reg_param=0.01, stats=wf.train_stats)
     s = m.score(wf.test).withColumn("predicted_label", decide("prob_harmful"))
     return fin(s.select("prompt_id", "data_type", "label", "logit", "prob_harmful",
@@ -71,7 +71,7 @@ def _forest(wf: Workflow):
 
 @query("m3_forest_train")
 def m3_forest_train(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     f = _forest(wf)
     s = f.score(wf.train).withColumn("predicted_label", decide("prob_harmful"))
     return fin(metrics.prf(s).select(
@@ -81,7 +81,7 @@ def m3_forest_train(spark, sf_dir):
 
 @query("m4_forest_score")
 def m4_forest_score(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     r = cascade.gate_results(_forest(wf), wf.test)
     return fin(r.select("prompt_id", "data_type", "label", "predicted_label", "prob_harmful",
                         "blocked"))
@@ -89,12 +89,12 @@ def m4_forest_score(spark, sf_dir):
 
 @query("m5_forest_importance")
 def m5_forest_importance(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(forest.importances(spark, _forest(wf)))
 
 
 @query("m9_cascade_forest")
 def m9_cascade_forest(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     r = cascade.cascade(_forest(wf), wf.model, wf.test)
     return fin(metrics.breakdown(r, pred="pipeline_predicted_label"))

@@ -21,7 +21,7 @@ _TOK = f"regexp_extract_all(lower(prompt), '{TOKEN_RE}')"
 SELECT prompt_id, len({_TOK}) AS n_tokens, array_to_string({_TOK}, ' ') AS tokens FROM prompts""")
 def f2_tokens(spark, sf_dir):
     t = X.tokens("prompt")
-    return Workflow(spark, sf_dir).prompts.select(
+    return Workflow.get(spark, sf_dir).prompts.select(
         "prompt_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
@@ -31,7 +31,7 @@ FROM (SELECT prompt_id, list_filter({_TOK}, lambda w: NOT list_contains({STOP_SQ
       FROM prompts)""")
 def f3_stopwords(spark, sf_dir):
     k = X.remove_stop_words(X.tokens("prompt"), STOP_WORDS)
-    return Workflow(spark, sf_dir).prompts.select(
+    return Workflow.get(spark, sf_dir).prompts.select(
         "prompt_id", F.size(k).alias("n_kept"), F.array_join(k, " ").alias("kept"))
 
 
@@ -40,7 +40,7 @@ SELECT prompt_id, len(g) AS n_terms, array_to_string(g, '|') AS terms
 FROM (SELECT prompt_id, {terms_expr('prompt', 2)} AS g FROM prompts)""")
 def f4_ngrams(spark, sf_dir):
     g = T.terms_column("prompt", T.TfidfSpec())
-    return Workflow(spark, sf_dir).prompts.select(
+    return Workflow.get(spark, sf_dir).prompts.select(
         "prompt_id", F.size(g).alias("n_terms"), F.array_join(g, "|").alias("terms"))
 
 
@@ -52,7 +52,7 @@ FROM (SELECT prompt_id, len(regexp_extract_all(lower('{CLASSIFICATION_PREFIX}' |
 def t6_truncate(spark, sf_dir):
     toks = X.tokens(X.with_prefix("prompt"))
     kept = X.truncate_tokens(toks, MAX_SEQUENCE_TOKENS)
-    return Workflow(spark, sf_dir).prompts.select(
+    return Workflow.get(spark, sf_dir).prompts.select(
         "prompt_id", F.size(toks).alias("n_tokens"), F.size(kept).alias("n_kept"),
         (F.size(toks) > MAX_SEQUENCE_TOKENS).alias("truncated"))
 
@@ -60,14 +60,14 @@ def t6_truncate(spark, sf_dir):
 @query("p15_prefix", with_ctes(["test"]) + f"""
 SELECT prompt_id, '{CLASSIFICATION_PREFIX}' || prompt AS model_input FROM test""")
 def p15_prefix(spark, sf_dir):
-    return Workflow(spark, sf_dir).test.select(
+    return Workflow.get(spark, sf_dir).test.select(
         "prompt_id", X.with_prefix("prompt").alias("model_input"))
 
 
 @query("a12_term_stats", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
 SELECT term, cnt, df, df_h, df_b FROM m2_stats""")
 def a12_term_stats(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     base = T.by_id(wf.train)
     dt = T.doc_terms(base, wf.model_spec, keep=("label",))
     return T.term_stats(dt)
@@ -76,34 +76,34 @@ def a12_term_stats(spark, sf_dir):
 @query("t5_vocabulary", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
 SELECT idx, term, cnt, df FROM m2_vocab""")
 def t5_vocabulary(spark, sf_dir):
-    return Workflow(spark, sf_dir).model.vocab.select("idx", "term", "cnt", "df")
+    return Workflow.get(spark, sf_dir).model.vocab.select("idx", "term", "cnt", "df")
 
 
 @query("m1_tfidf_vocab", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
 SELECT idx, term, df, round(idf, 6) AS idf FROM m2_vocab""")
 def m1_tfidf_vocab(spark, sf_dir):
-    return fin(Workflow(spark, sf_dir).model.vocab.select("idx", "term", "df", "idf"))
+    return fin(Workflow.get(spark, sf_dir).model.vocab.select("idx", "term", "df", "idf"))
 
 
 @query("m2_tfidf_weights", with_ctes(["train", "test"], model_ctes("m2", "train", 2) + "," +
                                      tfidf_ctes("te", "m2", "test", 2)) + """
 SELECT prompt_id, idx, term, tf, round(x, 6) AS weight FROM te_x""")
 def m2_tfidf_weights(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(wf.model.features(T.by_id(wf.test)))
 
 
 @query("m6_logodds_weights", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
 SELECT term, round(weight, 6) AS weight FROM m2_w""")
 def m6_logodds_weights(spark, sf_dir):
-    return fin(Workflow(spark, sf_dir).model.weights)
+    return fin(Workflow.get(spark, sf_dir).model.weights)
 
 
 @query("a9_class_weights", with_ctes(["train"]) + """
 SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight
 FROM (SELECT label, count(*) AS n_c FROM train GROUP BY label)""")
 def a9_class_weights(spark, sf_dir):
-    return fin(linear.class_weights(Workflow(spark, sf_dir).train))
+    return fin(linear.class_weights(Workflow.get(spark, sf_dir).train))
 
 
 def scored_test(wf: Workflow):
@@ -119,7 +119,7 @@ _PRED = "SELECT *, CASE WHEN prob_harmful >= 0.5 THEN 1 ELSE 0 END AS predicted_
 SELECT prompt_id, data_type, label, logit, round(prob_harmful, 6) AS prob_harmful,
        CASE WHEN prob_harmful >= 0.5 THEN 1 ELSE 0 END AS predicted_label FROM te_scored""")
 def s2_score_test(spark, sf_dir):
-    return fin(scored_test(Workflow(spark, sf_dir)).select(
+    return fin(scored_test(Workflow.get(spark, sf_dir)).select(
         "prompt_id", "data_type", "label", "logit", "prob_harmful", "predicted_label"))
 
 
@@ -127,7 +127,7 @@ def s2_score_test(spark, sf_dir):
 SELECT prompt_id, round(1 / (1 + exp(-(logit - 0))), 6) AS harmful_probability,
        round(1 - 1 / (1 + exp(-(logit - 0))), 6) AS benign_probability FROM te_scored""")
 def f11_softmax(spark, sf_dir):
-    s = Workflow(spark, sf_dir).model.score(Workflow(spark, sf_dir).test)
+    s = Workflow.get(spark, sf_dir).model.score(Workflow.get(spark, sf_dir).test)
     p = softmax2(F.lit(0.0), F.col("logit"))
     return fin(s.select("prompt_id", p.alias("harmful_probability"),
                         (F.lit(1.0) - p).alias("benign_probability")))
@@ -138,7 +138,7 @@ SELECT prompt_id, round(prob_harmful, 6) AS prob_harmful,
        CAST(prob_harmful >= 0.5 AS INTEGER) AS decision_inclusive,
        CAST(prob_harmful > 0.5 AS INTEGER) AS decision_exclusive FROM te_scored""")
 def p11_decide(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     s = wf.model.score(wf.test)
     return fin(s.select("prompt_id", "prob_harmful",
                         decide("prob_harmful").alias("decision_inclusive"),
@@ -158,12 +158,12 @@ _PRF = """round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS prec
 @query("a3_prf", _SCORED + f"""
 SELECT tp, fp, fn, tn, n, {_PRF} FROM (SELECT {_COUNTS} FROM ({_PRED}))""")
 def a3_prf(spark, sf_dir):
-    return fin(metrics.prf(scored_test(Workflow(spark, sf_dir))))
+    return fin(metrics.prf(scored_test(Workflow.get(spark, sf_dir))))
 
 
 @query("a4_confusion", _SCORED + f"SELECT {_COUNTS} FROM ({_PRED})")
 def a4_confusion(spark, sf_dir):
-    return metrics.confusion(scored_test(Workflow(spark, sf_dir)))
+    return metrics.confusion(scored_test(Workflow.get(spark, sf_dir)))
 
 
 _REPORT = """
@@ -200,7 +200,7 @@ m AS (
 @query("a5_report", with_ctes(["train", "test"], STD_MODELS + "," + score_ctes("te", "m2", "test", 2)
                               + f",\nc AS (SELECT {_COUNTS} FROM ({_PRED}))" + _REPORT_M) + _REPORT)
 def a5_report(spark, sf_dir):
-    return fin(metrics.classification_report(scored_test(Workflow(spark, sf_dir))))
+    return fin(metrics.classification_report(scored_test(Workflow.get(spark, sf_dir))))
 
 
 def breakdown_sql(src: str) -> str:
@@ -211,7 +211,7 @@ FROM (SELECT data_type, {_COUNTS}, grouping(data_type) AS g FROM ({src}) GROUP B
 
 @query("a6_breakdown", _SCORED + breakdown_sql(_PRED))
 def a6_breakdown(spark, sf_dir):
-    return fin(metrics.breakdown(scored_test(Workflow(spark, sf_dir))))
+    return fin(metrics.breakdown(scored_test(Workflow.get(spark, sf_dir))))
 
 
 @query("a11_weighted_logloss", _SCORED + """,
@@ -222,5 +222,5 @@ ll AS (SELECT s.label, cw.w, least(greatest(s.prob_harmful, 1e-15), 1 - 1e-15) A
 SELECT round(sum(w * -(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END)) / sum(w), 6)
          AS weighted_logloss, count(*) AS n FROM ll""")
 def a11_weighted_logloss(spark, sf_dir):
-    wf = Workflow(spark, sf_dir)
+    wf = Workflow.get(spark, sf_dir)
     return fin(linear.weighted_logloss(wf.model.score(wf.test), linear.class_weights(wf.train)))

@@ -22,6 +22,18 @@ SAMPLE_N = {1: 45, 0: 200}
 
 
 class Workflow:
+    _cache: dict = {}
+
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str) -> "Workflow":
+        """One materialized workflow per (application, data folder): the split
+        and the models are built once and read by every later query, as a
+        deployment trains once and scores many times."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._cache:
+            cls._cache[key] = cls(spark, sf_dir)
+        return cls._cache[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str,
                  gate_spec: T.TfidfSpec = GATE_SPEC, model_spec: T.TfidfSpec = MODEL_SPEC,
                  alpha: float = 1.0, materialize: bool = True):
@@ -67,15 +79,29 @@ class Workflow:
         """1-2 gram statistics of the training text, shared by gate and model."""
         return linear.train_term_stats(self.train, self.model_spec)
 
+    def _fit_both(self) -> None:
+        """Fit gate and model from one pass over the training text; the shared
+        statistics are kept only while both model tables are written."""
+        stats = self.train_stats
+        if self.materialize:
+            stats = stats.persist()
+        m = linear.fit_logodds(self.train, self.model_spec, self.alpha, stats=stats)
+        g = linear.fit_logodds(self.train, self.gate_spec, self.alpha, stats=stats)
+        if self.materialize:
+            m.materialize()
+            g.materialize()
+            stats.unpersist()
+        self.__dict__["model"], self.__dict__["gate"] = m, g
+
     @cached_property
     def model(self) -> linear.LinearScorer:
-        m = linear.fit_logodds(self.train, self.model_spec, self.alpha, stats=self.train_stats)
-        return m.materialize() if self.materialize else m
+        self._fit_both()
+        return self.__dict__["model"]
 
     @cached_property
     def gate(self) -> linear.LinearScorer:
-        m = linear.fit_logodds(self.train, self.gate_spec, self.alpha, stats=self.train_stats)
-        return m.materialize() if self.materialize else m
+        self._fit_both()
+        return self.__dict__["gate"]
 
     @cached_property
     def requests(self) -> DataFrame:
