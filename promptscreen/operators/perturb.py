@@ -106,3 +106,140 @@ def augment(train: DataFrame, *attack_rows: DataFrame) -> DataFrame:
     for a in attack_rows:
         out = out.unionByName(a.select("prompt_id", "prompt", "data_type", "label"))
     return out
+
+
+UNK = "[UNK]"
+RF_AUGMENTED_TYPE = "adversarial_benign_augmented"
+
+
+def _rebuild(seps, toks):
+    """Text from separator pieces and tokens: s0 t0 s1 t1 ... s(n)."""
+    n = F.size(toks)
+    body = F.zip_with(toks, F.slice(seps, 2, F.greatest(n, F.lit(0))), lambda t, s: F.concat(t, s))
+    return F.concat(F.element_at(seps, 1), F.array_join(body, ""))
+
+
+def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
+                        stop_words=None, max_synonyms: int = MAX_SYNONYMS,
+                        threshold: float = THRESHOLD, id_col: str = "prompt_id") -> DataFrame:
+    """Saliency-ordered greedy word substitution (M12; the published PWWS scheme).
+
+    For every word position that has synonyms (stop words are never changed):
+    saliency ``S_i`` = drop of P(true class) when the word becomes ``[UNK]``;
+    best synonym = the largest drop ``dP_i`` (ties: lower rank); priority
+    ``H_i = softmax(S)_i * dP_i``. Substitutions are applied cumulatively in
+    priority order (ties: earlier position); the first prefix that changes
+    the prediction is the result. All variants and all prefixes are scored in
+    bulk jobs. The order is fixed once from the original text (the attack
+    library re-picks each swap on the current text; this one-shot form is
+    the bulk equivalent). Prompts the model already gets wrong are
+    ``Skipped``; no flip gives ``Failed``.
+
+    Text is handled lower-cased; word positions are the tokens of the
+    featurizer, and separator pieces keep the rest of the text intact.
+    """
+    from promptscreen.constants import STOP_WORDS, TOKEN_PATTERN
+    from promptscreen.functions.text import tokens
+
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
+    base = T.by_id(rows.select(id_col, "prompt", "label", "data_type"), id_col)
+    orig = scorer.score(base, id_col=id_col, partitioned=True)
+    y = F.col("label")
+
+    def p_true(p):
+        return F.when(y == 1, p).otherwise(F.lit(1.0) - p)
+
+    orig = (orig.withColumn("original_output", decide("prob_harmful", threshold))
+            .withColumn("_p0", p_true(F.col("prob_harmful")))
+            .withColumn("_toks", tokens("prompt"))
+            .withColumn("_seps", F.split(F.lower("prompt"), TOKEN_PATTERN, -1))
+            .drop("logit", "prob_harmful"))
+    skipped = orig.filter(F.col("original_output") != y)
+    live = orig.filter(F.col("original_output") == y)
+
+    syn = prepare_synonyms(lexicon, max_synonyms).filter(~F.col("word").isin(*stop))
+    pos = live.select(id_col, F.posexplode("_toks").alias("pos", "token"))
+    cand = pos.join(syn.withColumnRenamed("word", "token"), "token")   # (id, pos, token, synonym, syn_rank)
+    words = cand.select(id_col, "pos", "token").distinct()
+    # variants: the word removed ([UNK]) and each synonym in its place
+    var = (words.withColumn("synonym", F.lit(UNK)).withColumn("syn_rank", F.lit(0))
+           .unionByName(cand.select(id_col, "pos", "token", "synonym", "syn_rank")))
+    var = var.join(live.select(id_col, "label", "_p0", "_toks", "_seps"), id_col)
+    new_toks = F.transform("_toks", lambda t, i: F.when(i == F.col("pos"), F.col("synonym"))
+                           .otherwise(t))
+    var = var.withColumn("_vid", F.concat_ws(":", F.col(id_col).cast("string"),
+                                             F.col("pos").cast("string"),
+                                             F.col("syn_rank").cast("string"))).withColumn(
+        "_text", _rebuild(F.col("_seps"), new_toks))
+    vs = scorer.score(var.select("_vid", "_text"), text_col="_text", id_col="_vid").select(
+        "_vid", "prob_harmful")
+    var = var.drop("_toks", "_seps", "_text").join(vs, "_vid").withColumn(
+        "_drop", F.col("_p0") - p_true(F.col("prob_harmful")))
+    sal = var.filter(F.col("syn_rank") == 0).select(id_col, "pos", F.col("_drop").alias("_sal"))
+    best = var.filter(F.col("syn_rank") > 0).groupBy(id_col, "pos").agg(
+        F.max_by(F.struct("synonym", "syn_rank"),
+                 F.struct(F.col("_drop"), -F.col("syn_rank"))).alias("_b"),
+        F.max("_drop").alias("_dp"))
+    w_doc = Window.partitionBy(id_col)
+    pr = sal.join(best, [id_col, "pos"]).withColumn(
+        "_h", F.exp("_sal") / F.sum(F.exp("_sal")).over(w_doc) * F.col("_dp"))
+    pr = pr.withColumn("order", F.row_number().over(
+        w_doc.orderBy(F.col("_h").desc(), F.col("pos").asc())))
+    plan = pr.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("order", "_b.synonym"))))
+        .alias("_plan"), F.count("*").alias("_c"))
+    doc = live.join(plan, id_col)
+    # per token: its order in the plan (or none) and its replacement
+    doc = doc.withColumn("_ord", F.transform("_toks", lambda t, i: F.element_at("_plan", i)))
+    pref = doc.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_c"))))
+    pref_toks = F.arrays_zip(F.col("_toks").alias("t"), F.col("_ord").alias("o"))
+    pref_toks = F.transform(pref_toks, lambda z: F.when(
+        z["o"].isNotNull() & (z["o"]["order"] <= F.col("k")), z["o"]["synonym"]).otherwise(z["t"]))
+    pref = pref.withColumn("perturbed_text", _rebuild(F.col("_seps"), pref_toks)).withColumn(
+        "_kid", F.concat_ws(":", F.col(id_col).cast("string"), F.col("k").cast("string")))
+    ps = scorer.score(pref.select("_kid", "perturbed_text"), text_col="perturbed_text",
+                      id_col="_kid").select("_kid", decide("prob_harmful", threshold)
+                                            .alias("perturbed_output"))
+    pref = pref.select(id_col, "k", "_c", "perturbed_text", "_kid").join(ps, "_kid")
+    pref = pref.join(live.select(id_col, "label"), id_col)
+    res = pref.groupBy(id_col).agg(
+        F.min_by(F.struct("k", "perturbed_text", "perturbed_output"),
+                 # the first flipping prefix; without a flip, the full one
+                 F.when(F.col("perturbed_output") != F.col("label"), F.col("k"))
+                 .otherwise(2 * F.col("_c") + 1 - F.col("k"))).alias("_r"),
+        F.max(F.when(F.col("perturbed_output") != F.col("label"), 1).otherwise(0)).alias("_ok"))
+    attacked = live.join(res, id_col, "left").select(
+        id_col,
+        F.when(F.col("_ok") == 1, F.lit("Successful")).otherwise(F.lit("Failed"))
+        .alias("result_type"),
+        F.col("prompt").alias("original_text"),
+        F.coalesce(F.col("_r.perturbed_text"), F.lower("prompt")).alias("perturbed_text"),
+        F.col("label").alias("ground_truth_output"), "original_output",
+        F.coalesce(F.col("_r.perturbed_output"), F.col("original_output")).alias("perturbed_output"),
+        F.coalesce(F.col("_r.k"), F.lit(0)).alias("num_changes"), "data_type")
+    skip = skipped.select(
+        id_col, F.lit("Skipped").alias("result_type"), F.col("prompt").alias("original_text"),
+        F.lower("prompt").alias("perturbed_text"), F.col("label").alias("ground_truth_output"),
+        "original_output", F.col("original_output").alias("perturbed_output"),
+        F.lit(0).alias("num_changes"), "data_type")
+    return attacked.unionByName(skip)
+
+
+def greedy_success_rate(results: DataFrame) -> DataFrame:
+    """Successful attacks / all attacked rows (A8, greedy definition)."""
+    return results.agg(F.count("*").alias("attacked"),
+                       F.count_if(F.col("result_type") == "Successful").alias("successful"),
+                       F.count_if(F.col("result_type") == "Failed").alias("failed"),
+                       F.count_if(F.col("result_type") == "Skipped").alias("skipped")).withColumn(
+        "success_rate", F.when(F.col("attacked") == 0, F.lit(0.0))
+        .otherwise(F.col("successful") / F.col("attacked")))
+
+
+def greedy_training_rows(results: DataFrame) -> DataFrame:
+    """Successful greedy attacks as train rows of type ``adversarial_benign_augmented``."""
+    ok = results.filter(F.col("result_type") == "Successful")
+    rows = ok.select(F.col("perturbed_text").alias("prompt"),
+                     F.lit(RF_AUGMENTED_TYPE).alias("data_type"),
+                     F.col("ground_truth_output").alias("label"), F.col("prompt_id").alias("_src"))
+    return rows.withColumn("prompt_id", content_key("prompt", "data_type", "label", "_src")).select(
+        "prompt_id", "prompt", "data_type", "label")

@@ -50,3 +50,23 @@ def test_reference_default_target_runs(spark):
     assert a.count() >= 0
     aug = perturb.augment(wf.train, perturb.as_training_rows(a))
     assert aug.count() == wf.train.count() + a.count()
+
+
+def test_greedy_substitution_results_hold(spark):
+    wf = Workflow(spark, SF01, materialize=False)
+    src = wf.split.filter(F.col("split") != "train").drop("split")
+    r = perturb.greedy_substitution(wf.gate, src, wf.synonyms).collect()
+    assert len(r) == src.count()
+    kinds = {x.result_type for x in r}
+    assert kinds <= {"Successful", "Failed", "Skipped"} and "Successful" in kinds
+    chk = spark.createDataFrame([(i, x.perturbed_text) for i, x in enumerate(r)],
+                                "prompt_id bigint, prompt string")
+    got = {x.prompt_id: x.p for x in wf.gate.score(chk).withColumn(
+        "p", decide("prob_harmful")).collect()}
+    for i, x in enumerate(r):
+        if x.result_type == "Skipped":
+            assert x.original_output != x.ground_truth_output and x.num_changes == 0
+        elif x.result_type == "Successful":
+            assert got[i] != x.ground_truth_output and x.num_changes >= 1
+        else:
+            assert got[i] == x.ground_truth_output
