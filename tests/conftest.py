@@ -12,5 +12,6 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from promptscreen.session import get_spark
-    s = get_spark(app="promptscreen-tests", master="local[4]", shuffle_partitions=8)
+    s = get_spark(app="promptscreen-tests", master="local[4]", shuffle_partitions=8,
+                  driver_memory="6g")
     yield s

@@ -4,7 +4,7 @@ from tests.conftest import SF01
 
 
 def test_forest_probabilities_and_importances(spark):
-    wf = Workflow(spark, SF01, materialize=False)
+    wf = Workflow.get(spark, SF01)
     f = forest.fit_forest(wf.train, wf.model_spec, num_trees=20, max_depth=5, vocab=wf.model.vocab)
     probs = [r.prob_harmful for r in f.score(wf.test).collect()]
     assert probs and all(0.0 <= p <= 1.0 for p in probs)

@@ -18,7 +18,7 @@ def test_csv_round_trip_keeps_hard_text(spark):
 
 
 def test_model_round_trip(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     d = io.scratch_dir(spark, "test-model")
     io.save_linear(wf.model, d)
     m2 = io.load_linear(spark, d)
@@ -28,7 +28,7 @@ def test_model_round_trip(spark):
 
 
 def test_stream_equals_batch(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     d = io.scratch_dir(spark, "test-stream")
     wf.requests.repartition(3).write.parquet(f"{d}/in")
     q = stream.start_scoring(spark, wf.model, f"{d}/in", f"{d}/out", f"{d}/ck",

@@ -19,7 +19,7 @@ def test_benign_only_type_and_one_class(spark):
 
 
 def test_cascade_invariants(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     r = cascade.cascade(wf.gate, wf.model, wf.test).collect()
     assert len(r) == wf.test.count()
     for x in r:
@@ -32,7 +32,7 @@ def test_cascade_invariants(spark):
 
 
 def test_requests_and_response(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     s = cascade.score_requests(wf.model, wf.requests)
     r = cascade.response(s).first()
     assert r.prediction.label in ("HARMFUL", "BENIGN")

@@ -47,7 +47,7 @@ def py_logit(text, idf, w):
 
 
 def test_tfidf_and_logit_match_brute_force(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     spec = T.TfidfSpec(max_features=300)
     train = [(r.prompt_id, r.prompt, r.label) for r in wf.train.collect()]
     idf, w = brute_force(train, 300)
@@ -62,7 +62,7 @@ def test_tfidf_and_logit_match_brute_force(spark):
 
 
 def test_unknown_terms_give_half(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     m = linear.fit_logodds(wf.train, T.TfidfSpec(max_features=50))
     df = spark.createDataFrame([(1, "zzqx qqzv"), (2, None)], "prompt_id bigint, prompt string")
     r = {x.prompt_id: (x.logit, x.prob_harmful) for x in m.score(df).collect()}
@@ -70,7 +70,7 @@ def test_unknown_terms_give_half(spark):
 
 
 def test_attribution_sums_to_logit_and_udf_agrees(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     m = linear.fit_logodds(wf.train, T.TfidfSpec(max_features=500))
     a = explain.attribution(m, wf.test).groupBy("prompt_id").agg(F.sum("attribution").alias("s"))
     s = m.score(wf.test).join(a, "prompt_id", "left")
@@ -83,7 +83,7 @@ def test_attribution_sums_to_logit_and_udf_agrees(spark):
 
 
 def test_position_scores_add_up_to_unigram_part(spark):
-    wf = Workflow(spark, SF001, materialize=False)
+    wf = Workflow.get(spark, SF001)
     m = linear.fit_logodds(wf.train, T.TfidfSpec(max_features=500))
     ps = explain.position_scores(m, wf.test).groupBy("prompt_id").agg(F.sum("score").alias("p"))
     uni = explain.attribution(m, wf.test).filter(~F.col("term").contains(" ")).groupBy(

@@ -19,7 +19,7 @@ def test_synonyms_normalised(spark):
 
 
 def test_repeated_word_taken_twice(spark):
-    wf = Workflow(spark, SF01, materialize=False)
+    wf = Workflow.get(spark, SF01)
     m = wf.model
     df = spark.createDataFrame([(1, "idiot idiot idiot calm")], "prompt_id bigint, prompt string")
     top = explain.top_positions(explain.position_scores(m, df)).orderBy("token_rank").collect()
@@ -27,7 +27,7 @@ def test_repeated_word_taken_twice(spark):
 
 
 def test_every_flip_rescores_to_new_label(spark):
-    wf = Workflow(spark, SF01, materialize=False)
+    wf = Workflow.get(spark, SF01)
     src = wf.split.filter(F.col("split") != "train").drop("split")
     a = perturb.synonym_flips(wf.model, src, wf.synonyms)
     rows = a.collect()
@@ -44,7 +44,7 @@ def test_every_flip_rescores_to_new_label(spark):
 
 def test_reference_default_target_runs(spark):
     # The reference attacks adversarial_benign test prompts (none flips here).
-    wf = Workflow(spark, SF01, materialize=False)
+    wf = Workflow.get(spark, SF01)
     tgt = wf.test.filter(F.col("data_type") == "adversarial_benign")
     a = perturb.synonym_flips(wf.model, tgt, wf.synonyms, require_correct=True)
     assert a.count() >= 0
@@ -53,7 +53,7 @@ def test_reference_default_target_runs(spark):
 
 
 def test_greedy_substitution_results_hold(spark):
-    wf = Workflow(spark, SF01, materialize=False)
+    wf = Workflow.get(spark, SF01)
     src = wf.split.filter(F.col("split") != "train").drop("split")
     r = perturb.greedy_substitution(wf.gate, src, wf.synonyms).collect()
     assert len(r) == src.count()

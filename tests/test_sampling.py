@@ -39,7 +39,7 @@ def test_null_type_never_sampled(spark):
 
 def test_split_invariants_and_partition_independence(spark):
     from promptscreen.plans.workflow import Workflow
-    prompts = Workflow(spark, SF01, materialize=False).prompts
+    prompts = Workflow.get(spark, SF01).prompts
     results = []
     for parts in (1, 4, 16):
         sp = sampling.stratified_split(prompts.repartition(parts))
