@@ -19,6 +19,14 @@ from promptscreen.operators import explain
 from promptscreen.operators import tfidf as T
 
 AUGMENTED_TYPE = "adversarial_augmented"
+# A lexicon up to this many (word, synonym) rows is broadcast (a thesaurus has
+# ~10^5); a larger one is shuffle-joined and AQE splits hot words.
+LEXICON_BROADCAST_ROWS = 2_000_000
+
+
+def lexicon_side(synonyms: DataFrame, max_rows: int = LEXICON_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast the prepared lexicon only after checking its row count."""
+    return F.broadcast(synonyms) if synonyms.count() <= max_rows else synonyms
 
 
 def prepare_synonyms(lexicon: DataFrame, max_synonyms: int = MAX_SYNONYMS) -> DataFrame:
@@ -35,7 +43,7 @@ def prepare_synonyms(lexicon: DataFrame, max_synonyms: int = MAX_SYNONYMS) -> Da
 
 def synonym_candidates(top: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Each chosen token position with each of its synonyms."""
-    return top.join(synonyms.withColumnRenamed("word", "token"), "token")
+    return top.join(lexicon_side(synonyms.withColumnRenamed("word", "token")), "token")
 
 
 def synonym_flips(scorer, rows: DataFrame, lexicon: DataFrame, top_k: int = TOP_K_TOKENS,
@@ -159,7 +167,7 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
 
     syn = prepare_synonyms(lexicon, max_synonyms).filter(~F.col("word").isin(*stop))
     pos = live.select(id_col, F.posexplode("_toks").alias("pos", "token"))
-    cand = pos.join(syn.withColumnRenamed("word", "token"), "token")   # (id, pos, token, synonym, syn_rank)
+    cand = pos.join(lexicon_side(syn.withColumnRenamed("word", "token")), "token")
     words = cand.select(id_col, "pos", "token").distinct()
     # variants: the word removed ([UNK]) and each synonym in its place
     var = (words.withColumn("synonym", F.lit(UNK)).withColumn("syn_rank", F.lit(0))

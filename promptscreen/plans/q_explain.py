@@ -265,3 +265,32 @@ def p12_error_cases(spark, sf_dir):
     a, _ = attack(wf)
     res = wf.model.score(wf.test).withColumn("predicted_label", decide("prob_harmful"))
     return explain.error_cases(res, a).select("case_type", "prompt_id", "label")
+
+
+@query("f5_replace_first", with_ctes(["train", "test"], STD_MODELS + "," + pos_ctes("te", "test")
+                                     + "," + _lex_sql()) + """
+SELECT t.prompt_id, t.token_rank, s.syn_rank, s.synonym,
+       CASE WHEN instr(lower(r.prompt), t.token) > 0
+            THEN overlay(lower(r.prompt) PLACING s.synonym FROM instr(lower(r.prompt), t.token)
+                         FOR length(t.token)) END AS perturbed_prompt
+FROM te_top t JOIN syn s ON t.token = s.word JOIN test r ON t.prompt_id = r.prompt_id""")
+def f5_replace_first(spark, sf_dir):
+    from promptscreen.functions.text import replace_first
+    wf = Workflow.get(spark, sf_dir)
+    top = explain.top_positions(explain.position_scores(wf.model, wf.test))
+    c = perturb.synonym_candidates(top, perturb.prepare_synonyms(wf.synonyms))
+    c = c.join(wf.test.select("prompt_id", "prompt"), "prompt_id")
+    return c.select("prompt_id", "token_rank", "syn_rank", "synonym",
+                    replace_first(F.lower("prompt"), F.col("token"), F.col("synonym"))
+                    .alias("perturbed_prompt"))
+
+
+@query("w8_case_layout", with_ctes(["split", "train", "test"], _CASES) + """
+SELECT case_type, prompt_id, case_no, part, pos, token, CAST(floor(pos / 18) AS INTEGER) AS "row",
+       CAST(pos % 18 AS INTEGER) AS col FROM layout""")
+def w8_case_layout(spark, sf_dir):
+    wf = Workflow.get(spark, sf_dir)
+    a, _ = attack(wf)
+    res = wf.model.score(wf.test).withColumn("predicted_label", decide("prob_harmful"))
+    out = explain.case_layout(wf.model, explain.error_cases(res, a))
+    return out.select("case_type", "prompt_id", "case_no", "part", "pos", "token", "row", "col")

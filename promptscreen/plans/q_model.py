@@ -115,10 +115,10 @@ _SCORED = with_ctes(["train", "test"], STD_MODELS + "," + score_ctes("te", "m2",
 _PRED = "SELECT *, CASE WHEN prob_harmful >= 0.5 THEN 1 ELSE 0 END AS predicted_label FROM te_scored"
 
 
-@query("s2_score_test", _SCORED + """
+@query("m6_score_test", _SCORED + """
 SELECT prompt_id, data_type, label, logit, round(prob_harmful, 6) AS prob_harmful,
        CASE WHEN prob_harmful >= 0.5 THEN 1 ELSE 0 END AS predicted_label FROM te_scored""")
-def s2_score_test(spark, sf_dir):
+def m6_score_test(spark, sf_dir):
     return fin(scored_test(Workflow.get(spark, sf_dir)).select(
         "prompt_id", "data_type", "label", "logit", "prob_harmful", "predicted_label"))
 
