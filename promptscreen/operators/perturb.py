@@ -9,6 +9,7 @@ answer without a loop.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def synonym_flips(scorer, rows: DataFrame, lexicon: DataFrame, top_k: int = TOP_
     """
     base = T.by_id(rows.select(id_col, "prompt", "label", "data_type"), id_col)
     orig = scorer.score(base, id_col=id_col, partitioned=True).withColumn(
-        "original_predicted_label", decide("prob_harmful", threshold))
+        "original_predicted_label", decide("prob_harmful", threshold)).persist(
+        StorageLevel.MEMORY_AND_DISK)
     if require_correct:
         orig = orig.filter(F.col("original_predicted_label") == F.col("label"))
     top = explain.top_positions(explain.position_scores(scorer, base, id_col=id_col,
@@ -145,6 +147,8 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
 
     Text is handled lower-cased; word positions are the tokens of the
     featurizer, and separator pieces keep the rest of the text intact.
+    The scored source and the scored variants feed several branches, so they
+    are persisted (memory and disk; recomputed from lineage if lost).
     """
     from promptscreen.constants import STOP_WORDS, TOKEN_PATTERN
     from promptscreen.functions.text import tokens
@@ -161,7 +165,7 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
             .withColumn("_p0", p_true(F.col("prob_harmful")))
             .withColumn("_toks", tokens("prompt"))
             .withColumn("_seps", F.split(F.lower("prompt"), TOKEN_PATTERN, -1))
-            .drop("logit", "prob_harmful"))
+            .drop("logit", "prob_harmful")).persist(StorageLevel.MEMORY_AND_DISK)
     skipped = orig.filter(F.col("original_output") != y)
     live = orig.filter(F.col("original_output") == y)
 
@@ -182,7 +186,7 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
     vs = scorer.score(var.select("_vid", "_text"), text_col="_text", id_col="_vid").select(
         "_vid", "prob_harmful")
     var = var.drop("_toks", "_seps", "_text").join(vs, "_vid").withColumn(
-        "_drop", F.col("_p0") - p_true(F.col("prob_harmful")))
+        "_drop", F.col("_p0") - p_true(F.col("prob_harmful"))).persist(StorageLevel.MEMORY_AND_DISK)
     sal = var.filter(F.col("syn_rank") == 0).select(id_col, "pos", F.col("_drop").alias("_sal"))
     best = var.filter(F.col("syn_rank") > 0).groupBy(id_col, "pos").agg(
         F.max_by(F.struct("synonym", "syn_rank"),

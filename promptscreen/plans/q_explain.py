@@ -120,9 +120,20 @@ def j3_synonym_candidates(spark, sf_dir):
     return c.select("prompt_id", "token_rank", "token", "synonym", "syn_rank")
 
 
-@query("u5_synonyms", with_ctes([], _lex_sql()) + "SELECT word, synonym, syn_rank FROM syn")
+@query("u5_synonyms", with_ctes(["prompts"], _lex_sql() + f""",
+words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(prompt), '{TOKEN_RE}')) AS word FROM prompts)""") + """
+SELECT s.word, s.synonym, s.syn_rank FROM syn s WHERE s.word IN (SELECT word FROM words)""")
 def u5_synonyms(spark, sf_dir):
-    return perturb.prepare_synonyms(Workflow.get(spark, sf_dir).synonyms)
+    """Normalised lexicon entries for the words that occur in the prompts."""
+    from promptscreen.functions.text import tokens
+    wf = Workflow.get(spark, sf_dir)
+    lex = perturb.prepare_synonyms(wf.synonyms)
+    words = wf.prompts.select(F.explode(tokens("prompt")).alias("word"))
+    # tokens stream past the (size-checked) broadcast lexicon; distinct
+    # aggregates map-side, so hot words never move whole
+    present = words.join(perturb.lexicon_side(lex.select("word").distinct()), "word",
+                         "left_semi").distinct()
+    return lex.join(present, "word", "left_semi")
 
 
 _ATTACK = STD_MODELS + ",\nsrc AS (SELECT prompt_id, prompt, data_type, label FROM split WHERE split <> 'train')," \
