@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from promptscreen.operators import linear, prepare, sampling
 from promptscreen.operators import tfidf as T
+from promptscreen.session import ensure_checkpoint_dir
 from promptscreen.sources import fixture
 
 GATE_SPEC = T.TfidfSpec(ngram_max=1)     # cheap stage-1 gate: unigrams
@@ -39,6 +40,8 @@ class Workflow:
                  alpha: float = 1.0, materialize: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
         self.materialize = materialize
+        if materialize:
+            ensure_checkpoint_dir(spark)
         self.gate_spec, self.model_spec, self.alpha = gate_spec, model_spec, alpha
 
     @cached_property
