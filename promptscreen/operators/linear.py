@@ -53,11 +53,18 @@ class LinearScorer:
               partitioned: bool = False) -> DataFrame:
         """``df`` + ``logit`` (rounded to 6 places) + ``prob_harmful``.
 
-        A prompt with no known term has logit ``bias``.
+        A prompt with no known term has logit ``bias``. The rows are hashed by
+        id once. The term branch keeps the row's other columns as grouping keys
+        of the per-document count (they depend on the id, so the groups do not
+        change); it therefore reads the same exchange as the join back, which
+        Spark reuses: the text is shuffled once.
         """
         base = df if partitioned else T.by_id(df, id_col)
-        sums = (self.contributions(base.select(id_col, text_col), text_col, id_col)
-                .groupBy(id_col).agg(F.sum("contribution").alias("_s")))
+        others = tuple(c for c in base.columns if c not in (id_col, text_col))
+        dt = T.doc_terms(base, self.spec, text_col, id_col, keep=others).drop(*others)
+        v = self.vocab.select("term", "idx", "idf", F.col("weight").alias("coef"))
+        x = T.transform(dt, v, self.spec, id_col, carry=("coef",))
+        sums = x.groupBy(id_col).agg(F.sum(F.col("coef") * F.col("weight")).alias("_s"))
         out = base.join(sums, id_col, "left")
         logit = F.round(F.coalesce(F.col("_s"), F.lit(0.0)) + F.lit(self.bias), DECIMALS)
         return out.withColumn("logit", logit).withColumn(
