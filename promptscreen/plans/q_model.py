@@ -68,9 +68,7 @@ def p15_prefix(spark, sf_dir):
 SELECT term, cnt, df, df_h, df_b FROM m2_stats""")
 def a12_term_stats(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
-    base = T.by_id(wf.train)
-    dt = T.doc_terms(base, wf.model_spec, keep=("label",))
-    return T.term_stats(dt)
+    return linear.train_term_stats(wf.train, wf.model_spec)
 
 
 @query("t5_vocabulary", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
