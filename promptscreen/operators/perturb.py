@@ -17,6 +17,7 @@ from promptscreen.constants import MAX_SYNONYMS, THRESHOLD, TOP_K_TOKENS
 from promptscreen.functions.scalar import content_key, decide
 from promptscreen.functions.text import lemma_name, replace_first
 from promptscreen.operators import explain
+from promptscreen.operators.joins import bounded_broadcast
 from promptscreen.operators import tfidf as T
 
 AUGMENTED_TYPE = "adversarial_augmented"
@@ -27,7 +28,7 @@ LEXICON_BROADCAST_ROWS = 2_000_000
 
 def lexicon_side(synonyms: DataFrame, max_rows: int = LEXICON_BROADCAST_ROWS) -> DataFrame:
     """Broadcast the prepared lexicon only after checking its row count."""
-    return F.broadcast(synonyms) if synonyms.count() <= max_rows else synonyms
+    return bounded_broadcast(synonyms, max_rows)
 
 
 def prepare_synonyms(lexicon: DataFrame, max_synonyms: int = MAX_SYNONYMS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from promptscreen.constants import (HASH_BUCKET_CHARS, SEED, TEST_SIZE,
                                     VAL_TEST_SIZE)
 from promptscreen.functions.scalar import order_key
+from promptscreen.operators.joins import bounded_broadcast
 
 
 def stratum_shares(df: DataFrame, strata: list[str], within: list[str] | None = None) -> DataFrame:
@@ -84,7 +85,8 @@ def stratified_sample(df: DataFrame, n_by_class: dict[int, int], class_col: str
     quotas = allocate_quotas(df, n_by_class, class_col, stratum_col)
     keyed = df.filter(F.col(stratum_col).isNotNull()).withColumn(
         "_key", order_key(id_col, salt, seed))
-    ranked = rank_in_strata(keyed, [class_col, stratum_col], "_key", id_col, cut=quotas)
+    ranked = rank_in_strata(keyed, [class_col, stratum_col], "_key", id_col,
+                            cut=bounded_broadcast(quotas))
     return ranked.filter(F.col("rank") <= F.col("quota")).drop("_key", "rank", "quota")
 
 
@@ -139,7 +141,9 @@ def stratified_split(df: DataFrame, stratum_col: str = "data_type", id_col: str
     keyed = (df.withColumn("_s", F.coalesce(F.col(stratum_col), F.lit("")))
              .withColumn("_key", order_key(id_col, salt, seed)))
     ranked = rank_in_strata(keyed, ["_s"], "_key", id_col)
-    out = ranked.join(F.broadcast(quotas.select("_s", "n_train", "n_val")), "_s")
+    # One row per stratum; a plain join on the stratum would send a hot
+    # stratum to one task, so the quota table is broadcast after a count.
+    out = ranked.join(bounded_broadcast(quotas.select("_s", "n_train", "n_val")), "_s")
     split = (F.when(F.col("rank") <= F.col("n_train"), F.lit("train"))
              .when(F.col("rank") <= F.col("n_train") + F.col("n_val"), F.lit("val"))
              .otherwise(F.lit("test")))
