@@ -118,3 +118,12 @@ def u3_augment_both(spark, sf_dir):
     a, _ = attack(wf)
     return perturb.augment(wf.train, perturb.as_training_rows(a),
                            perturb.greedy_training_rows(greedy(wf)))
+
+
+@query("m12_greedy_forest")
+def m12_greedy_forest(spark, sf_dir):
+    """The greedy attack on a random-forest gate (rows-only: no SQL forest)."""
+    from promptscreen.plans.q_ml import _forest
+    wf = Workflow.get(spark, sf_dir)
+    src = wf.split.filter(F.col("split") != "train").drop("split")
+    return perturb.greedy_substitution(_forest(wf), src, wf.synonyms)
