@@ -8,6 +8,7 @@ Python-backed model on every row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,18 @@ def gate_results(gate, df: DataFrame, id_col: str = "prompt_id", inclusive: bool
 
 
 def cascade(gate, model, df: DataFrame, id_col: str = "prompt_id",
-            threshold: float = THRESHOLD, persist: bool = False) -> DataFrame:
+            threshold: float = THRESHOLD, persist: bool = True,
+            keep: list | None = None) -> DataFrame:
     """Cascade verdicts for ``df`` (needs ``id_col`` and ``prompt``).
 
     Adds ``gate_predicted_label``, ``gate_prob_harmful`` (4 places),
     ``model_predicted_label`` and ``model_prob_harmful`` (null where the gate
     blocked) and ``pipeline_predicted_label``. Both stages decide by argmax
-    (``p > threshold``).
+    (``p > threshold``). Stage-1 results feed the blocked branch, the passed
+    branch and stage 2's features, so they are persisted (memory and disk,
+    recomputed from lineage if an executor is lost) instead of scored three
+    times. Persisted frames are appended to ``keep`` when given, so a caller
+    (e.g. a micro-batch) can unpersist them once the result is written.
     """
     base = T.by_id(df, id_col)
     s1 = gate.score(base, id_col=id_col, partitioned=True)
@@ -41,7 +47,9 @@ def cascade(gate, model, df: DataFrame, id_col: str = "prompt_id",
           .withColumn("gate_prob_harmful", round4("prob_harmful"))
           .drop("logit", "prob_harmful"))
     if persist:
-        s1 = s1.persist()
+        s1 = s1.persist(StorageLevel.MEMORY_AND_DISK)
+        if keep is not None:
+            keep.append(s1)
     blocked = s1.filter(F.col("gate_predicted_label") == 1)
     passed = s1.filter(F.col("gate_predicted_label") == 0)
     s2 = model.score(passed, id_col=id_col, partitioned=True)

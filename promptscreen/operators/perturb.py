@@ -59,8 +59,10 @@ def synonym_flips(scorer, rows: DataFrame, lexicon: DataFrame, top_k: int = TOP_
     augmentation -- prefer the validation split. ``require_correct`` skips
     prompts the model already gets wrong (the attack library's behaviour).
     """
-    base = T.by_id(rows.select(id_col, "prompt", "label", "data_type"), id_col)
-    orig = scorer.score(base, id_col=id_col, partitioned=True).withColumn(
+    # Term-heavy steps read one (id, text) exchange; labels join back by id.
+    base = T.by_id(rows.select(id_col, "prompt"), id_col)
+    meta = rows.select(id_col, "label", "data_type")
+    orig = scorer.score(base, id_col=id_col, partitioned=True).join(meta, id_col).withColumn(
         "original_predicted_label", decide("prob_harmful", threshold)).persist(
         StorageLevel.MEMORY_AND_DISK)
     if require_correct:

@@ -27,11 +27,14 @@ def start_scoring(spark: SparkSession, model, source_dir: str, sink_dir: str,
     stream = reader.parquet(source_dir)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
+        cached: list = []
         if gate is not None:
-            out = cascade.cascade(gate, model, batch)
+            out = cascade.cascade(gate, model, batch, keep=cached)
         else:
             out = cascade.score_requests(model, batch)
         out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        for df in cached:
+            df.unpersist()
 
     writer = (stream.writeStream.foreachBatch(score_batch)
               .option("checkpointLocation", checkpoint_dir))
