@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from promptscreen.functions.scalar import decide
 from promptscreen.operators import prepare

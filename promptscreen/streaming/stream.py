@@ -10,7 +10,6 @@ which is why this is ``foreachBatch`` and not a plain append query.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from promptscreen.operators import cascade

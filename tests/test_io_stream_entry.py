@@ -1,5 +1,4 @@
 import duckdb
-from pyspark.sql import functions as F
 
 from promptscreen.operators import cascade
 from promptscreen.plans.workflow import Workflow

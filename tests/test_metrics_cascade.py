@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from promptscreen.operators import cascade, metrics
 from promptscreen.plans.workflow import Workflow

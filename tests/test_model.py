@@ -1,7 +1,6 @@
 """TF-IDF and the linear scorer against a brute-force Python version."""
 
 import math
-import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -12,8 +11,6 @@ from promptscreen.operators import tfidf as T
 from promptscreen.plans.workflow import Workflow
 from tests.conftest import SF001
 
-TOKEN = re.compile(r"[^\W\d_]*[\w]+", re.UNICODE)
-
 
 def py_terms(text, ngram_max=2):
     import regex

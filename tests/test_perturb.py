@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from promptscreen.functions.scalar import decide
-from promptscreen.operators import explain, linear, perturb
+from promptscreen.operators import explain, perturb
 from promptscreen.plans.workflow import Workflow
 from promptscreen.sources import fixture
 from tests.conftest import SF01
