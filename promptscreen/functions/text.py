@@ -65,3 +65,16 @@ def replace_first(text, target, replacement) -> Column:
 def lemma_name(c) -> Column:
     """Lexicon entry as a replacement word: ``_`` becomes a space, lower case."""
     return F.lower(F.translate(col_(c), "_", " "))
+
+
+def separators(c, pattern: str = TOKEN_PATTERN) -> Column:
+    """The pieces of the lower-cased text between tokens (one more than tokens)."""
+    return F.split(F.lower(col_(c)), pattern, -1)
+
+
+def rebuild_text(seps, toks) -> Column:
+    """Text from separator pieces and (possibly replaced) tokens: s0 t0 s1 t1 ... sn."""
+    s, t = col_(seps), col_(toks)
+    body = F.zip_with(t, F.slice(s, 2, F.greatest(F.size(t), F.lit(0))),
+                      lambda a, b: F.concat(a, b))
+    return F.concat(F.element_at(s, 1), F.array_join(body, ""))

@@ -55,6 +55,32 @@ def position_scores(scorer, df: DataFrame, text_col: str = "prompt",
     return j.select(id_col, "pos", "token", F.coalesce(F.col("_s"), F.lit(0.0)).alias("score"))
 
 
+def leave_one_out(scorer, df: DataFrame, text_col: str = "prompt",
+                  id_col: str = "prompt_id") -> DataFrame:
+    """``(id, word, attribution)`` for any scorer, including black-box ones.
+
+    The attribution of a word is ``P(x) - P(x without every occurrence of the
+    word)``. Each distinct word of each text is one variant, and all variants
+    are scored in one bulk job. The cost is (distinct words x text length)
+    per prompt; there is no cap.
+    """
+    from promptscreen.functions.text import rebuild_text, separators
+
+    base = T.by_id(df.select(id_col, text_col), id_col)
+    orig = scorer.score(base, text_col=text_col, id_col=id_col, partitioned=True).select(
+        id_col, text_col, F.col("prob_harmful").alias("_p0"))
+    toks = tokens(text_col)
+    w = orig.select(id_col, "_p0", toks.alias("_t"), separators(text_col).alias("_s"),
+                    F.explode(F.array_distinct(toks)).alias("word"))
+    dropped = F.transform("_t", lambda t: F.when(t == F.col("word"), F.lit("")).otherwise(t))
+    v = (w.withColumn("_vid", F.concat_ws(":", F.col(id_col).cast("string"), F.col("word")))
+         .withColumn("_text", rebuild_text(F.col("_s"), dropped)))
+    vs = scorer.score(v.select("_vid", "_text"), text_col="_text", id_col="_vid").select(
+        "_vid", F.col("prob_harmful").alias("_pv"))
+    return v.select(id_col, "word", "_p0", "_vid").join(vs, "_vid").select(
+        id_col, "word", (F.col("_p0") - F.col("_pv")).alias("attribution"))
+
+
 def valid_token(c="token"):
     """Not a special token, punctuation piece or word continuation."""
     col = F.col(c)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from promptscreen.constants import MAX_SYNONYMS, THRESHOLD, TOP_K_TOKENS
 from promptscreen.functions.scalar import content_key, decide
-from promptscreen.functions.text import lemma_name, replace_first
+from promptscreen.functions.text import lemma_name, rebuild_text, replace_first
 from promptscreen.operators import explain
 from promptscreen.operators.joins import bounded_broadcast
 from promptscreen.operators import tfidf as T
@@ -126,10 +126,7 @@ RF_AUGMENTED_TYPE = "adversarial_benign_augmented"
 
 
 def _rebuild(seps, toks):
-    """Text from separator pieces and tokens: s0 t0 s1 t1 ... s(n)."""
-    n = F.size(toks)
-    body = F.zip_with(toks, F.slice(seps, 2, F.greatest(n, F.lit(0))), lambda t, s: F.concat(t, s))
-    return F.concat(F.element_at(seps, 1), F.array_join(body, ""))
+    return rebuild_text(seps, toks)
 
 
 def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,

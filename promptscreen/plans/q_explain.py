@@ -305,3 +305,26 @@ def w8_case_layout(spark, sf_dir):
     res = wf.model.score(wf.test).withColumn("predicted_label", decide("prob_harmful"))
     out = explain.case_layout(wf.model, explain.error_cases(res, a))
     return out.select("case_type", "prompt_id", "case_no", "part", "pos", "token", "row", "col")
+
+
+_LOO = _TEST_POS + f""",
+lo_src AS (SELECT prompt_id, regexp_extract_all(lower(prompt), '{TOKEN_RE}') AS toks,
+                  regexp_split_to_array(lower(prompt), '{TOKEN_RE}') AS seps FROM test),
+lo_w AS (SELECT prompt_id, toks, seps, unnest(list_distinct(toks)) AS word FROM lo_src),
+lo_v AS (
+  SELECT prompt_id || ':' || word AS vid, prompt_id, word,
+         seps[1] || array_to_string(list_transform(range(1, len(toks) + 1),
+           lambda i: (CASE WHEN toks[i] = word THEN '' ELSE toks[i] END) || seps[i + 1]), '') AS vtext
+  FROM lo_w),
+lo_vt AS (SELECT vid AS prompt_id, vtext AS prompt FROM lo_v),""" + score_ctes("lv", "m2", "lo_vt", 2)
+
+
+@query("m10_leave_one_out", _LOO + """
+SELECT v.prompt_id, v.word, round(t.prob_harmful - s.prob_harmful, 6) AS attribution
+FROM lo_v v JOIN lv_scored s ON v.vid = s.prompt_id JOIN te_scored t ON v.prompt_id = t.prompt_id""")
+def m10_leave_one_out(spark, sf_dir):
+    """Leave-one-word-out attribution through the black-box (batch UDF) model."""
+    from promptscreen.operators import batch_model
+    wf = Workflow.get(spark, sf_dir)
+    black_box = batch_model.BatchUdfScorer(batch_model.export_linear(wf.model))
+    return fin(explain.leave_one_out(black_box, wf.test))

@@ -87,3 +87,15 @@ def test_position_scores_add_up_to_unigram_part(spark):
         "prompt_id").agg(F.sum("attribution").alias("u"))
     for r in ps.join(uni, "prompt_id").collect():
         assert abs(r.p - r.u) < 1e-9
+
+
+def test_leave_one_out_any_scorer(spark):
+    from tests.conftest import SF01
+    wf = Workflow.get(spark, SF01)
+    df = spark.createDataFrame([(1, "You idiot, calm river.")], "prompt_id bigint, prompt string")
+    lin = {r.word: r.attribution for r in explain.leave_one_out(wf.model, df).collect()}
+    udf = batch_model.BatchUdfScorer(batch_model.export_linear(wf.model))
+    bb = {r.word: r.attribution for r in explain.leave_one_out(udf, df).collect()}
+    assert set(lin) == {"you", "idiot", "calm", "river"}
+    assert lin["idiot"] > 0                       # removing the insult lowers P(harmful)
+    assert all(abs(lin[w] - bb[w]) < 1e-9 for w in lin)
