@@ -20,7 +20,8 @@ from promptscreen.session import get_spark  # noqa: E402
 def plan_text(df) -> str:
     df.collect()   # run once so the adaptive plan shows its final form
     full = df._jdf.queryExecution().executedPlan().toString()
-    final = full.split("+- == Initial Plan ==")[0]
+    # cut at the top-level marker only (cached relations nest their own plans)
+    final = re.split(r"(?m)^\+- == Initial Plan ==", full)[0]
     lines = [ln if len(ln) <= 300 else ln[:297] + "..." for ln in final.splitlines() if ln.strip()]
     return re.sub(r"#\d+L?", "", "\n".join(lines))
 
