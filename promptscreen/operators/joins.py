@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,11 @@ def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS)
     """Broadcast ``small`` only after checking its row count.
 
     Used for lookup tables whose size does not grow with the scanned data
-    (per-stratum quotas, a lexicon) but has no static bound. Above the limit
-    the join stays a shuffle join and AQE's skew handling splits hot keys.
+    (per-stratum quotas, a lexicon) but has no static bound. The table is
+    persisted first, so the count materializes it once and the join reads the
+    stored rows instead of recomputing it (a quota table aggregates the whole
+    input). Above the limit the join stays a shuffle join and AQE's skew
+    handling splits hot keys.
     """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     return F.broadcast(small) if small.count() <= max_rows else small
