@@ -75,3 +75,12 @@ def test_sample_n_exact(spark):
     assert sampling.sample_n(df, 500).count() == 100
     per = sampling.sample_n(df, 7, by=["g"]).groupBy("g").count().collect()
     assert sorted(r["count"] for r in per) == [7, 7]
+
+
+def test_bounded_broadcast_both_paths_agree(spark):
+    from promptscreen.operators.joins import bounded_broadcast
+    big = spark.range(0, 2000).select(F.col("id"), (F.col("id") % 3).alias("s"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "s long, name string")
+    a = sorted(tuple(r) for r in big.join(bounded_broadcast(small), "s").collect())
+    b = sorted(tuple(r) for r in big.join(bounded_broadcast(small, max_rows=0), "s").collect())
+    assert a == b and len(a) == 2000
