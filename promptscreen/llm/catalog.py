@@ -6,8 +6,7 @@ import importlib
 
 from promptscreen.llm.registry import ORACLE, QUERIES
 
-MODULES = ("q_mixing", "q_sharding", "q_decontaminate", "q_quality", "q_private", "q_language", "q_pages", "q_near",
-           "q_neighbours", "q_language_model")
+MODULES = ("q_mixing", "q_sharding", "q_decontaminate")
 
 for _name in MODULES:
     importlib.import_module(f"promptscreen.llm.{_name}")
