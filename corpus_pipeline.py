@@ -10,12 +10,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptscreen.llm import decontaminate, mixing, sharding
-from promptscreen.llm.common import store, table
+from pyspark.sql import functions as F
+
+from promptscreen.llm import decontaminate, language, mixing, near, sharding
+from promptscreen.llm.common import id_crc, store, table
 
 ORACLE_SQL = None       # the language model of the first stage has no SQL
 
 
+def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no learned language (no letters, or no sure label)."""
+    crf = language.fit(docs.filter(id_crc(F.col("doc_id")) % 4 != 2))
+    return language.accepted(docs, crf)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies."""
+    return near.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with benchmark passages (by the share of words they make up)."""
     return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -31,7 +44,9 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("benchmark decontamination", decontaminated), ("mixing to weights", mixed), ("sharding", sharded)]
+STAGES = [("language identification", recognised), ("near duplicates", deduplicated),
+          ("benchmark decontamination", decontaminated), ("mixing to weights", mixed),
+          ("sharding", sharded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

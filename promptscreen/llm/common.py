@@ -48,22 +48,23 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int = 16) -> np.ndarray:
-    """Sum the equally long binary vectors of ``parts`` (one row per task):
-    first in ``fan_in`` tasks, one vector at a time, then the few sums here."""
+def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int = 16, add=np.add) -> np.ndarray:
+    """Sum (or unite by another ``add``) the equally long binary vectors of
+    ``parts``, one row per task: first in ``fan_in`` tasks, one vector at a
+    time, then the few results here."""
     dtype = np.dtype(dtype)
 
-    def add(batches):
+    def some(batches):
         acc = np.zeros(size, dtype)
         for rb in batches:
             for v in rb.column(0):
                 if v.is_valid:
-                    acc += np.frombuffer(v.as_py(), dtype)
+                    add(acc, np.frombuffer(v.as_py(), dtype), out=acc)
         yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], pa.binary())], [column])
 
     acc = np.zeros(size, dtype)
-    for row in parts.select(column).repartition(fan_in).mapInArrow(add, f"{column} binary").toLocalIterator():
-        acc += np.frombuffer(row[0], dtype)
+    for row in parts.select(column).repartition(fan_in).mapInArrow(some, f"{column} binary").toLocalIterator():
+        add(acc, np.frombuffer(row[0], dtype), out=acc)
     return acc
 
 
