@@ -87,7 +87,7 @@ def id_crc(col) -> F.Column:
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 RATIO = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:

@@ -1,0 +1,53 @@
+import random
+import re
+import time
+
+from promptscreen.llm import private as P
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute(t):
+    out = []
+    for k, rule in RULES.items():
+        for m in re.finditer(rule, t):
+            d = "".join(c for c in m[0] if c in "0123456789")
+            if (k == "email" or k == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or k == "card" and 14 <= len(d) <= 19 and P.luhn(d)
+                    or k == "phone" and 10 <= len(d) <= 15):
+                out.append((m.start(), P.KINDS.index(k), m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(1)
+    for _ in range(30_000):
+        t = "".join(rng.choice("ab.%@@..  --++()0123456789é4111111111111111") for _ in range(rng.randint(0, 60)))
+        assert [(s["start"], P.KINDS.index(s["kind"]), s["end"]) for s in P.find(t) if s["base"]] == brute(t)
+
+
+def test_checksums_and_context():
+    kinds = lambda t: [(s["kind"], t[s["start"]:s["end"]]) for s in P.find(t)]
+    assert kinds("Card 4111 1111 1111 1111.") == [("card", "4111 1111 1111 1111")] and kinds("No. 4111 1111 1111 1112.") == []
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 thanks") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("code DE88370400440532013000 x") == []
+    assert kinds("write to jo.doe (at) mail [dot] example.com now") == [("email", "jo.doe (at) mail [dot] example.com")]
+    assert kinds("my ssn is 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == []
+    assert kinds("call 0171 234 56789 today") == [("phone", "0171 234 56789")] and kinds("order 0171 234 56789") == []
+    assert P.find(None) == P.find("") == []
+
+
+def test_long_texts_take_linear_time():
+    t = time.time()
+    for x in ("1" * 400_000, "a" * 400_000 + "@", "a@" * 200_000, "1." * 200_000, "+1 " * 100_000, "AB12 " * 60_000):
+        P.find(x)
+    assert time.time() - t < 60
+
+
+def test_tables(awkward, no_docs, spark):
+    df = awkward.unionByName(spark.createDataFrame([(700, "é mail a@b.co, 10.0.0.1", "en", "s", 1)], awkward.schema))
+    found = P.scan(df.withColumnRenamed("n_chars", "pii"))
+    assert found.columns == ["doc_id", "text", "lang", "source", "pii"] and found.count() == df.count()
+    assert [r[0] for r in P.scan(df).filter("doc_id = 700").select(P.as_string(P.F.col("pii"))).collect()] == ["email:7:13,ip:15:23"]
+    assert P.redact(df).filter("doc_id = 700").first()["text"] == "é mail [email], [ip]"
+    assert P.scan(no_docs).count() == 0
