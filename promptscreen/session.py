@@ -29,10 +29,6 @@ def get_spark(app: str = "promptscreen", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Per-document work is keyed by (prompt_id, term): rows already hashed
-        # by prompt_id are co-partitioned for it (one document is one bounded
-        # unit, so this cannot concentrate a hot key).
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -84,3 +84,30 @@ def test_bounded_broadcast_both_paths_agree(spark):
     a = sorted(tuple(r) for r in big.join(bounded_broadcast(small), "s").collect())
     b = sorted(tuple(r) for r in big.join(bounded_broadcast(small, max_rows=0), "s").collect())
     assert a == b and len(a) == 2000
+
+
+def test_no_text_is_moved_by_stratum(spark):
+    """With small broadcasts off by default, no exchange that carries the text
+    is hashed by the stratum or goes to one partition."""
+    import re
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = _strata(spark, {"a": 300, "b": 40, "c": 1}).unionByName(_strata(spark, {"a": 50}, 0).withColumn(
+            "prompt_id", F.col("prompt_id") + 1000))
+        plans = [sampling.stratified_split(df), sampling.stratified_sample(df, {0: 20, 1: 60}),
+                 sampling.sample_n(df, 5000, by=["data_type"]), sampling.sample_n(df, 30), sampling.first_n(df, 2000)]
+        for p in plans:
+            p.collect()
+            text = p._jdf.queryExecution().executedPlan().toString()
+            for block in re.findall(r"Exchange (?:hashpartitioning\([^\n]*|SinglePartition[^\n]*)\n[^\n]*\n[^\n]*", text):
+                assert "prompt#" not in block, block
+        assert plans[0].count() == 391 and plans[1].count() == 80 and plans[2].count() == 391 and plans[3].count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_sample_n_of_null_groups(spark):
+    df = spark.range(0, 90).select(F.col("id").alias("prompt_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    per = {r["g"]: r["count"] for r in sampling.sample_n(df, 7, by=["g"]).groupBy("g").count().collect()}
+    assert per == {None: 7, 1: 7, 2: 7}
