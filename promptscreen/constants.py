@@ -3,6 +3,8 @@
 Fixed values: these must equal the reference's for the same results.
 """
 
+from promptscreen.functions.stopwords import english
+
 # --- fixed values (reference settings) ---------------------------------------
 SEED = 42
 N_HARMFUL = 20_000
@@ -39,8 +41,7 @@ BASELINE_RESULTS = [
 # ------------------------------------------------------------------------------
 
 # Our own defaults (not from the reference).
-STOP_WORDS = ["the", "and", "of", "to", "in", "is", "it", "that", "for", "by",
-              "with", "on", "at", "as", "a"]
+STOP_WORDS = list(english())    # Spark ML's 181 words; the reference's library has a longer list
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 HASH_BUCKET_CHARS = 4       # hex digits of the order key used as rank buckets
 DECIMALS = 6                # doubles in query output are rounded to this

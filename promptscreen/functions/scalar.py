@@ -19,6 +19,12 @@ def sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col_(z)))
 
 
+def logit_of(p, eps: float = 1e-12) -> Column:
+    """Log odds of a probability, finite also at 0 and 1."""
+    q = F.least(F.greatest(col_(p), F.lit(eps)), F.lit(1.0 - eps))
+    return F.log(q / (F.lit(1.0) - q))
+
+
 def softmax2(z0, z1) -> Column:
     """Harmful probability from two class logits (index 1 = harmful)."""
     return sigmoid(col_(z1) - col_(z0))
@@ -44,9 +50,18 @@ def order_key(id_col, salt: str, seed: int = SEED) -> Column:
 
 
 def content_key(*cols) -> Column:
-    """60-bit identity from content, for rows that arrive without a key."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(col_(c).cast("string"), F.lit("")) for c in cols]))
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+    """128-bit identity (32 hex digits) from content, for rows that arrive
+    without a key. Each part carries its length, and null is marked, so no two
+    different rows give the same text to the hash."""
+    parts = [F.coalesce(F.concat(F.octet_length(col_(c).cast("string")).cast("string"), F.lit(":"),
+                                 col_(c).cast("string")), F.lit("n")) for c in cols]
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def content_id(*cols) -> Column:
+    """60 bits of :func:`content_key` as a number, for row sets that join a
+    table with numeric ids and are far below 10^8 rows (attack results)."""
+    return F.conv(F.substring(content_key(*cols), 1, 15), 16, 10).cast("bigint")
 
 
 def face_color(norm_score) -> Column:

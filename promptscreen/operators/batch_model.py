@@ -8,9 +8,6 @@ scorer evaluated in numpy, which must agree with the SQL scoring.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
@@ -18,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptscreen.constants import DECIMALS, TOKEN_PATTERN
+from promptscreen.functions.scalar import logit_of
 
 
 def export_linear(scorer) -> dict:
@@ -25,34 +23,40 @@ def export_linear(scorer) -> dict:
     rows = scorer.vocab.select("term", "idf", "weight").collect()
     return {"terms": {r["term"]: (float(r["idf"]), float(r["weight"])) for r in rows},
             "bias": float(scorer.bias), "ngram_max": scorer.spec.ngram_max,
-            "stop_words": list(scorer.spec.stop_words), "sublinear": scorer.spec.sublinear_tf}
+            "stop_words": list(scorer.spec.stop_words), "sublinear": scorer.spec.sublinear_tf,
+            "prefix": scorer.spec.prefix, "max_tokens": scorer.spec.max_tokens}
 
 
 def make_linear_predict_fn(model: dict):
-    """Factory for ``predict_batch_udf``: returns ``texts -> P(harmful)``."""
+    """Factory for ``predict_batch_udf``: returns ``texts -> P(harmful)``; a
+    null text has no terms, so it gets the bias's probability."""
     def make():
         import regex
         pat = regex.compile(TOKEN_PATTERN)
-        terms, bias = model["terms"], model["bias"]
-        stop = set(model["stop_words"])
-
-        def one(text: str) -> float:
-            toks = [t for t in pat.findall(text.lower()) if t not in stop]
-            grams = list(toks)
+        numbers = {t: i for i, t in enumerate(model["terms"])}
+        idf, weight = (np.array(x) for x in zip(*model["terms"].values())) if numbers else (np.zeros(0), np.zeros(0))
+        stop, prefix, most = set(model["stop_words"]), model.get("prefix") or "", model.get("max_tokens")
+
+        def terms(text) -> list[int]:
+            toks = pat.findall((prefix + text).lower()) if text is not None else []
+            toks = [t for t in toks[:most] if t not in stop]
+            grams = [numbers.get(t, -1) for t in toks]
             if model["ngram_max"] >= 2:
-                grams += [f"{a} {b}" for a, b in zip(toks, toks[1:])]
-            s = q = 0.0
-            for term, tf in Counter(grams).items():
-                if term in terms:
-                    idf, w = terms[term]
-                    v = ((1.0 + math.log(tf)) if model["sublinear"] else tf) * idf
-                    s += w * v
-                    q += v * v
-            logit = round((s / math.sqrt(q) if q > 0 else 0.0) + bias, DECIMALS)
-            return 1.0 / (1.0 + math.exp(-logit))
+                grams += [numbers.get(f"{a} {b}", -1) for a, b in zip(toks, toks[1:], strict=False)]
+            return grams
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.array([one(t) for t in texts], dtype=np.float64)
+            lists = [terms(t) for t in texts]
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            term = np.fromiter((i for x in lists for i in x), np.int64, len(row))
+            row, term = row[term >= 0], term[term >= 0]
+            pair, tf = np.unique(row * max(1, len(idf)) + term, return_counts=True)
+            row, term = pair // max(1, len(idf)), pair % max(1, len(idf))
+            v = ((1.0 + np.log(tf)) if model["sublinear"] else tf) * idf[term]
+            s = np.bincount(row, weight[term] * v, len(lists))
+            q = np.bincount(row, v * v, len(lists))
+            logit = np.round(s / np.sqrt(np.where(q > 0, q, 1.0)) + model["bias"], DECIMALS)
+            return 1.0 / (1.0 + np.exp(-logit))
 
         return predict
     return make
@@ -72,5 +76,4 @@ class BatchUdfScorer:
     def score(self, df: DataFrame, text_col: str = "prompt", id_col: str = "prompt_id",
               partitioned: bool = False) -> DataFrame:
         p = self.udf(F.col(text_col))
-        return df.withColumn("prob_harmful", p).withColumn(
-            "logit", F.log(F.col("prob_harmful") / (F.lit(1.0) - F.col("prob_harmful"))))
+        return df.withColumn("prob_harmful", p).withColumn("logit", logit_of("prob_harmful"))

@@ -16,9 +16,10 @@ from promptscreen.constants import (CASES_PER_FIGURE, EXCLUDED_TOKENS, MIN_TOKEN
                                     N_SAMPLES_PER_CASE, SPECIAL_TOKENS, TOKENS_PER_ROW,
                                     TOP_K_TOKENS, TOP_N)
 from promptscreen.functions.scalar import face_color, sigmoid
-from promptscreen.functions.text import tokens
+from promptscreen.functions.text import tokens, with_prefix
 from promptscreen.operators import sampling
 from promptscreen.operators import tfidf as T
+from promptscreen.session import ensure_checkpoint_dir
 
 
 def attribution(scorer, df: DataFrame, target: str = "logit", text_col: str = "prompt",
@@ -38,8 +39,11 @@ def attribution(scorer, df: DataFrame, target: str = "logit", text_col: str = "p
 
 
 def position_scores(scorer, df: DataFrame, text_col: str = "prompt",
-                    id_col: str = "prompt_id", partitioned: bool = False) -> DataFrame:
-    """``(id, pos, token, score)`` for every word token of the text.
+                    id_col: str = "prompt_id", partitioned: bool = False,
+                    target: str = "logit", include_prefix: bool = False) -> DataFrame:
+    """``(id, pos, token, score)`` for every word token of the text (F15), for
+    the logit or the probability; with ``include_prefix`` the words of the
+    scorer's instruction prefix count as tokens too, as the model sees them.
 
     ``score`` = unigram attribution / tf of that unigram; 0 for tokens that
     are stop words or out of the vocabulary. Positions and attributions are
@@ -47,10 +51,12 @@ def position_scores(scorer, df: DataFrame, text_col: str = "prompt",
     the session lets joins co-partition on a subset of their keys.
     """
     base = (df if partitioned else T.by_id(df, id_col)).select(id_col, text_col)
-    a = attribution(scorer, base, "logit", text_col, id_col, partitioned=True)
+    a = attribution(scorer, base, target, text_col, id_col, partitioned=True)
     uni = a.filter(~F.col("term").contains(" ")).select(
         id_col, F.col("term").alias("token"), (F.col("attribution") / F.col("tf")).alias("_s"))
-    pos = base.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
+    prefix = scorer.spec.prefix if include_prefix else None
+    seen = tokens(with_prefix(text_col, prefix) if prefix else text_col)
+    pos = base.select(id_col, F.posexplode(seen).alias("pos", "token"))
     j = pos.join(uni, [id_col, "token"], "left")
     return j.select(id_col, "pos", "token", F.coalesce(F.col("_s"), F.lit(0.0)).alias("score"))
 
@@ -115,15 +121,18 @@ def normalized(pos_scores: DataFrame, id_col: str = "prompt_id") -> DataFrame:
 def error_cases(results: DataFrame, attacks: DataFrame | None = None,
                 pred_col: str = "predicted_label") -> DataFrame:
     """FP and FN rows of a result table, plus benign prompts an attack pushed to
-    harmful (P12). Columns: ``case_type, prompt_id, prompt, label``."""
+    harmful (P12). Columns: ``case_type, prompt_id, prompt, label, token_rank``
+    (the flipped position of an attack row, null otherwise): a prompt flipped
+    at two positions is two cases."""
     y, p = F.col("label"), F.col(pred_col)
     case = F.when((y == 0) & (p == 1), F.lit("FP")).when((y == 1) & (p == 0), F.lit("FN"))
-    out = results.select(case.alias("case_type"), "prompt_id", "prompt", "label").filter(
-        F.col("case_type").isNotNull())
+    none = F.lit(None).cast("int")
+    out = results.select(case.alias("case_type"), "prompt_id", "prompt", "label",
+                         none.alias("token_rank")).filter(F.col("case_type").isNotNull())
     if attacks is not None:
         adv = attacks.filter((F.col("label") == 0) & (F.col("new_predicted_label") == 1)).select(
             F.lit("ADV_BEN_FP").alias("case_type"), "prompt_id",
-            F.col("original_prompt").alias("prompt"), "label")
+            F.col("original_prompt").alias("prompt"), "label", "token_rank")
         out = out.unionByName(adv)
     return out
 
@@ -137,7 +146,14 @@ def case_layout(scorer, cases: DataFrame, n_per_case: int = N_SAMPLES_PER_CASE,
     each token gets row/column, its normalised score and color, and the case
     its title ``TYPE #n [VERDICT] P(harmful)=... P(benign)=...`` (W8, W9, F13, F14).
     """
-    keyed = cases.withColumn("_case_id", F.concat_ws(":", "case_type", F.col("prompt_id").cast("string")))
+    if "token_rank" not in cases.columns:
+        cases = cases.withColumn("token_rank", F.lit(None).cast("int"))
+    # nulls are left out of the id: FP and FN cases are named by type and prompt
+    keyed = cases.withColumn("_case_id", F.concat_ws(
+        ":", "case_type", F.col("prompt_id").cast("string"), F.col("token_rank").cast("string")))
+    # cases come from scored (and attacked) prompts: sampling reads them three times
+    ensure_checkpoint_dir(keyed.sparkSession)
+    keyed = keyed.checkpoint(eager=True)
     picked = sampling.sample_n(keyed, n_per_case, id_col="_case_id", salt="cases", by=["case_type"])
     w = Window.partitionBy("case_type").orderBy(sampling.order_key("_case_id", "cases"), "_case_id")
     picked = T.by_id(picked.withColumn("case_no", F.row_number().over(w)), "_case_id")

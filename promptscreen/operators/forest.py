@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptscreen.constants import FOREST_DEPTH, FOREST_TREES, SEED, TOP_N
+from promptscreen.functions.scalar import logit_of
 from promptscreen.operators import linear
 from promptscreen.operators import tfidf as T
 
 
-@F.udf(VectorUDT())
+@F.udf(VectorUDT(), useArrow=True)
 def _sparse(size, entries):
     if not entries:
         return SparseVector(size, [], [])
@@ -55,8 +56,7 @@ class ForestScorer:
         v = self.featurize(df, text_col, id_col, partitioned)
         out = self.model.transform(v)
         p = vector_to_array(F.col("probability"))[1]
-        return (out.withColumn("prob_harmful", p)
-                .withColumn("logit", F.log(F.col("prob_harmful") / (F.lit(1.0) - F.col("prob_harmful"))))
+        return (out.withColumn("prob_harmful", p).withColumn("logit", logit_of("prob_harmful"))
                 .drop("features", "rawPrediction", "probability", "prediction"))
 
     def save(self, path: str) -> None:

@@ -111,6 +111,8 @@ def fit_logodds(train: DataFrame, spec: T.TfidfSpec | None = None, alpha: float
     a = F.lit(float(alpha))
     w = (F.log((F.col("df_h") + a * n_h / n) / n_h)
          - F.log((F.col("df_b") + a * n_b / n) / n_b))
+    w = F.when((n_h > 0) & (n_b > 0), w).otherwise(
+        F.raise_error(F.lit("fit_logodds needs training rows of both classes")).cast("double"))
     return LinearScorer(spec, vocab.withColumn("weight", w), 0.0)
 
 

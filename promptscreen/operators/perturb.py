@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptscreen.constants import MAX_SYNONYMS, THRESHOLD, TOP_K_TOKENS
-from promptscreen.functions.scalar import content_key, decide
+from promptscreen.functions.scalar import content_id, decide
 from promptscreen.functions.text import lemma_name, rebuild_text, replace_first
 from promptscreen.operators import explain
 from promptscreen.operators.joins import bounded_broadcast
@@ -109,7 +109,7 @@ def as_training_rows(attacks: DataFrame, prompt_col: str = "perturbed_prompt",
     dt = F.lit(data_type) if data_type else F.col("data_type")
     rows = attacks.select(F.col(prompt_col).alias("prompt"), dt.alias("data_type"), "label",
                           F.col("prompt_id").alias("_src"), F.col("token_rank").alias("_tr"))
-    return rows.withColumn("prompt_id", content_key("prompt", "data_type", "label", "_src", "_tr")
+    return rows.withColumn("prompt_id", content_id("prompt", "data_type", "label", "_src", "_tr")
                            ).select("prompt_id", "prompt", "data_type", "label")
 
 
@@ -253,5 +253,5 @@ def greedy_training_rows(results: DataFrame) -> DataFrame:
     rows = ok.select(F.col("perturbed_text").alias("prompt"),
                      F.lit(RF_AUGMENTED_TYPE).alias("data_type"),
                      F.col("ground_truth_output").alias("label"), F.col("prompt_id").alias("_src"))
-    return rows.withColumn("prompt_id", content_key("prompt", "data_type", "label", "_src")).select(
+    return rows.withColumn("prompt_id", content_id("prompt", "data_type", "label", "_src")).select(
         "prompt_id", "prompt", "data_type", "label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptscreen.functions.scalar import content_key
@@ -45,23 +45,24 @@ def prepare_prompts(raw: DataFrame) -> DataFrame:
     return out.select("prompt_id", "prompt", "data_type", "label")
 
 
+#: Copies of one row that one task numbers.
+COPY_CHUNK = 100_000
+
+
 def assign_prompt_id(df: DataFrame, cols=("prompt", "data_type", "label")) -> DataFrame:
     """Give keyless rows a stable identity from their content.
 
-    Equal rows share a content key; ``dup_no`` numbers the copies. Copies of
-    one text can be a large share of a table, so they are numbered inside each
-    input partition first and offset by the counts of earlier partitions: no
-    task ever holds more than one input partition of a hot key.
+    Equal rows share a ``content_key``; ``dup_no`` numbers the copies from 1.
+    Rows are counted per content (a hot text is combined before the shuffle),
+    and the counts are written out again as chunks of copies that are dealt
+    anew, so nothing depends on how the input is partitioned. Only ``cols``
+    are kept: other columns could not be told apart between copies.
     """
-    keyed = df.withColumn("content_key", content_key(*cols)).withColumn(
-        "_pid", F.spark_partition_id())
-    per_part = keyed.groupBy("content_key", "_pid").agg(F.count("*").alias("_n"))
-    w_off = Window.partitionBy("content_key").orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
-    w_local = Window.partitionBy("content_key", "_pid").orderBy(*cols)
-    numbered = keyed.withColumn("_local", F.row_number().over(w_local))
-    out = numbered.join(offsets, ["content_key", "_pid"]).withColumn(
-        "dup_no", (F.col("_off") + F.col("_local")).cast("int"))
-    out = out.withColumn("prompt_id", content_key(*cols, "dup_no"))
-    return out.drop("_pid", "_n", "_off", "_local")
+    counts = df.groupBy(*cols).agg(F.count("*").alias("_n"))
+    last = F.floor((F.col("_n") - 1) / COPY_CHUNK).cast("bigint")
+    chunks = counts.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    chunks = chunks.withColumn("content_key", content_key(*cols)).repartition("content_key", "_c")
+    begin = F.col("_c") * COPY_CHUNK
+    end = F.least(F.col("_n"), begin + COPY_CHUNK)
+    out = chunks.withColumn("dup_no", F.explode(F.sequence(begin + 1, end)))
+    return out.withColumn("prompt_id", content_key(*cols, "dup_no")).drop("_n", "_c")

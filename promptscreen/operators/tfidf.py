@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptscreen.constants import MAX_FEATURES, NGRAM_MAX, STOP_WORDS
-from promptscreen.functions.text import ngrams, remove_stop_words, tokens, truncate_tokens
+from promptscreen.functions.text import ngrams, remove_stop_words, tokens, truncate_tokens, with_prefix
 
 
 @dataclass(frozen=True)
@@ -32,10 +32,11 @@ class TfidfSpec:
     stop_words: tuple = field(default_factory=lambda: tuple(STOP_WORDS))
     sublinear_tf: bool = True
     max_tokens: int | None = None   # None: whole text
+    prefix: str | None = None       # instruction in front of the text
 
 
 def terms_column(text_col: str, spec: TfidfSpec):
-    toks = tokens(text_col)
+    toks = tokens(with_prefix(text_col, spec.prefix) if spec.prefix else text_col)
     if spec.max_tokens:
         toks = truncate_tokens(toks, spec.max_tokens)
     return ngrams(remove_stop_words(toks, spec.stop_words), spec.ngram_max)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptscreen.plans import (q_cascade, q_explain, q_greedy, q_io, q_ml,  # noqa: F401
+from promptscreen.plans import (q_cascade, q_checks, q_explain, q_greedy, q_io, q_ml,  # noqa: F401
                                 q_model, q_prepare)
 from promptscreen.plans.registry import ORACLE, QUERIES
 

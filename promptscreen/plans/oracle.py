@@ -10,13 +10,23 @@ from __future__ import annotations
 from promptscreen.constants import MAX_FEATURES, SEED, STOP_WORDS
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 
 
 def okey(salt: str, col: str = "prompt_id") -> str:
     return f"md5('{SEED}|{salt}|' || CAST({col} AS VARCHAR))"
 
 
+def content_key(*exprs: str) -> str:
+    """128-bit content key of some expressions: parts with their lengths, null marked."""
+    parts = ", ".join(f"coalesce(strlen(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), 'n')" for e in exprs)
+    return f"md5(concat_ws('|', {parts}))"
+
+
+def content_id(*exprs: str) -> str:
+    return f"CAST(('0x' || substr({content_key(*exprs)}, 1, 15)) AS BIGINT)"
+
+
 BASE = {
     "raw": """
 raw AS (
@@ -100,20 +110,22 @@ def terms_expr(text: str, ngram_max: int, max_tokens: int | None = None) -> str:
             f"lambda i: t[i] || ' ' || t[i + 1])) FROM (SELECT {toks} AS t))")
 
 
-def dterms(name: str, source: str, ngram_max: int, keep: str = "") -> str:
+def dterms(name: str, source: str, ngram_max: int, keep: str = "", text: str = "prompt",
+           max_tokens: int | None = None) -> str:
     """(prompt_id, [keep,] term, tf) for the rows of ``source``."""
     k = f"{keep}, " if keep else ""
     return f"""
 {name} AS (
   SELECT prompt_id, {k}term, count(*) AS tf
-  FROM (SELECT prompt_id, {k}unnest({terms_expr('prompt', ngram_max)}) AS term FROM {source})
+  FROM (SELECT prompt_id, {k}unnest({terms_expr(text, ngram_max, max_tokens)}) AS term FROM {source})
   GROUP BY ALL)"""
 
 
 def model_ctes(p: str, source: str = "train", ngram_max: int = 2, alpha: float = 1.0,
-               max_features: int = MAX_FEATURES) -> str:
+               max_features: int = MAX_FEATURES, text: str = "prompt",
+               max_tokens: int | None = None) -> str:
     """Vocabulary ``{p}_vocab`` and log-odds weights ``{p}_w`` fitted on ``source``."""
-    return dterms(f"{p}_dt", source, ngram_max, "label") + f""",
+    return dterms(f"{p}_dt", source, ngram_max, "label", text, max_tokens) + f""",
 {p}_stats AS (
   SELECT term, sum(tf) AS cnt, count(*) AS df,
          count_if(label = 1) AS df_h, count_if(label = 0) AS df_b
@@ -131,9 +143,10 @@ def model_ctes(p: str, source: str = "train", ngram_max: int = 2, alpha: float =
   FROM {p}_vocab v, {p}_n c)"""
 
 
-def tfidf_ctes(p: str, model: str, source: str, ngram_max: int = 2) -> str:
+def tfidf_ctes(p: str, model: str, source: str, ngram_max: int = 2, text: str = "prompt",
+               max_tokens: int | None = None) -> str:
     """``{p}_x``: (prompt_id, idx, term, tf, x) for ``source`` under ``model``'s vocabulary."""
-    return dterms(f"{p}_dt", source, ngram_max) + f""",
+    return dterms(f"{p}_dt", source, ngram_max, "", text, max_tokens) + f""",
 {p}_v AS (
   SELECT d.prompt_id, v.idx, d.term, d.tf, (1 + ln(d.tf)) * v.idf AS v
   FROM {p}_dt d JOIN {model}_vocab v ON d.term = v.term),
@@ -142,9 +155,10 @@ def tfidf_ctes(p: str, model: str, source: str, ngram_max: int = 2) -> str:
   FROM {p}_v)"""
 
 
-def score_ctes(p: str, model: str, source: str, ngram_max: int = 2) -> str:
+def score_ctes(p: str, model: str, source: str, ngram_max: int = 2, text: str = "prompt",
+               max_tokens: int | None = None) -> str:
     """``{p}_scored``: rows of ``source`` + logit + prob_harmful."""
-    return tfidf_ctes(p, model, source, ngram_max) + f""",
+    return tfidf_ctes(p, model, source, ngram_max, text, max_tokens) + f""",
 {p}_c AS (
   SELECT x.prompt_id, x.term, x.idx, x.tf, x.x, w.weight AS coef, w.weight * x.x AS contribution
   FROM {p}_x x JOIN {model}_w w ON x.term = w.term),

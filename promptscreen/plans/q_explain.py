@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from promptscreen.constants import EXCLUDED_TOKENS
 from promptscreen.functions.scalar import decide
 from promptscreen.operators import explain, linear, metrics, perturb, sampling
-from promptscreen.plans.oracle import (STD_MODELS, TOKEN_RE, model_ctes, okey, score_ctes,
+from promptscreen.plans.oracle import (STD_MODELS, TOKEN_RE, content_id, model_ctes, okey, score_ctes,
                                        with_ctes)
 from promptscreen.plans.q_model import _COUNTS
 from promptscreen.plans.registry import fin, query
@@ -186,8 +186,7 @@ def a8_success_rates(spark, sf_dir):
 
 _AUG_ROWS = """,
 aug_rows AS (
-  SELECT CAST(('0x' || substr(md5(concat_ws('|', perturbed_prompt, data_type, CAST(label AS VARCHAR),
-              CAST(prompt_id AS VARCHAR), CAST(token_rank AS VARCHAR))), 1, 15)) AS BIGINT) AS prompt_id,
+  SELECT """ + content_id("perturbed_prompt", "data_type", "label", "prompt_id", "token_rank") + """ AS prompt_id,
          perturbed_prompt AS prompt, data_type, label FROM attacks),
 aug AS (SELECT * FROM train UNION ALL SELECT * FROM aug_rows)"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptscreen.operators import perturb
-from promptscreen.plans.oracle import STD_MODELS, STOP_SQL, TOKEN_RE, score_ctes, with_ctes
+from promptscreen.plans.oracle import STD_MODELS, STOP_SQL, TOKEN_RE, content_id, score_ctes, with_ctes
 from promptscreen.plans.q_explain import _ATTACK, _AUG_ROWS, _lex_sql
 from promptscreen.plans.registry import fin, query
 from promptscreen.plans.workflow import Workflow
@@ -108,8 +108,7 @@ def a8_greedy_success_rate(spark, sf_dir):
                                     _GREEDY.replace(STD_MODELS + ",", "", 1)) + """
 SELECT * FROM aug
 UNION ALL
-SELECT CAST(('0x' || substr(md5(concat_ws('|', perturbed_text, 'adversarial_benign_augmented',
-            CAST(ground_truth_output AS VARCHAR), CAST(prompt_id AS VARCHAR))), 1, 15)) AS BIGINT),
+SELECT """ + content_id("perturbed_text", "'adversarial_benign_augmented'", "ground_truth_output", "prompt_id") + """,
        perturbed_text, 'adversarial_benign_augmented', ground_truth_output
 FROM greedy WHERE result_type = 'Successful'""")
 def u3_augment_both(spark, sf_dir):

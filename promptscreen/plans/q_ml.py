@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptscreen.functions.scalar import decide
-from promptscreen.operators import cascade, forest, linear, metrics
+from promptscreen.operators import cascade, forest, linear, metrics, perturb
 from promptscreen.plans.oracle import STD_MODELS, tfidf_ctes, with_ctes
 from promptscreen.plans.q_model import _COUNTS, _PRF
 from promptscreen.plans.registry import fin, query
 from promptscreen.plans.workflow import Workflow
 
 ALPHAS = [0.25, 0.5, 1.0, 2.0, 4.0]
-# Registered forest size; the API default is 200 trees of depth 10.
-Q_TREES, Q_DEPTH = 50, 5
 
 _CANDS = "cands(candidate, alpha) AS (VALUES " + ", ".join(
     f"({i}, CAST({a} AS DOUBLE))" for i, a in enumerate(ALPHAS)) + ")"
@@ -66,7 +64,7 @@ def m6_logreg_train(spark, sf_dir):
 
 
 def _forest(wf: Workflow):
-    return forest.fit_forest(wf.train, wf.model_spec, Q_TREES, Q_DEPTH, vocab=wf.model.vocab)
+    return wf.forest
 
 
 @query("m3_forest_train")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptscreen.operators import prepare, sampling
-from promptscreen.plans.oracle import okey, with_ctes
+from promptscreen.plans.oracle import content_key, okey, with_ctes
 from promptscreen.plans.registry import fin, query
 from promptscreen.plans.workflow import SAMPLE_N, Workflow
 
@@ -54,9 +54,10 @@ def a1_stratum_shares(spark, sf_dir):
     return fin(sampling.stratum_shares(p, ["label", "data_type"], ["label"]))
 
 
-_QUOTAS = _SHARES.replace("FROM prompts GROUP BY", "FROM prompts WHERE data_type IS NOT NULL GROUP BY") + f""",
+def quotas_sql(n: dict) -> str:
+    return _SHARES.replace("FROM prompts GROUP BY", "FROM prompts WHERE data_type IS NOT NULL GROUP BY") + f""",
 qn AS (
-  SELECT *, CASE label WHEN 1 THEN {SAMPLE_N[1]} WHEN 0 THEN {SAMPLE_N[0]} END AS n_class,
+  SELECT *, CASE label WHEN 1 THEN {n[1]} WHEN 0 THEN {n[0]} END AS n_class,
          row_number() OVER (PARTITION BY label ORDER BY n DESC, data_type) AS pos,
          count(*) OVER (PARTITION BY label) AS k
   FROM shares),
@@ -72,6 +73,9 @@ quotas AS (
   FROM qa)"""
 
 
+_QUOTAS = quotas_sql(SAMPLE_N)
+
+
 @query("a2_quotas", with_ctes(["prompts"], _QUOTAS) + """
 SELECT label, data_type, n, round(share, 6) AS share, quota FROM quotas""")
 def a2_quotas(spark, sf_dir):
@@ -144,11 +148,9 @@ def p7_target_type(spark, sf_dir):
 
 @query("p19_prompt_id", with_ctes(["prompts"]) + """
 SELECT prompt, data_type, label, content_key, dup_no,
-       CAST(('0x' || substr(md5(concat_ws('|', prompt, coalesce(data_type, ''), CAST(label AS VARCHAR),
-             CAST(dup_no AS VARCHAR))), 1, 15)) AS BIGINT) AS prompt_id
+       """ + content_key("prompt", "data_type", "label", "dup_no") + """ AS prompt_id
 FROM (SELECT prompt, data_type, label,
-             CAST(('0x' || substr(md5(concat_ws('|', prompt, coalesce(data_type, ''),
-                   CAST(label AS VARCHAR))), 1, 15)) AS BIGINT) AS content_key,
+             """ + content_key("prompt", "data_type", "label") + """ AS content_key,
              row_number() OVER (PARTITION BY prompt, data_type, label) AS dup_no
       FROM prompts)""")
 def p19_prompt_id(spark, sf_dir):

@@ -11,10 +11,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptscreen.constants import N_BENIGN, N_HARMFUL
 from promptscreen.operators import linear, prepare, sampling
 from promptscreen.operators import tfidf as T
 from promptscreen.session import ensure_checkpoint_dir
-from promptscreen.sources import fixture
+from promptscreen.sources import fixture, io
 
 GATE_SPEC = T.TfidfSpec(ngram_max=1)     # cheap stage-1 gate: unigrams
 MODEL_SPEC = T.TfidfSpec(ngram_max=2)    # stage-2 model: 1-2 grams
@@ -59,8 +60,12 @@ class Workflow:
     @cached_property
     def split(self) -> DataFrame:
         split = sampling.stratified_split(self.prompts)
-        # Train, validation and test all read the split: write it once.
-        return split.checkpoint(eager=True) if self.materialize else split
+        if not self.materialize:
+            return split
+        # Train, validation and test each read their own folder of one Parquet table.
+        path = io.scratch_dir(self.spark, "split")
+        io.write_splits(split, path)
+        return io.read_splits(self.spark, path).select(*split.columns)
 
     def part(self, name: str) -> DataFrame:
         return self.split.filter(F.col("split") == name).drop("split")
@@ -106,6 +111,17 @@ class Workflow:
         self._fit_both()
         return self.__dict__["gate"]
 
+    @cached_property
+    def forest(self):
+        """The forest gate (200 trees of depth 10), fitted once on the training split."""
+        from promptscreen.operators import forest
+        return forest.fit_forest(self.train, self.model_spec, vocab=self.model.vocab)
+
+    @cached_property
+    def sampled(self) -> DataFrame:
+        """The reference's order of work: sample per class, then split the sample."""
+        return sampling.stratified_split(sampling.stratified_sample(self.prompts, {1: N_HARMFUL, 0: N_BENIGN}))
+
     @cached_property
     def requests(self) -> DataFrame:
         return fixture.requests(self.spark, self.sf_dir)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,6 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at shared storage "
             "(HDFS/S3/ABFS) so checkpoints survive lost executors")
-    path = tempfile.mkdtemp(prefix="promptscreen-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    path = tempfile.mkdtemp(prefix="promptscreen-ckpt-")     # local runs only; removed when they end
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path

@@ -17,7 +17,8 @@ from promptscreen.operators import tfidf as T
 from promptscreen.session import ensure_checkpoint_dir
 
 RAW_COLUMNS = ("data_type", "vanilla", "adversarial")
-# Strings a CSV reader commonly treats as missing (opt-in normalisation).
+# Strings a CSV reader commonly treats as missing (read_split_csv normalises them by default, as
+# the reference does; such prompts are dropped).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
@@ -31,15 +32,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/promptscreen-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "tsv",
-             extra: tuple = ("prompt_id",)) -> DataFrame:
-    """Raw labelled prompts (S1). Columns come from the header, all as text,
-    so a file without ``vanilla`` simply lacks it (filled by ``union_raw``)."""
+def read_raw(spark: SparkSession, path: str, fmt: str = "tsv", extra: tuple = ("prompt_id",),
+             columns: tuple | None = None) -> DataFrame:
+    """Raw labelled prompts (S1). With ``columns`` the file's columns are fixed
+    (all text), and a file whose header says otherwise fails; use it for folders
+    of several files. Without, they come from the header of a single file, so a
+    file without ``vanilla`` simply lacks it (filled by ``union_raw``)."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         sep = "\t" if fmt == "tsv" else ","
-        df = spark.read.options(**CSV_OPTIONS).option("sep", sep).csv(path)
+        reader = spark.read.options(**CSV_OPTIONS).option("sep", sep)
+        if columns is not None:
+            reader = reader.schema(", ".join(f"`{c}` string" for c in columns)).option("enforceSchema", "false")
+        df = reader.csv(path)
     keep = [c for c in (*extra, *RAW_COLUMNS) if c in df.columns]
     out = df.select(*keep)
     if "prompt_id" in out.columns:

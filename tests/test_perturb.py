@@ -47,7 +47,8 @@ def test_reference_default_target_runs(spark):
     wf = Workflow.get(spark, SF01)
     tgt = wf.test.filter(F.col("data_type") == "adversarial_benign")
     a = perturb.synonym_flips(wf.model, tgt, wf.synonyms, require_correct=True)
-    assert a.count() >= 0
+    assert tgt.count() > 0 and a.filter("original_predicted_label <> label").count() == 0
+    assert {r.prompt_id for r in a.collect()} <= {r.prompt_id for r in tgt.collect()}
     aug = perturb.augment(wf.train, perturb.as_training_rows(a))
     assert aug.count() == wf.train.count() + a.count()
 
