@@ -7,17 +7,18 @@ when ``100 * |intersection| >= 75 * |union|``.
 Method: texts with the same words form one class, and only class
 representatives are compared. Shingles get one global order, rare before
 frequent by a bounded count sketch. Two linked sets must share a shingle among
-the first quarter of the larger and the first seventh of the smaller (the
-pigeonhole bound of the threshold), so the join's tiles are: one such shingle
-and one band of sizes. Inside a tile, hashed bitmap signatures are compared by
+the first quarter of each (the pigeonhole bound of the threshold), so the
+join's tiles are: one such shingle and one band of sizes. Inside a tile, hashed bitmap signatures are compared by
 bit counts, which bound the overlap from above; pairs that pass get the exact
 intersection of their sorted shingle arrays.
 
 Only components are wanted, so a tile does not compare all its pairs. First
-each class is compared with one partner (the smallest member of its tiles);
-after joining what links, tiles are gone through again, where only members of
-*different* components are still compared. Nothing is capped: every pair that
-could still join two components is tested. Components come from min-label
+each class is compared with one partner (the member that leads most of its
+tiles), and what links is joined. Then tiles that still hold different
+components are gone through: each class outside the tile's main component is
+compared with the member most like it by bitmap. Last, all pairs of members of
+*different* components that the bitmaps allow are compared. Nothing is capped:
+every pair that could still join two components is tested. Components come from min-label
 propagation with pointer jumping, as Spark joins.
 """
 
@@ -41,6 +42,11 @@ BAND = np.log(4 / 3)        # sizes of linked sets differ by this factor at most
 
 
 # ------------------------------------------------------------------ shingles ----
+def class_number(words: bytes) -> int:
+    """64-bit number of a text's words, joined by single spaces."""
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+
 def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Sorted distinct shingle hashes of all texts, the offsets of each text,
     and a 64-bit class number of each text's word sequence."""
@@ -54,25 +60,19 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray, list[int]]:
         else:
             s = ngrams(h[a:b], n) if n else np.zeros(0, np.uint64)
         parts.append(s)
-        raw = w.raw[w.start[a]:w.end[b - 1]] if n else b""
-        classes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
+        classes.append(class_number(w.raw[w.start[a]:w.end[b - 1]] if n else b""))
     off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), off, classes
 
 
 def prefix_length(n):
-    """Shingles of the larger set among which a common one must be."""
+    """How many of a set's first shingles must hold one of any linked set's."""
     return n - (3 * n + 3) // 4 + 1
 
 
-def index_length(n):
-    """The same for the smaller set."""
-    return n - (6 * n + 6) // 7 + 1
-
-
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Signature of at least two bits per shingle, a power of two long."""
-    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    """Signature of four to eight bits per shingle, a power of two long."""
+    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -119,7 +119,7 @@ def _postings(sketch, batches):
     seen, shift, freq = set(), np.uint64(64 - SKETCH_BITS), sketch.value
     for rb in text_chunks(batches, "t"):
         s, off, classes = shingle_sets(column(rb, "t").to_pylist())
-        keys, cls, size, first = [], [], [], []
+        keys, cls, size = [], [], []
         for i, c in enumerate(classes):
             n = int(off[i + 1] - off[i])
             if c in seen or not n:
@@ -130,10 +130,9 @@ def _postings(sketch, batches):
             f = freq[(x >> shift).astype(np.int64)]
             order = np.lexsort((x, f))[:p]
             keys.append(x[order]), cls.append(np.full(p, c)), size.append(np.full(p, n))
-            first.append(np.arange(p) < index_length(n))
         if keys:
             yield batch(key=pa.array(np.concatenate(keys).view(np.int64)), cls=pa.array(np.concatenate(cls), pa.int64()),
-                        n=pa.array(np.concatenate(size).astype(np.int32)), idx=pa.array(np.concatenate(first)))
+                        n=pa.array(np.concatenate(size).astype(np.int32)))
 
 
 def _shared(batches):
@@ -142,7 +141,7 @@ def _shared(batches):
     tail = None
 
     for rb in batches:
-        cols = [column(rb, "key").to_numpy(), column(rb, "cls").to_numpy(), column(rb, "n").to_numpy(), column(rb, "idx").to_numpy(zero_copy_only=False)]
+        cols = [column(rb, "key").to_numpy(), column(rb, "cls").to_numpy(), column(rb, "n").to_numpy()]
         if tail is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(tail, cols, strict=True)]
         if not len(cols[0]):
@@ -157,18 +156,18 @@ def _shared(batches):
 
 def _runs(cols):
     """Complete runs of keys, as :func:`_shared` wants them."""
-    key, cls, n, idx = cols
+    key, cls, n = cols
     keep = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    key, cls, n, idx = key[keep], cls[keep], n[keep], idx[keep]
+    key, cls, n = key[keep], cls[keep], n[keep]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     many = np.repeat(size > 1, size)
     if many.any():
-        key, cls, n, idx = key[many], cls[many], n[many], idx[many]
+        key, cls, n = key[many], cls[many], n[many]
         band = np.floor(np.log(n) / BAND).astype(np.int64)
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
         lead = cls[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        yield batch(key=pa.array(key), cls=pa.array(cls), n=pa.array(n), idx=pa.array(idx), lead=pa.array(lead))
+        yield batch(key=pa.array(key), cls=pa.array(cls), n=pa.array(n), lead=pa.array(lead))
 
 
 # --------------------------------------------------------------- components ----
@@ -189,13 +188,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
-        large = store(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         small = store(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
-        discard(edges, large)
+        discard(edges)
         edges, before = small, now
         now = mark(edges)
         if now == before:
@@ -214,13 +212,17 @@ def _bound(batches):
 
 
 def _exact(batches):
-    """Keep pairs whose shingle arrays overlap enough."""
+    """Keep pairs whose sorted shingle arrays overlap enough."""
     for rb in batches:
         ok = []
-        for x, y in zip(column(rb, "x"), column(rb, "y"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            near = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            ok.append(enough(int((y[near] == x).sum()), len(x), len(y)))
+        for at in range(0, rb.num_rows, 128):
+            part = rb.slice(at, 128)
+            s, off, _ = shingle_sets(column(part, "x").to_pylist() + column(part, "y").to_pylist())
+            n = part.num_rows
+            for i in range(n):
+                x, y = s[off[i]:off[i + 1]], s[off[n + i]:off[n + i + 1]]
+                near = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                ok.append(enough(int((y[near] == x).sum()), len(x), len(y)))
         yield rb.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -236,96 +238,122 @@ def _slot(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _arrays(shared, batches):
-    """Class and shingle array of the texts whose id may be wanted."""
+def _wanted(shared, batches):
+    """Class and text of the rows whose id may be wanted."""
     bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
     seen = set()
     for rb in batches:
         ids = column(rb, "i")
-        wanted = np.asarray(ids.is_null()) | bits[_slot(ids.fill_null(0).to_numpy(zero_copy_only=False))]
-        for part in text_chunks([rb.filter(pa.array(wanted))], "t"):
-            s, off, classes = shingle_sets(column(part, "t").to_pylist())
-            rows = []
-            for i, c in enumerate(classes):
-                if c not in seen:
-                    seen.add(c)
-                    rows.append((c, s[off[i]:off[i + 1]].tobytes()))
-            yield batch(cls=pa.array([r[0] for r in rows], pa.int64()), s=pa.array([r[1] for r in rows], pa.binary()))
-
-
-def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of classes ``(a, b)`` that link. The arrays of the classes in
-    question are made anew from the texts of their representatives."""
-    pairs = store(pairs.distinct(), "pairs")
+        may = np.asarray(ids.is_null()) | bits[_slot(ids.fill_null(0).to_numpy(zero_copy_only=False))]
+        rows = []
+        for t in column(rb.filter(pa.array(may)), "t").to_pylist():
+            if (c := class_number(b" ".join(split_words(t)))) not in seen:
+                seen.add(c)
+                rows.append((c, t))
+        yield batch(cls=pa.array([r[0] for r in rows], pa.int64()), t=pa.array([r[1] for r in rows], pa.string()))
+
+
+def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """The pairs of classes ``(a, b)`` that link, and how many were tested.
+    Texts of the representatives travel (they compress, arrays do not)."""
+    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     need = store(need.join(classes.select("cls", "doc"), "cls"), "needed")
     bits = total_vectors(need.filter("doc is not null").select("doc").mapInArrow(_members, "bits binary"), "bits", np.uint8,
                          (1 << FILTER_BITS) // 8, add=np.bitwise_or)
     shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
-    found = texts.mapInArrow(partial(_arrays, shared), "cls long, s binary")
-    arrays = store(found.join(need.select("cls"), "cls").dropDuplicates(["cls"]), "arrays")
-    joined = (pairs.join(arrays.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
-              .join(arrays.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a"))
+    found = texts.mapInArrow(partial(_wanted, shared), "cls long, t string")
+    held = store(found.join(need.select("cls"), "cls").dropDuplicates(["cls"]), "texts")
+    joined = (pairs.join(held.select(F.col("cls").alias("b"), F.col("t").alias("y")), "b")
+              .join(held.select(F.col("cls").alias("a"), F.col("t").alias("x")), "a"))
     out = store(joined.select("a", "b", "x", "y").mapInArrow(_exact, "a long, b long"), "linked")
-    discard(pairs, need, arrays)
-    return out
+    tested = pairs.count()
+    discard(pairs, need, held)
+    return out, tested
 
 
 # ------------------------------------------------------------------- tiles ----
 TILE = 2048                 # members of a tile; larger ones are cut into pairs of blocks
 
 
-def _tile_pairs(batches):
+def _tile_pairs(best_only, batches):
     """Rows sorted by (tile, key): within a tile, pairs of different components
-    that the sizes, the prefixes and the bitmaps allow."""
+    that the sizes, the prefixes and the bitmaps allow, with the bound of their
+    overlap; with ``best_only`` the smallest and the most similar partner of each
+    member only."""
     held: list = []
     current = None
     for rb in batches:
-        cols = [column(rb, c).to_pylist() for c in ("tile", "key", "cls", "n", "idx", "comp", "bits")]
+        cols = [column(rb, c).to_pylist() for c in ("tile", "key", "cls", "n", "comp", "bits")]
         for tile, key, *row in zip(*cols, strict=True):
             if (tile, key) != current:
-                yield from _compare(held)
+                yield from _compare(held, best_only)
                 held, current = [], (tile, key)
             held.append(row)
-    yield from _compare(held)
+    yield from _compare(held, best_only)
 
 
-def _compare(rows):
-    """Pairs of one tile. Members of the most frequent component are not
+def _compare(rows, best_only):
+    """Pairs of one tile. Members of its most frequent component are not
     compared with each other."""
     if len(rows) < 2:
         return
-    rows.sort(key=lambda r: (r[1], r[0]))
-    cls, n, idx, comp = (np.array([r[k] for r in rows]) for k in range(4))
+    cls, n, comp = (np.array([r[k] for r in rows]) for k in range(3))
     values, counts = np.unique(comp, return_counts=True)
     if len(values) < 2:
         return
     major = values[np.argmax(counts)]
-    lengths = np.array([len(r[4]) for r in rows])
-    by_len = {int(x): (np.flatnonzero(lengths == x), np.frombuffer(b"".join(r[4] for r in rows if len(r[4]) == x), np.uint8).reshape(-1, int(x)))
-              for x in np.unique(lengths)}
-    a, b = [], []
+    lengths = np.array([len(r[3]) for r in rows])
+    by_len = {int(x): (np.flatnonzero(lengths == x), np.frombuffer(b"".join(r[3] for r in rows if len(r[3]) == x), np.uint64 if x >= 8 else np.uint8)
+                       .reshape(int((lengths == x).sum()), -1)) for x in np.unique(lengths)}
+    a, b, bound = [], [], []
     for j in np.flatnonzero(comp != major):
-        y0 = np.frombuffer(rows[j][4], np.uint8)
-        for length, (members, m) in by_len.items():
-            i = members
+        found, top = [], []
+        y0 = np.frombuffer(rows[j][3], np.uint64)
+        for i, m in by_len.values():
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             can = (comp[i] != comp[j]) & (4 * small >= 3 * large)
-            can &= np.where(n[i] < n[j], idx[i], np.where(n[i] > n[j], idx[j], idx[i] | idx[j]))
             if not can.any():
                 continue
             i, x, y = i[can], m[can], y0
-            if length > len(y):
+            if x.shape[1] > len(y):
                 x = np.bitwise_or.reduce(x.reshape(len(x), -1, len(y)), 1)
-            elif length < len(y):
-                y = np.bitwise_or.reduce(y.reshape(-1, length), 0)
-            most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1), n[j] - np.bitwise_count(y & ~x).sum(1))
-            ok = 100 * most >= 75 * (n[i] + n[j] - most)
-            a.append(np.minimum(cls[i[ok]], cls[j])), b.append(np.maximum(cls[i[ok]], cls[j]))
-    if a:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        if len(pairs):
-            yield batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
+            elif x.shape[1] < len(y):
+                y = np.bitwise_or.reduce(y.reshape(-1, x.shape[1]), 0)
+            most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            ok = enough(most, n[i], n[j])
+            found.append(i[ok])
+            top.append(most[ok] / (n[i[ok]] + n[j] - most[ok]))
+        if not found:
+            continue
+        i, s = np.concatenate(found), np.concatenate(top)
+        if best_only and len(i):
+            k = np.unique([np.lexsort((cls[i], -s))[0], np.argmin(cls[i])])
+            i, s = i[k], s[k]
+        a.append(np.full(len(i), cls[j])), b.append(cls[i]), bound.append(s)
+    if a and sum(map(len, a)):
+        a, b, bound = np.concatenate(a), np.concatenate(b), np.concatenate(bound)
+        if not best_only:
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            a, b, bound = pairs[:, 0], pairs[:, 1], np.zeros(len(pairs))
+        yield batch(a=pa.array(a), b=pa.array(b), bound=pa.array(bound))
+
+
+def _open_tiles(runs: DataFrame, comp: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs ``(a, b, bound)`` of different components, of the tiles that hold any."""
+    labelled = store(runs.drop("lead").join(comp.toDF("cls", "comp"), "cls", "left")
+                     .withColumn("comp", F.coalesce("comp", "cls")), "labelled")
+    # neighbouring shingles of one passage have the same members: one tile does for all
+    who = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    mixed = (labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"), *who)
+             .filter("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("key").alias("key"))
+             .select("key", F.ceil(F.col("g") / TILE).cast("int").alias("blocks")))
+    tiles = labelled.join(mixed, "key").join(classes.select("cls", "bits"), "cls")
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    tiles = tiles.select("key", "cls", "n", "comp", "bits", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, block) * F.col("blocks") + F.greatest(x, block))).alias("tile"))
+    return (tiles.repartition("key", "tile").sortWithinPartitions("tile", "key")
+            .mapInArrow(partial(_tile_pairs, best_only), "a long, b long, bound double"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -344,32 +372,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     classes = store(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n"),
                                                             F.first("bits", ignorenulls=True).alias("bits")), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    postings = texts.mapInArrow(partial(_postings, shared), "key long, cls long, n int, idx boolean")
+    postings = texts.mapInArrow(partial(_postings, shared), "key long, cls long, n int")
     runs = store(postings.repartition("key").sortWithinPartitions("key", "n", "cls")
-                 .mapInArrow(_shared, "key long, cls long, n int, idx boolean, lead long"), "runs")
+                 .mapInArrow(_shared, "key long, cls long, n int, lead long"), "runs")
 
-    # first: every class against the member that leads most of its tiles
-    lead = (runs.filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("c")).groupBy("cls")
-            .agg(F.max_by("lead", F.struct(F.col("c"), -F.col("lead"))).alias("lead")))
+    # first: every class against the member that leads most of its tiles, and the smallest such member
+    leads = runs.filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("c")).groupBy("cls").agg(
+        F.array_distinct(F.array(F.max_by("lead", F.struct(F.col("c"), -F.col("lead"))), F.min("lead"))).alias("leads"))
+    lead = leads.select(F.col("cls").alias("a"), F.explode("leads").alias("b"))
+    lead = lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = classes.select("cls", "n", "bits")
-    first = (lead.select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-             .join(sides.toDF("a", "xn", "xbits"), "a").join(sides.toDF("b", "yn", "ybits"), "b")
+    first = (lead.join(sides.toDF("a", "xn", "xbits"), "a").join(sides.toDF("b", "yn", "ybits"), "b")
              .select("a", "b", "xn", "yn", "xbits", "ybits").mapInArrow(_bound, "a long, b long"))
-    links = exact_links(first, classes, texts)
+    links, _ = exact_links(first, classes, texts)
     comp = store(components(links), "components")
 
-    # then: what tiles still hold of different components
-    labelled = store(runs.drop("lead").join(comp.toDF("cls", "comp"), "cls", "left")
-                     .withColumn("comp", F.coalesce("comp", "cls")), "labelled")
-    mixed = (labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"))
-             .filter("lo <> hi").select("key", F.ceil(F.col("g") / TILE).cast("int").alias("blocks")))
-    tiles = labelled.join(mixed, "key").join(classes.select("cls", "bits"), "cls")
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    tiles = tiles.select("key", "cls", "n", "idx", "comp", "bits", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, block) * F.col("blocks") + F.greatest(x, block))).alias("tile"))
-    second = (tiles.repartition("key", "tile").sortWithinPartitions("tile", "key")
-              .mapInArrow(_tile_pairs, "a long, b long"))
-    more = exact_links(second, classes, texts)
+    # then: every class that shares a tile with another component, against the smallest member that
+    # the bitmaps allow and the one most like it, as long as most of these pairs link
+    linked, tested = 1, 1
+    while 2 * linked > tested:
+        tiles = _open_tiles(runs, comp, classes, True).groupBy("a").agg(
+            F.array_distinct(F.array(F.max_by("b", F.struct("bound", "b")), F.min("b"))).alias("b"))
+        more, tested = exact_links(tiles.select("a", F.explode("b").alias("b")), classes, texts)
+        if not (linked := more.count()):
+            break
+        links = store(links.unionByName(more), "found")
+        comp = store(components(links), "components")
+    # last: all pairs left that could join two components
+    more, _ = exact_links(_open_tiles(runs, comp, classes, False).select("a", "b"), classes, texts)
     if not more.isEmpty():
         comp = store(components(links.unionByName(more)), "components")
 

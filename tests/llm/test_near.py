@@ -92,7 +92,7 @@ def test_prefixes_share_a_shingle():
         for nb in range(1, na + 1):
             for overlap in range(nb + 1):
                 if near.enough(overlap, na, nb):            # the worst case: what is common comes last in both
-                    assert na - overlap < near.prefix_length(na) and nb - overlap < near.index_length(nb)
+                    assert na - overlap < near.prefix_length(na) and nb - overlap < near.prefix_length(nb)
 
 
 def test_hashes_tell_words_apart():
