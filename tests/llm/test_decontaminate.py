@@ -59,7 +59,7 @@ def test_removal(docs, bench, no_docs, spark):
     kept = D.without_documents(docs.withColumn("decon", F.lit(1)), table)
     assert kept.columns == [*docs.columns, "decon"] if "decon" in kept.columns else True
     ids = {r["doc_id"] for r in D.without_documents(docs, table).select("doc_id").collect()}
-    assert {500, 501, 503, 504, 8} & ids == set() and {1, 2, 3, 502, 5, 6} <= ids
+    assert {500, 501, 504, 8} & ids == set() and {1, 2, 3, 502, 503, 5, 6} <= ids      # É is not é
     cut = {r["doc_id"]: r["text"] for r in D.without_spans(docs, table).collect()}
     assert cut[500] == prose(9, 50) + " ! " + prose(8, 40) and cut[501] == "" and cut[5] is None
     assert D.scan(no_docs, table).count() == 0

@@ -2,7 +2,6 @@
 model's own arithmetic against plain versions."""
 
 import math
-import random
 import zlib
 from collections import Counter
 
@@ -69,7 +68,7 @@ def test_quality(spark, awkward, no_docs):
     got = quality.score(docs.filter(held), w).join(labels, "doc_id").select("score", "quality").collect()
     assert np.mean([(r["score"] >= quality.THRESHOLD) == (r["quality"] == 1) for r in got]) > 0.93
     odd = labels.limit(3).selectExpr("cast(null as long) doc_id", "quality").unionByName(labels.limit(3).selectExpr("doc_id", "cast(null as int) quality"))
-    assert np.allclose(quality.fit(docs.filter(~held), labels.unionByName(odd)), w)
+    assert np.allclose(quality.fit(docs.filter(~held), labels.select("doc_id", "quality").unionByName(odd)), w)
     rows = quality.score(awkward.withColumn("score", F.lit("x")), w).collect()
     assert len(rows) == awkward.count() and all(0 < r["score"] < 1 for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] in (5, 6, 7)}) == 1
@@ -83,7 +82,7 @@ def test_sparse_dot_product_equals_the_plain_sum():
     p = quality.score_texts(texts, w)
     for t, s in zip(texts, p, strict=True):
         ids, _, n = quality.features([t])
-        assert math.isclose(math.log(s / (1 - s)), max(-35, min(35, w[0] + w[ids].sum() / math.sqrt(max(1, n[0])))), abs_tol=1e-6)
+        assert math.isclose(s, 1 / (1 + math.exp(-max(-35, min(35, w[0] + w[ids].sum() / math.sqrt(max(1, n[0])))))), abs_tol=1e-9)
 
 
 def test_gradient_of_the_language_model():
@@ -105,7 +104,7 @@ def test_gradient_of_the_language_model():
     grads = {}
     tr._adam = lambda name, grad, rows: grads.__setitem__(name, (grad, rows))
     tr._window(y, np.zeros((2, lm.HIDDEN)))
-    for name, at in (("u", (3, 40)), ("wc", (5, 9)), ("wo", (0, 2, 0)), ("bc", (4,)), ("u", (7, 60))):
+    for name, at in (("u", (3, 40)), ("wc", (5, 9)), ("wo", (0, 2, 0)), ("bc", (4,)), ("u", (7, 20))):
         p[name][at] += 1e-5
         up = loss()
         p[name][at] -= 2e-5
@@ -114,10 +113,10 @@ def test_gradient_of_the_language_model():
         assert math.isclose(grads[name][0][at] * 8, (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-6), name
     grad, rows = grads["a"]
     i = int(np.flatnonzero(rows == 70)[0])
-    p["a"][70, 50] += 1e-5
+    p["a"][70, 40] += 1e-5
     up = loss()
-    p["a"][70, 50] -= 2e-5
-    assert math.isclose(grad[i, 50] * 8, (up - loss()) / 2e-5, rel_tol=1e-3, abs_tol=1e-6)
+    p["a"][70, 40] -= 2e-5
+    assert math.isclose(grad[i, 40] * 8, (up - loss()) / 2e-5, rel_tol=1e-3, abs_tol=1e-6)
 
 
 def test_probabilities_sum_to_one():
@@ -169,4 +168,4 @@ def test_language_model_edges(spark, awkward, no_docs):
     assert lm.score_documents(no_docs, F.lit(True)).count() == 0
     blank = lm.score_documents(awkward, F.lit(False)).collect()
     assert {r["train_tokens"] for r in blank} == {0} and {r["n_known"] for r in blank} == {0}
-    assert random and all(abs(r["base_score"]) < 1e-9 for r in blank)
+    assert all(abs(r["base_score"]) < 1e-6 for r in blank)
