@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as markup
 import re
+from functools import partial
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -31,12 +32,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from promptscreen.llm.common import batch, column, store, text_chunks
+from promptscreen.llm.common import batch, column, store, text_chunks, total_vectors
 
 CHROME, OPEN, BODY = 0, 1, 2
 COPY_SHARE = 0.5
+FILTER_BITS = 22            # bits of the membership filter: 512 KB, broadcast
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg title xmp noframes math canvas object".split())
 NEVER = frozenset("nav header footer aside form button select dialog menu label fieldset option head".split())
@@ -174,18 +175,21 @@ def deletions(lines: list[int], kinds: list[int], sizes: list[int], neighbours:
     return gone
 
 
-def _cut(batches):
-    """Page key, place and lines of every page."""
+def page_key(url, page) -> bytes:
+    return hashlib.blake2b(f"{url!r}|{page!r}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _lines(batches):
+    """Key, place and line hashes of every page; no texts."""
     for rb in text_chunks(batches, "html"):
         rows = []
         for url, page in zip(column(rb, "url").to_pylist(), column(rb, "html").to_pylist(), strict=True):
             found = blocks(page)
-            key = hashlib.blake2b(f"{url!r}|{page!r}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-            rows.append((key, *place(url), [k for k, _ in found], [line_hash(t) for _, t in found], [t for _, t in found]))
+            rows.append((page_key(url, page).hex(), *place(url), [k for k, _ in found], [line_hash(t) for _, t in found],
+                         [len(t) for _, t in found]))
         kinds = (("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("kinds", pa.list_(pa.int32())),
-                 ("lines", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())))
-        yield batch(page_id=column(rb, "page_id"), url=column(rb, "url"),
-                    **{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
+                 ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())))
+        yield batch(**{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
 
 
 def _neighbours(batches):
@@ -225,27 +229,80 @@ def neighbours(places: DataFrame) -> DataFrame:
             .select("key", F.coalesce("before", "b").alias("before"), F.coalesce("after", "a").alias("after")))
 
 
-def _keep(batches):
+def _gone(batches):
+    """Positions of the lines each page loses; pages that lose none are left out."""
     for rb in batches:
-        out = []
-        for kinds, lines, texts, one, two in zip(*(column(rb, c).to_pylist() for c in ("kinds", "lines", "texts", "one", "two")), strict=True):
-            gone = deletions(lines, kinds, [len(t) for t in texts], [x for x in (one, two) if x is not None])
-            out.append("\n\n".join(t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k != CHROME and i not in gone))
-        yield batch(page_id=column(rb, "page_id"), url=column(rb, "url"), text=pa.array(out, pa.string()),
-                    n_chars=pa.array([len(t) for t in out], pa.int64()))
+        keys, gone = [], []
+        for key, kinds, lines, sizes, one, two in zip(*(column(rb, c).to_pylist() for c in ("key", "kinds", "lines", "sizes", "one", "two")), strict=True):
+            if g := deletions(lines, kinds, sizes, [x for x in (one, two) if x is not None]):
+                keys.append(key), gone.append(sorted(g))
+        yield batch(key=pa.array(keys, pa.string()), gone=pa.array(gone, pa.list_(pa.int32())))
+
+
+def _slots(keys: list[str]) -> np.ndarray:
+    return np.array([int(k[:8], 16) >> (32 - FILTER_BITS) for k in keys], np.int64)
+
+
+def _members(batches):
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for rb in batches:
+        bits[_slots(column(rb, "key").to_pylist())] = True
+    yield batch(bits=pa.array([np.packbits(bits).tobytes()], pa.binary()))
+
+
+def _texts(shared, losing: bool, batches):
+    """Pages that may lose lines (``losing``) with their blocks, or the others
+    with their final text."""
+    bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+    for rb in text_chunks(batches, "html"):
+        urls, pages = column(rb, "url").to_pylist(), column(rb, "html").to_pylist()
+        keys = [page_key(u, p).hex() for u, p in zip(urls, pages, strict=True)]
+        mine = bits[_slots(keys)] == losing if keys else np.zeros(0, bool)
+        part = rb.filter(pa.array(mine))
+        found = [blocks(p) for p, m in zip(pages, mine, strict=True) if m]
+        ids = {"page_id": column(part, "page_id"), "url": column(part, "url")}
+        if losing:
+            yield batch(**ids, key=pa.array([k for k, m in zip(keys, mine, strict=True) if m], pa.string()),
+                        kinds=pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())),
+                        texts=pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())))
+        else:
+            yield _final(ids, [[t for k, t in f if k != CHROME] for f in found])
+
+
+def _final(ids, kept):
+    texts = ["\n\n".join(k) for k in kept]
+    return batch(**ids, text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
+
+
+def _without(batches):
+    for rb in batches:
+        kept = []
+        for kinds, texts, gone in zip(*(column(rb, c).to_pylist() for c in ("kinds", "texts", "gone")), strict=True):
+            lost = set(gone or ())
+            kept.append([t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k != CHROME and i not in lost])
+        yield _final({"page_id": column(rb, "page_id"), "url": column(rb, "url")}, kept)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars)`` of every row of ``pages``."""
+    """``(page_id, url, text, n_chars)`` of every row of ``pages``.
+
+    Every page's lines are aligned with its neighbours' by their hashes. Only
+    texts of pages that lose lines are then shuffled, to meet their deletions;
+    a bounded membership filter tells them from the others.
+    """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    ids = src.schema["page_id"].dataType.simpleString()
-    cut = store(src.mapInArrow(_cut, f"page_id {ids}, url string, key string, host string, path string, kinds array<int>, "
-                                     "lines array<long>, texts array<string>"), "page-lines")
-    near = store(neighbours(cut.select("host", "path", "key").distinct()), "page-neighbours")
-    lines = cut.select("key", "lines").dropDuplicates(["key"])
-    # a page's narrow side first: its neighbours' line hashes, joined by distinct keys
-    pairs = (near.join(lines.toDF("before", "one"), "before", "left").join(lines.toDF("after", "two"), "after", "left")
-             .select("key", "one", "two"))
-    whole = T.StructType([T.StructField("page_id", src.schema["page_id"].dataType), T.StructField("url", T.StringType()),
-                          T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return (cut.join(pairs, "key", "left").select("page_id", "url", "kinds", "lines", "texts", "one", "two").mapInArrow(_keep, whole))
+    cut = store(src.select("url", "html").mapInArrow(_lines, "key string, host string, path string, kinds array<int>, "
+                                                             "lines array<long>, sizes array<int>"), "page-lines")
+    one_each = cut.dropDuplicates(["key"])
+    near = neighbours(cut.select("host", "path", "key").distinct())
+    lines = one_each.select("key", "lines")
+    pairs = (one_each.select("key", "kinds", "lines", "sizes").join(near, "key", "left")
+             .join(lines.toDF("before", "one"), "before", "left").join(lines.toDF("after", "two"), "after", "left"))
+    gone = store(pairs.select("key", "kinds", "lines", "sizes", "one", "two").mapInArrow(_gone, "key string, gone array<int>"), "page-deletions")
+    bits = total_vectors(gone.select("key").mapInArrow(_members, "bits binary"), "bits", np.uint8, (1 << FILTER_BITS) // 8, add=np.bitwise_or)
+    shared = pages.sparkSession.sparkContext.broadcast(bits.tobytes())
+    kind = src.schema["page_id"].dataType.simpleString()
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    whole = src.mapInArrow(partial(_texts, shared, False), out)
+    losing = src.mapInArrow(partial(_texts, shared, True), f"page_id {kind}, url string, key string, kinds array<int>, texts array<string>")
+    return whole.unionByName(losing.join(gone, "key", "left").mapInArrow(_without, out))
