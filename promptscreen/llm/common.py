@@ -7,6 +7,7 @@ lower-cased, so Spark, DuckDB and numpy agree on them.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,10 +49,11 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int = 16, add=np.add) -> np.ndarray:
+def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int = 8, add=np.add,
+                  unpack: Callable = bytes) -> np.ndarray:
     """Sum (or unite by another ``add``) the equally long binary vectors of
-    ``parts``, one row per task: first in ``fan_in`` tasks, one vector at a
-    time, then the few results here."""
+    ``parts`` (one row per task, after ``unpack``): first in ``fan_in`` tasks,
+    one vector at a time, then the few results here."""
     dtype = np.dtype(dtype)
 
     def some(batches):
@@ -59,12 +61,12 @@ def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int =
         for rb in batches:
             for v in rb.column(0):
                 if v.is_valid:
-                    add(acc, np.frombuffer(v.as_py(), dtype), out=acc)
-        yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], pa.binary())], [column])
+                    add(acc, np.frombuffer(unpack(v.as_py()), dtype), out=acc)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(acc.tobytes(), 1)], pa.binary())], [column])
 
     acc = np.zeros(size, dtype)
     for row in parts.select(column).repartition(fan_in).mapInArrow(some, f"{column} binary").toLocalIterator():
-        add(acc, np.frombuffer(row[0], dtype), out=acc)
+        add(acc, np.frombuffer(zlib.decompress(row[0]), dtype), out=acc)
     return acc
 
 

@@ -16,7 +16,7 @@ Only components are wanted, so a tile does not compare all its pairs. First
 each class is compared with one partner (the member that leads most of its
 tiles), and what links is joined. Then tiles that still hold different
 components are gone through: each class outside the tile's main component is
-compared with the member most like it by bitmap. Last, all pairs of members of
+compared with the member most like it by bitmap, and the smallest. Last, all pairs of members of
 *different* components that the bitmaps allow are compared. Nothing is capped:
 every pair that could still join two components is tested. Components come from min-label
 propagation with pointer jumping, as Spark joins.
@@ -25,6 +25,7 @@ propagation with pointer jumping, as Spark joins.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import partial
 
 import numpy as np
@@ -36,7 +37,7 @@ from promptscreen.llm.common import (Words, batch, column, discard, mix, ngrams,
                                      total_vectors)
 
 SHINGLE = 5
-SKETCH_BITS = 18            # counters of the frequency sketch: 2 MB, broadcast
+SKETCH_BITS = 21            # counters of the frequency sketch: 8 MB, broadcast
 FILTER_BITS = 23            # bits of the membership filter: 1 MB, broadcast
 BAND = np.log(4 / 3)        # sizes of linked sets differ by this factor at most
 
@@ -71,8 +72,10 @@ def prefix_length(n):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Signature of four to eight bits per shingle, a power of two long."""
-    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    """Signature of four to eight bits per shingle (half of that for long
+    texts), a power of two long. Its length only sets how sharp the bound is."""
+    per = 4 if len(shingles) <= 512 else 2
+    bits = max(64, 1 << int(per * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -96,7 +99,7 @@ def enough(overlap, na, nb):
 def _signatures(batches):
     """Per text: class, set size, and for the first of its class in this task
     the bitmap; at the end the task's sketch."""
-    seen, sketch = set(), np.zeros(1 << SKETCH_BITS, np.int64)
+    seen, sketch, slots, waiting = set(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
     shift = np.uint64(64 - SKETCH_BITS)
     for rb in text_chunks(batches, "t"):
         s, off, classes = shingle_sets(column(rb, "t").to_pylist())
@@ -106,12 +109,18 @@ def _signatures(batches):
             seen.add(c)
             maps.append(bitmap(s[off[i]:off[i + 1]]) if fresh[i] and off[i + 1] > off[i] else None)
         keep = np.repeat(fresh, np.diff(off))
-        sketch += np.bincount((s[keep] >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
+        slots.append((s[keep] >> shift).astype(np.int32))
+        waiting += len(slots[-1])
+        if waiting > 1 << SKETCH_BITS:
+            sketch += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            slots, waiting = [], 0
         n = len(classes)
         yield batch(doc=column(rb, "i"), cls=pa.array(classes, pa.int64()), n=pa.array(np.diff(off), pa.int64()),
                     bits=pa.array(maps, pa.binary()), sketch=pa.nulls(n, pa.binary()))
+    if slots:
+        sketch += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS).astype(np.uint32)
     yield batch(doc=pa.nulls(1, pa.int64()), cls=pa.nulls(1, pa.int64()), n=pa.nulls(1, pa.int64()), bits=pa.nulls(1, pa.binary()),
-                sketch=pa.array([sketch.tobytes()], pa.binary()))
+                sketch=pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary()))
 
 
 def _postings(sketch, batches):
@@ -253,8 +262,8 @@ def _wanted(shared, batches):
         yield batch(cls=pa.array([r[0] for r in rows], pa.int64()), t=pa.array([r[1] for r in rows], pa.string()))
 
 
-def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
-    """The pairs of classes ``(a, b)`` that link, and how many were tested.
+def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of classes ``(a, b)`` that link.
     Texts of the representatives travel (they compress, arrays do not)."""
     pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -267,9 +276,8 @@ def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple
     joined = (pairs.join(held.select(F.col("cls").alias("b"), F.col("t").alias("y")), "b")
               .join(held.select(F.col("cls").alias("a"), F.col("t").alias("x")), "a"))
     out = store(joined.select("a", "b", "x", "y").mapInArrow(_exact, "a long, b long"), "linked")
-    tested = pairs.count()
     discard(pairs, need, held)
-    return out, tested
+    return out
 
 
 # ------------------------------------------------------------------- tiles ----
@@ -367,11 +375,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     texts = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t"))
     signed = store(texts.mapInArrow(_signatures, "doc long, cls long, n long, bits binary, sketch binary"), "signatures")
-    sketch = total_vectors(signed.filter("sketch is not null"), "sketch", np.int64, 1 << SKETCH_BITS)
+    sketch = total_vectors(signed.filter("sketch is not null"), "sketch", np.uint32, 1 << SKETCH_BITS, unpack=zlib.decompress)
     rows = signed.filter("sketch is null")
     classes = store(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n"),
                                                             F.first("bits", ignorenulls=True).alias("bits")), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    del sketch
     postings = texts.mapInArrow(partial(_postings, shared), "key long, cls long, n int")
     runs = store(postings.repartition("key").sortWithinPartitions("key", "n", "cls")
                  .mapInArrow(_shared, "key long, cls long, n int, lead long"), "runs")
@@ -384,22 +393,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     sides = classes.select("cls", "n", "bits")
     first = (lead.join(sides.toDF("a", "xn", "xbits"), "a").join(sides.toDF("b", "yn", "ybits"), "b")
              .select("a", "b", "xn", "yn", "xbits", "ybits").mapInArrow(_bound, "a long, b long"))
-    links, _ = exact_links(first, classes, texts)
+    links = exact_links(first, classes, texts)
     comp = store(components(links), "components")
 
     # then: every class that shares a tile with another component, against the smallest member that
-    # the bitmaps allow and the one most like it, as long as most of these pairs link
-    linked, tested = 1, 1
-    while 2 * linked > tested:
-        tiles = _open_tiles(runs, comp, classes, True).groupBy("a").agg(
-            F.array_distinct(F.array(F.max_by("b", F.struct("bound", "b")), F.min("b"))).alias("b"))
-        more, tested = exact_links(tiles.select("a", F.explode("b").alias("b")), classes, texts)
-        if not (linked := more.count()):
-            break
+    # the bitmaps allow and the one most like it
+    tiles = _open_tiles(runs, comp, classes, True).groupBy("a").agg(
+        F.array_distinct(F.array(F.max_by("b", F.struct("bound", "b")), F.min("b"))).alias("b"))
+    more = exact_links(tiles.select("a", F.explode("b").alias("b")), classes, texts)
+    if not more.isEmpty():
         links = store(links.unionByName(more), "found")
         comp = store(components(links), "components")
     # last: all pairs left that could join two components
-    more, _ = exact_links(_open_tiles(runs, comp, classes, False).select("a", "b"), classes, texts)
+    more = exact_links(_open_tiles(runs, comp, classes, False).select("a", "b"), classes, texts)
     if not more.isEmpty():
         comp = store(components(links.unionByName(more)), "components")
 
