@@ -19,6 +19,7 @@ a null language teach nothing; without any training rows all texts are ``und``.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -201,8 +202,8 @@ def fit_chunks(chunks: list[tuple[str, str]], seed: int = 7, epochs: int = 8, ra
     return crf
 
 
-def training_chunks(docs: DataFrame, text: str, lang: str, doc_id: str, per_label: int = CHUNKS) -> list[tuple[str, str]]:
-    """Up to ``per_label`` chunks per language, by seeded order. Every task
+def training_chunks(docs: DataFrame, text: str, lang: str, doc_id: str, per_label: int = CHUNKS) -> DataFrame:
+    """``(y, k, t)``: language, order and text of up to ``per_label`` chunks per language, by seeded order. Every task
     first keeps its own best per language, so little is shuffled."""
     import hashlib
     import heapq
@@ -227,12 +228,17 @@ def training_chunks(docs: DataFrame, text: str, lang: str, doc_id: str, per_labe
     src = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y")).dropna(subset=["t", "y"])
     best = src.mapInArrow(cut, "y string, k long, t string")
     rank = F.row_number().over(Window.partitionBy("y").orderBy("k", "t"))
-    rows = best.withColumn("_r", rank).filter(F.col("_r") <= per_label).orderBy("y", "k", "t").collect()
-    return [(r["t"], r["y"]) for r in rows]
+    return best.withColumn("_r", rank).filter(F.col("_r") <= per_label).drop("_r")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Crf:
-    return fit_chunks(training_chunks(docs, text, lang, doc_id))
+    """Trains in one task, over the bounded sample; only the model comes back."""
+    def train(batches):
+        rows = [r for rb in batches for r in zip(column(rb, "t").to_pylist(), column(rb, "y").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chunks(rows))], pa.binary())], ["model"])
+
+    rows = training_chunks(docs, text, lang, doc_id).repartition(1).sortWithinPartitions("y", "k", "t")
+    return pickle.loads(rows.mapInArrow(train, "model binary").collect()[0][0])
 
 
 def decode(texts: list, crf: Crf) -> list[tuple[str, float, list]]:
