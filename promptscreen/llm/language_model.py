@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptscreen.llm.common import Words, batch, column, store, text_chunks, total_vectors
+from promptscreen.llm.common import RATIO, Words, batch, column, mix, store, text_chunks, total_vectors
 
 KNOWN = 1 << 20             # words broadcast with their counts: 16 MB
 SLOTS, NEURAL = 64, 16      # words of a neural class; neural classes
@@ -43,15 +43,50 @@ WINDOW = 16                 # steps of truncated back-propagation
 ROUNDS = ((0, 1, 32, 0.02), (1, 4, 64, 0.01), (4, 32, 192, 0.005))
 SCORE_TOKENS = 3_000_000    # tokens scored together in a Python worker
 SCORE_WINDOW = 32
+SLICE = 1 << 13             # tokens whose class scores fit the cache
 END = 0x5E4DE4D5E4DE4D51    # the hash of the end token
 LN10 = float(np.log(10))
 
 
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+class Tokens(Words):
+    """The words of some texts, found and hashed without a Python object each:
+    this operator reads all texts several times."""
+
+    def __init__(self, texts):
+        parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        self.raw = b" ".join(parts) + b" "
+        self.buf = np.frombuffer(self.raw, np.uint8)
+        inside = np.concatenate([[False], ~IS_SPACE[self.buf]]).view(np.int8)
+        edge = np.diff(inside)
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
+        self.doc = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
+        self.counts = np.diff(self.doc)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of each word, from eight bytes at a time."""
+        left = self.end - self.start
+        eight = np.ndarray(len(self.raw), "<u8", self.raw + bytes(8), strides=(1,))
+        with np.errstate(over="ignore"):
+            h = left.astype(np.uint64) * RATIO
+            rows, at = np.arange(len(left)), self.start
+            while len(rows):
+                h[rows] = mix(h[rows] ^ (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
+                more = left > 8
+                rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        return h
+
+
 def spelled(w: Words) -> np.ndarray:
     """Spelling class of each word."""
-    b = w.buf.astype(np.uint32)
-    second = b[np.minimum(w.start + 1, len(b) - 1)] if len(b) else b
-    mixed = b[w.start] * np.uint32(0x9E3779B1) ^ second * np.uint32(0x85EBCA6B) ^ b[w.end - 1] * np.uint32(0xC2B2AE35)
+    first, last = w.buf[w.start].astype(np.uint32), w.buf[w.end - 1].astype(np.uint32)
+    second = np.where(w.end - w.start > 1, w.buf[np.minimum(w.start + 1, max(0, len(w.buf) - 1))], 32).astype(np.uint32)
+    mixed = first * np.uint32(0x9E3779B1) ^ second * np.uint32(0x85EBCA6B) ^ last * np.uint32(0xC2B2AE35)
     return ((mixed >> np.uint32(12)) % np.uint32(SPELLED)).astype(np.int64)
 
 
@@ -74,7 +109,7 @@ def _count(batches):
         return batch(h=pa.array(k.view(np.int64)), cls=pa.array(s.astype(np.int32)), c=pa.array(n))
 
     for rb in text_chunks(batches, "t"):
-        w = Words(column(rb, "t").to_pylist())
+        w = Tokens(column(rb, "t").to_pylist())
         ends += rb.num_rows
         if len(w):
             k, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
@@ -324,7 +359,7 @@ def _train(shared, lanes, rate, batches):
     end = int(v.place[v.head == np.uint64(END)][0])
     trainer = Trainer(p, v.classes, end, rate, lanes)
     for rb in text_chunks(batches, "t"):
-        trainer.feed(stream_of(Words(column(rb, "t").to_pylist()), v, end))
+        trainer.feed(stream_of(Tokens(column(rb, "t").to_pylist()), v, end))
     n = trainer.tokens
     vec = np.concatenate([flat(trainer.p) * n, [n]])
     yield batch(v=pa.array([vec.tobytes()], pa.binary()))
@@ -363,8 +398,8 @@ def score_tokens(p: dict, y: np.ndarray, counts: np.ndarray, n_class: int) -> np
             states.append(h), places.append(rows)
             h = cell(p, y[rows], h)[0]
         hs, at = np.concatenate(states), np.concatenate(places)
-        for i in range(0, len(at), 1 << 14):
-            out[at[i:i + (1 << 14)]] = log_probs(p, hs[i:i + (1 << 14)], y[at[i:i + (1 << 14)]], n_class)
+        for i in range(0, len(at), SLICE):
+            out[at[i:i + SLICE]] = log_probs(p, hs[i:i + SLICE], y[at[i:i + SLICE]], n_class)
     return out
 
 
@@ -377,6 +412,7 @@ def _score(shared, batches):
     end_known = np.searchsorted(v.known, np.uint64(END))
     has_end = end_known < len(v.known) and v.known[end_known] == np.uint64(END)
     end_log = float(v.log_c[end_known]) if has_end else float(np.log10(0.5))
+    head_log = np.log10(v.head_c + 0.5)
     serial = TaskContext.get().partitionId() << 33
     held, size = [], 0
 
@@ -395,14 +431,19 @@ def _score(shared, batches):
             at, serial = at + n, serial + n
 
     for rb in text_chunks(batches, "t"):
-        w = Words(column(rb, "t").to_pylist())
+        w = Tokens(column(rb, "t").to_pylist())
         h, n_docs, doc = w.hashes(), rb.num_rows, w.doc_of()
         y = stream_of(w, v, end)
-        near = np.minimum(np.searchsorted(v.known, h), max(0, len(v.known) - 1))
-        found = v.known[near] == h if len(v.known) else np.zeros(len(h), bool)
-        log_c = np.where(found, v.log_c[near] if len(v.known) else 0.0, 0.0)
         own = y[np.arange(len(w)) + doc] if len(w) else np.zeros(0, np.int64)
         tail = own >= v.classes * SLOTS
+        found, log_c = ~tail, np.zeros(len(w))
+        log_c[found] = head_log[own[found]]
+        at = np.flatnonzero(tail)
+        if len(v.known) and len(at):                # sorted look-ups stay in the cache
+            at = at[np.argsort(h[at])]
+            near = np.minimum(np.searchsorted(v.known, h[at]), len(v.known) - 1)
+            found[at] = v.known[near] == h[at]
+            log_c[at] = np.where(found[at], v.log_c[near], 0.0)
         inside = np.where(tail, np.where(found, log_c, 0.0) - v.log_mass[np.maximum(own - v.classes * SLOTS, 0)], 0.0)
         held.append({"y": y, "n": w.counts + 1, "id": column(rb, "i"), "base": np.bincount(doc, log_c, n_docs) + end_log,
                      "known": np.bincount(doc[found], minlength=n_docs) + int(v.tokens > 0), "score": np.bincount(doc, inside, n_docs),

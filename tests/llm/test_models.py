@@ -104,7 +104,7 @@ def test_gradient_of_the_language_model():
     grads = {}
     tr._adam = lambda name, grad, rows: grads.__setitem__(name, (grad, rows))
     tr._window(y, np.zeros((2, lm.HIDDEN)))
-    for name, at in (("u", (3, 40)), ("wc", (5, 9)), ("wo", (0, 2, 0)), ("bc", (4,)), ("u", (7, 20))):
+    for name, at in (("u", (3, 40)), ("wc", (5, 3)), ("wo", (0, 2, 0)), ("bc", (4,)), ("u", (7, 20))):
         p[name][at] += 1e-5
         up = loss()
         p[name][at] -= 2e-5
@@ -122,7 +122,7 @@ def test_gradient_of_the_language_model():
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     v = lm.Vocabulary(10, 5, np.array([lm.END], np.uint64), np.zeros(1), np.arange(100, dtype=np.uint64), np.arange(100), rng.integers(1, 50, 100),
-                      np.zeros(lm.SPELLED), np.full(lm.SPELLED + 2, 1 / (lm.SPELLED + 2)))
+                      np.zeros(lm.SPELLED), np.full(lm.SPELLED + -(-100 // lm.SLOTS), 1 / (lm.SPELLED + -(-100 // lm.SLOTS))))
     p = lm.start_weights(v)
     h = rng.standard_normal((1, lm.HIDDEN)).astype(np.float32)
     n = v.classes * lm.SLOTS + lm.SPELLED
@@ -169,3 +169,12 @@ def test_language_model_edges(spark, awkward, no_docs):
     blank = lm.score_documents(awkward, F.lit(False)).collect()
     assert {r["train_tokens"] for r in blank} == {0} and {r["n_known"] for r in blank} == {0}
     assert all(abs(r["base_score"]) < 1e-6 for r in blank)
+
+
+def test_tokens_are_the_words():
+    texts = ["One  two\tTHREE\n\x0b\x0c\r four", None, "", " ", "a" * 41, "abcdefgh abcdefghi abcdefg\x00 abcdefg ÀÉ x", "x"]
+    t, w = lm.Tokens(texts), lm.Words(texts)
+    cut = lambda z: [z.raw[a:b] for a, b in zip(z.start.tolist(), z.end.tolist(), strict=True)]
+    assert cut(t) == cut(w) and t.counts.tolist() == w.counts.tolist() and t.doc.tolist() == w.doc.tolist()
+    assert len(set(t.hashes().tolist())) == len(set(cut(t))) and (lm.spelled(t) == lm.spelled(w)).all()
+    assert len(lm.Tokens([])) == len(lm.Tokens([None]).hashes()) == 0
