@@ -51,3 +51,20 @@ def test_tables(awkward, no_docs, spark):
     assert [r[0] for r in P.scan(df).filter("doc_id = 700").select(P.as_string(P.F.col("pii"))).collect()] == ["email:7:13,ip:15:23"]
     assert P.redact(df).filter("doc_id = 700").first()["text"] == "é mail [email], [ip]"
     assert P.scan(no_docs).count() == 0
+
+
+def test_query_counts_and_digest(spark):
+    import hashlib
+
+    from promptscreen.llm.common import table
+    from promptscreen.llm.q_private import op7_private
+    from tests.conftest import SF001
+
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, SF001, "documents").collect()}
+    rows = op7_private(spark, SF001).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r["doc_id"]])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == i for _, k, _ in want) for i in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{P.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        assert all(f"{P.KINDS[k]}:{a}:{b}" in r["spans"].split(",") for a, k, b in want)
