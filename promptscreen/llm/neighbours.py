@@ -4,10 +4,13 @@ Rows of one label (and length) are dealt into shards of about ``SHARD_ROWS``
 vectors; each shard's graph is built in one task and stored. Every vector
 queries every shard of its label: greedy descent through the upper layers, a
 beam on the ground layer, then expansion along the graph to all vectors near
-enough. Each task audits its recall on a seeded sample of its queries against
-brute force over the shard, and doubles the beam until the audit passes (at the
-last, it compares with the whole shard). Links are verified by cosine in double
-precision on the original vectors.
+enough. Each task audits its recall against brute force over the shard, on a
+seeded sample of its queries and on planted queries: slightly moved members of
+the shard, which must be found, so that the audit measures also where no sampled
+query has a link. Recall counts by query, not by link, and must be enough for
+each class of queries by their number of links; until then the beam is doubled
+(at the last, the task compares with the whole shard). Links are verified by
+cosine in double precision on the original vectors.
 
 Equal vectors are one node with a multiplicity, so copies cost nothing. A task
 returns only sums of links and a spanning forest of the links it found, never
@@ -36,6 +39,7 @@ SHARD_ROWS = 16_384         # vectors of a shard, and of a block of queries
 M = 8                       # links of a node on the upper layers; twice as many on the ground
 BEAM, BUILD_BEAM, STEP = 24, 32, 256
 AUDIT, AUDIT_RECALL = 256, 0.99
+PLANTED, FEW = 128, 4       # planted queries of the audit for each kind of member; near links of a member of a large group
 WALK = 0.03                 # the expansion also walks over vectors this much below the threshold
 
 
@@ -194,34 +198,72 @@ class Graph:
         return np.concatenate(found)
 
 
+def planted(graph: Graph, least: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors moved from members of the shard by up to the threshold's
+    angle: as many from members with no near one among their links, with a few
+    and with many, so that members of small groups are asked for at any size."""
+    x = graph.x.astype(np.float64)
+    links = graph.links[0]
+    near = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1024):
+        to = links[at:at + 1024]
+        near[at:at + 1024] = ((np.einsum("nd,nkd->nk", graph.x[at:at + 1024], graph.x[to]) >= least) & (to >= 0)).sum(1)
+    picked = [rng.permutation(np.flatnonzero(c))[:PLANTED] for c in (near == 0, (near > 0) & (near < FEW), near >= FEW)]
+    x = x[np.concatenate(picked)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= np.einsum("nd,nd->n", side, x)[:, None] * x
+    size = np.linalg.norm(side, axis=1)
+    side = np.where(size[:, None] > 1e-6, side / np.maximum(size, 1e-6)[:, None], 0)      # one dimension has no side
+    angle = (0.999 * np.arccos(np.clip(least, -1, 1)) * rng.random(len(x)))[:, None]
+    x = np.cos(angle) * x + np.sin(angle) * side
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def passed(got: list[np.ndarray], truth: list[np.ndarray]) -> bool:
+    """Whether the mean recall of the queries is enough, in each class of
+    queries by their number of true links. Queries without any tell nothing;
+    if there are no others, nothing was measured and nothing is passed."""
+    recall: dict[int, list[float]] = {}
+    for a, b in zip(got, truth, strict=True):
+        if len(b):
+            recall.setdefault((len(b).bit_length() - 1) // 2, []).append(len(np.intersect1d(a, b)) / len(b))
+    return bool(recall) and all(np.mean(r) >= AUDIT_RECALL for r in recall.values())
+
+
 def links_of(graph: Graph, raw: np.ndarray, norm: np.ndarray, queries: np.ndarray, q_norm: np.ndarray, least: float,
              own: np.ndarray, seed: int = 3) -> tuple[list[np.ndarray], int]:
     """For each query the nodes with cosine ``least`` or more (without node
     ``own``), and the beam that passed the audit."""
-    unit = (queries / q_norm[:, None]).astype(np.float32)
+    def verified(nodes, q, size, self):
+        nodes = nodes[(raw[nodes] @ q) / (norm[nodes] * size) >= least]
+        return np.sort(nodes[nodes != self])
 
-    def verified(i, nodes):
-        nodes = nodes[(raw[nodes] @ queries[i]) / (norm[nodes] * q_norm[i]) >= least]
-        return np.sort(nodes[nodes != own[i]])
+    def whole(*asked):
+        return [verified(np.arange(len(raw)), *a) for a in zip(*asked, strict=True)]
 
-    def by_beam(which, ef):
-        ids, sims = graph.search(unit[which], ef)
+    def by_beam(ef, q, size, self):
+        unit = (q / size[:, None]).astype(np.float32)
+        ids, sims = graph.search(unit, ef)
         out = []
-        for row, i in enumerate(which):
+        for row, i in enumerate(unit):
             near = ids[row][(ids[row] >= 0) & (sims[row] >= least - WALK)]
-            out.append(verified(i, graph.within(unit[i], near, least - WALK)) if len(near) else near)
+            out.append(verified(graph.within(i, near, least - WALK), q[row], size[row], self[row]) if len(near) else near)
         return out
 
-    audit = np.random.default_rng(seed).permutation(len(queries))[:AUDIT]
-    truth = [verified(i, np.arange(len(raw))) for i in audit]
+    rng = np.random.default_rng(seed)
+    some = rng.permutation(len(queries))[:AUDIT]
+    moved = planted(graph, least, rng)
+    audits = [(queries[some], q_norm[some], own[some]), (moved, np.ones(len(moved)), np.full(len(moved), -1))]
+    truth = [whole(*a) for a in audits]
+    open_ = [k for k, t in enumerate(truth) if any(map(len, t))]       # the planted queries always have true links
     ef = BEAM
-    while ef < len(raw):
-        got = by_beam(audit, ef)
-        hits, all_ = sum(len(np.intersect1d(a, b)) for a, b in zip(got, truth, strict=True)), sum(map(len, truth))
-        if hits >= AUDIT_RECALL * all_:
-            return by_beam(np.arange(len(queries)), ef), ef
+    while 4 * ef < len(raw):                                           # beyond, the whole shard costs less than the beam
+        open_ = [k for k in open_ if not passed(by_beam(ef, *audits[k]), truth[k])]
+        if not open_:
+            return by_beam(ef, queries, q_norm, own), ef
         ef *= 2
-    return [verified(i, np.arange(len(raw))) for i in range(len(queries))], ef
+    return whole(queries, q_norm, own), len(raw)
 
 
 # ------------------------------------------------------------------- Spark ----

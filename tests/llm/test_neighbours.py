@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from promptscreen.llm import neighbours as N
@@ -86,3 +87,43 @@ def test_recall_of_a_larger_graph():
     true = (cos >= 0.98).sum()
     assert 0.97 * true <= sum(map(len, found)) <= true and beam < len(x)
     assert all((cos[i][nodes] >= 0.98).all() for i, nodes in enumerate(found))
+
+
+def sparse_pairs(seed, n, d, pairs):
+    """``n`` vectors far from each other, and partners up to the threshold's angle away from ``pairs`` of them (at ``which``)."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d))
+    which = rng.permutation(n)[:pairs]
+    side = rng.standard_normal((pairs, d))
+    u = x[which] / np.linalg.norm(x[which], axis=1)[:, None]
+    side -= np.einsum("nd,nd->n", side, u)[:, None] * u
+    angle = 0.99 * np.arccos(0.98) * rng.random((pairs, 1))
+    return x, np.cos(angle) * u + np.sin(angle) * side / np.linalg.norm(side, axis=1)[:, None], which
+
+
+def test_audit_of_rare_links_measures():
+    """Links so rare that the sampled queries have none."""
+    x, y, which = sparse_pairs(7, 12_000, 64, 400)
+    q = np.random.default_rng(8).standard_normal((12_000, 64))
+    at = np.random.default_rng(3).permutation(len(q))[-400:]             # the audit's sample are the first
+    q[at] = y
+    norm = np.linalg.norm(x, axis=1)
+    found, beam = N.links_of(N.Graph(x / norm[:, None]), x, norm, q, np.linalg.norm(q, axis=1), 0.98, np.full(len(q), -1))
+    assert sum(found[i].tolist() == [j] for i, j in zip(at, which, strict=True)) >= 0.98 * 400 and beam < len(x)
+
+
+def test_passing_needs_every_class_and_counts_by_query():
+    group, none = np.arange(5000), np.zeros(0, int)
+    assert not N.passed([], []) and not N.passed([none], [none])
+    assert N.passed([group, group[:1]], [group, group[:1]])
+    assert not N.passed([group] * 200 + [none], [group] * 200 + [group[:1]])         # one link of a million
+
+
+def test_sparse_pairs_over_full_shards(spark):
+    x, y, which = sparse_pairs(9, 40_000, 64, 400)
+    v = np.concatenate([x, y]).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v), "label": 1}), KIND).repartition(8)
+    got = {r["vec_id"]: r for r in N.near_vectors(rows).filter("n_links > 0").collect()}
+    first = dict(zip([*range(40_000, 40_400), *which.tolist()], [*which.tolist()] * 2, strict=True))
+    assert set(got) <= set(first) and len(got) >= 0.98 * 800
+    assert all(r["n_links"] == 1 and r["component_id"] in (i, first[i]) for i, r in got.items())
