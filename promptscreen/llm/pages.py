@@ -3,12 +3,19 @@
 A page is cut into text blocks (lines). Blocks inside elements that never hold
 article text (navigation, forms, scripts, ...; also by class, id or role) are
 ``chrome``; blocks inside ``article`` or ``main`` are ``body``; the others are
-``open``. Pages of a host are put in the order of their URL paths, and each is
-paired with the pages just before and after it. Each pair's lines are aligned
-by longest common subsequence, and lines the pages share are deleted: templates
-repeat from page to page, articles do not. Body lines are kept even when
-shared, since articles may quote the same passage or be the same article; and a
-pair that shares more than half of its open text (copies) deletes nothing.
+``open``. Pages of a host with equal open lines are one text, with the place of
+the first of them. The texts of a host are put in the order of their URL paths,
+and each is paired with the texts just before and after it. Each pair's lines
+are aligned by longest common subsequence, and open lines the pages share are
+deleted: templates repeat from page to page, articles do not. Body lines are
+kept even when shared, since articles may quote the same passage or be the same
+article.
+
+A pair that shares most of its open text may be near copies or short articles
+under a long template. Lines that nearly all texts of the host have are its
+template and go. The other shared lines stay if they outweigh by far what is
+left of the page (a copy, changed in a line), or if all of one page is in the
+other.
 
 The order of pages comes from a distributed sort of narrow rows; pages are
 compared by line hashes, so no host, however large, meets in one task.
@@ -36,7 +43,9 @@ from pyspark.sql import functions as F
 from promptscreen.llm.common import batch, column, store, text_chunks, total_vectors
 
 CHROME, OPEN, BODY = 0, 1, 2
-COPY_SHARE = 0.5
+COPY_SHARE = 0.5            # pairs that share no more are no copies
+COMMON = 0.9                # share of a host's texts that have a line of its template
+LEFT = 4                    # shared lines of a near copy are this many times what is left of it
 FILTER_BITS = 22            # bits of the membership filter: 512 KB, broadcast
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg title xmp noframes math canvas object".split())
@@ -163,18 +172,35 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def deletions(lines: list[int], kinds: list[int], sizes: list[int], neighbours: list[list[int]]) -> set[int]:
-    """Positions of the lines a page shares with its neighbours and loses."""
+def deletions(lines: list[int], kinds: list[int], sizes: list[int], neighbours: list[tuple[list[int], list[int]]],
+              common: set[int], texts: int) -> set[int]:
+    """Positions of the lines a page loses: those it shares with its neighbours
+    (lines and kinds of each); ``common`` are the lines of the template of its
+    host of ``texts`` different texts."""
     gone: set[int] = set()
-    total = sum(s for s, k in zip(sizes, kinds, strict=True) if k == OPEN)
-    for other in neighbours:
-        shared = common_lines(lines, other)
-        mine = {i for i in shared if kinds[i] == OPEN}
-        if total and sum(sizes[i] for i in mine) <= COPY_SHARE * total:
-            gone |= mine
+    own = {i for i, k in enumerate(kinds) if k == OPEN}
+    total = sum(sizes[i] for i in own)
+    for other, other_kinds in neighbours:
+        mine = common_lines(lines, other) & own
+        size = sum(sizes[i] for i in mine)
+        if size > COPY_SHARE * total:
+            template = {i for i in mine if lines[i] in common}
+            inside = mine == own or {x for x, k in zip(other, other_kinds, strict=True) if k == OPEN} <= set(lines)
+            rest = size - sum(sizes[i] for i in template)
+            if mine == own or inside and texts < 3:      # one in the other, and no third text to tell
+                template = set()
+            if inside or rest > LEFT * (total - size):
+                mine = template
+        gone |= mine
     return gone
 
 
+def text_key(host: str, kinds: list[int], lines: list[int]) -> str | None:
+    """One key for all pages of a host with the same open lines."""
+    own = [x for k, x in zip(kinds, lines, strict=True) if k == OPEN]
+    return hashlib.blake2b(f"{host!r}|{own}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if own else None
+
+
 def page_key(url, page) -> bytes:
     return hashlib.blake2b(f"{url!r}|{page!r}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -185,11 +211,12 @@ def _lines(batches):
         rows = []
         for url, page in zip(column(rb, "url").to_pylist(), column(rb, "html").to_pylist(), strict=True):
             found = blocks(page)
-            rows.append((page_key(url, page).hex(), *place(url), [k for k, _ in found], [line_hash(t) for _, t in found],
-                         [len(t) for _, t in found]))
-        kinds = (("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("kinds", pa.list_(pa.int32())),
-                 ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())))
-        yield batch(**{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
+            host, path = place(url)
+            kinds, lines = [k for k, _ in found], [line_hash(t) for _, t in found]
+            rows.append((page_key(url, page).hex(), host, path, kinds, lines, [len(t) for _, t in found], text_key(host, kinds, lines)))
+        types = (("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("kinds", pa.list_(pa.int32())),
+                 ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("same", pa.string()))
+        yield batch(**{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(types)})
 
 
 def _neighbours(batches):
@@ -229,14 +256,26 @@ def neighbours(places: DataFrame) -> DataFrame:
             .select("key", F.coalesce("before", "b").alias("before"), F.coalesce("after", "a").alias("after")))
 
 
+def template_lines(texts: DataFrame) -> DataFrame:
+    """``(host, n, common)``: the number of texts of a host, and the open lines that nearly all of them have."""
+    own = F.array_distinct(F.transform(F.filter(F.arrays_zip("kinds", "lines"), lambda x: x["kinds"] == OPEN), lambda x: x["lines"]))
+    hosts = texts.groupBy("host").agg(F.count("*").alias("n"))
+    shared = texts.select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count("*").alias("c")).filter("c > 1")
+    return shared.join(hosts, "host").filter(F.col("c") >= COMMON * F.col("n")).groupBy("host", "n").agg(F.collect_list("line").alias("common"))
+
+
 def _gone(batches):
-    """Positions of the lines each page loses; pages that lose none are left out."""
+    """Which of its open lines (by their number among them) each text loses;
+    texts that lose none are left out."""
+    names = ("same", "kinds", "lines", "sizes", "one", "one_kinds", "two", "two_kinds", "common", "n")
     for rb in batches:
         keys, gone = [], []
-        for key, kinds, lines, sizes, one, two in zip(*(column(rb, c).to_pylist() for c in ("key", "kinds", "lines", "sizes", "one", "two")), strict=True):
-            if g := deletions(lines, kinds, sizes, [x for x in (one, two) if x is not None]):
-                keys.append(key), gone.append(sorted(g))
-        yield batch(key=pa.array(keys, pa.string()), gone=pa.array(gone, pa.list_(pa.int32())))
+        for same, kinds, lines, sizes, one, one_kinds, two, two_kinds, common, n in zip(*(column(rb, c).to_pylist() for c in names), strict=True):
+            near = [x for x in ((one, one_kinds), (two, two_kinds)) if x[0] is not None]
+            if g := deletions(lines, kinds, sizes, near, set(common or ()), n or 0):
+                number = {i: k for k, i in enumerate(i for i, k in enumerate(kinds) if k == OPEN)}
+                keys.append(same), gone.append(sorted(number[i] for i in g))
+        yield batch(same=pa.array(keys, pa.string()), gone=pa.array(gone, pa.list_(pa.int32())))
 
 
 def _slots(keys: list[str]) -> np.ndarray:
@@ -278,8 +317,12 @@ def _without(batches):
     for rb in batches:
         kept = []
         for kinds, texts, gone in zip(*(column(rb, c).to_pylist() for c in ("kinds", "texts", "gone")), strict=True):
-            lost = set(gone or ())
-            kept.append([t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k != CHROME and i not in lost])
+            lost, own = set(gone or ()), 0
+            kept.append([])
+            for k, t in zip(kinds, texts, strict=True):
+                if k != CHROME and not (k == OPEN and own in lost):
+                    kept[-1].append(t)
+                own += k == OPEN
         yield _final({"page_id": column(rb, "page_id"), "url": column(rb, "url")}, kept)
 
 
@@ -292,13 +335,18 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     cut = store(src.select("url", "html").mapInArrow(_lines, "key string, host string, path string, kinds array<int>, "
-                                                             "lines array<long>, sizes array<int>"), "page-lines")
-    one_each = cut.dropDuplicates(["key"])
-    near = neighbours(cut.select("host", "path", "key").distinct())
-    lines = one_each.select("key", "lines")
-    pairs = (one_each.select("key", "kinds", "lines", "sizes").join(near, "key", "left")
-             .join(lines.toDF("before", "one"), "before", "left").join(lines.toDF("after", "two"), "after", "left"))
-    gone = store(pairs.select("key", "kinds", "lines", "sizes", "one", "two").mapInArrow(_gone, "key string, gone array<int>"), "page-deletions")
+                                                             "lines array<long>, sizes array<int>, same string"), "page-lines")
+    held = cut.filter("same is not null")
+    first = store(held.groupBy("same").agg(F.min(F.struct("path", "key")).alias("first"), F.first("host").alias("host"))
+                  .select("same", "host", "first.path", "first.key"), "page-texts")
+    one_each = (held.dropDuplicates(["key"]).drop("host", "path", "same").join(first.select("same", "host", "key"), "key"))
+    near = neighbours(first.select("host", "path", "key"))
+    lines = one_each.select("key", "lines", "kinds")
+    pairs = (one_each.join(near, "key", "left").join(template_lines(one_each), "host", "left")
+             .join(lines.toDF("before", "one", "one_kinds"), "before", "left").join(lines.toDF("after", "two", "two_kinds"), "after", "left"))
+    lost = store(pairs.select("same", "kinds", "lines", "sizes", "one", "one_kinds", "two", "two_kinds", "common", "n")
+                 .mapInArrow(_gone, "same string, gone array<int>"), "text-deletions")
+    gone = store(held.select("key", "same").distinct().join(lost, "same").select("key", "gone"), "page-deletions")
     bits = total_vectors(gone.select("key").mapInArrow(_members, "bits binary"), "bits", np.uint8, (1 << FILTER_BITS) // 8, add=np.bitwise_or)
     shared = pages.sparkSession.sparkContext.broadcast(bits.tobytes())
     kind = src.schema["page_id"].dataType.simpleString()

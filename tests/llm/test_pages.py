@@ -66,3 +66,27 @@ def test_neighbours_are_the_sorted_order(spark):
         before = places[i - 1][2] if i and places[i - 1][0] == host else None
         after = places[i + 1][2] if i + 1 < len(places) and places[i + 1][0] == host else None
         assert got[key] == (before, after)
+
+
+def test_short_articles_under_long_templates_and_runs_of_copies(spark):
+    top, end = "Menu of the site with many entries " * 8, "All rights reserved, notices and further small print " * 8
+
+    def page(*lines):
+        return "".join(f"<div>{x}</div>" for x in (top, *lines, end))
+
+    text = {i: f"short piece {i}, its own" for i in range(20)}
+    rows = [(i, f"http://h.example/a/{i:03d}", page(t)) for i, t in text.items()]
+    same = "an article shown under several addresses"
+    rows += [(100 + i, f"http://h.example/a/010b?v={i}", page(same) + f"<footer>{i}</footer>") for i in range(4)]     # equal open text
+    near = "a longer article sentence that its printed versions repeat " * 6
+    rows += [(200 + i, f"http://h.example/a/014b?v={i}", page(near, f"seen {i}")) for i in range(5)]                    # near copies
+    got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, KIND).repartition(4)).collect()}
+    assert all(got[i] == t for i, t in text.items())
+    assert all(got[100 + i] == same for i in range(4))
+    assert all(got[200 + i] == f"{near.strip()}\n\nseen {i}" for i in range(5))
+
+
+def test_a_page_inside_another_keeps_its_text(spark):
+    rows = [(1, "http://h.example/1", "<p>a story</p><p>told twice</p>"), (2, "http://h.example/2", "<p>a story</p><p>told twice</p><p>ps</p>")]
+    got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, KIND)).collect()}
+    assert got[1] == "a story\n\ntold twice" and got[2] == "a story\n\ntold twice\n\nps"
