@@ -29,6 +29,7 @@ import zlib
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -373,6 +374,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     component; rows with a null id take part, but cannot name a component;
     repeated rows are linked like any equal texts; an empty table gives none.
     """
+    return _labelled(docs, text, doc_id).select("doc_id", "n_shingles", "label", "component_id")
+
+
+def _labelled(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``near_duplicates`` with the class of each row's text, ``cls``."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t"))
     signed = store(texts.mapInArrow(_signatures, "doc long, cls long, n long, bits binary, sketch binary"), "signatures")
     sketch = total_vectors(signed.filter("sketch is not null"), "sketch", np.uint32, 1 << SKETCH_BITS, unpack=zlib.decompress)
@@ -414,18 +420,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = ids.select("cls", "label").join(names, "label")
     out = rows.select("doc", "cls", "n").join(named, "cls", "left")
     empty = F.col("n") == 0
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~empty, F.col("label")).alias("label"),
+    return out.select(F.col("doc").alias("doc_id"), "cls", F.col("n").alias("n_shingles"), F.when(~empty, F.col("label")).alias("label"),
                       F.when(empty, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _class(text: pd.Series) -> pd.Series:
+    return pd.Series([class_number(b" ".join(split_words(t))) for t in text], dtype="int64")
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest
-    id. Rows that repeat an id count as one document (the first by md5 of the
-    text stays). Rows with a null id cannot be named by a result: all stay."""
-    known = docs.filter(F.col(doc_id).isNotNull())
-    found = near_duplicates(known, text, doc_id)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    first = Window.partitionBy(doc_id).orderBy(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
-    rank = "_n_rank"
-    kept = known.join(keep, doc_id, "left_semi").withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    """``docs`` with one row of each component: the one with the smallest id,
+    null ids last, then by the number of its words' class and by md5 of the text.
+    Rows are told by id and class, so an id repeated with another text is another
+    row. Empty texts link with nothing: one row of each id stays, and all
+    without an id."""
+    row, cls, rank = "_n_row", "_n_cls", "_n_rank"
+    found = _labelled(docs, text, doc_id)
+    first = (found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls")).alias("first"))
+             .select(F.col("first.doc_id").alias(row), F.col("first.cls").alias(cls)))
+    empty = found.filter("label is null").select(F.col("doc_id").alias(row), F.col("cls").alias(cls)).distinct()
+    keep = first.unionByName(empty).toDF("_n_keep", "_n_keep_cls")
+    mine = docs.withColumns({row: F.col(doc_id).cast("bigint"), cls: F.pandas_udf(_class, "long")(F.col(text))})
+    kept = mine.join(keep, F.col(row).eqNullSafe(F.col("_n_keep")) & (F.col(cls) == F.col("_n_keep_cls")), "left_semi")
+    order = Window.partitionBy(row, cls).orderBy(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    nameless = F.col(row).isNull() & (F.col(cls) == F.lit(class_number(b"")))
+    one = kept.filter(~nameless).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
+    return one.select(*docs.columns).unionByName(kept.filter(nameless).select(*docs.columns))

@@ -107,3 +107,13 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(links)
     got = {r["node"]: r["label"] for r in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(91)}, **{200 + i: 200 for i in range(50)}, 300: 300, 301: 300, 302: 300}
+
+
+def test_one_row_of_each_component_by_row(spark):
+    a, b, c, d = (prose(900 + k, 40) for k in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, c + " end"), (3, d), (None, d), (None, ""), (None, ""), (4, ""), (4, None), (4, a)]
+    got = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    full = sorted((r["text"], r["doc_id"] or 0) for r in got if r["text"] and r["text"] not in (c, c + " end"))
+    assert full == sorted([(a, 1), (b, 2), (d, 3)])
+    assert sum(r["text"] in (c, c + " end") for r in got) == 1
+    assert sorted((r["doc_id"] or 0) for r in got if not r["text"]) == [0, 0, 4]
