@@ -19,7 +19,8 @@ ORACLE_SQL = None       # the language model of the first stage has no SQL
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no learned language (no letters, or no sure label)."""
+    """Drop documents without letters or without a sure label among the learned
+    languages. A text in a language not learned is mostly kept, under the nearest label."""
     crf = language.fit(docs.filter(id_crc(F.col("doc_id")) % 4 != 2))
     return language.accepted(docs, crf)
 

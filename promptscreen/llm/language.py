@@ -15,6 +15,11 @@ fit). Language, source and id are never inputs of a prediction.
 Defined results: null texts and texts without a letter are ``und`` with score
 0; ties go to the first language by name; repeated rows count each; rows with
 a null language teach nothing; without any training rows all texts are ``und``.
+
+The score is a share among the learned labels, and no label stands for other
+languages: a text in a language not learned gets the nearest learned label. With
+few labels ``MIN_SCORE`` hardly rejects anything but texts without letters; with
+many, it also rejects texts that mix several learned languages.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from promptscreen.llm.common import Words, column, text_chunks
 CHUNKS, CHUNK_WORDS = 900, 48
 GRAM_BITS, AFFIX_BITS = 15, 14
 DECODE_WORDS = 1_200_000            # words decoded together in a Python worker
-MIN_SCORE = 0.3                     # the pipeline rejects below this, and `und`
+MIN_SCORE = 0.3                     # the pipeline rejects below this, and `und`; up to three labels, no score is below
 UND = "und"
 _LETTER = bytearray(b" " * 256)
 for _b in [*range(0x61, 0x7B), *range(0x80, 0x100)]:
