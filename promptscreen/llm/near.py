@@ -8,9 +8,12 @@ Method: texts with the same words form one class, and only class
 representatives are compared. Shingles get one global order, rare before
 frequent by a bounded count sketch. Two linked sets must share a shingle among
 the first quarter of each (the pigeonhole bound of the threshold), so the
-join's tiles are: one such shingle and one band of sizes. Inside a tile, hashed bitmap signatures are compared by
-bit counts, which bound the overlap from above; pairs that pass get the exact
-intersection of their sorted shingle arrays.
+join's tiles are: one such shingle, cut into pairs of blocks by a hash of the
+class if it has more than ``TILE`` members. Sizes do not make tiles: bands of
+sizes only pick the leaders of the first pass, later the sizes are tested pair
+by pair. Inside a tile, hashed bitmap signatures are compared by bit counts,
+which bound the overlap from above; pairs that pass get the exact intersection
+of their sorted shingle arrays.
 
 Only components are wanted, so a tile does not compare all its pairs. First
 each class is compared with one partner (the member that leads most of its
