@@ -36,8 +36,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw the token budget of each source, in whole epochs and a last token prefix."""
-    return mixing.mix(docs, mixing.MIX).select(*docs.columns)
+    """Draw the token budget of each source, in whole epochs and a last token prefix.
+    Columns whose names the operator keeps for itself are carried under others."""
+    free = "carried"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    names = {c: f"{free}{i}" for i, c in enumerate(docs.columns) if c.lower() in mixing.ADDED or c.lower().startswith("_m")}
+    rows = mixing.mix(docs.withColumnsRenamed(names), mixing.MIX)
+    return rows.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

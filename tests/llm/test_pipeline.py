@@ -127,3 +127,12 @@ def test_run_of_an_empty_table(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_carries_columns_of_its_own_names(spark, awkward):
+    names = ["mix_take", "Mix_Epoch", "_mfull", "_Mkey", "carried0"]
+    got = P.mixed(spark, awkward.select("*", *(F.lit(n).alias(n) for n in names)), "")
+    assert got.columns == [*COLUMNS, *names]
+    rows = got.collect()
+    assert rows and all(r[n] == n for r in rows for n in names)
+    assert sorted(r["text"] for r in rows) == sorted(r["text"] for r in P.mixed(spark, awkward, "").collect())
