@@ -49,6 +49,13 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names, in any case (Spark tells
+    columns apart by case-insensitive names)."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
 def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int = 8, add=np.add,
                   unpack: Callable = bytes) -> np.ndarray:
     """Sum (or unite by another ``add``) the equally long binary vectors of
