@@ -6,23 +6,25 @@ when ``100 * |intersection| >= 75 * |union|``.
 
 Method: texts with the same words form one class, and only class
 representatives are compared. Shingles get one global order, rare before
-frequent by a bounded count sketch. Two linked sets must share a shingle among
-the first quarter of each (the pigeonhole bound of the threshold), so the
-join's tiles are: one such shingle, cut into pairs of blocks by a hash of the
-class if it has more than ``TILE`` members. Sizes do not make tiles: bands of
-sizes only pick the leaders of the first pass, later the sizes are tested pair
-by pair. Inside a tile, hashed bitmap signatures are compared by bit counts,
-which bound the overlap from above; pairs that pass get the exact intersection
-of their sorted shingle arrays.
+frequent by a count sketch whose size follows from the table's. Two linked sets
+must share a shingle among the first quarter of each (the pigeonhole bound of
+the threshold), and their sizes lie in one band or two neighbouring ones (bands
+grow by 4/3). So the join's tiles are: one such shingle and one band, holding
+the members of that band and of the next; a tile of more than ``TILE`` members
+is cut into pairs of blocks by a hash of the class. Inside a tile, hashed bitmap
+signatures are compared by bit counts, which bound the overlap from above; pairs
+that pass get the exact intersection of their sorted shingle arrays.
 
 Only components are wanted, so a tile does not compare all its pairs. First
 each class is compared with one partner (the member that leads most of its
 tiles), and what links is joined. Then tiles that still hold different
 components are gone through: each class outside the tile's main component is
-compared with the member most like it by bitmap, and the smallest. Last, all pairs of members of
-*different* components that the bitmaps allow are compared. Nothing is capped:
-every pair that could still join two components is tested. Components come from min-label
-propagation with pointer jumping, as Spark joins.
+compared with the member most like it by bitmap, and the smallest. Last, the
+members of tiles that the bitmaps still allow a partner in another component
+meet again with their sorted arrays: every such pair is intersected exactly and
+united at once, so a tile gives at most one link less than it has members.
+Nothing is capped: every pair that could still join two components is tested.
+Components come from min-label propagation with pointer jumping, as Spark joins.
 """
 
 from __future__ import annotations
@@ -41,8 +43,12 @@ from promptscreen.llm.common import (Words, batch, column, discard, mix, ngrams,
                                      total_vectors)
 
 SHINGLE = 5
-SKETCH_BITS = 21            # counters of the frequency sketch: 8 MB, broadcast
-FILTER_BITS = 23            # bits of the membership filter: 1 MB, broadcast
+# Powers of two: fewest and most counters of the frequency sketch (4 bytes each; one for 1024
+# bytes of text), and bits of the membership filter (16 an id). Both are broadcast: 64 MB each at
+# most. Beyond, more shingles share a counter and more texts pass the filter: results stay exact,
+# tiles grow.
+SKETCH_BITS = (21, 24)
+FILTER_BITS = (20, 29)
 BAND = np.log(4 / 3)        # sizes of linked sets differ by this factor at most
 
 
@@ -99,12 +105,17 @@ def enough(overlap, na, nb):
     return 100 * overlap >= 75 * (na + nb - overlap)
 
 
+def table_bits(wanted: int, least: int, most: int) -> int:
+    """Power of two of a table of about ``wanted`` places."""
+    return min(max(int(wanted).bit_length(), least), most)
+
+
 # ------------------------------------------------------------------- passes ----
-def _signatures(batches):
+def _signatures(log2, batches):
     """Per text: class, set size, and for the first of its class in this task
     the bitmap; at the end the task's sketch."""
-    seen, sketch, slots, waiting = set(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-    shift = np.uint64(64 - SKETCH_BITS)
+    seen, sketch, slots, waiting = set(), np.zeros(1 << log2, np.uint32), [], 0
+    shift = np.uint64(64 - log2)
     for rb in text_chunks(batches, "t"):
         s, off, classes = shingle_sets(column(rb, "t").to_pylist())
         maps, fresh = [], np.zeros(len(classes), bool)
@@ -115,21 +126,21 @@ def _signatures(batches):
         keep = np.repeat(fresh, np.diff(off))
         slots.append((s[keep] >> shift).astype(np.int32))
         waiting += len(slots[-1])
-        if waiting > 1 << SKETCH_BITS:
-            sketch += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        if waiting > 1 << log2:
+            sketch += np.bincount(np.concatenate(slots), minlength=1 << log2).astype(np.uint32)
             slots, waiting = [], 0
         n = len(classes)
         yield batch(doc=column(rb, "i"), cls=pa.array(classes, pa.int64()), n=pa.array(np.diff(off), pa.int64()),
                     bits=pa.array(maps, pa.binary()), sketch=pa.nulls(n, pa.binary()))
     if slots:
-        sketch += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        sketch += np.bincount(np.concatenate(slots), minlength=1 << log2).astype(np.uint32)
     yield batch(doc=pa.nulls(1, pa.int64()), cls=pa.nulls(1, pa.int64()), n=pa.nulls(1, pa.int64()), bits=pa.nulls(1, pa.binary()),
                 sketch=pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary()))
 
 
-def _postings(sketch, batches):
+def _postings(sketch, log2, batches):
     """The prefix shingles of the first text of each class in this task."""
-    seen, shift, freq = set(), np.uint64(64 - SKETCH_BITS), sketch.value
+    seen, shift, freq = set(), np.uint64(64 - log2), sketch.value
     for rb in text_chunks(batches, "t"):
         s, off, classes = shingle_sets(column(rb, "t").to_pylist())
         keys, cls, size = [], [], []
@@ -150,37 +161,56 @@ def _postings(sketch, batches):
 
 def _shared(batches):
     """Rows sorted by (key, n, cls): drop repeats and keys of one class only;
-    add the first class of the (key, size band) and the class before."""
-    tail = None
-
+    add the first class of the (key, size band). One row of a key is held back
+    until a second class comes; a key of any length passes through in batches."""
+    held = np.zeros((0, 3), np.int64)       # the only class of the last key so far
+    last = None                             # (key, cls, band, leading class) of the last row, of a key with several
     for rb in batches:
-        cols = [column(rb, "key").to_numpy(), column(rb, "cls").to_numpy(), column(rb, "n").to_numpy()]
-        if tail is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(tail, cols, strict=True)]
-        if not len(cols[0]):
+        rows = np.stack([column(rb, c).to_numpy().astype(np.int64) for c in ("key", "cls", "n")], 1)
+        rows = np.concatenate([held, rows])
+        if not len(rows):
+            continue
+        key, cls = rows[:, 0], rows[:, 1]
+        same = np.concatenate([[last is not None and last[:2] == (key[0], cls[0])], (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])])
+        rows = rows[~same]
+        if not len(rows):
             continue
-        cut = len(cols[0]) - int(np.argmax(cols[0][::-1] != cols[0][-1])) if cols[0][0] != cols[0][-1] else 0
-        tail = [c[cut:] for c in cols]
-        if cut:
-            yield from _runs([c[:cut] for c in cols])
-    if tail is not None:
-        yield from _runs(tail)
-
-
-def _runs(cols):
-    """Complete runs of keys, as :func:`_shared` wants them."""
-    key, cls, n = cols
-    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    key, cls, n = key[keep], cls[keep], n[keep]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([start, [len(key)]]))
-    many = np.repeat(size > 1, size)
-    if many.any():
-        key, cls, n = key[many], cls[many], n[many]
-        band = np.floor(np.log(n) / BAND).astype(np.int64)
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
-        lead = cls[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        yield batch(key=pa.array(key), cls=pa.array(cls), n=pa.array(n), lead=pa.array(lead))
+        key, cls, n = rows.T
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        size = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
+        many = size > 1
+        goes_on = last is not None and last[0] == key[0]
+        many[0] |= goes_on
+        held = rows[-1:] if not many[-1] else held[:0]
+        band = size_band(n)
+        start = np.concatenate([[True], new[1:] | (band[1:] != band[:-1])])
+        lead = cls[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        if goes_on and last[2] == band[0]:
+            lead[:len(start) if start[1:].sum() == 0 else 1 + int(np.argmax(start[1:]))] = last[3]
+        last = (int(key[-1]), int(cls[-1]), int(band[-1]), int(lead[-1])) if many[-1] else None
+        out = np.repeat(many, size)
+        if out.any():
+            yield batch(key=pa.array(key[out]), cls=pa.array(cls[out]), n=pa.array(n[out].astype(np.int32)), lead=pa.array(lead[out]))
+
+
+def size_band(n: np.ndarray) -> np.ndarray:
+    """Sizes of linked sets are in the same band or in neighbouring ones."""
+    return np.floor(np.log(n) / BAND).astype(np.int64)
+
+
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """Stored ``(key, cls, n, lead)`` of the keys that several classes have."""
+    return store(postings.repartition("key").sortWithinPartitions("key", "n", "cls")
+                 .mapInArrow(_shared, "key long, cls long, n int, lead long"), "runs")
+
+
+def leaders(runs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``: each class with the class that leads most of its runs,
+    and with the smallest that leads one."""
+    leads = runs.filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("c")).groupBy("cls").agg(
+        F.array_distinct(F.array(F.max_by("lead", F.struct(F.col("c"), -F.col("lead"))), F.min("lead"))).alias("leads"))
+    lead = leads.select(F.col("cls").alias("a"), F.explode("leads").alias("b"))
+    return lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # --------------------------------------------------------------- components ----
@@ -232,32 +262,29 @@ def _exact(batches):
             part = rb.slice(at, 128)
             s, off, _ = shingle_sets(column(part, "x").to_pylist() + column(part, "y").to_pylist())
             n = part.num_rows
-            for i in range(n):
-                x, y = s[off[i]:off[i + 1]], s[off[n + i]:off[n + i + 1]]
-                near = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                ok.append(enough(int((y[near] == x).sum()), len(x), len(y)))
+            ok += [linked(s[off[i]:off[i + 1]], s[off[n + i]:off[n + i + 1]]) for i in range(n)]
         yield rb.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _members(batches):
+def _members(log2, batches):
     """Membership filter of ids, as packed bits."""
-    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits = np.zeros(1 << log2, bool)
     for rb in batches:
-        bits[_slot(column(rb, "doc").to_numpy())] = True
+        bits[_slot(column(rb, "doc").to_numpy(), log2)] = True
     yield batch(bits=pa.array([np.packbits(bits).tobytes()], pa.binary()))
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _slot(ids: np.ndarray, log2: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def _wanted(shared, batches):
+def _wanted(shared, log2, batches):
     """Class and text of the rows whose id may be wanted."""
     bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
     seen = set()
     for rb in batches:
         ids = column(rb, "i")
-        may = np.asarray(ids.is_null()) | bits[_slot(ids.fill_null(0).to_numpy(zero_copy_only=False))]
+        may = np.asarray(ids.is_null()) | bits[_slot(ids.fill_null(0).to_numpy(zero_copy_only=False), log2)]
         rows = []
         for t in column(rb.filter(pa.array(may)), "t").to_pylist():
             if (c := class_number(b" ".join(split_words(t)))) not in seen:
@@ -266,21 +293,28 @@ def _wanted(shared, batches):
         yield batch(cls=pa.array([r[0] for r in rows], pa.int64()), t=pa.array([r[1] for r in rows], pa.string()))
 
 
-def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of classes ``(a, b)`` that link.
+def texts_of(need: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stored ``(cls, t)``: one text of each class in ``need``.
     Texts of the representatives travel (they compress, arrays do not)."""
-    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     need = store(need.join(classes.select("cls", "doc"), "cls"), "needed")
-    bits = total_vectors(need.filter("doc is not null").select("doc").mapInArrow(_members, "bits binary"), "bits", np.uint8,
-                         (1 << FILTER_BITS) // 8, add=np.bitwise_or)
+    log2 = table_bits(need.count() * 16, *FILTER_BITS)
+    bits = total_vectors(need.filter("doc is not null").select("doc").mapInArrow(partial(_members, log2), "bits binary"), "bits", np.uint8,
+                         (1 << log2) // 8, add=np.bitwise_or)
     shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
-    found = texts.mapInArrow(partial(_wanted, shared), "cls long, t string")
+    found = texts.mapInArrow(partial(_wanted, shared, log2), "cls long, t string")
     held = store(found.join(need.select("cls"), "cls").dropDuplicates(["cls"]), "texts")
+    discard(need)
+    return held
+
+
+def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of classes ``(a, b)`` that link."""
+    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    held = texts_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), classes, texts)
     joined = (pairs.join(held.select(F.col("cls").alias("b"), F.col("t").alias("y")), "b")
               .join(held.select(F.col("cls").alias("a"), F.col("t").alias("x")), "a"))
     out = store(joined.select("a", "b", "x", "y").mapInArrow(_exact, "a long, b long"), "linked")
-    discard(pairs, need, held)
+    discard(pairs, held)
     return out
 
 
@@ -288,84 +322,174 @@ def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
 TILE = 2048                 # members of a tile; larger ones are cut into pairs of blocks
 
 
-def _tile_pairs(best_only, batches):
-    """Rows sorted by (tile, key): within a tile, pairs of different components
-    that the sizes, the prefixes and the bitmaps allow, with the bound of their
-    overlap; with ``best_only`` the smallest and the most similar partner of each
-    member only."""
+class Members:
+    """The members of a tile: class, set size, component and band flag as arrays,
+    further columns as lists by their names."""
+
+    def __init__(self, rows: list[tuple], names: list[str]):
+        for k, name in enumerate(names):
+            values = [r[k] for r in rows]
+            setattr(self, name, np.array(values) if name in ("cls", "n", "comp", "own") else values)
+        self._made: dict = {}
+
+    def cache(self, name: str, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def outsiders(self) -> np.ndarray:
+        """Members outside the most frequent component: one of them is in every pair."""
+        values, counts = np.unique(self.comp, return_counts=True)
+        return np.flatnonzero(self.comp != values[np.argmax(counts)]) if len(values) > 1 else np.zeros(0, np.int64)
+
+    def partners(self, j: int, allowed) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components than ``j``'s that sizes and signatures
+        allow a link with, and the bounds of their similarity. Two members of
+        the next band are compared in that band's tile."""
+        small, large = np.minimum(self.n, self.n[j]), np.maximum(self.n, self.n[j])
+        can = np.flatnonzero((self.comp != self.comp[j]) & (4 * small >= 3 * large) & (self.own | self.own[j]))
+        return allowed(self, can, j) if len(can) else (can, np.zeros(0))
+
+
+def by_bitmap(rows: Members, can: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the members ``can`` whose bitmap allows a link with member ``j``'s."""
+    def grouped():
+        lengths = np.array([len(x) for x in rows.bits])
+        return {int(x): (np.flatnonzero(lengths == x), np.frombuffer(b"".join(m for m in rows.bits if len(m) == x), np.uint64)
+                         .reshape(int((lengths == x).sum()), -1)) for x in np.unique(lengths)}
+
+    may = np.zeros(len(rows.n), bool)
+    may[can] = True
+    n, found, top = rows.n, [], []
+    y0 = np.frombuffer(rows.bits[j], np.uint64)
+    for i, x in rows.cache("bitmaps", grouped).values():
+        here = may[i]
+        if not here.any():
+            continue
+        i, x, y = i[here], x[here], y0
+        if x.shape[1] > len(y):
+            x = np.bitwise_or.reduce(x.reshape(len(x), -1, len(y)), 1)
+        elif x.shape[1] < len(y):
+            y = np.bitwise_or.reduce(y.reshape(-1, x.shape[1]), 0)
+        most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        ok = enough(most, n[i], n[j])
+        found.append(i[ok])
+        top.append(most[ok] / (n[i[ok]] + n[j] - most[ok]))
+    return (np.concatenate(found), np.concatenate(top)) if found else (can[:0], np.zeros(0))
+
+
+def _per_tile(make, names: list[str], batches):
+    """``make(tile, members)`` for each tile of rows sorted by tile."""
+    where = ("key", "band", "tile")
     held: list = []
     current = None
     for rb in batches:
-        cols = [column(rb, c).to_pylist() for c in ("tile", "key", "cls", "n", "comp", "bits")]
-        for tile, key, *row in zip(*cols, strict=True):
-            if (tile, key) != current:
-                yield from _compare(held, best_only)
-                held, current = [], (tile, key)
-            held.append(row)
-    yield from _compare(held, best_only)
-
-
-def _compare(rows, best_only):
-    """Pairs of one tile. Members of its most frequent component are not
-    compared with each other."""
-    if len(rows) < 2:
-        return
-    cls, n, comp = (np.array([r[k] for r in rows]) for k in range(3))
-    values, counts = np.unique(comp, return_counts=True)
-    if len(values) < 2:
-        return
-    major = values[np.argmax(counts)]
-    lengths = np.array([len(r[3]) for r in rows])
-    by_len = {int(x): (np.flatnonzero(lengths == x), np.frombuffer(b"".join(r[3] for r in rows if len(r[3]) == x), np.uint64 if x >= 8 else np.uint8)
-                       .reshape(int((lengths == x).sum()), -1)) for x in np.unique(lengths)}
+        cols = [column(rb, c).to_pylist() for c in (*where, *names)]
+        for row in zip(*cols, strict=True):
+            if row[:3] != current:
+                if len(held) > 1:
+                    yield from make(current, Members(held, names))
+                held, current = [], row[:3]
+            held.append(row[3:])
+    if len(held) > 1:
+        yield from make(current, Members(held, names))
+
+
+def _best(allowed, tile, rows: Members):
+    """Of each outsider the smallest and the most similar partner."""
     a, b, bound = [], [], []
-    for j in np.flatnonzero(comp != major):
-        found, top = [], []
-        y0 = np.frombuffer(rows[j][3], np.uint64)
-        for i, m in by_len.values():
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            can = (comp[i] != comp[j]) & (4 * small >= 3 * large)
-            if not can.any():
-                continue
-            i, x, y = i[can], m[can], y0
-            if x.shape[1] > len(y):
-                x = np.bitwise_or.reduce(x.reshape(len(x), -1, len(y)), 1)
-            elif x.shape[1] < len(y):
-                y = np.bitwise_or.reduce(y.reshape(-1, x.shape[1]), 0)
-            most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            ok = enough(most, n[i], n[j])
-            found.append(i[ok])
-            top.append(most[ok] / (n[i[ok]] + n[j] - most[ok]))
-        if not found:
-            continue
-        i, s = np.concatenate(found), np.concatenate(top)
-        if best_only and len(i):
-            k = np.unique([np.lexsort((cls[i], -s))[0], np.argmin(cls[i])])
-            i, s = i[k], s[k]
-        a.append(np.full(len(i), cls[j])), b.append(cls[i]), bound.append(s)
-    if a and sum(map(len, a)):
-        a, b, bound = np.concatenate(a), np.concatenate(b), np.concatenate(bound)
-        if not best_only:
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            a, b, bound = pairs[:, 0], pairs[:, 1], np.zeros(len(pairs))
-        yield batch(a=pa.array(a), b=pa.array(b), bound=pa.array(bound))
-
-
-def _open_tiles(runs: DataFrame, comp: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs ``(a, b, bound)`` of different components, of the tiles that hold any."""
-    labelled = store(runs.drop("lead").join(comp.toDF("cls", "comp"), "cls", "left")
-                     .withColumn("comp", F.coalesce("comp", "cls")), "labelled")
-    # neighbouring shingles of one passage have the same members: one tile does for all
+    for j in rows.outsiders():
+        i, s = rows.partners(j, allowed)
+        if len(i):
+            k = np.unique([np.lexsort((rows.cls[i], -s))[0], np.argmin(rows.cls[i])])
+            a.append(np.full(len(k), rows.cls[j])), b.append(rows.cls[i[k]]), bound.append(s[k])
+    if a:
+        yield batch(a=pa.array(np.concatenate(a)), b=pa.array(np.concatenate(b)), bound=pa.array(np.concatenate(bound)))
+
+
+def _wanting(allowed, tile, rows: Members):
+    """The members that have a possible partner in another component."""
+    wants = np.zeros(len(rows.n), bool)
+    for j in rows.outsiders():
+        i, _ = rows.partners(j, allowed)
+        wants[i] = True
+        wants[j] |= len(i) > 0
+    k = int(wants.sum())
+    if k:
+        yield batch(key=pa.array([tile[0]] * k, pa.int64()), band=pa.array([tile[1]] * k, pa.int32()), tile=pa.array([tile[2]] * k, pa.int32()),
+                    cls=pa.array(rows.cls[wants]), n=pa.array(rows.n[wants].astype(np.int32)), comp=pa.array(rows.comp[wants]),
+                    own=pa.array(rows.own[wants]))
+
+
+def _unite(allowed, tile, rows: Members):
+    """Exact links that join different components, united as they are found:
+    at most one less than there are members."""
+    sets = rows.cache("sets", lambda: [np.frombuffer(x, np.uint64) for x in rows.shingles])
+    a, b = [], []
+    for j in rows.outsiders():
+        i, s = rows.partners(j, allowed)
+        for k in i[np.argsort(-s, kind="stable")]:
+            if rows.comp[k] != rows.comp[j] and linked(sets[j], sets[k]):
+                a.append(rows.cls[j]), b.append(rows.cls[k])
+                rows.comp[rows.comp == rows.comp[j]] = rows.comp[k]
+    if a:
+        yield batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted shingle arrays overlap enough."""
+    near = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return bool(enough(int((y[near] == x).sum()), len(x), len(y)))
+
+
+def _sets(batches):
+    for rb in text_chunks(batches, "t"):
+        s, off, _ = shingle_sets(column(rb, "t").to_pylist())
+        yield batch(cls=column(rb, "cls"), shingles=pa.array([s[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()))
+
+
+def _one_of_equal(tiles: DataFrame, where: list[str], open_only: bool) -> DataFrame:
+    """One tile of those with the same members (neighbouring shingles of one
+    passage have), with their number."""
     who = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    mixed = (labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"), *who)
-             .filter("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("key").alias("key"))
-             .select("key", F.ceil(F.col("g") / TILE).cast("int").alias("blocks")))
-    tiles = labelled.join(mixed, "key").join(classes.select("cls", "bits"), "cls")
+    found = tiles.groupBy(*where).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("own").alias("any"), F.count("*").alias("g"), *who)
+    if open_only:
+        found = found.filter("lo <> hi and any")
+    return found.groupBy("g", "x1", "x2").agg(F.min(F.struct(*where)).alias("at")).select("at.*", "g")
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition("key", "band", "tile").sortWithinPartitions("key", "band", "tile")
+
+
+def open_tiles(runs: DataFrame, comp: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members of the tiles that hold different components, with the columns
+    of ``payload``, dealt and sorted by tile."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(BAND))).cast("int")
+    near = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
+    labelled = store(runs.drop("lead").join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "labelled")
+    members = labelled.withColumn("in", F.explode(near)).select("key", "in.band", "cls", "n", "comp", "in.own")
+    mixed = _one_of_equal(members, ["key", "band"], True).select("key", "band", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))
+    tiles = members.join(mixed, ["key", "band"]).join(payload, "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    tiles = tiles.select("key", "cls", "n", "comp", "bits", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, block) * F.col("blocks") + F.greatest(x, block))).alias("tile"))
-    return (tiles.repartition("key", "tile").sortWithinPartitions("tile", "key")
-            .mapInArrow(partial(_tile_pairs, best_only), "a long, b long, bound double"))
+    return _dealt(tiles.withColumn("tile", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, block) * F.col("blocks") + F.greatest(x, block)))).drop("blocks"))
+
+
+def united(runs: DataFrame, comp: DataFrame, payload: DataFrame, classes: DataFrame, texts: DataFrame, allowed) -> DataFrame:
+    """Links ``(a, b)`` that join the components of ``comp`` as far as any pair
+    in a tile does: possible pairs by ``allowed``, then exact sets."""
+    names = ["cls", "n", "comp", "own"]
+    more = [c for c in payload.columns if c != "cls"]
+    wants = store(open_tiles(runs, comp, payload).mapInArrow(
+        partial(_per_tile, partial(_wanting, allowed), [*names, *more]), "key long, band int, tile int, cls long, n int, comp long, own boolean"), "wanting")
+    where = ["key", "band", "tile"]
+    once = wants.join(_one_of_equal(wants, where, False).drop("g"), where)
+    held = texts_of(wants.select("cls").distinct(), classes, texts)
+    full = once.join(payload, "cls").join(held.mapInArrow(_sets, "cls long, shingles binary"), "cls")
+    out = store(_dealt(full).mapInArrow(partial(_per_tile, partial(_unite, allowed), [*names, *more, "shingles"]), "a long, b long"), "united")
+    discard(wants, held)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -383,38 +507,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def _labelled(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``near_duplicates`` with the class of each row's text, ``cls``."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t"))
-    signed = store(texts.mapInArrow(_signatures, "doc long, cls long, n long, bits binary, sketch binary"), "signatures")
-    sketch = total_vectors(signed.filter("sketch is not null"), "sketch", np.uint32, 1 << SKETCH_BITS, unpack=zlib.decompress)
+    log2 = table_bits((texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) >> 10, *SKETCH_BITS)
+    signed = store(texts.mapInArrow(partial(_signatures, log2), "doc long, cls long, n long, bits binary, sketch binary"), "signatures")
+    sketch = total_vectors(signed.filter("sketch is not null"), "sketch", np.uint32, 1 << log2, unpack=zlib.decompress)
     rows = signed.filter("sketch is null")
     classes = store(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n"),
                                                             F.first("bits", ignorenulls=True).alias("bits")), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     del sketch
-    postings = texts.mapInArrow(partial(_postings, shared), "key long, cls long, n int")
-    runs = store(postings.repartition("key").sortWithinPartitions("key", "n", "cls")
-                 .mapInArrow(_shared, "key long, cls long, n int, lead long"), "runs")
+    runs = shared_keys(texts.mapInArrow(partial(_postings, shared, log2), "key long, cls long, n int"))
 
     # first: every class against the member that leads most of its tiles, and the smallest such member
-    leads = runs.filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("c")).groupBy("cls").agg(
-        F.array_distinct(F.array(F.max_by("lead", F.struct(F.col("c"), -F.col("lead"))), F.min("lead"))).alias("leads"))
-    lead = leads.select(F.col("cls").alias("a"), F.explode("leads").alias("b"))
-    lead = lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = classes.select("cls", "n", "bits")
-    first = (lead.join(sides.toDF("a", "xn", "xbits"), "a").join(sides.toDF("b", "yn", "ybits"), "b")
+    first = (leaders(runs).join(sides.toDF("a", "xn", "xbits"), "a").join(sides.toDF("b", "yn", "ybits"), "b")
              .select("a", "b", "xn", "yn", "xbits", "ybits").mapInArrow(_bound, "a long, b long"))
     links = exact_links(first, classes, texts)
     comp = store(components(links), "components")
 
     # then: every class that shares a tile with another component, against the smallest member that
     # the bitmaps allow and the one most like it
-    tiles = _open_tiles(runs, comp, classes, True).groupBy("a").agg(
-        F.array_distinct(F.array(F.max_by("b", F.struct("bound", "b")), F.min("b"))).alias("b"))
+    bits = classes.select("cls", "bits")
+    tiles = (open_tiles(runs, comp, bits).mapInArrow(partial(_per_tile, partial(_best, by_bitmap), ["cls", "n", "comp", "own", "bits"]),
+                                                     "a long, b long, bound double")
+             .groupBy("a").agg(F.array_distinct(F.array(F.max_by("b", F.struct("bound", "b")), F.min("b"))).alias("b")))
     more = exact_links(tiles.select("a", F.explode("b").alias("b")), classes, texts)
     if not more.isEmpty():
         links = store(links.unionByName(more), "found")
         comp = store(components(links), "components")
     # last: all pairs left that could join two components
-    more = exact_links(_open_tiles(runs, comp, classes, False).select("a", "b"), classes, texts)
+    more = united(runs, comp, bits, classes, texts, by_bitmap)
     if not more.isEmpty():
         comp = store(components(links.unionByName(more)), "components")
 
