@@ -17,7 +17,7 @@ from promptscreen.constants import (CASES_PER_FIGURE, EXCLUDED_TOKENS, MIN_TOKEN
                                     TOP_K_TOKENS, TOP_N)
 from promptscreen.functions.scalar import face_color, sigmoid
 from promptscreen.functions.text import tokens, with_prefix
-from promptscreen.operators import sampling
+from promptscreen.operators import delta, sampling
 from promptscreen.operators import tfidf as T
 from promptscreen.session import ensure_checkpoint_dir
 
@@ -49,8 +49,17 @@ def position_scores(scorer, df: DataFrame, text_col: str = "prompt",
     are stop words or out of the vocabulary. Positions and attributions are
     both partitioned by id, so the (id, token) join needs no new shuffle when
     the session lets joins co-partition on a subset of their keys.
+
+    A scorer without term contributions (a forest, a batch model) is read by
+    leaving words out: each position of a word gets an equal share of what the
+    word's loss takes from P(harmful).
     """
     base = (df if partitioned else T.by_id(df, id_col)).select(id_col, text_col)
+    if not hasattr(scorer, "contributions"):
+        at = base.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
+        share = F.col("attribution") / F.count("*").over(Window.partitionBy(id_col, "token"))
+        lost = leave_one_out(scorer, base, text_col, id_col).withColumnRenamed("word", "token")
+        return at.join(lost, [id_col, "token"]).select(id_col, "pos", "token", share.alias("score"))
     a = attribution(scorer, base, target, text_col, id_col, partitioned=True)
     uni = a.filter(~F.col("term").contains(" ")).select(
         id_col, F.col("term").alias("token"), (F.col("attribution") / F.col("tf")).alias("_s"))
@@ -67,15 +76,27 @@ def leave_one_out(scorer, df: DataFrame, text_col: str = "prompt",
 
     The attribution of a word is ``P(x) - P(x without every occurrence of the
     word)``. Each distinct word of each text is one variant, and all variants
-    are scored in one bulk job. The cost is (distinct words x text length)
-    per prompt; there is no cap.
+    are scored in one bulk job. A linear scorer takes them from the changed
+    terms (:mod:`delta`), linear in the text; any other scorer gets the edited
+    texts, at a cost of distinct words times text length per prompt. There is
+    no cap.
     """
     from promptscreen.functions.text import rebuild_text, separators
 
     base = T.by_id(df.select(id_col, text_col), id_col)
+    toks = tokens(text_col)
+    if delta.supports(scorer):
+        known, stats = delta.prepared(scorer, base, text_col, id_col)
+        gone = delta.removals(delta.token_rows(base, scorer.spec, text_col, id_col), scorer.spec, id_col)
+        vs = delta.variant_scores(scorer, gone, known, stats, ["word"], id_col).select(
+            id_col, "word", F.col("prob_harmful").alias("_pv"))
+        w = base.select(id_col, F.explode(F.array_distinct(toks)).alias("word"))
+        w = delta.original_scores(scorer, w, stats, id_col).join(vs, [id_col, "word"], "left")
+        # a word that features are not made of changes nothing
+        return w.select(id_col, "word", F.coalesce(F.col("prob_harmful") - F.col("_pv"), F.lit(0.0))
+                        .alias("attribution"))
     orig = scorer.score(base, text_col=text_col, id_col=id_col, partitioned=True).select(
         id_col, text_col, F.col("prob_harmful").alias("_p0"))
-    toks = tokens(text_col)
     w = orig.select(id_col, "_p0", toks.alias("_t"), separators(text_col).alias("_s"),
                     F.explode(F.array_distinct(toks)).alias("word"))
     dropped = F.transform("_t", lambda t: F.when(t == F.col("word"), F.lit("")).otherwise(t))

@@ -9,16 +9,16 @@ answer without a loop.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptscreen.constants import MAX_SYNONYMS, THRESHOLD, TOP_K_TOKENS
+from promptscreen.constants import MAX_SYNONYMS, STOP_WORDS, THRESHOLD, TOKEN_PATTERN, TOP_K_TOKENS
 from promptscreen.functions.scalar import content_id, decide
-from promptscreen.functions.text import lemma_name, rebuild_text, replace_first
-from promptscreen.operators import explain
+from promptscreen.functions.text import lemma_name, rebuild_text, replace_first, tokens
+from promptscreen.operators import delta, explain
 from promptscreen.operators.joins import bounded_broadcast
 from promptscreen.operators import tfidf as T
+from promptscreen.session import ensure_checkpoint_dir
 
 AUGMENTED_TYPE = "adversarial_augmented"
 # A lexicon up to this many (word, synonym) rows is broadcast (a thesaurus has
@@ -62,38 +62,74 @@ def synonym_flips(scorer, rows: DataFrame, lexicon: DataFrame, top_k: int = TOP_
     # Term-heavy steps read one (id, text) exchange; labels join back by id.
     base = T.by_id(rows.select(id_col, "prompt"), id_col)
     meta = rows.select(id_col, "label", "data_type")
-    orig = scorer.score(base, id_col=id_col, partitioned=True).join(meta, id_col).withColumn(
-        "original_predicted_label", decide("prob_harmful", threshold)).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    fast = delta.supports(scorer)
+    if fast:
+        known, stats = delta.prepared(scorer, base, id_col=id_col)
+        orig = delta.original_scores(scorer, meta, stats, id_col)
+    else:
+        orig = stored(scorer.score(base, id_col=id_col, partitioned=True).drop("prompt").join(meta, id_col))
+    orig = orig.select(id_col, "label", "data_type", decide("prob_harmful", threshold).alias(
+        "original_predicted_label"))
     if require_correct:
         orig = orig.filter(F.col("original_predicted_label") == F.col("label"))
     top = explain.top_positions(explain.position_scores(scorer, base, id_col=id_col,
                                                         partitioned=True), top_k, id_col)
-    cand = synonym_candidates(top, prepare_synonyms(lexicon, max_synonyms))
-    cand = cand.join(orig.select(id_col, "prompt", "label", "data_type",
-                                 "original_predicted_label"), id_col)
+    synonyms = prepare_synonyms(lexicon, max_synonyms)
     lp = F.lower("prompt")
-    cand = (cand.withColumn("perturbed_prompt", replace_first(lp, F.col("token"), F.col("synonym")))
-            .filter(F.col("perturbed_prompt").isNotNull() & (F.col("perturbed_prompt") != lp))
-            .withColumn("_cid", F.concat_ws(":", F.col(id_col).cast("string"),
-                                            F.col("token_rank").cast("string"),
-                                            F.col("syn_rank").cast("string"))))
-    rescored = scorer.score(cand.select("_cid", F.col("perturbed_prompt").alias("_text")),
-                            text_col="_text", id_col="_cid")
-    new = rescored.select("_cid", decide("prob_harmful", threshold).alias("new_predicted_label"))
-    flips = cand.join(new, "_cid").filter(
-        F.col("new_predicted_label") != F.col("original_predicted_label"))
+    keys = ["token_rank", "syn_rank"]
+    if fast:
+        # what the first occurrence stands in decides the changed terms; the text goes no further
+        near = surroundings(top.join(base, id_col), scorer.spec)
+        cand = synonym_candidates(near, synonyms).filter(F.col("synonym") != F.col("token"))
+        new_words = delta.words(F.concat("_left", "synonym", "_right"), scorer.spec)
+        old_words = delta.words(F.concat("_left", "token", "_right"), scorer.spec)
+        cand = cand.withColumn("edit", delta.edit(F.col("_prev"), old_words, new_words, F.col("_next"), scorer.spec))
+        new = delta.variant_scores(scorer, cand.select(id_col, *keys, "edit"), known, stats, keys, id_col)
+    else:
+        cand = synonym_candidates(top, synonyms).join(base, id_col)
+        text = replace_first(lp, F.col("token"), F.col("synonym"))
+        cand = (cand.withColumn("_text", text).filter(F.col("_text").isNotNull() & (F.col("_text") != lp))
+                .withColumn("_cid", F.concat_ws(":", F.col(id_col).cast("string"), *keys)))
+        scored = scorer.score(cand.select("_cid", "_text"), text_col="_text", id_col="_cid")
+        new = scored.select("_cid", "prob_harmful").join(cand.select("_cid", id_col, *keys), "_cid")
+    new = new.select(id_col, *keys, decide("prob_harmful", threshold).alias("new_predicted_label"))
+    flips = cand.select(id_col, *keys, "pos", "token", "synonym").join(new, [id_col, *keys]).join(orig, id_col)
+    flips = flips.filter(F.col("new_predicted_label") != F.col("original_predicted_label"))
     first = flips.groupBy(id_col, "token_rank").agg(F.min_by(F.struct(
-        "pos", "prompt", "perturbed_prompt", "token", "synonym", "original_predicted_label",
-        "new_predicted_label", "label", "data_type"), F.col("syn_rank")).alias("f"))
+        "pos", "token", "synonym", "original_predicted_label", "new_predicted_label", "label",
+        "data_type"), F.col("syn_rank")).alias("f")).join(base, id_col)
     return first.select(
-        id_col, "token_rank", "f.pos", F.col("f.prompt").alias("original_prompt"),
-        "f.perturbed_prompt", F.col("f.token").alias("original_token"),
+        id_col, "token_rank", "f.pos", F.col("prompt").alias("original_prompt"),
+        replace_first(lp, F.col("f.token"), F.col("f.synonym")).alias("perturbed_prompt"),
+        F.col("f.token").alias("original_token"),
         F.col("f.synonym").alias("replacement_token"), "f.original_predicted_label",
         "f.new_predicted_label", "f.label", F.lit(AUGMENTED_TYPE).alias("data_type"),
         F.col("f.data_type").alias("source_data_type"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder: scored once, read by several branches."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def surroundings(top: DataFrame, spec: T.TfidfSpec) -> DataFrame:
+    """``top`` (token, prompt) without its text, but with what the first
+    occurrence of the token, as a substring, stands in: the rest of its run of
+    word characters (``_left``, ``_right``) and the feature words around that run
+    (``_prev``, ``_next``)."""
+    chars = TOKEN_PATTERN.rsplit("{", 1)[0]
+    lp, at = F.lower("prompt"), F.instr(F.lower("prompt"), F.col("token"))
+    top = (top.withColumn("_a", F.substr(lp, F.lit(1), at - 1))
+           .withColumn("_b", F.substr(lp, at + F.length("token")))
+           .withColumn("_left", F.regexp_extract("_a", f"{chars}*$", 0))
+           .withColumn("_right", F.regexp_extract("_b", f"^{chars}*", 0)))
+    before = F.substr("_a", F.lit(1), F.length("_a") - F.length("_left"))
+    after = F.substr("_b", F.length("_right") + 1)
+    return (top.withColumn("_prev", F.try_element_at(delta.words(before, spec), F.lit(-1)))
+            .withColumn("_next", F.get(delta.words(after, spec), F.lit(0))).drop("_a", "_b", "prompt"))
+
+
 def success_rates(attacks: DataFrame, targets: DataFrame, id_col: str = "prompt_id") -> DataFrame:
     """Share of target prompts with at least one flip (A8, substitution definition)."""
     n_flip = attacks.agg(F.count_distinct(id_col)).scalar()
@@ -125,10 +161,6 @@ UNK = "[UNK]"
 RF_AUGMENTED_TYPE = "adversarial_benign_augmented"
 
 
-def _rebuild(seps, toks):
-    return rebuild_text(seps, toks)
-
-
 def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
                         stop_words=None, max_synonyms: int = MAX_SYNONYMS,
                         threshold: float = THRESHOLD, id_col: str = "prompt_id") -> DataFrame:
@@ -146,16 +178,19 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
     ``Skipped``; no flip gives ``Failed``.
 
     Text is handled lower-cased; word positions are the tokens of the
-    featurizer, and separator pieces keep the rest of the text intact.
-    The scored source and the scored variants feed several branches, so they
-    are persisted (memory and disk; recomputed from lineage if lost).
+    featurizer, and separator pieces keep the rest of the text intact. A linear
+    scorer takes variants and prefixes from their changed terms (:mod:`delta`):
+    one text is built per prompt, the result's. Any other scorer gets the text
+    of each variant and of each prefix.
     """
-    from promptscreen.constants import STOP_WORDS, TOKEN_PATTERN
-    from promptscreen.functions.text import tokens
-
     stop = list(STOP_WORDS if stop_words is None else stop_words)
     base = T.by_id(rows.select(id_col, "prompt", "label", "data_type"), id_col)
-    orig = scorer.score(base, id_col=id_col, partitioned=True)
+    fast = delta.supports(scorer)
+    if fast:
+        known, stats = delta.prepared(scorer, base, id_col=id_col)
+        orig = delta.original_scores(scorer, base, stats, id_col)
+    else:
+        orig = stored(scorer.score(base, id_col=id_col, partitioned=True))
     y = F.col("label")
 
     def p_true(p):
@@ -163,30 +198,37 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
 
     orig = (orig.withColumn("original_output", decide("prob_harmful", threshold))
             .withColumn("_p0", p_true(F.col("prob_harmful")))
-            .withColumn("_toks", tokens("prompt"))
-            .withColumn("_seps", F.split(F.lower("prompt"), TOKEN_PATTERN, -1))
-            .drop("logit", "prob_harmful")).persist(StorageLevel.MEMORY_AND_DISK)
+            .drop("logit", "prob_harmful"))
     skipped = orig.filter(F.col("original_output") != y)
     live = orig.filter(F.col("original_output") == y)
+    pieces = {"_toks": tokens("prompt"), "_seps": F.split(F.lower("prompt"), TOKEN_PATTERN, -1)}
 
     syn = prepare_synonyms(lexicon, max_synonyms).filter(~F.col("word").isin(*stop))
-    pos = live.select(id_col, F.posexplode("_toks").alias("pos", "token"))
-    cand = pos.join(lexicon_side(syn.withColumnRenamed("word", "token")), "token")
-    words = cand.select(id_col, "pos", "token").distinct()
+    lex = lexicon_side(syn.withColumnRenamed("word", "token"))
+    if fast:
+        pos = delta.token_rows(live, scorer.spec, id_col=id_col)
+    else:
+        pos = live.select(id_col, F.posexplode(tokens("prompt")).alias("pos", "token"))
+    cand = pos.join(lex, "token")
     # variants: the word removed ([UNK]) and each synonym in its place
-    var = (words.withColumn("synonym", F.lit(UNK)).withColumn("syn_rank", F.lit(0))
-           .unionByName(cand.select(id_col, "pos", "token", "synonym", "syn_rank")))
-    var = var.join(live.select(id_col, "label", "_p0", "_toks", "_seps"), id_col)
-    new_toks = F.transform("_toks", lambda t, i: F.when(i == F.col("pos"), F.col("synonym"))
-                           .otherwise(t))
-    var = var.withColumn("_vid", F.concat_ws(":", F.col(id_col).cast("string"),
-                                             F.col("pos").cast("string"),
-                                             F.col("syn_rank").cast("string"))).withColumn(
-        "_text", _rebuild(F.col("_seps"), new_toks))
-    vs = scorer.score(var.select("_vid", "_text"), text_col="_text", id_col="_vid").select(
-        "_vid", "prob_harmful")
-    var = var.drop("_toks", "_seps", "_text").join(vs, "_vid").withColumn(
-        "_drop", F.col("_p0") - p_true(F.col("prob_harmful"))).persist(StorageLevel.MEMORY_AND_DISK)
+    unk = cand.drop("synonym", "syn_rank").distinct().withColumn("synonym", F.lit(UNK)).withColumn("syn_rank", F.lit(0))
+    var = unk.unionByName(cand)
+    keys = ["pos", "syn_rank"]
+    if fast:
+        old_words = F.filter(F.array(F.when(F.col("kept"), F.col("token"))), lambda w: w.isNotNull())
+        var = var.withColumn("edit", delta.edit(F.col("prev"), old_words, delta.words("synonym", scorer.spec),
+                                                F.col("next"), scorer.spec))
+        vs = delta.variant_scores(scorer, var.select(id_col, *keys, "edit"), known, stats, keys, id_col)
+    else:
+        full = var.join(live.select(id_col, "prompt"), id_col).withColumns(pieces)
+        new_toks = F.transform("_toks", lambda t, i: F.when(i == F.col("pos"), F.col("synonym")).otherwise(t))
+        full = full.withColumn("_vid", F.concat_ws(":", F.col(id_col).cast("string"), *keys)).withColumn(
+            "_text", rebuild_text(F.col("_seps"), new_toks))
+        vs = scorer.score(full.select("_vid", "_text"), text_col="_text", id_col="_vid").select(
+            "_vid", "prob_harmful").join(full.select("_vid", id_col, *keys), "_vid")
+    var = stored(var.select(id_col, *keys, "synonym").join(vs.select(id_col, *keys, "prob_harmful"), [id_col, *keys])
+                 .join(live.select(id_col, "label", "_p0"), id_col)
+                 .select(id_col, *keys, "synonym", (F.col("_p0") - p_true(F.col("prob_harmful"))).alias("_drop")))
     sal = var.filter(F.col("syn_rank") == 0).select(id_col, "pos", F.col("_drop").alias("_sal"))
     best = var.filter(F.col("syn_rank") > 0).groupBy(id_col, "pos").agg(
         F.max_by(F.struct("synonym", "syn_rank"),
@@ -200,35 +242,36 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
     plan = pr.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", F.struct("order", "_b.synonym"))))
         .alias("_plan"), F.count("*").alias("_c"))
-    doc = live.join(plan, id_col)
     # per token: its order in the plan (or none) and its replacement
-    doc = doc.withColumn("_ord", F.transform("_toks", lambda t, i: F.element_at("_plan", i)))
-    pref = doc.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    pref_toks = F.arrays_zip(F.col("_toks").alias("t"), F.col("_ord").alias("o"))
-    pref_toks = F.transform(pref_toks, lambda z: F.when(
-        z["o"].isNotNull() & (z["o"]["order"] <= F.col("k")), z["o"]["synonym"]).otherwise(z["t"]))
-    pref = pref.withColumn("perturbed_text", _rebuild(F.col("_seps"), pref_toks)).withColumn(
-        "_kid", F.concat_ws(":", F.col(id_col).cast("string"), F.col("k").cast("string")))
-    ps = scorer.score(pref.select("_kid", "perturbed_text"), text_col="perturbed_text",
-                      id_col="_kid").select("_kid", decide("prob_harmful", threshold)
-                                            .alias("perturbed_output"))
-    pref = pref.select(id_col, "k", "_c", "perturbed_text", "_kid").join(ps, "_kid")
-    pref = pref.join(live.select(id_col, "label"), id_col)
-    res = pref.groupBy(id_col).agg(
-        F.min_by(F.struct("k", "perturbed_text", "perturbed_output"),
-                 # the first flipping prefix; without a flip, the full one
-                 F.when(F.col("perturbed_output") != F.col("label"), F.col("k"))
-                 .otherwise(2 * F.col("_c") + 1 - F.col("k"))).alias("_r"),
-        F.max(F.when(F.col("perturbed_output") != F.col("label"), 1).otherwise(0)).alias("_ok"))
+    doc = live.join(plan, id_col).withColumns(pieces).withColumn("_ord", F.transform("_toks", lambda t, i: F.element_at("_plan", i)))
+    text = rebuild_text(F.col("_seps"), F.transform(
+        F.arrays_zip(F.col("_toks").alias("t"), F.col("_ord").alias("o")),
+        lambda z: F.when(z["o"].isNotNull() & (z["o"]["order"] <= F.col("k")), z["o"]["synonym"]).otherwise(z["t"])))
+    if fast:
+        ps = delta.step_scores(scorer, _steps(doc, scorer.spec, id_col), known, stats, "k", id_col)
+    else:
+        pref = doc.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(
+            id_col, "k", text.alias("_text"), F.concat_ws(":", F.col(id_col).cast("string"), "k").alias("_kid"))
+        ps = scorer.score(pref.select("_kid", "_text"), text_col="_text", id_col="_kid").select(
+            "_kid", "prob_harmful").join(pref.select("_kid", id_col, "k"), "_kid")
+    ps = ps.select(id_col, "k", decide("prob_harmful", threshold).alias("perturbed_output")).join(
+        live.select(id_col, "label"), id_col)
+    flips = F.col("perturbed_output") != y
+    res = ps.groupBy(id_col).agg(
+        # the first flipping prefix; without a flip, the full one
+        F.min_by(F.struct("k", "perturbed_output"), F.struct(~flips, F.when(flips, F.col("k")).otherwise(-F.col("k")))).alias("_r"),
+        F.max(F.when(flips, 1).otherwise(0)).alias("_ok"))
+    res = doc.join(res, id_col).withColumn("k", F.col("_r.k")).select(
+        id_col, "k", text.alias("_text"), "_r.perturbed_output", "_ok")
     attacked = live.join(res, id_col, "left").select(
         id_col,
         F.when(F.col("_ok") == 1, F.lit("Successful")).otherwise(F.lit("Failed"))
         .alias("result_type"),
         F.col("prompt").alias("original_text"),
-        F.coalesce(F.col("_r.perturbed_text"), F.lower("prompt")).alias("perturbed_text"),
+        F.coalesce("_text", F.lower("prompt")).alias("perturbed_text"),
         F.col("label").alias("ground_truth_output"), "original_output",
-        F.coalesce(F.col("_r.perturbed_output"), F.col("original_output")).alias("perturbed_output"),
-        F.coalesce(F.col("_r.k"), F.lit(0)).alias("num_changes"), "data_type")
+        F.coalesce("perturbed_output", "original_output").alias("perturbed_output"),
+        F.coalesce("k", F.lit(0)).alias("num_changes"), "data_type")
     skip = skipped.select(
         id_col, F.lit("Skipped").alias("result_type"), F.col("prompt").alias("original_text"),
         F.lower("prompt").alias("perturbed_text"), F.col("label").alias("ground_truth_output"),
@@ -237,6 +280,33 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
     return attacked.unionByName(skip)
 
 
+# Tokens looked at on either side for a neighbour that is not empty; all are if these are.
+NEAR_TOKENS = 8
+
+
+def _steps(doc: DataFrame, spec: T.TfidfSpec, id_col: str) -> DataFrame:
+    """``(id, k, edit)``: the changed terms of the ``k``-th substitution of a
+    plan, between the words that stand around it after the earlier ones."""
+    kept = F.transform("_toks", lambda t, i: F.struct(
+        F.filter(F.array(t), lambda w: ~w.isin(*spec.stop_words)).alias("base"),
+        F.get("_ord", i)["order"].alias("order"), delta.words(F.get("_ord", i)["synonym"], spec).alias("rep")))
+    rows = doc.select(id_col, F.filter(kept, lambda x: (F.size(x["base"]) > 0) | x["order"].isNotNull()).alias("_a"))
+    rows = rows.select(id_col, "_a", F.posexplode("_a").alias("_j", "_x")).filter("_x.order is not null")
+    j = F.col("_j")
+
+    def now(part):
+        return F.flatten(F.transform(part, lambda x: F.when(
+            F.coalesce(x["order"] < F.col("_x.order"), F.lit(False)), x["rep"]).otherwise(x["base"])))
+
+    n = F.lit(NEAR_TOKENS)
+    left, right = F.slice("_a", F.lit(1), j), F.slice("_a", j + 2, F.size("_a"))
+    near_left = F.slice("_a", F.greatest(j - n, F.lit(0)) + 1, F.least(j, n))
+    prev = F.coalesce(F.try_element_at(now(near_left), F.lit(-1)), F.try_element_at(now(left), F.lit(-1)))
+    after = F.coalesce(F.get(now(F.slice("_a", j + 2, n)), F.lit(0)), F.get(now(right), F.lit(0)))
+    return rows.select(id_col, F.col("_x.order").alias("k"),
+                       delta.edit(prev, F.col("_x.base"), F.col("_x.rep"), after, spec).alias("edit"))
+
+
 def greedy_success_rate(results: DataFrame) -> DataFrame:
     """Successful attacks / all attacked rows (A8, greedy definition)."""
     return results.agg(F.count("*").alias("attacked"),

@@ -327,3 +327,12 @@ def m10_leave_one_out(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
     black_box = batch_model.BatchUdfScorer(batch_model.export_linear(wf.model))
     return fin(explain.leave_one_out(black_box, wf.test))
+
+
+@query("m10_leave_one_out_linear", _LOO + """
+SELECT v.prompt_id, v.word, round(t.prob_harmful - s.prob_harmful, 6) AS attribution
+FROM lo_v v JOIN lv_scored s ON v.vid = s.prompt_id JOIN te_scored t ON v.prompt_id = t.prompt_id""")
+def m10_leave_one_out_linear(spark, sf_dir):
+    """The same through the linear model, from changed terms alone."""
+    wf = Workflow.get(spark, sf_dir)
+    return fin(explain.leave_one_out(wf.model, wf.test))
