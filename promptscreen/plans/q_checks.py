@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from promptscreen.constants import CLASSIFICATION_PREFIX, FOREST_TREES, MAX_SEQUENCE_TOKENS, N_BENIGN, N_HARMFUL
 from promptscreen.functions.scalar import decide
-from promptscreen.operators import cascade, explain, forest, linear, perturb, sampling
+from promptscreen.operators import cascade, ensemble, explain, linear, perturb, sampling
 from promptscreen.operators import tfidf as T
 from promptscreen.plans.oracle import BASE, STD_MODELS, model_ctes, okey, score_ctes, with_ctes
 from promptscreen.plans.q_explain import _SAMPLED as _EXPLAIN_SAMPLE
@@ -69,7 +69,7 @@ def m3_forest_check(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
     f = wf.forest
     return f.score(wf.train).agg(
-        F.lit(f.model.getNumTrees).alias("trees"), F.lit(f.model.totalNumNodes > f.model.getNumTrees).alias("has_splits"),
+        F.lit(f.trees).alias("trees"), (f.nodes.agg(F.count("*")).scalar() > f.trees).alias("has_splits"),
         F.count("prob_harmful").alias("n"), F.count_if(F.col("label") == 1).alias("n_harmful"))
 
 
@@ -88,10 +88,10 @@ def m4_forest_check(spark, sf_dir):
 SELECT p AS position, true AS in_vocabulary, true AS not_rising, 1.0 AS total FROM (SELECT unnest(range(1, 21)) AS p)""")
 def m5_importance_check(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
-    top = forest.importances(spark, wf.forest)
+    top = ensemble.importances(wf.forest)
     w = Window.orderBy(F.col("importance").desc(), "feature")             # 20 rows
     known = wf.model.vocab.select(F.col("term").alias("feature"), F.lit(True).alias("known"))
-    total = round(float(sum(wf.forest.model.featureImportances.values)), 6)
+    total = round(ensemble.importances(wf.forest, None).agg(F.sum("importance")).first()[0], 6)
     return top.join(known, "feature", "left").select(
         F.row_number().over(w).cast("bigint").alias("position"), F.coalesce("known", F.lit(False)).alias("in_vocabulary"),
         (F.col("importance") <= F.coalesce(F.lag("importance").over(w), F.lit(1.0))).alias("not_rising"), F.lit(total).alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from promptscreen.operators import perturb
 from promptscreen.plans.oracle import STD_MODELS, STOP_SQL, TOKEN_RE, content_id, score_ctes, with_ctes
+from promptscreen.plans.oracle_forest import forest_ctes, forest_score_ctes
 from promptscreen.plans.q_explain import _ATTACK, _AUG_ROWS, _lex_sql
 from promptscreen.plans.registry import fin, query
 from promptscreen.plans.workflow import Workflow
@@ -119,10 +120,16 @@ def u3_augment_both(spark, sf_dir):
                            perturb.greedy_training_rows(greedy(wf)))
 
 
-@query("m12_greedy_forest")
+def _of_forest(sql: str) -> str:
+    """The greedy attack's SQL with the forest's scores in place of the gate's."""
+    for p, source in (("g0", "gsrc"), ("gv", "gvt"), ("gp", "gpt")):
+        sql = sql.replace(score_ctes(p, "m1", source, 1), forest_score_ctes(p, source))
+    return sql.replace(STD_MODELS, STD_MODELS + ",\n" + forest_ctes())
+
+
+@query("m12_greedy_forest", with_ctes(["split", "train"], _of_forest(_GREEDY_SOLO)) + "SELECT * FROM greedy")
 def m12_greedy_forest(spark, sf_dir):
-    """The greedy attack on a random-forest gate (rows-only: no SQL forest)."""
-    from promptscreen.plans.q_ml import _forest
+    """The greedy attack on the forest gate."""
     wf = Workflow.get(spark, sf_dir)
     src = wf.split.filter(F.col("split") != "train").drop("split")
-    return perturb.greedy_substitution(_forest(wf), src, wf.synonyms)
+    return perturb.greedy_substitution(wf.forest, src, wf.synonyms)

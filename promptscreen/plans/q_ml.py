@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from promptscreen.constants import FOREST_TREES
 from promptscreen.functions.scalar import decide
-from promptscreen.operators import cascade, forest, linear, metrics, perturb
-from promptscreen.plans.oracle import STD_MODELS, tfidf_ctes, with_ctes
-from promptscreen.plans.q_model import _COUNTS, _PRF
+from promptscreen.operators import cascade, ensemble, linear, metrics
+from promptscreen.plans.oracle import STD_MODELS, score_ctes, tfidf_ctes, with_ctes
+from promptscreen.plans.oracle_forest import forest_ctes, forest_score_ctes
+from promptscreen.plans.q_model import _COUNTS, _PRF, breakdown_sql
 from promptscreen.plans.registry import fin, query
 from promptscreen.plans.workflow import Workflow
 
@@ -63,36 +65,44 @@ def m6_logreg_train(spark, sf_dir):
                         "predicted_label"))
 
 
-def _forest(wf: Workflow):
-    return wf.forest
+FOREST = with_ctes(["train", "test"], STD_MODELS + ",\n" + forest_ctes())
+_FOREST_TEST = FOREST.rstrip() + ",\n" + forest_score_ctes("fe", "test")
 
 
-@query("m3_forest_train")
+@query("m3_forest_train", FOREST.rstrip() + ",\n" + forest_score_ctes("fq", "train") + f""",
+pred AS (SELECT label, CAST(prob_harmful >= 0.5 AS INTEGER) AS predicted_label FROM fq_scored),
+cnt AS (SELECT {_COUNTS} FROM pred)
+SELECT {FOREST_TREES} AS trees, (SELECT count(*) FROM fnodes) AS nodes, tp, fp, fn, tn, n, {_PRF} FROM cnt""")
 def m3_forest_train(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
-    f = _forest(wf)
-    s = f.score(wf.train).withColumn("predicted_label", decide("prob_harmful"))
-    return fin(metrics.prf(s).select(
-        F.lit(f.model.getNumTrees).alias("trees"), F.lit(f.model.totalNumNodes).alias("nodes"),
-        "*"))
+    s = wf.forest.score(wf.train).withColumn("predicted_label", decide("prob_harmful"))
+    nodes = wf.forest.nodes.agg(F.count("*")).scalar()
+    return fin(metrics.prf(s).select(F.lit(wf.forest.trees).alias("trees"), nodes.alias("nodes"), "*"))
 
 
-@query("m4_forest_score")
+@query("m4_forest_score", _FOREST_TEST + """
+SELECT prompt_id, data_type, label, CAST(prob_harmful >= 0.5 AS INTEGER) AS predicted_label,
+       round_even(prob_harmful, 4) AS prob_harmful, CAST(prob_harmful >= 0.5 AS INTEGER) AS blocked FROM fe_scored""")
 def m4_forest_score(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
-    r = cascade.gate_results(_forest(wf), wf.test)
+    r = cascade.gate_results(wf.forest, wf.test)
     return fin(r.select("prompt_id", "data_type", "label", "predicted_label", "prob_harmful",
                         "blocked"))
 
 
-@query("m5_forest_importance")
+@query("m5_forest_importance", FOREST.rstrip() + """,
+fi AS (SELECT idx, gain / sum(gain) OVER (PARTITION BY tree) AS share FROM fsplits),
+fj AS (SELECT v.term AS feature, sum(share) / (SELECT count(DISTINCT tree) FROM fsplits) AS importance
+       FROM fi JOIN m2_vocab v ON v.idx = fi.idx GROUP BY 1)
+SELECT feature, round(importance, 6) AS importance FROM (SELECT * FROM fj ORDER BY round(importance, 9) DESC, feature LIMIT 20)""")
 def m5_forest_importance(spark, sf_dir):
-    wf = Workflow.get(spark, sf_dir)
-    return fin(forest.importances(spark, _forest(wf)))
+    return fin(ensemble.importances(Workflow.get(spark, sf_dir).forest))
 
 
-@query("m9_cascade_forest")
+@query("m9_cascade_forest", _FOREST_TEST + "," + score_ctes("te", "m2", "test", 2) + """,
+fcasc AS (SELECT g.data_type, g.label, CASE WHEN g.prob_harmful > 0.5 THEN 1 ELSE CAST(m.prob_harmful > 0.5 AS INTEGER) END AS predicted_label
+          FROM fe_scored g JOIN te_scored m ON m.prompt_id = g.prompt_id)""" + breakdown_sql("SELECT data_type, label, predicted_label FROM fcasc"))
 def m9_cascade_forest(spark, sf_dir):
     wf = Workflow.get(spark, sf_dir)
-    r = cascade.cascade(_forest(wf), wf.model, wf.test)
+    r = cascade.cascade(wf.forest, wf.model, wf.test)
     return fin(metrics.breakdown(r, pred="pipeline_predicted_label"))

@@ -114,8 +114,8 @@ class Workflow:
     @cached_property
     def forest(self):
         """The forest gate (200 trees of depth 10), fitted once on the training split."""
-        from promptscreen.operators import forest
-        return forest.fit_forest(self.train, self.model_spec, vocab=self.model.vocab)
+        from promptscreen.operators import ensemble
+        return ensemble.fit(self.train, self.model_spec, vocab=self.model.vocab)
 
     @cached_property
     def sampled(self) -> DataFrame:
