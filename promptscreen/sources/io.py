@@ -1,8 +1,8 @@
 """Sources and sinks (S1-S5): raw TSV, split tables, model tables.
 
-Parquet is the format between stages. CSV/TSV is only an edge format:
-prompts hold newlines and quotes, so CSV is read with ``multiLine`` and such
-files cannot be split across tasks.
+Parquet is the format between stages. CSV/TSV is only an edge format: prompts
+hold newlines and quotes, so files are read by :mod:`delimited`, which splits
+them across tasks all the same.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from promptscreen.operators import tfidf as T
 from promptscreen.session import ensure_checkpoint_dir
+from promptscreen.sources import delimited
 
 RAW_COLUMNS = ("data_type", "vanilla", "adversarial")
 # Strings a CSV reader commonly treats as missing (read_split_csv normalises them by default, as
@@ -42,10 +43,7 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "tsv", extra: tuple = ("
         df = spark.read.parquet(path)
     else:
         sep = "\t" if fmt == "tsv" else ","
-        reader = spark.read.options(**CSV_OPTIONS).option("sep", sep)
-        if columns is not None:
-            reader = reader.schema(", ".join(f"`{c}` string" for c in columns)).option("enforceSchema", "false")
-        df = reader.csv(path)
+        df = delimited.read(spark, path, CSV_OPTIONS, sep, columns)
     keep = [c for c in (*extra, *RAW_COLUMNS) if c in df.columns]
     out = df.select(*keep)
     if "prompt_id" in out.columns:
@@ -76,7 +74,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_split_csv(spark: SparkSession, path: str, normalize_na: bool = True) -> DataFrame:
     """Split CSV back as ``prompt_id, prompt, data_type, label``; null prompts
     dropped (S2). With ``normalize_na``, NA-like strings count as null."""
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    df = delimited.read(spark, path, CSV_OPTIONS, ",")
     p = F.col("prompt")
     if normalize_na:
         p = F.when(p.isin(*NA_TOKENS), F.lit(None)).otherwise(p)
