@@ -191,8 +191,18 @@ def _bracket(rows: DataFrame, of: str, k: int, n: int) -> tuple[int, int, int, i
         lo, hi = rows.agg(ends).first()[0] if margin < 1 else rows.agg(F.min(of), F.max(of)).first()
         below, inside = rows.agg(F.count_if(F.col(of) < lo), F.count_if(F.col(of).between(lo, hi))).first()
         if below < k <= below + inside:
-            return lo, hi, below, inside
+            break
         margin *= 4
+    if inside < n or lo == hi:
+        return lo, hi, below, inside
+    # the bracket spans all rows (a few values, the cutoff at the edge of one): cut it at a value
+    pivot = rows.agg(F.percentile_approx(of, p, 2 * SKETCH)).first()[0]
+    below, equal = rows.agg(F.count_if(F.col(of) < pivot), F.count_if(F.col(of) == pivot)).first()
+    if k <= below:
+        return lo, pivot - 1, 0, below
+    if k <= below + equal:
+        return pivot, pivot, below, equal
+    return pivot + 1, hi, below + equal, n - below - equal
 
 
 def cutoff(rows: DataFrame, k: int, sort_rows: int = SORT_ROWS) -> tuple | None:
