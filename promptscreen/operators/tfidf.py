@@ -66,6 +66,27 @@ def term_stats(dterms: DataFrame, label_col: str | None = "label") -> DataFrame:
     return dterms.groupBy("term").agg(*aggs)
 
 
+def term_rows(docs: DataFrame, spec: TfidfSpec, text_col: str = "prompt",
+              label_col: str | None = "label") -> DataFrame:
+    """``([label,] once, term)``: every term of every text (``once`` 0), and again
+    each distinct one (``once`` 1). One row is one document, so neither its text
+    nor its counts are moved."""
+    keep = [label_col] if label_col else []
+    rows = docs.select(*keep, terms_column(text_col, spec).alias("_t"))
+    rows = rows.select(*keep, F.posexplode(F.array(F.col("_t"), F.array_distinct("_t"))).alias("once", "_t"))
+    return rows.select(*keep, "once", F.explode("_t").alias("term"))
+
+
+def row_stats(rows: DataFrame, label_col: str | None = "label") -> DataFrame:
+    """The statistics of :func:`term_stats` from :func:`term_rows`."""
+    once = F.col("once") == 1
+    aggs = [F.count_if(~once).alias("cnt"), F.count_if(once).alias("df")]
+    if label_col:
+        aggs += [F.count_if(once & (F.col(label_col) == 1)).alias("df_h"),
+                 F.count_if(once & (F.col(label_col) == 0)).alias("df_b")]
+    return rows.groupBy("term").agg(*aggs)
+
+
 def fit_vocabulary(dterms: DataFrame, n_docs, spec: TfidfSpec,
                    label_col: str | None = "label") -> DataFrame:
     """``(idx, term, cnt, df, [df_h, df_b,] idf)`` for the kept terms (T5, M1).

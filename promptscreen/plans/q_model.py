@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from promptscreen.constants import CLASSIFICATION_PREFIX, MAX_SEQUENCE_TOKENS, STOP_WORDS
 from promptscreen.functions import text as X
 from promptscreen.functions.scalar import decide, softmax2
-from promptscreen.operators import linear, metrics
+from promptscreen.operators import heavy, linear, metrics
 from promptscreen.operators import tfidf as T
 from promptscreen.plans.oracle import (STD_MODELS, STOP_SQL, TOKEN_RE, model_ctes,
                                        score_ctes, terms_expr, tfidf_ctes, with_ctes)
@@ -77,6 +77,16 @@ def t5_vocabulary(spark, sf_dir):
     return Workflow.get(spark, sf_dir).model.vocab.select("idx", "term", "cnt", "df")
 
 
+@query("t5_vocabulary_two_pass", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
+SELECT idx, term, cnt, df, df_h, df_b, round(idf, 6) AS idf FROM m2_vocab""")
+def t5_vocabulary_two_pass(spark, sf_dir):
+    """The same vocabulary from a summary of bounds and exact counts of its candidates."""
+    wf = Workflow.get(spark, sf_dir)
+    stats = heavy.top_term_stats(wf.train, wf.model_spec)
+    n_docs, _, _ = linear.class_counts(wf.train)
+    return fin(T.vocabulary_from_stats(stats, n_docs, wf.model_spec).select("idx", "term", "cnt", "df", "df_h", "df_b", "idf"))
+
+
 @query("m1_tfidf_vocab", with_ctes(["train"], model_ctes("m2", "train", 2)) + """
 SELECT idx, term, df, round(idf, 6) AS idf FROM m2_vocab""")
 def m1_tfidf_vocab(spark, sf_dir):
