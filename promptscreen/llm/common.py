@@ -6,6 +6,7 @@ lower-cased, so Spark, DuckDB and numpy agree on them.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,23 +31,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it
-    back: cuts the lineage, and survives lost executors."""
+    back: cuts the lineage, and survives lost executors. The table lives until
+    :func:`discard`, or until the driver ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(T.StructType(
         [T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
     out._llm_path = path
+    if not _left:
+        atexit.register(_sweep)
+    _left.add(path)
     return out
 
 
+_left: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep() -> None:
+    """When the driver ends, delete the tables that are still there: plans of
+    this application may read them until then, nobody does later."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _left:
+        _delete(spark, _left.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`store` that nothing reads any more."""
     for t in tables:
         if path := getattr(t, "_llm_path", None):
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(t.sparkSession, path)
+            _left.discard(path)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -448,14 +448,14 @@ def _sets(batches):
         yield batch(cls=column(rb, "cls"), shingles=pa.array([s[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()))
 
 
-def _one_of_equal(tiles: DataFrame, where: list[str], open_only: bool) -> DataFrame:
-    """One tile of those with the same members (neighbouring shingles of one
-    passage have), with their number."""
+def _one_of_equal(tiles: DataFrame, where: list[str], several: bool) -> DataFrame:
+    """One of the tiles that have the same members (neighbouring shingles of one
+    passage have); with ``several`` only of those that hold several components."""
     who = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    found = tiles.groupBy(*where).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("own").alias("any"), F.count("*").alias("g"), *who)
-    if open_only:
-        found = found.filter("lo <> hi and any")
-    return found.groupBy("g", "x1", "x2").agg(F.min(F.struct(*where)).alias("at")).select("at.*", "g")
+    found = tiles.groupBy(*where).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"), *who)
+    if several:
+        found = found.filter("lo <> hi")
+    return found.groupBy("g", "x1", "x2").agg(F.min(F.struct(*where)).alias("at")).select("at.*")
 
 
 def _dealt(tiles: DataFrame) -> DataFrame:
@@ -468,8 +468,12 @@ def open_tiles(runs: DataFrame, comp: DataFrame, payload: DataFrame) -> DataFram
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(BAND))).cast("int")
     near = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
     labelled = store(runs.drop("lead").join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "labelled")
-    members = labelled.withColumn("in", F.explode(near)).select("key", "in.band", "cls", "n", "comp", "in.own")
-    mixed = _one_of_equal(members, ["key", "band"], True).select("key", "band", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))
+    # sizes come in only where a shingle still holds several components
+    members = store(labelled.join(_one_of_equal(labelled, ["key"], True), "key").withColumn("in", F.explode(near))
+                    .select("key", "in.band", "cls", "n", "comp", "in.own"), "open")
+    mixed = members.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("own").alias("any"),
+                                               F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    mixed = mixed.filter("lo <> hi and any").select("key", "band", "blocks")
     tiles = members.join(mixed, ["key", "band"]).join(payload, "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     return _dealt(tiles.withColumn("tile", F.explode(F.transform(
@@ -484,7 +488,7 @@ def united(runs: DataFrame, comp: DataFrame, payload: DataFrame, classes: DataFr
     wants = store(open_tiles(runs, comp, payload).mapInArrow(
         partial(_per_tile, partial(_wanting, allowed), [*names, *more]), "key long, band int, tile int, cls long, n int, comp long, own boolean"), "wanting")
     where = ["key", "band", "tile"]
-    once = wants.join(_one_of_equal(wants, where, False).drop("g"), where)
+    once = wants.join(_one_of_equal(wants, where, False), where)
     held = texts_of(wants.select("cls").distinct(), classes, texts)
     full = once.join(payload, "cls").join(held.mapInArrow(_sets, "cls long, shingles binary"), "cls")
     out = store(_dealt(full).mapInArrow(partial(_per_tile, partial(_unite, allowed), [*names, *more, "shingles"]), "a long, b long"), "united")
