@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptscreen.functions.scalar import decide
 from promptscreen.operators import batch_model, cascade, metrics
 from promptscreen.plans.oracle import STD_MODELS, score_ctes, with_ctes
+from promptscreen.plans.oracle_forest import forest_ctes, forest_score_ctes
 from promptscreen.plans.q_model import _COUNTS, _PRF, breakdown_sql
 from promptscreen.plans.registry import fin, query
 from promptscreen.plans.workflow import Workflow
@@ -107,12 +111,18 @@ def j2_blocked_semi_anti(spark, sf_dir):
         p.withColumn("branch", F.lit("passed")))
 
 
-@query("a14_comparison", _CASC_CTES + f""",
+@query("a14_comparison", _CASC_CTES.rstrip() + ",\n" + forest_ctes() + "," + forest_score_ctes("fe", "test") + f""",
+fcasc AS (SELECT g.label, CAST(g.prob_harmful > 0.5 AS INTEGER) AS gate,
+                 CASE WHEN g.prob_harmful > 0.5 THEN 1 ELSE CAST(m.prob_harmful > 0.5 AS INTEGER) END AS pipeline
+          FROM fe_scored g JOIN te_scored m ON m.prompt_id = g.prompt_id),
+forest_m AS (SELECT 'Gate (TF-IDF random forest)' AS model, * FROM (SELECT {_COUNTS} FROM (SELECT label, gate AS predicted_label FROM fcasc))),
+fpipe_m AS (SELECT 'Forest gate + model cascade' AS model, * FROM (SELECT {_COUNTS} FROM (SELECT label, pipeline AS predicted_label FROM fcasc))),
 gate_m AS (SELECT 'Gate (TF-IDF unigram log-odds)' AS model, * FROM (
   SELECT {_COUNTS} FROM (SELECT label, gate_predicted_label AS predicted_label FROM casc))),
 pipe_m AS (SELECT 'Gate + model cascade' AS model, * FROM (
   SELECT {_COUNTS} FROM (SELECT label, pipeline_predicted_label AS predicted_label FROM casc))),
-comp AS (SELECT model, {_PRF} FROM (SELECT * FROM gate_m UNION ALL SELECT * FROM pipe_m))
+comp AS (SELECT model, {_PRF} FROM (SELECT * FROM gate_m UNION ALL SELECT * FROM pipe_m
+                                          UNION ALL SELECT * FROM forest_m UNION ALL SELECT * FROM fpipe_m))
 SELECT model, CAST(NULLIF(regexp_extract(p, '^[0-9.]+$'), '') AS DOUBLE) AS precision,
        CAST(NULLIF(regexp_extract(r, '^[0-9.]+$'), '') AS DOUBLE) AS recall,
        CAST(NULLIF(regexp_extract(f, '^[0-9.]+$'), '') AS DOUBLE) AS f1,
@@ -123,13 +133,15 @@ UNION ALL
 SELECT model, precision, recall, f1, printf('%.4f', precision), printf('%.4f', recall),
        printf('%.4f', f1), 'computed' FROM comp""")
 def a14_comparison(spark, sf_dir):
-    r = run_cascade(Workflow.get(spark, sf_dir))
-    gate = metrics.prf(r, pred="gate_predicted_label").withColumn(
-        "model", F.lit("Gate (TF-IDF unigram log-odds)"))
-    pipe = metrics.prf(r, pred="pipeline_predicted_label").withColumn(
-        "model", F.lit("Gate + model cascade"))
-    comp = fin(gate.unionByName(pipe))
-    return fin(metrics.comparison(spark, comp))
+    wf = Workflow.get(spark, sf_dir)
+    named = []
+    for gate, alone, piped in ((wf.gate, "Gate (TF-IDF unigram log-odds)", "Gate + model cascade"),
+                               (wf.forest, "Gate (TF-IDF random forest)", "Forest gate + model cascade")):
+        r = cascade.cascade(gate, wf.model, wf.test)
+        named.append(metrics.prf(r, pred="gate_predicted_label").withColumn("model", F.lit(alone)))
+        named.append(metrics.prf(r, pred="pipeline_predicted_label").withColumn("model", F.lit(piped)))
+    comp = reduce(DataFrame.unionByName, named)
+    return fin(metrics.comparison(spark, fin(comp)))
 
 
 @query("s6_score_requests", with_ctes(["train", "requests"], STD_MODELS + "," +
@@ -143,14 +155,21 @@ def s6_score_requests(spark, sf_dir):
 
 
 @query("p17_response", with_ctes(["train", "requests"], STD_MODELS + "," +
-                                 score_ctes("rq", "m2", "requests", 2)) + """
-SELECT prompt_id, prompt, CASE WHEN prob_harmful > 0.5 THEN 'HARMFUL' ELSE 'BENIGN' END AS label,
-       round(prob_harmful, 6) AS harmful_probability FROM rq_scored""")
+                                 score_ctes("rq", "m2", "requests", 2)) + """,
+r AS (SELECT prompt_id, prompt, CASE WHEN prob_harmful > 0.5 THEN 'HARMFUL' ELSE 'BENIGN' END AS label,
+             round(prob_harmful, 6) AS harmful_probability, round(1 - prob_harmful, 6) AS benign_probability FROM rq_scored)
+SELECT *, prompt AS json_prompt, label AS json_label, harmful_probability AS json_harmful, benign_probability AS json_benign FROM r""")
 def p17_response(spark, sf_dir):
+    """The nested response, and its JSON text read back field by field."""
     wf = Workflow.get(spark, sf_dir)
     r = cascade.response(cascade.score_requests(wf.model, wf.requests))
-    return fin(r.select("prompt_id", "prompt", F.col("prediction.label").alias("label"),
-                        F.col("prediction.harmful_probability").alias("harmful_probability")))
+    kind = r.schema["prediction"].dataType
+    back = F.from_json("json", f"prompt string, prediction {kind.simpleString()}")
+    r = r.withColumn("_j", back)
+    return fin(r.select("prompt_id", "prompt", *(F.col(f"prediction.{c}").alias(c) for c in ("label", "harmful_probability", "benign_probability")),
+                        F.col("_j.prompt").alias("json_prompt"), F.col("_j.prediction.label").alias("json_label"),
+                        F.col("_j.prediction.harmful_probability").alias("json_harmful"),
+                        F.col("_j.prediction.benign_probability").alias("json_benign")))
 
 
 @query("m8_batch_udf", with_ctes(["train", "test"], STD_MODELS + "," +

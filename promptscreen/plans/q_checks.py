@@ -10,7 +10,7 @@ from promptscreen.constants import CLASSIFICATION_PREFIX, FOREST_TREES, MAX_SEQU
 from promptscreen.functions.scalar import decide
 from promptscreen.operators import cascade, ensemble, explain, linear, perturb, sampling
 from promptscreen.operators import tfidf as T
-from promptscreen.plans.oracle import BASE, STD_MODELS, model_ctes, okey, score_ctes, with_ctes
+from promptscreen.plans.oracle import BASE, STD_MODELS, TOKEN_RE, model_ctes, okey, score_ctes, with_ctes
 from promptscreen.plans.q_explain import _SAMPLED as _EXPLAIN_SAMPLE
 from promptscreen.plans.q_explain import pos_ctes
 from promptscreen.plans.q_prepare import quotas_sql
@@ -50,6 +50,21 @@ def m6_score_prefixed(spark, sf_dir):
     return fin(m.score(wf.test).select("prompt_id", "label", "logit", "prob_harmful"))
 
 
+_PREFIX_MODEL = model_ctes("mp", "train", 2, text=_PREFIXED) + "," + score_ctes("pi", "mp", "test", 2, _PREFIXED)
+
+
+@query("a10_position_scores_prefix", with_ctes(["train", "test"], _PREFIX_MODEL) + f""",
+pos AS (SELECT prompt_id, unnest(range(len(t))) AS pos, unnest(t) AS token
+        FROM (SELECT prompt_id, regexp_extract_all(lower({_PREFIXED}), '{TOKEN_RE}') AS t FROM test))
+SELECT p.prompt_id, p.pos, p.token, round(coalesce(c.contribution / c.tf, 0), 6) AS score
+FROM pos p LEFT JOIN pi_c c ON c.prompt_id = p.prompt_id AND c.term = p.token""")
+def a10_position_scores_prefix(spark, sf_dir):
+    """Scores of all tokens the model sees, those of the instruction prefix included."""
+    wf = Workflow.get(spark, sf_dir)
+    m = linear.fit_logodds(wf.train, T.TfidfSpec(ngram_max=2, prefix=CLASSIFICATION_PREFIX), wf.alpha)
+    return fin(explain.position_scores(m, wf.test, include_prefix=True))
+
+
 @query("a10_token_importance_prob", with_ctes(["train", "test"], _EXPLAIN_SAMPLE + "," + STD_MODELS + "," + pos_ctes("sa", "sampled")
                                               + "," + score_ctes("sq", "m2", "sampled", 2)) + """
 SELECT token, round(avg(abs(v)), 6) AS average_abs_gradient_input, count(*) AS n

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from promptscreen.functions.scalar import decide
-from promptscreen.operators import prepare
+from promptscreen.operators import batch_model, prepare
 from promptscreen.plans.oracle import STD_MODELS, score_ctes, with_ctes
 from promptscreen.plans.q_prepare import _IN_EVAL
 from promptscreen.plans.registry import fin, query
@@ -90,3 +91,21 @@ def r1_stream_cascade(spark, sf_dir):
                              max_files_per_trigger=1)
     q.awaitTermination()
     return stream.read_results(spark, f"{d}/out").select("prompt_id", "pipeline_predicted_label")
+
+
+@query("r1_stream_reuse", with_ctes(["train", "requests"], STD_MODELS + "," +
+                                    score_ctes("rq", "m2", "requests", 2)) + """
+SELECT md5(prompt) AS prompt_key, 3 * count(*) AS asked, 1 AS scored, round(max(prob_harmful), 6) AS harmful_probability
+FROM rq_scored GROUP BY 1""")
+def r1_stream_reuse(spark, sf_dir):
+    """Every request asked three times, the last time after a restart: each text is scored once."""
+    wf = Workflow.get(spark, sf_dir)
+    d = io.scratch_dir(spark, "stream")
+    predict = batch_model.make_linear_predict_fn(batch_model.export_linear(wf.model))
+    for asked in (1, 2):
+        again = wf.requests.crossJoin(F.broadcast(spark.range(3 - asked).select("id")))
+        again.select("prompt_id", "prompt").repartition(2).write.mode("append").parquet(f"{d}/in")
+        stream.start_reusing(spark, predict, f"{d}/in", f"{d}/out", f"{d}/ckpt", max_files_per_trigger=1).awaitTermination()
+    out = stream.read_results(spark, f"{d}/out")
+    return fin(out.groupBy(F.md5("prompt").alias("prompt_key")).agg(
+        F.count("*").alias("asked"), F.count_if(~F.col("reused")).alias("scored"), F.max("harmful_probability").alias("harmful_probability")))

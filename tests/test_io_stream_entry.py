@@ -4,7 +4,7 @@ from promptscreen.operators import cascade
 from promptscreen.plans.workflow import Workflow
 from promptscreen.sources import io
 from promptscreen.streaming import stream
-from tests.conftest import SF001
+from tests.conftest import SF001, SF01
 
 
 def test_csv_round_trip_keeps_hard_text(spark):
@@ -63,3 +63,50 @@ def test_oracle_spot_check(spark):
         d = sorted(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order)
                    for r in rel.fetchall())
         assert s == d, key
+
+
+def _stream_dirs(spark, parts):
+    d = io.scratch_dir(spark, "reuse")
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, stream.REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{d}/in{k}")
+    return d
+
+
+def test_repeated_requests_reuse_a_verdict_until_it_expires(spark):
+    parts = [[(1, "abc"), (2, "abc"), (3, None), (4, "")], [(5, "abc"), (6, "xy"), (7, None)]]
+    d = _stream_dirs(spark, parts)
+
+    def predict():
+        return lambda texts: [0.25 if t is None else len(t) / 100 for t in texts]
+
+    def run(source, sink, check, **more):
+        stream.start_reusing(spark, predict, f"{d}/{source}", f"{d}/{sink}", f"{d}/{check}", **more).awaitTermination()
+        return {r.prompt_id: (r.prompt, r.harmful_probability, r.reused) for r in stream.read_results(spark, f"{d}/{sink}").collect()}
+
+    first = run("in0", "out", "ck")
+    assert first[3] == (None, 0.25, False) and first[4] == ("", 0.0, False)
+    assert {first[1], first[2]} == {("abc", 0.03, False), ("abc", 0.03, True)}
+    # a restart with new files goes on with the state
+    spark.createDataFrame(parts[1], stream.REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{d}/in0")
+    second = run("in0", "out", "ck")
+    assert second[5] == ("abc", 0.03, True) and second[7] == (None, 0.25, True) and second[6] == ("xy", 0.02, False)
+    assert {k: second[k] for k in first} == first and len(second) == 7
+    # another checkpoint on the same sink is another run: earlier verdicts stay
+    run("in1", "out", "other")
+    assert stream.read_results(spark, f"{d}/out").count() == 10
+    # kept for no time at all, a text is scored again by the next batch
+    e = _stream_dirs(spark, [[(1, "abc")]])
+    for k in (2, 3):
+        stream.start_reusing(spark, predict, f"{e}/in0", f"{e}/out", f"{e}/ck", keep_ms=1).awaitTermination()
+        spark.createDataFrame([(k, "abc"), (10 + k, "other")], stream.REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{e}/in0")
+    stream.start_reusing(spark, predict, f"{e}/in0", f"{e}/out", f"{e}/ck", keep_ms=1).awaitTermination()
+    assert stream.read_results(spark, f"{e}/out").filter("prompt = 'abc' and not reused").count() >= 2
+
+
+def test_a_new_checkpoint_overwrites_no_verdicts(spark):
+    wf = Workflow.get(spark, SF01)
+    d = io.scratch_dir(spark, "runs")
+    wf.requests.limit(20).coalesce(1).write.parquet(f"{d}/in")
+    for check in ("a", "b", "a"):
+        stream.start_scoring(spark, wf.model, f"{d}/in", f"{d}/out", f"{d}/{check}").awaitTermination()
+    assert spark.read.parquet(f"{d}/out").groupBy("run").count().collect() and stream.read_results(spark, f"{d}/out").count() == 40
