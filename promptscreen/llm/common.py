@@ -76,6 +76,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
+CARRIED = "carried_columns"
+
+
+def apart(docs: DataFrame, used: dict[str, str], work: Callable[[DataFrame], DataFrame], added: tuple = (),
+          also: dict | None = None) -> DataFrame:
+    """``work`` on the columns ``used`` (by the names it knows them by, to names of
+    ``docs``) and on the expressions ``also``. All other columns are packed into one
+    struct and come back untouched, whatever they are called; of two columns of
+    one name, in any case, the one of ``added`` stays."""
+    taken = {a.lower() for a in added}
+    mine = {user: inner for inner, user in used.items()}
+    rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in mine and c.lower() not in taken}
+    packed = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in rest.items())) if rest else F.struct(F.lit(0).alias("none"))
+    out = work(docs.select(*(F.col(f"`{user}`").alias(inner) for inner, user in used.items()),
+                           *(e.alias(n) for n, e in (also or {}).items()), packed.alias(CARRIED)))
+    back = [F.col(mine[c] if c in mine else f"{CARRIED}.{rest[c]}").alias(c) for c in docs.columns
+            if (c in rest or c in mine and mine[c] in out.columns) and c.lower() not in taken]
+    return out.select(*back, *added)
+
+
 def total_vectors(parts: DataFrame, column: str, dtype, size: int, fan_in: int = 8, add=np.add,
                   unpack: Callable = bytes) -> np.ndarray:
     """Sum (or unite by another ``add``) the equally long binary vectors of

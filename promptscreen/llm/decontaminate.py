@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptscreen.llm.common import Words, batch, column, ngrams, store, text_chunks
+from promptscreen.llm.common import Words, apart, batch, column, ngrams, store, text_chunks, without
 
 WINDOW = 13
 BLOCK_WINDOWS = 1 << 20                 # windows broadcast at a time (about 150 MB in a worker at most)
@@ -137,9 +137,9 @@ def _look(shared, name: str, text: str, batches):
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``decon``: a struct of ``n_words``,
-    ``hit`` (word intervals [from, to)) and ``items``. A column of that name is
-    replaced."""
-    out = docs.select(*[c for c in docs.columns if c != "decon"], F.lit(None).cast(HITS).alias("decon"))
+    ``hit`` (word intervals [from, to)) and ``items``. A column of that name, in
+    any case, is replaced."""
+    out = without(docs, "decon").select("*", F.lit(None).cast(HITS).alias("decon"))
     for rows in _blocks(store(windows(benchmark), "decon-windows")):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
         out = out.mapInArrow(partial(_look, shared, uuid.uuid4().hex, text), out.schema)
@@ -155,13 +155,19 @@ def is_contaminated(decon) -> F.Column:
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    return scan(docs, benchmark, text).filter(~is_contaminated(F.col("decon"))).select(*docs.columns)
+    """``docs`` without the contaminated documents. All columns stay, whatever
+    they are called."""
+    return apart(docs, {"text": text}, lambda d: scan(d, benchmark).filter(~is_contaminated(F.col("decon"))).drop("decon"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every hit span cut out of the text, from its first word to
-    its last (what stands between words outside spans stays)."""
+    its last (what stands between words outside spans stays). All columns stay,
+    whatever they are called."""
+    return apart(docs, {"text": text}, lambda d: _cut(d, benchmark))
+
+
+def _cut(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     def cut(batches):
         for rb in batches:
             texts = []

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptscreen.llm.common import Words, column, text_chunks
+from promptscreen.llm.common import Words, apart, column, text_chunks, without
 
 CHUNKS, CHUNK_WORDS = 900, 48
 GRAM_BITS, AFFIX_BITS = 15, 14
@@ -282,10 +282,10 @@ def identify(docs: DataFrame, crf: Crf, text: str = "text", pred: str = "lang_pr
              shares: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the predicted language and its
     score, and with ``shares`` the expected number of words per label
-    (``map<string,double>``). Columns of these names are replaced."""
+    (``map<string,double>``). Columns of these names, in any case, are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     new = [pred, score, *([shares] if shares else [])]
-    keep = [c for c in docs.columns if c not in new]
+    keep = without(docs, *new).columns
 
     def look(batches):
         held, size = [], 0
@@ -310,7 +310,7 @@ def identify(docs: DataFrame, crf: Crf, text: str = "text", pred: str = "lang_pr
         if held:
             yield from flush()
 
-    src = docs.select(*keep)
+    src = without(docs, *new)
     added = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
     if shares:
         added.append(T.StructField(shares, T.MapType(T.StringType(), T.DoubleType())))
@@ -318,6 +318,10 @@ def identify(docs: DataFrame, crf: Crf, text: str = "text", pred: str = "lang_pr
 
 
 def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without those whose language is ``und`` or unsure."""
-    found = identify(docs, crf, text, "_l_pred", "_l_score")
-    return found.filter((F.col("_l_pred") != UND) & (F.col("_l_score") >= least)).select(*docs.columns)
+    """``docs`` without those whose language is ``und`` or unsure. All columns
+    stay, whatever they are called."""
+    def sure(d):
+        found = identify(d, crf, "text", "pred", "score")
+        return found.filter((F.col("pred") != UND) & (F.col("score") >= least)).drop("pred", "score")
+
+    return apart(docs, {"text": text}, sure)

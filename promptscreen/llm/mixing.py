@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptscreen.llm.common import store
+from promptscreen.llm.common import apart, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 ADDED = ("mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_take")
@@ -117,14 +117,19 @@ def mix(docs: DataFrame, spec: MixSpec = MIX, text: str = "text", doc_id: str =
     document and how many of its first tokens are taken. With ``with_text`` the
     text of a cut document is its first ``mix_take`` tokens, joined by spaces;
     otherwise the text column is left out (and the texts are read once only).
+    Columns named like an added one, in any case, are replaced; all others stay,
+    whatever they are called.
     """
-    if clash := [c for c in docs.columns if c.lower() in ADDED or c.startswith("_m")]:
-        raise ValueError(f"columns {clash} are names of this operator's own")
+    null = F.lit("")
+    leaf = {"mix_domain": F.coalesce(spec.domain(docs), null) if spec.domain else null,
+            "mix_lang": F.coalesce(docs[spec.columns["lang"]], null),
+            "mix_source": F.coalesce(docs[spec.columns["source"]], null)}
+    return apart(docs, {"text": text, "doc_id": doc_id}, lambda d: _mix(d, spec, with_text), ADDED, leaf)
+
+
+def _mix(docs: DataFrame, spec: MixSpec, with_text: bool, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     null = F.lit("")
     base = docs.withColumns({
-        "mix_domain": F.coalesce(spec.domain(docs), null) if spec.domain else null,
-        "mix_lang": F.coalesce(docs[spec.columns["lang"]], null),
-        "mix_source": F.coalesce(docs[spec.columns["source"]], null),
         "mix_tokens": F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("bigint")})
     narrow = store(base.drop(text) if not with_text else base.select(doc_id, *LEVELS, "mix_tokens"), "mix-rows")
     leaves = store(leaf_budgets(narrow.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
@@ -160,5 +165,5 @@ def mix(docs: DataFrame, spec: MixSpec = MIX, text: str = "text", doc_id: str =
     if with_text:
         cut = F.concat_ws(" ", F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("mix_take").cast("int")))
         out = out.withColumn(text, F.when(F.col("mix_take") < F.col("mix_tokens"), cut).otherwise(F.col(text)))
-    kept = [c for c in docs.columns if with_text or c != text]
+    kept = [c for c in docs.columns if (with_text or c != text) and c not in LEVELS]
     return out.select(*kept, *ADDED)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptscreen.llm.common import (Words, batch, column, discard, mix, ngrams, split_words, store, text_chunks,
+from promptscreen.llm.common import (Words, apart, batch, column, discard, mix, ngrams, split_words, store, text_chunks,
                                      total_vectors)
 
 SHINGLE = 5
@@ -561,7 +561,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     null ids last, then by the number of its words' class and by md5 of the text.
     Rows are told by id and class, so an id repeated with another text is another
     row. Empty texts link with nothing: one row of each id stays, and all
-    without an id."""
+    without an id. All columns stay, whatever they are called."""
+    return apart(docs, {"text": text, "doc_id": doc_id}, _one_of_each)
+
+
+def _one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     row, cls, rank = "_n_row", "_n_cls", "_n_rank"
     found = _labelled(docs, text, doc_id)
     first = (found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls")).alias("first"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptscreen.llm.common import BYTE_CODE, Words, column, mix, ngrams, powers, text_chunks
+from promptscreen.llm.common import BYTE_CODE, Words, column, mix, ngrams, powers, text_chunks, without
 
 BITS, SAMPLE, THRESHOLD = 18, 12_000, 0.3
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -130,16 +130,16 @@ def score_texts(texts, w: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` (a column of that name is replaced)."""
+    """All rows and columns of ``docs`` with ``score`` (a column of that name, in any case, is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
-    keep = [c for c in docs.columns if c != "score"]
+    keep = without(docs, "score").columns
 
     def look(batches):
         for rb in text_chunks(batches, text):
             p = score_texts(column(rb, text).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*(column(rb, c) for c in keep), pa.array(p, pa.float64())], [*keep, "score"])
 
-    src = docs.select(*keep)
+    src = without(docs, "score")
     return src.mapInArrow(look, T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType())]))
 
 

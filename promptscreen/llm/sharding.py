@@ -23,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptscreen.llm.common import store
+from promptscreen.llm.common import apart, store
 
 SHARDS, OVERHEAD = 24, 8
 FIRST_DIGITS, MORE_DIGITS = 3, 2        # hex digits of the first cut, and of each further one
-OWN = ("_s_key", "_s_size", "_s_crc", "_s_at")
+ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def text_bytes(text) -> Column:
@@ -123,9 +123,13 @@ def best_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with ``size`` (UTF-8 bytes plus 8),
     ``text_crc32``, ``shard`` (from 0) and ``slot`` (from 0, without gaps in
-    each shard, by the md5 of the id). Columns of these names are replaced."""
-    added = {"size", "text_crc32", "shard", "slot"}
-    keep = [c for c in docs.columns if c.lower() not in added]
+    each shard, by the md5 of the id). Columns of these names, in any case, are
+    replaced; all others stay, whatever they are called."""
+    return apart(docs, {"text": text, "doc_id": doc_id}, lambda d: _shard(d, shards), ADDED)
+
+
+def _shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    keep = docs.columns
     raw = text_bytes(F.col(text))
     keyed = docs.select(*keep, F.md5(raw).alias("_s_key"), (F.length(raw) + OVERHEAD).cast("bigint").alias("_s_size"),
                         F.crc32(raw).alias("_s_crc"))
