@@ -3,9 +3,12 @@
 Base kinds (always kept): ``email``, ``ip`` (parts up to 255), ``card`` (14-19
 digits, Luhn), ``phone`` (+, 10-15 digits). The method adds ``iban`` (mod-97),
 ``email`` written with (at)/(dot), ``phone`` without + and ``ssn`` where words
-nearby speak for them. A span's score starts from its kind, a checksum raises
+nearby speak for them, and ``secret``: keys of known form, and long values given
+to a name like key, token or password whose characters carry at least
+``ENTROPY`` bits each. A span's score starts from its kind, a checksum raises
 it, and words within ``NEAR`` characters raise or lower it; added spans need
-``KEEP``. All patterns run in time linear in the text.
+``KEEP`` and lie apart from all spans before them. Patterns run in time linear in
+the text; a span is held against the others by bisection.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts
 have no spans; repeated rows count each.
@@ -13,7 +16,10 @@ have no spans; repeated rows count each.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +28,8 @@ from pyspark.sql import types as T
 
 from promptscreen.llm.common import column, text_chunks
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
-NEAR, KEEP = 40, 0.6
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
+NEAR, KEEP, ENTROPY = 40, 0.6, 3.0
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -33,7 +39,10 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![
 SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({]dot[\])}])\x20?[A-Za-z0-9-]++)+")
 LOCAL_PHONE = re.compile(r"(?<![+0-9.\w])\(?[0-9]{2,5}\)?(?:[\x20.-]?[0-9]{2,5}){2,4}(?![0-9\w])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn": 0.4, "spoken": 0.6, "local": 0.35}
+SECRET = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/=_.~-]{16,}+)", re.I)
+KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
+                 r"|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9_-])")
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn": 0.4, "spoken": 0.6, "local": 0.35, "secret": 0.6}
 SIGNS = {
     "email": (r"mail|contact|write|reach", r"example only"),
     "ip": (r"\bip\b|address|host|server", r"version|release|section"),
@@ -41,6 +50,7 @@ SIGNS = {
     "phone": (r"phone|tel|call|mobile|cell|fax|whatsapp|appel|anruf|llam", r"order|invoice|tracking|isbn|version"),
     "iban": (r"iban|bank|account|konto|compte|cuenta", r"serial|order|part"),
     "ssn": (r"ssn|social security", r"part|model|order"),
+    "secret": (r"key|token|secret|passw|auth|bearer", r"checksum|digest|commit|etag|example"),
 }
 SIGNS = {k: tuple(re.compile(x, re.I) for x in v) for k, v in SIGNS.items()}
 
@@ -64,6 +74,11 @@ def mod97(iban: str) -> bool:
     return rest == 1 and 15 <= len(iban) <= 34
 
 
+def entropy(s: str) -> float:
+    """Bits a character, by the characters' shares."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -104,6 +119,17 @@ def context_score(text: str, start: int, end: int, kind: str, prior: float) -> f
     return max(0.0, min(1.0, prior + 0.3 * bool(good.search(around)) - 0.3 * bool(bad.search(around))))
 
 
+def united(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the parts that spans cover together, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    return starts, ends
+
+
 def find(text: str | None) -> list[dict]:
     """All spans of a text by start, then kind as listed."""
     if not text:
@@ -114,18 +140,26 @@ def find(text: str | None) -> list[dict]:
     for a, b, kind in base:
         prior = PRIOR[kind] + (0.4 if kind == "card" else 0)
         found.append((a, KINDS.index(kind), b, context_score(text, a, b, kind, prior), True))
-    taken = {(a, b) for a, b, _ in base}
+    starts, ends = united((a, b) for a, b, _ in base)
 
     def add(pattern, kind, prior, valid=lambda s: True, bonus=0.0):
+        nonlocal starts, ends
+        fresh = []
         for m in pattern.finditer(text):
-            a, b = m.span()
-            if valid(m[0]) and not any(x < b and a < y for x, y in taken):
-                s = context_score(text, a, b, kind, PRIOR[prior] + bonus)
-                if s >= KEEP:
-                    taken.add((a, b))
-                    found.append((a, KINDS.index(kind), b, s, False))
+            a, b = m.span(pattern.groups)
+            at = bisect_left(ends, a + 1)           # the first span that ends after the start
+            if (at < len(starts) and starts[at] < b) or not valid(m[pattern.groups]):
+                continue
+            s = context_score(text, a, b, kind, PRIOR[prior] + bonus)
+            if s >= KEEP:
+                fresh.append((a, b))
+                found.append((a, KINDS.index(kind), b, s, False))
+        if fresh:
+            starts, ends = united([*zip(starts, ends, strict=True), *fresh])
 
     if has_digit:
+        add(KEY, "secret", "secret", bonus=0.3)
+        add(SECRET, "secret", "secret", lambda s: entropy(s) >= ENTROPY and re.search("[0-9]", s) is not None)
         add(IBAN, "iban", "iban", mod97, 0.4)
         add(SSN, "ssn", "ssn")
         add(LOCAL_PHONE, "phone", "local", lambda s: 10 <= len(digits_of(s)) <= 15)

@@ -19,4 +19,4 @@ def op7_private(spark, sf_dir):
     base = F.filter("pii", lambda s: s["base"])
     count = {f"n_{k}": F.size(F.filter(base, of_kind(k))).cast("bigint") for k in ("email", "ip", "card", "phone")}
     return found.select("doc_id", *(c.alias(k) for k, c in count.items()), F.sha2(as_string(base), 256).alias("base_sha256"),
-                        as_string(F.col("pii")).alias("spans"))
+                        as_string(F.col("pii")).alias("spans"), F.size(F.filter("pii", of_kind("secret"))).cast("bigint").alias("n_secret"))
