@@ -142,7 +142,7 @@ def weighted_logloss(scored: DataFrame, weights: DataFrame, label_col: str = "la
 
 
 def fit_logreg(train: DataFrame, spec: T.TfidfSpec | None = None, reg_param: float = 0.0,
-               max_iter: int = 100, stats: DataFrame | None = None) -> LinearScorer:
+               max_iter: int = 100, stats: DataFrame | None = None, tol: float = 1e-6) -> LinearScorer:
     """Class-weighted logistic regression on TF-IDF vectors.
 
     The fitted coefficients (one per vocabulary term) become the weights of
@@ -161,7 +161,7 @@ def fit_logreg(train: DataFrame, spec: T.TfidfSpec | None = None, reg_param: flo
     v = vectors(T.transform(dt, vocab, spec), base, spec.max_features).select(
         "features", F.col("label").cast("double").alias("label"), "weight")
     lr = LogisticRegression(weightCol="weight", regParam=reg_param, maxIter=max_iter,
-                            standardization=False)
+                            tol=tol, standardization=False)
     m = lr.fit(v)
     coef = m.coefficients.toArray()           # one value per vocabulary term
     spark = train.sparkSession

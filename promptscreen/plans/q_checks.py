@@ -117,7 +117,7 @@ SELECT count(*) AS n, 0.0 AS largest_gradient FROM train""")
 def m6_logreg_check(spark, sf_dir):
     """At the solution the weighted gradient of the regularised loss is 0, whatever the solver."""
     wf, reg = Workflow.get(spark, sf_dir), 0.01
-    m = linear.fit_logreg(wf.train, wf.model_spec, reg_param=reg, stats=wf.train_stats)
+    m = linear.fit_logreg(wf.train, wf.model_spec, reg_param=reg, stats=wf.train_stats, max_iter=500, tol=1e-12)
     w = linear.with_class_weight(m.score(wf.train).select("prompt_id", "label", "prob_harmful"))
     err = w.select("prompt_id", "weight", (F.col("weight") * (F.col("prob_harmful") - F.col("label"))).alias("e"))
     total = err.agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.sum("e").alias("e")).first()
@@ -126,7 +126,7 @@ def m6_logreg_check(spark, sf_dir):
     g = m.vocab.select("idx", F.col("weight").alias("c")).join(per, "idx", "left").select(
         F.abs(F.coalesce("g", F.lit(0.0)) / total["w"] + reg * F.col("c")).alias("g"))
     worst = g.agg(F.greatest(F.max("g"), F.lit(abs(total["e"] / total["w"]))).alias("g"))
-    return worst.select(F.lit(total["n"]).cast("bigint").alias("n"), F.round("g", 2).alias("largest_gradient"))
+    return worst.select(F.lit(total["n"]).cast("bigint").alias("n"), F.round("g", 6).alias("largest_gradient"))
 
 
 @query("m9_cascade_forest_check", with_ctes(["test"]) + """

@@ -103,7 +103,7 @@ def r1_stream_reuse(spark, sf_dir):
     d = io.scratch_dir(spark, "stream")
     predict = batch_model.make_linear_predict_fn(batch_model.export_linear(wf.model))
     for asked in (1, 2):
-        again = wf.requests.crossJoin(F.broadcast(spark.range(3 - asked).select("id")))
+        again = wf.requests.select("prompt_id", "prompt", F.explode(F.sequence(F.lit(asked), F.lit(2))))
         again.select("prompt_id", "prompt").repartition(2).write.mode("append").parquet(f"{d}/in")
         stream.start_reusing(spark, predict, f"{d}/in", f"{d}/out", f"{d}/ckpt", max_files_per_trigger=1).awaitTermination()
     out = stream.read_results(spark, f"{d}/out")

@@ -45,16 +45,16 @@ def f4_ngrams(spark, sf_dir):
 
 
 @query("t6_truncate", with_ctes(["prompts"]) + f"""
-SELECT prompt_id, n AS n_tokens, least(n, {MAX_SEQUENCE_TOKENS}) AS n_kept,
-       n > {MAX_SEQUENCE_TOKENS} AS truncated
-FROM (SELECT prompt_id, len(regexp_extract_all(lower('{CLASSIFICATION_PREFIX}' || prompt),
-                                               '{TOKEN_RE}')) AS n FROM prompts)""")
+SELECT prompt_id, len(t) AS n_tokens, least(len(t), {MAX_SEQUENCE_TOKENS}) AS n_kept,
+       len(t) > {MAX_SEQUENCE_TOKENS} AS truncated, array_to_string(t[1:{MAX_SEQUENCE_TOKENS}], ' ') AS kept
+FROM (SELECT prompt_id, regexp_extract_all(lower('{CLASSIFICATION_PREFIX}' || prompt),
+                                           '{TOKEN_RE}') AS t FROM prompts)""")
 def t6_truncate(spark, sf_dir):
     toks = X.tokens(X.with_prefix("prompt"))
     kept = X.truncate_tokens(toks, MAX_SEQUENCE_TOKENS)
     return Workflow.get(spark, sf_dir).prompts.select(
         "prompt_id", F.size(toks).alias("n_tokens"), F.size(kept).alias("n_kept"),
-        (F.size(toks) > MAX_SEQUENCE_TOKENS).alias("truncated"))
+        (F.size(toks) > MAX_SEQUENCE_TOKENS).alias("truncated"), F.array_join(kept, " ").alias("kept"))
 
 
 @query("p15_prefix", with_ctes(["test"]) + f"""
