@@ -43,11 +43,11 @@ from promptscreen.llm.common import (Words, apart, batch, column, discard, mix,
                                      total_vectors)
 
 SHINGLE = 5
-# Powers of two: fewest and most counters of the frequency sketch (4 bytes each; one for 1024
+# Powers of two: fewest and most counters of the frequency sketch (4 bytes each; one for 256
 # bytes of text), and bits of the membership filter (16 an id). Both are broadcast: 64 MB each at
 # most. Beyond, more shingles share a counter and more texts pass the filter: results stay exact,
 # tiles grow.
-SKETCH_BITS = (21, 24)
+SKETCH_BITS = (18, 24)
 FILTER_BITS = (20, 29)
 BAND = np.log(4 / 3)        # sizes of linked sets differ by this factor at most
 
@@ -511,7 +511,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def _labelled(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``near_duplicates`` with the class of each row's text, ``cls``."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t"))
-    log2 = table_bits((texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) >> 10, *SKETCH_BITS)
+    log2 = table_bits((texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) >> 8, *SKETCH_BITS)
     signed = store(texts.mapInArrow(partial(_signatures, log2), "doc long, cls long, n long, bits binary, sketch binary"), "signatures")
     sketch = total_vectors(signed.filter("sketch is not null"), "sketch", np.uint32, 1 << log2, unpack=zlib.decompress)
     rows = signed.filter("sketch is null")
