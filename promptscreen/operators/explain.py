@@ -1,8 +1,9 @@
-"""Attribution of linear verdicts.
+"""Attribution of verdicts.
 
-For a linear scorer, gradient x input is exact: the attribution of term
-``t`` to the logit is ``coef_t * x_t`` (they sum to the logit when the bias
-is 0); to the probability it is ``p (1 - p) coef_t x_t``. Token positions
+The attribution of term ``t`` to the logit is gradient x input, ``coef_t *
+x_t``; to the probability it is ``p (1 - p) coef_t x_t``. For a linear scorer
+it is exact (the terms sum to the logit when the bias is 0); a network gives
+the slope at the text (``network.contributions``). Token positions
 share their unigram term's attribution equally, so position scores also add
 up to the unigram part of the logit.
 """
@@ -28,14 +29,15 @@ def attribution(scorer, df: DataFrame, target: str = "logit", text_col: str = "p
     base = df if partitioned else T.by_id(df, id_col)
     c = scorer.contributions(base.select(id_col, text_col), text_col, id_col)
     if target == "logit":
-        return c.withColumn("attribution", F.col("contribution")).drop("contribution")
+        return c.withColumn("attribution", F.col("contribution")).drop("contribution", "logit")
     if target != "probability":
         raise ValueError("target is 'logit' or 'probability'")
-    logit = F.round(F.sum("contribution").over(Window.partitionBy(id_col))
-                    + F.lit(scorer.bias), 6)
+    if "logit" in c.columns:        # of a scorer whose contributions do not add up to it
+        logit = F.col("logit")
+    else:
+        logit = F.round(F.sum("contribution").over(Window.partitionBy(id_col)) + F.lit(scorer.bias), 6)
     p = sigmoid(logit)
-    return c.withColumn("attribution", p * (F.lit(1.0) - p) * F.col("contribution")).drop(
-        "contribution")
+    return c.withColumn("attribution", p * (F.lit(1.0) - p) * F.col("contribution")).drop("contribution", "logit")
 
 
 def position_scores(scorer, df: DataFrame, text_col: str = "prompt",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from promptscreen.plans import (q_cascade, q_checks, q_explain, q_greedy, q_io, q_ml,  # noqa: F401
-                                q_model, q_prepare)
+                                q_model, q_network, q_prepare)
 from promptscreen.plans.registry import ORACLE, QUERIES
 
 

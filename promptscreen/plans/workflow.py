@@ -117,6 +117,12 @@ class Workflow:
         from promptscreen.operators import ensemble
         return ensemble.fit(self.train, self.model_spec, vocab=self.model.vocab)
 
+    @cached_property
+    def network(self):
+        """The non-linear stage-2 model, trained in epochs and chosen on the validation split."""
+        from promptscreen.operators import network
+        return network.fit(self.train, self.val, self.model_spec, vocab=self.model.vocab)
+
     @cached_property
     def sampled(self) -> DataFrame:
         """The reference's order of work: sample per class, then split the sample."""
