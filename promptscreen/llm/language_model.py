@@ -10,8 +10,10 @@ an unseen one, gets a probability, and the model starts out as the unigram base.
 Counts, vocabulary and class masses come from all training texts, as Spark
 aggregations. Training is truncated back-propagation in numpy over all training
 texts, in rounds of local updates: a round takes a hashed slice of the texts
-(all of them once over the rounds), each task starts from the common weights
-and trains on its part, and the weights are averaged by tokens. Scoring carries
+(all of them once over the rounds) and deals it by hash into units of about
+``UNIT`` tokens. One task trains on one unit, in an order by hash, from the
+common weights, and the weights are averaged by tokens. Units follow from the
+texts alone, so the input's partitions do not change the model. Scoring carries
 the state across windows from a text's first token to its end.
 
 Counts are keyed by 64-bit word hashes. The words above a count threshold that
@@ -41,6 +43,7 @@ HIDDEN = 24
 WINDOW = 16                 # steps of truncated back-propagation
 #: Rounds: (slices of 32 from, to), lanes, learning rate.
 ROUNDS = ((0, 1, 32, 0.02), (1, 4, 64, 0.01), (4, 32, 192, 0.005))
+UNIT = 1_000_000            # training tokens of a unit of work, about
 SCORE_TOKENS = 3_000_000    # tokens scored together in a Python worker
 SCORE_WINDOW = 32
 SLICE = 1 << 13             # tokens whose class scores fit the cache
@@ -365,13 +368,23 @@ def _train(shared, lanes, rate, batches):
     yield batch(v=pa.array([vec.tobytes()], pa.binary()))
 
 
+def units(texts: DataFrame, n: int) -> DataFrame:
+    """``texts`` (``i``, ``t``) as ``n`` partitions that depend on the rows only,
+    each in the same order however they were cut before."""
+    key = [F.xxhash64(F.lit("unit"), F.col(c)) for c in ("i", "t")]
+    dealt = texts.select("t", key[0].alias("k"), key[1].alias("l")).withColumn("u", F.pmod("k", F.lit(n)).cast("int"))
+    return dealt.repartitionById(n, "u").sortWithinPartitions("k", "l").select("t")
+
+
 def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Flat weights learned from all ``texts`` (columns ``t`` and a slice
-    number ``s`` of 0-31)."""
+    """Flat weights learned from all ``texts`` (ids ``i``, columns ``t`` and a
+    slice number ``s`` of 0-31)."""
     weights = flat(start_weights(v))
     for lo, hi, lanes, rate in ROUNDS:
         shared = texts.sparkSession.sparkContext.broadcast((v, weights))
-        parts = texts.filter((F.col("s") >= lo) & (F.col("s") < hi)).select("t").mapInArrow(partial(_train, shared, lanes, rate), "v binary")
+        n = max(1, round(v.tokens * (hi - lo) / 32 / UNIT))
+        dealt = units(texts.filter((F.col("s") >= lo) & (F.col("s") < hi)), n)
+        parts = dealt.mapInArrow(partial(_train, shared, lanes, rate), "v binary")
         total = total_vectors(parts, "v", np.float64, len(weights) + 1)
         if total[-1] > 0:
             weights = total[:-1] / total[-1]

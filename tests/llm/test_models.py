@@ -161,6 +161,18 @@ def test_base_counts_and_gain(spark, known, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("unit", [1 << 20, 40_000])
+def test_partitions_of_the_input_do_not_change_the_model(spark, unit, monkeypatch):
+    monkeypatch.setattr(lm, "UNIT", unit)
+    docs = table(spark, SF01, "documents").select("doc_id", "text")
+    learn, gains = id_crc(F.col("doc_id")) % 5 != 1, []
+    for parts in (1, 4, 32):
+        rows = lm.score_documents(docs.repartition(parts), learn).collect()
+        held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1]
+        gains.append(sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held))
+    assert min(gains) > 0 and max(gains) < min(gains) * 1.001, gains
+
+
 def test_language_model_edges(spark, awkward, no_docs):
     rows = lm.score_documents(awkward, F.lit(True)).collect()
     assert len(rows) == awkward.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
