@@ -9,6 +9,8 @@ answer without a loop.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,31 +163,26 @@ UNK = "[UNK]"
 RF_AUGMENTED_TYPE = "adversarial_benign_augmented"
 
 
-def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
-                        stop_words=None, max_synonyms: int = MAX_SYNONYMS,
-                        threshold: float = THRESHOLD, id_col: str = "prompt_id") -> DataFrame:
-    """Saliency-ordered greedy word substitution (M12; the published PWWS scheme).
+def _pieces() -> dict:
+    return {"_toks": tokens("prompt"), "_seps": F.split(F.lower("prompt"), TOKEN_PATTERN, -1)}
 
-    For every word position that has synonyms (stop words are never changed):
-    saliency ``S_i`` = drop of P(true class) when the word becomes ``[UNK]``;
-    best synonym = the largest drop ``dP_i`` (ties: lower rank); priority
-    ``H_i = softmax(S)_i * dP_i``. Substitutions are applied cumulatively in
-    priority order (ties: earlier position); the first prefix that changes
-    the prediction is the result. All variants and all prefixes are scored in
-    bulk jobs. The order is fixed once from the original text (the attack
-    library re-picks each swap on the current text; this one-shot form is
-    the bulk equivalent). Prompts the model already gets wrong are
-    ``Skipped``; no flip gives ``Failed``.
 
-    Text is handled lower-cased; word positions are the tokens of the
-    featurizer, and separator pieces keep the rest of the text intact. A linear
-    scorer takes variants and prefixes from their changed terms (:mod:`delta`):
-    one text is built per prompt, the result's. Any other scorer gets the text
-    of each variant and of each prefix.
-    """
+@dataclass
+class _Ranked:
+    """Prompts to attack, those already wrong, the positions ``(id, pos, order, _b,
+    ...)`` in the order of attack, and, for a linear scorer, its documents' terms and sums."""
+    live: DataFrame
+    skipped: DataFrame
+    positions: DataFrame
+    known: DataFrame | None
+    stats: DataFrame | None
+
+
+def _ranked(scorer, rows: DataFrame, lexicon: DataFrame, stop_words, max_synonyms: int, threshold: float,
+            id_col: str) -> _Ranked:
     stop = list(STOP_WORDS if stop_words is None else stop_words)
     base = T.by_id(rows.select(id_col, "prompt", "label", "data_type"), id_col)
-    fast = delta.supports(scorer)
+    fast, known, stats = delta.supports(scorer), None, None
     if fast:
         known, stats = delta.prepared(scorer, base, id_col=id_col)
         orig = delta.original_scores(scorer, base, stats, id_col)
@@ -201,7 +198,7 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
             .drop("logit", "prob_harmful"))
     skipped = orig.filter(F.col("original_output") != y)
     live = orig.filter(F.col("original_output") == y)
-    pieces = {"_toks": tokens("prompt"), "_seps": F.split(F.lower("prompt"), TOKEN_PATTERN, -1)}
+    pieces = _pieces()
 
     syn = prepare_synonyms(lexicon, max_synonyms).filter(~F.col("word").isin(*stop))
     lex = lexicon_side(syn.withColumnRenamed("word", "token"))
@@ -239,6 +236,51 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
         "_h", F.exp("_sal") / F.sum(F.exp("_sal")).over(w_doc) * F.col("_dp"))
     pr = pr.withColumn("order", F.row_number().over(
         w_doc.orderBy(F.col("_h").desc(), F.col("pos").asc())))
+    return _Ranked(live, skipped, pr, known, stats)
+
+
+def _attack_log(live: DataFrame, res: DataFrame, skipped: DataFrame, id_col: str) -> DataFrame:
+    attacked = live.join(res, id_col, "left").select(
+        id_col,
+        F.when(F.col("_ok") == 1, F.lit("Successful")).otherwise(F.lit("Failed"))
+        .alias("result_type"),
+        F.col("prompt").alias("original_text"),
+        F.coalesce("_text", F.lower("prompt")).alias("perturbed_text"),
+        F.col("label").alias("ground_truth_output"), "original_output",
+        F.coalesce("perturbed_output", "original_output").alias("perturbed_output"),
+        F.coalesce("k", F.lit(0)).alias("num_changes"), "data_type")
+    skip = skipped.select(
+        id_col, F.lit("Skipped").alias("result_type"), F.col("prompt").alias("original_text"),
+        F.lower("prompt").alias("perturbed_text"), F.col("label").alias("ground_truth_output"),
+        "original_output", F.col("original_output").alias("perturbed_output"),
+        F.lit(0).alias("num_changes"), "data_type")
+    return attacked.unionByName(skip)
+
+
+def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
+                        stop_words=None, max_synonyms: int = MAX_SYNONYMS,
+                        threshold: float = THRESHOLD, id_col: str = "prompt_id") -> DataFrame:
+    """Saliency-ordered greedy word substitution (M12; the published PWWS scheme).
+
+    For every word position that has synonyms (stop words are never changed):
+    saliency ``S_i`` = drop of P(true class) when the word becomes ``[UNK]``;
+    best synonym = the largest drop ``dP_i`` (ties: lower rank); priority
+    ``H_i = softmax(S)_i * dP_i``. Substitutions are applied cumulatively in
+    priority order (ties: earlier position); the first prefix that changes
+    the prediction is the result. All variants and all prefixes are scored in
+    bulk jobs. Synonyms are chosen once, on the original text;
+    :func:`stepwise.stepwise_substitution` chooses each on the current text. Prompts the model already gets wrong are
+    ``Skipped``; no flip gives ``Failed``.
+
+    Text is handled lower-cased; word positions are the tokens of the
+    featurizer, and separator pieces keep the rest of the text intact. A linear
+    scorer takes variants and prefixes from their changed terms (:mod:`delta`):
+    one text is built per prompt, the result's. Any other scorer gets the text
+    of each variant and of each prefix.
+    """
+    r = _ranked(scorer, rows, lexicon, stop_words, max_synonyms, threshold, id_col)
+    live, pr, y = r.live, r.positions, F.col("label")
+    pieces = _pieces()
     plan = pr.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", F.struct("order", "_b.synonym"))))
         .alias("_plan"), F.count("*").alias("_c"))
@@ -247,8 +289,8 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
     text = rebuild_text(F.col("_seps"), F.transform(
         F.arrays_zip(F.col("_toks").alias("t"), F.col("_ord").alias("o")),
         lambda z: F.when(z["o"].isNotNull() & (z["o"]["order"] <= F.col("k")), z["o"]["synonym"]).otherwise(z["t"])))
-    if fast:
-        ps = delta.step_scores(scorer, _steps(doc, scorer.spec, id_col), known, stats, "k", id_col)
+    if r.known is not None:
+        ps = delta.step_scores(scorer, _steps(doc, scorer.spec, id_col), r.known, r.stats, "k", id_col)
     else:
         pref = doc.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(
             id_col, "k", text.alias("_text"), F.concat_ws(":", F.col(id_col).cast("string"), "k").alias("_kid"))
@@ -263,21 +305,7 @@ def greedy_substitution(scorer, rows: DataFrame, lexicon: DataFrame,
         F.max(F.when(flips, 1).otherwise(0)).alias("_ok"))
     res = doc.join(res, id_col).withColumn("k", F.col("_r.k")).select(
         id_col, "k", text.alias("_text"), "_r.perturbed_output", "_ok")
-    attacked = live.join(res, id_col, "left").select(
-        id_col,
-        F.when(F.col("_ok") == 1, F.lit("Successful")).otherwise(F.lit("Failed"))
-        .alias("result_type"),
-        F.col("prompt").alias("original_text"),
-        F.coalesce("_text", F.lower("prompt")).alias("perturbed_text"),
-        F.col("label").alias("ground_truth_output"), "original_output",
-        F.coalesce("perturbed_output", "original_output").alias("perturbed_output"),
-        F.coalesce("k", F.lit(0)).alias("num_changes"), "data_type")
-    skip = skipped.select(
-        id_col, F.lit("Skipped").alias("result_type"), F.col("prompt").alias("original_text"),
-        F.lower("prompt").alias("perturbed_text"), F.col("label").alias("ground_truth_output"),
-        "original_output", F.col("original_output").alias("perturbed_output"),
-        F.lit(0).alias("num_changes"), "data_type")
-    return attacked.unionByName(skip)
+    return _attack_log(live, res, r.skipped, id_col)
 
 
 # Tokens looked at on either side for a neighbour that is not empty; all are if these are.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptscreen.operators import perturb
+from promptscreen.operators import perturb, stepwise
 from promptscreen.plans.oracle import STD_MODELS, STOP_SQL, TOKEN_RE, content_id, score_ctes, with_ctes
 from promptscreen.plans.oracle_forest import forest_ctes, forest_score_ctes
 from promptscreen.plans.q_explain import _ATTACK, _AUG_ROWS, _lex_sql
@@ -95,6 +95,16 @@ def m12_greedy_substitution(spark, sf_dir):
     return greedy(Workflow.get(spark, sf_dir))
 
 
+@query("m12_greedy_stepwise")
+def m12_greedy_stepwise(spark, sf_dir):
+    """Each swap chosen on the text that the earlier ones left. The steps of a prompt
+    follow from each other (hundreds on whole texts), so there is no SQL:
+    ``tests/test_stepwise.py`` compares with a loop over whole texts."""
+    wf = Workflow.get(spark, sf_dir)
+    src = wf.split.filter(F.col("split") != "train").drop("split")
+    return stepwise.stepwise_substitution(wf.gate, src, wf.synonyms)
+
+
 @query("a8_greedy_success_rate", with_ctes(["split", "train"], _GREEDY_SOLO) + """
 SELECT count(*) AS attacked, count_if(result_type = 'Successful') AS successful,
        count_if(result_type = 'Failed') AS failed, count_if(result_type = 'Skipped') AS skipped,
