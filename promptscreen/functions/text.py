@@ -26,8 +26,7 @@ def remove_stop_words(toks, stop_words) -> Column:
     """Drop stop words but keep repeats and order (unlike ``array_except``)."""
     if not stop_words:
         return col_(toks)
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(col_(toks), lambda t: ~F.array_contains(stop, t))
+    return F.filter(col_(toks), lambda t: ~t.isin(*stop_words))
 
 
 def ngrams(toks, n_max: int = 2) -> Column:

@@ -10,12 +10,13 @@ and walk them again.
   largest decrease of the class-weighted Gini impurity (ties: smaller feature,
   then smaller cut). Rows are drawn per tree with Poisson(1) counts.
 * Training is one pass over the documents per level: a document walks all trees
-  inside its own row, meets the features its node has drawn, and adds to
-  ``(node, feature, bin)`` counts that are summed before they are shuffled. Only
-  the chosen splits (at most ``trees * 2**level``) come to the driver.
+  inside its own row, looks up the features its nodes have drawn, and each task
+  adds up its ``(node, feature, bin)`` counts in numpy before Spark sums them.
+  The drawn features of a level (at most ``trees * 2**level`` nodes of
+  ``sqrt(vocabulary)`` each) and its chosen splits pass through the driver.
 * The fitted forest is a table ``(pos, tree, heap, feature, cut, child, p, ...)``.
-  Scoring reads it as one row of arrays, broadcast, and walks the trees with
-  array expressions: no vectors and no Python worker. Its size is bounded by
+  Scoring broadcasts its arrays and walks the trees for a batch of documents at a
+  time; only the steps of the known terms go to Python. Its size is bounded by
   ``trees * 2**(depth + 1)`` nodes.
 
 Defined results: a text without known terms goes left everywhere; a training set
@@ -25,9 +26,12 @@ of one class raises an error; a row with a null text is scored like an empty one
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ BINS = 8
 LEAF, OPEN = -1, -2
 LEAST_GAIN = 1e-9
 P_DECIMALS = 9              # sums over trees differ below it with their order
+DOCS, PAIRS = 512, 50_000   # documents, and (document, tree) pairs, handled together in a task
+HELD = 4_000_000            # counts a task holds before it adds them up
 
 
 def poisson_limits(k: int = 5) -> list[int]:
@@ -65,9 +71,9 @@ def bin_of(weight):
 
 
 def with_bins(rows: DataFrame, features: DataFrame, id_col: str = "prompt_id") -> DataFrame:
-    """``rows`` with ``_bins``, a map from feature to step (null: no known term).
+    """``rows`` with ``_bins``, an array of (feature, step) (null: no known term).
     ``features`` is the long TF-IDF table."""
-    per = features.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", bin_of(F.col("weight"))))).alias("_bins"))
+    per = features.groupBy(id_col).agg(F.collect_list(F.struct("idx", bin_of(F.col("weight")).alias("bin"))).alias("_bins"))
     return rows.join(per, id_col, "left")
 
 
@@ -95,33 +101,60 @@ class Nodes:
         for i in positions:
             self.feature[i] = LEAF
 
-    def table(self, spark: SparkSession, w_h: float, w_b: float) -> DataFrame:
+    def columns(self, w_h: float, w_b: float) -> dict[str, np.ndarray]:
         h, b = np.array(self.h, np.float64) * w_h, np.array(self.b, np.float64) * w_b
         total = h + b
-        cols = {"pos": np.arange(len(self.tree), dtype=np.int32), "tree": np.array(self.tree, np.int32),
+        return {"pos": np.arange(len(self.tree), dtype=np.int32), "tree": np.array(self.tree, np.int32),
                 "heap": np.array(self.heap, np.int64), "feature": np.array(self.feature, np.int32),
                 "cut": np.array(self.cut, np.int32), "child": np.array(self.child, np.int32),
                 "n_h": np.array(self.h, np.int64), "n_b": np.array(self.b, np.int64),
                 "p": np.where(total > 0, h / np.where(total > 0, total, 1.0), 0.5), "gain": np.array(self.gain, np.float64)}
-        return spark.createDataFrame(pa.table(cols))
+
+    def table(self, spark: SparkSession, w_h: float, w_b: float) -> DataFrame:
+        return spark.createDataFrame(pa.table(self.columns(w_h, w_b)))
 
 
-def as_row(nodes: DataFrame) -> DataFrame:
-    """The node table as one row of arrays in the order of ``pos``."""
-    names = ["feature", "cut", "child", "p"]
-    packed = nodes.agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("_t"))
-    return packed.select(*(F.col(f"_t.{c}").alias(f"_{c}") for c in names))
+def walk_table(nodes: DataFrame) -> dict[str, np.ndarray]:
+    """What a walk reads of the node table, as arrays in the order of ``pos``."""
+    got = nodes.select("pos", "feature", "cut", "child", "p").toArrow()
+    order = np.argsort(got["pos"].to_numpy())
+    return {c: got[c].to_numpy()[order] for c in ("feature", "cut", "child", "p")}
 
 
-def leaves(trees: int, depth: int):
-    """Position of the node that ``_bins`` ends in, for each tree."""
-    def step(p, _):
-        f = F.get("_feature", p)
-        right = F.coalesce(F.try_element_at("_bins", f), F.lit(0)) >= F.get("_cut", p)
-        return F.when(f < 0, p).otherwise(F.get("_child", p) + right.cast("int"))
+def dense(idx: pd.Series, steps: pd.Series, size: int) -> np.ndarray:
+    """Steps of all features, a row per document; the last column, 0, is of no feature."""
+    out = np.zeros((len(idx), size + 1), np.uint8)
+    for row, i, s in zip(out, idx, steps, strict=True):
+        if i is not None and len(i):
+            row[i] = s
+    return out
+
 
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                       lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), t, step))
+def leaves(table: dict, steps: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Position of the node that each document (a row of ``steps``) ends in, for each tree."""
+    pos = np.tile(np.arange(trees), (len(steps), 1))
+    at = np.arange(len(steps))[:, None]
+    for _ in range(depth):
+        feature = table["feature"][pos]
+        right = steps[at, np.where(feature < 0, -1, feature)] >= table["cut"][pos]
+        pos = np.where(feature < 0, pos, table["child"][pos] + right)
+    return pos
+
+
+def _probabilities(shared, trees: int, depth: int, size: int):
+    """Arrow-backed function: the sum over the trees of a document's leaf."""
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        table = shared.value
+        for idx, steps in batches:
+            total = np.zeros(len(idx))
+            for k in range(0, len(idx), DOCS):
+                part = slice(k, k + DOCS)
+                pos = leaves(table, dense(idx.iloc[part], steps.iloc[part], size), trees, depth)
+                for tree in range(trees):           # one after the other: the same sum everywhere
+                    total[part] += table["p"][pos[:, tree]]
+            yield pd.Series(total)
+
+    return F.pandas_udf(of, "double")
 
 
 @dataclass
@@ -138,11 +171,15 @@ class TreeScorer:
         base = df if partitioned else T.by_id(df, id_col)
         dt = T.doc_terms(base.select(id_col, text_col), self.spec, text_col, id_col)
         rows = with_bins(base, T.transform(dt, self.vocab, self.spec, id_col), id_col)
-        at = rows.crossJoin(F.broadcast(as_row(self.nodes)))
-        p = F.aggregate(leaves(self.trees, self.depth), F.lit(0.0), lambda s, pos: s + F.get("_p", pos))
-        out = at.select(*(F.col(f"`{c}`") for c in df.columns), F.round(p / F.lit(float(self.trees)), P_DECIMALS).alias("prob_harmful"))
+        p = self.total_of(F.col("_bins.idx"), F.col("_bins.bin"))
+        out = rows.select(*(F.col(f"`{c}`") for c in df.columns), F.round(p / F.lit(float(self.trees)), P_DECIMALS).alias("prob_harmful"))
         return out.withColumn("logit", logit_of("prob_harmful"))
 
+    @cached_property
+    def total_of(self):
+        shared = self.nodes.sparkSession.sparkContext.broadcast(walk_table(self.nodes))
+        return _probabilities(shared, self.trees, self.depth, self.vocab.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0] + 1)
+
     def save(self, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
@@ -165,8 +202,9 @@ def training_rows(train: DataFrame, vocab: DataFrame, spec: T.TfidfSpec, trees:
     def count(u):
         return sum(((u >= limit).cast("int") for limit in poisson_limits()), F.lit(0))
 
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: count(draw32(seed, "row", t, F.col("prompt_id"))))
-    return rows.select("label", "_bins", draws.alias("_draws"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw32(seed, "row", t, F.col("prompt_id")))
+    return rows.select("label", F.col("_bins.idx").alias("_idx"), F.col("_bins.bin").alias("_steps"),
+                       F.transform(drawn, count).alias("_draws"))
 
 
 def candidates(spark: SparkSession, nodes: Nodes, vocabulary: int, seed: int) -> DataFrame:
@@ -187,17 +225,57 @@ def purity(h, b):
     return F.when(h + b > 0, (h * h + b * b) / (h + b)).otherwise(F.lit(0.0))
 
 
-def best_splits(docs: DataFrame, nodes: Nodes, row: DataFrame, drawn: DataFrame, trees: int, level: int,
-                w_h: float, w_b: float) -> DataFrame:
+def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _histograms(shared, trees: int, level: int, size: int, frames):
+    """Counts ``(pos, idx, cut, h, b)`` of a task's documents at the open nodes of a level."""
+    table, drawn = shared.value["table"], shared.value["drawn"]     # a row of drawn features per open node
+    slot_of = np.full(len(table["feature"]), -1)
+    slot_of[shared.value["pos"]] = np.arange(len(drawn))
+    m, keys, counts, held = drawn.shape[1], [], [], 0
+    for frame in frames:
+        for k in range(0, len(frame), DOCS):
+            part = frame.iloc[k:k + DOCS]
+            steps = dense(part["_idx"], part["_steps"], size)
+            slots = slot_of[leaves(table, steps, trees, level)]
+            n, is_h = np.stack(part["_draws"].to_numpy()), (part["label"] == 1).to_numpy()
+            doc, tree = np.nonzero((slots >= 0) & (n > 0))
+            for j in range(0, len(doc), PAIRS):
+                d, t = doc[j:j + PAIRS], tree[j:j + PAIRS]
+                slot = slots[d, t]
+                met = steps[d[:, None], drawn[slot]]
+                row, col = np.nonzero(met)
+                keys.append(((slot[row] * m + col) * 16 + met[row, col]) * 2 + is_h[d[row]])
+                counts.append(n[d[row], t[row]])
+                held += len(row)
+                if held > HELD:
+                    key, count = _summed(keys, counts)
+                    keys, counts, held = [key], [count], 0
+    if not keys:
+        return
+    key, count = _summed(keys, counts)
+    cell, h = key // 2, key % 2 == 1
+    slot, col = np.divmod(cell // 16, m)
+    for k in range(0, len(key), HELD // 8):
+        s = slice(k, k + HELD // 8)
+        yield pd.DataFrame({"pos": shared.value["pos"][slot[s]], "idx": drawn[slot[s], col[s]], "cut": cell[s] % 16,
+                            "h": np.where(h[s], count[s], 0), "b": np.where(h[s], 0, count[s])})
+
+
+def best_splits(docs: DataFrame, nodes: Nodes, drawn: DataFrame, trees: int, level: int,
+                size: int, w_h: float, w_b: float) -> pa.Table:
     """``(pos, idx, cut, h, b, gain)``: the best split of each open node."""
-    at = (docs.crossJoin(F.broadcast(row)).select("label", "_bins", F.posexplode(F.arrays_zip(
-        leaves(trees, level).alias("pos"), F.col("_draws").alias("n"))).alias("_tree", "_at"))
-          .select("label", "_bins", "_at.pos", "_at.n").filter("n > 0"))
-    met = at.join(F.broadcast(drawn.select("pos", "_drawn")), "pos").select(
-        "label", "_bins", "pos", "n", F.explode(F.array_intersect(F.map_keys("_bins"), F.col("_drawn"))).alias("idx"))
-    is_h = F.col("label") == 1
-    hist = met.groupBy("pos", "idx", F.element_at("_bins", F.col("idx")).alias("cut")).agg(
-        F.sum(F.when(is_h, F.col("n")).otherwise(0)).alias("h"), F.sum(F.when(is_h, 0).otherwise(F.col("n"))).alias("b"))
+    got = drawn.select("pos", "_drawn").toArrow()
+    lists = got["_drawn"].combine_chunks()
+    length = lists.value_lengths().to_numpy()
+    of_node = np.full((len(length), int(length.max())), -1, np.int32)       # -1: no feature
+    of_node[np.arange(of_node.shape[1]) < length[:, None]] = lists.flatten().to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast({"table": nodes.columns(w_h, w_b), "pos": got["pos"].to_numpy(), "drawn": of_node})
+    per_task = docs.mapInPandas(partial(_histograms, shared, trees, level, size), "pos int, idx int, cut int, h long, b long")
+    hist = per_task.groupBy("pos", "idx", "cut").agg(F.sum("h").alias("h"), F.sum("b").alias("b"))
     # right of a cut: all steps from it on
     up = Window.partitionBy("pos", "idx").orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
     right = hist.select("pos", "idx", "cut", F.sum("h").over(up).alias("h"), F.sum("b").over(up).alias("b"))
@@ -208,7 +286,9 @@ def best_splits(docs: DataFrame, nodes: Nodes, row: DataFrame, drawn: DataFrame,
     right = right.withColumn("_s", both).withColumn("gain", both - purity(wh * F.col("n_h"), wb * F.col("n_b")))
     chosen = right.filter(F.col("gain") > LEAST_GAIN).groupBy("pos").agg(F.max_by(
         F.struct("idx", "cut", "h", "b", "gain"), F.struct("_s", -F.col("idx"), -F.col("cut"))).alias("_b"))
-    return chosen.select("pos", "_b.*")
+    splits = chosen.select("pos", "_b.*").toArrow()
+    shared.unpersist()
+    return splits
 
 
 def fit(train: DataFrame, spec: T.TfidfSpec | None = None, num_trees: int = FOREST_TREES,
@@ -240,8 +320,7 @@ def fit(train: DataFrame, spec: T.TfidfSpec | None = None, num_trees: int = FORE
         at = nodes.open()
         if not at or not size:
             break
-        row = as_row(nodes.table(spark, w_h, w_b))
-        splits = best_splits(docs, nodes, row, candidates(spark, nodes, size, seed), num_trees, level, w_h, w_b).toArrow()
+        splits = best_splits(docs, nodes, candidates(spark, nodes, size, seed), num_trees, level, size, w_h, w_b)
         for s in sorted(splits.to_pylist(), key=lambda s: s["pos"]):
             nodes.split(s["pos"], s["idx"], s["cut"], s["h"], s["b"], s["gain"])
         nodes.close(i for i in at if nodes.feature[i] == OPEN)

@@ -91,3 +91,36 @@ def test_one_class_is_refused(train):
 def test_poisson_limits():
     limits = ensemble.poisson_limits()
     assert limits == sorted(limits) and limits[0] == 1580030168 and limits[-1] < 2**32
+
+
+def test_counts_of_a_task_equal_plain_counts(monkeypatch):
+    """Small runs of documents, pairs and held counts add up to the same."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    rng, trees, size = np.random.default_rng(5), 3, 12
+    docs = [(int(k % 2), sorted(rng.choice(size, 5, replace=False).tolist()), rng.integers(0, 3, trees)) for k in range(40)]
+    frame = pd.DataFrame({"label": [y for y, _, _ in docs], "_idx": [np.array(i) if k else None for k, (_, i, _) in enumerate(docs)],
+                          "_steps": [np.arange(1, 6) for _ in docs], "_draws": [n for _, _, n in docs]})
+    table = {"feature": np.full(trees, ensemble.OPEN), "cut": np.zeros(trees, int), "child": np.zeros(trees, int)}
+    drawn = np.array([[1, 4, 7], [0, 2, -1], [11, 10, 9]])
+    want: dict = {}
+    for k, (y, idx, n) in enumerate(docs):
+        for tree in range(trees):
+            for step, i in enumerate(idx, 1):
+                if k and n[tree] and i in drawn[tree]:
+                    key = (tree, i, step)
+                    h, b = want.get(key, (0, 0))
+                    want[key] = (h + y * n[tree], b + (1 - y) * n[tree])
+    shared = SimpleNamespace(value={"table": table, "pos": np.arange(trees), "drawn": drawn})
+    for docs_at_once, pairs, held in ((512, 50_000, 4_000_000), (7, 5, 16)):
+        monkeypatch.setattr(ensemble, "DOCS", docs_at_once)
+        monkeypatch.setattr(ensemble, "PAIRS", pairs)
+        monkeypatch.setattr(ensemble, "HELD", held)
+        got: dict = {}
+        for part in ensemble._histograms(shared, trees, 0, size, iter([frame.iloc[:25], frame.iloc[25:]])):
+            for r in part.itertuples(index=False):
+                h, b = got.get((r.pos, r.idx, r.cut), (0, 0))
+                got[r.pos, r.idx, r.cut] = (h + r.h, b + r.b)
+        assert got == want
