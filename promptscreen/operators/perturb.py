@@ -319,20 +319,29 @@ def _steps(doc: DataFrame, spec: T.TfidfSpec, id_col: str) -> DataFrame:
         F.filter(F.array(t), lambda w: ~w.isin(*spec.stop_words)).alias("base"),
         F.get("_ord", i)["order"].alias("order"), delta.words(F.get("_ord", i)["synonym"], spec).alias("rep")))
     rows = doc.select(id_col, F.filter(kept, lambda x: (F.size(x["base"]) > 0) | x["order"].isNotNull()).alias("_a"))
-    rows = rows.select(id_col, "_a", F.posexplode("_a").alias("_j", "_x")).filter("_x.order is not null")
-    j = F.col("_j")
+    n = F.lit(NEAR_TOKENS)
+    changed = F.filter(F.transform("_a", lambda x, j: F.when(x["order"].isNotNull(), j)), lambda j: j.isNotNull())
+    # a row holds what stands near its token, never the whole text
+    near = rows.select(id_col, F.explode(F.transform(changed, lambda j: F.struct(
+        j.alias("j"), F.get("_a", j).alias("x"), (F.size("_a") - 1 - j).alias("behind"),
+        F.slice("_a", F.greatest(j - n, F.lit(0)) + 1, F.least(j, n)).alias("left"),
+        F.slice("_a", j + 2, n).alias("right")))).alias("_e")).select(id_col, "_e.*")
 
     def now(part):
         return F.flatten(F.transform(part, lambda x: F.when(
-            F.coalesce(x["order"] < F.col("_x.order"), F.lit(False)), x["rep"]).otherwise(x["base"])))
-
-    n = F.lit(NEAR_TOKENS)
-    left, right = F.slice("_a", F.lit(1), j), F.slice("_a", j + 2, F.size("_a"))
-    near_left = F.slice("_a", F.greatest(j - n, F.lit(0)) + 1, F.least(j, n))
-    prev = F.coalesce(F.try_element_at(now(near_left), F.lit(-1)), F.try_element_at(now(left), F.lit(-1)))
-    after = F.coalesce(F.get(now(F.slice("_a", j + 2, n)), F.lit(0)), F.get(now(right), F.lit(0)))
-    return rows.select(id_col, F.col("_x.order").alias("k"),
-                       delta.edit(prev, F.col("_x.base"), F.col("_x.rep"), after, spec).alias("edit"))
+            F.coalesce(x["order"] < F.col("x.order"), F.lit(False)), x["rep"]).otherwise(x["base"])))
+
+    near = near.select(id_col, "j", "x", "behind", F.try_element_at(now(F.col("left")), F.lit(-1)).alias("prev"),
+                       F.get(now(F.col("right")), F.lit(0)).alias("after"))
+    # nothing but empty replacements near: the whole text is looked at
+    short = ((F.col("prev").isNull() & (F.col("j") > NEAR_TOKENS))
+             | (F.col("after").isNull() & (F.col("behind") > NEAR_TOKENS)))
+    far = near.filter(short).join(rows, id_col).withColumns({
+        "prev": F.coalesce("prev", F.try_element_at(now(F.slice("_a", F.lit(1), F.col("j"))), F.lit(-1))),
+        "after": F.coalesce("after", F.get(now(F.slice("_a", F.col("j") + 2, F.size("_a"))), F.lit(0)))}).drop("_a")
+    found = near.filter(~short).unionByName(far)
+    return found.select(id_col, F.col("x.order").alias("k"),
+                        delta.edit(F.col("prev"), F.col("x.base"), F.col("x.rep"), F.col("after"), spec).alias("edit"))
 
 
 def greedy_success_rate(results: DataFrame) -> DataFrame:

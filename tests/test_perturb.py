@@ -71,3 +71,18 @@ def test_greedy_substitution_results_hold(spark):
             assert got[i] != x.ground_truth_output and x.num_changes >= 1
         else:
             assert got[i] == x.ground_truth_output
+
+
+def test_a_step_carries_no_whole_text(spark):
+    """Each position once came with every token of its text (``_a``): quadratic in the text."""
+    import re
+    wf = Workflow.get(spark, SF01)
+    r = perturb._ranked(wf.gate, wf.val, wf.synonyms, None, 5, 0.5, "prompt_id")
+    plan = r.positions.groupBy("prompt_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("pos", F.struct("order", "_b.synonym")))).alias("_plan"), F.count("*").alias("_c"))
+    doc = r.live.join(plan, "prompt_id").withColumns(perturb._pieces()).withColumn(
+        "_ord", F.transform("_toks", lambda t, i: F.element_at("_plan", i)))
+    steps = perturb._steps(doc, wf.gate.spec, "prompt_id")
+    text = steps._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate .*, \[([^\]]*)\], false, \[_e#", text)
+    assert carried and not any("_a#" in c for c in carried)
