@@ -14,11 +14,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from promptscreen.constants import FOREST_DEPTH, FOREST_TREES, SEED, TOP_N
 from promptscreen.functions.scalar import logit_of
 from promptscreen.operators import linear
 from promptscreen.operators import tfidf as T
+from promptscreen.sources import io
 
 
 @F.udf(VectorUDT(), useArrow=True)
@@ -37,6 +39,23 @@ def vectors(features: DataFrame, rows: DataFrame, size: int, id_col: str = "prom
     return j.withColumn("features", _sparse(F.lit(size), F.col("_e"))).drop("_e")
 
 
+def stored_vectors(features: DataFrame, rows: DataFrame, size: int, id_col: str = "prompt_id") -> DataFrame:
+    """:func:`vectors`, written once as the Parquet form of sparse vectors and read
+    back as such: no Python worker holds them, and a solver's passes build them no more."""
+    per_doc = features.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
+
+    def entries(field: str, kind: str):
+        return F.coalesce(F.col(f"_e.{field}").cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
+                      entries("idx", "int").alias("indices"), entries("weight", "double").alias("values"))
+    path = io.scratch_dir(rows.sparkSession, "vectors")
+    table = rows.join(per_doc, id_col, "left").withColumn("features", vector).drop("_e")
+    table.write.parquet(path)
+    schema = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in table.schema])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 @dataclass
 class ForestScorer:
     """Vocabulary + fitted forest; ``score`` adds ``prob_harmful``."""
@@ -84,7 +103,7 @@ def fit_forest(train: DataFrame, spec: T.TfidfSpec | None = None, num_trees: int
     size = spec.max_features
     base = T.by_id(linear.with_class_weight(train.select("prompt_id", "prompt", "label")))
     dt = T.doc_terms(base.select("prompt_id", "prompt"), spec)
-    v = vectors(T.transform(dt, vocab, spec), base, size).select(
+    v = stored_vectors(T.transform(dt, vocab, spec), base.drop("prompt"), size).select(
         "features", F.col("label").cast("double").alias("label"), "weight")
     rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 weightCol="weight", featureSubsetStrategy="sqrt",

@@ -149,7 +149,7 @@ def fit_logreg(train: DataFrame, spec: T.TfidfSpec | None = None, reg_param: flo
     a :class:`LinearScorer`, so scoring stays in SQL like the closed form.
     """
     from pyspark.ml.classification import LogisticRegression
-    from promptscreen.operators.forest import vectors
+    from promptscreen.operators.forest import stored_vectors
 
     spec = spec or T.TfidfSpec()
     if stats is None:
@@ -158,7 +158,7 @@ def fit_logreg(train: DataFrame, spec: T.TfidfSpec | None = None, reg_param: flo
     vocab = T.vocabulary_from_stats(stats, n_docs, spec).checkpoint(eager=True)
     base = T.by_id(with_class_weight(train.select("prompt_id", "prompt", "label")))
     dt = T.doc_terms(base.select("prompt_id", "prompt"), spec)
-    v = vectors(T.transform(dt, vocab, spec), base, spec.max_features).select(
+    v = stored_vectors(T.transform(dt, vocab, spec), base.drop("prompt"), spec.max_features).select(
         "features", F.col("label").cast("double").alias("label"), "weight")
     lr = LogisticRegression(weightCol="weight", regParam=reg_param, maxIter=max_iter,
                             tol=tol, standardization=False)
