@@ -31,14 +31,16 @@ def make_linear_predict_fn(model: dict):
     """Factory for ``predict_batch_udf``: returns ``texts -> P(harmful)``; a
     null text has no terms, so it gets the bias's probability."""
     def make():
+        import re
         import regex
-        pat = regex.compile(TOKEN_PATTERN)
+        pat, plain = regex.compile(TOKEN_PATTERN), re.compile(r"\w{2,}", re.ASCII)      # the same on ASCII
         numbers = {t: i for i, t in enumerate(model["terms"])}
         idf, weight = (np.array(x) for x in zip(*model["terms"].values())) if numbers else (np.zeros(0), np.zeros(0))
         stop, prefix, most = set(model["stop_words"]), model.get("prefix") or "", model.get("max_tokens")
 
         def terms(text) -> list[int]:
-            toks = pat.findall((prefix + text).lower()) if text is not None else []
+            whole = (prefix + text).lower() if text is not None else ""
+            toks = (plain if whole.isascii() else pat).findall(whole)
             toks = [t for t in toks[:most] if t not in stop]
             grams = [numbers.get(t, -1) for t in toks]
             if model["ngram_max"] >= 2:

@@ -10,6 +10,9 @@ up to the unigram part of the logit.
 
 from __future__ import annotations
 
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from promptscreen.operators import delta, sampling
 from promptscreen.operators import tfidf as T
 from promptscreen.session import ensure_checkpoint_dir
 
+VARIANT_CHARS = 4_000_000       # characters of edited texts a task hands on together
+
 
 def attribution(scorer, df: DataFrame, target: str = "logit", text_col: str = "prompt",
                 id_col: str = "prompt_id", partitioned: bool = False) -> DataFrame:
@@ -83,7 +88,7 @@ def leave_one_out(scorer, df: DataFrame, text_col: str = "prompt",
     texts, at a cost of distinct words times text length per prompt. There is
     no cap.
     """
-    from promptscreen.functions.text import rebuild_text, separators
+    from promptscreen.functions.text import separators
 
     base = T.by_id(df.select(id_col, text_col), id_col)
     toks = tokens(text_col)
@@ -97,17 +102,48 @@ def leave_one_out(scorer, df: DataFrame, text_col: str = "prompt",
         # a word that features are not made of changes nothing
         return w.select(id_col, "word", F.coalesce(F.col("prob_harmful") - F.col("_pv"), F.lit(0.0))
                         .alias("attribution"))
+    # a text becomes as many as it has words: its partitions are not to be put together by their size now
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    base = df.select(id_col, text_col).repartition(parts, id_col)
     orig = scorer.score(base, text_col=text_col, id_col=id_col, partitioned=True).select(
         id_col, text_col, F.col("prob_harmful").alias("_p0"))
-    w = orig.select(id_col, "_p0", toks.alias("_t"), separators(text_col).alias("_s"),
-                    F.explode(F.array_distinct(toks)).alias("word"))
-    dropped = F.transform("_t", lambda t: F.when(t == F.col("word"), F.lit("")).otherwise(t))
-    v = (w.withColumn("_vid", F.concat_ws(":", F.col(id_col).cast("string"), F.col("word")))
-         .withColumn("_text", rebuild_text(F.col("_s"), dropped)))
-    vs = scorer.score(v.select("_vid", "_text"), text_col="_text", id_col="_vid").select(
+    named = F.concat_ws(":", F.col(id_col).cast("string"), F.col("word"))
+    kind = base.schema[id_col].dataType.simpleString()
+    texts = orig.select(id_col, toks.alias("_t"), separators(text_col).alias("_s")).mapInPandas(
+        partial(_without_each, id_col), f"`{id_col}` {kind}, word string, _text string")
+    vs = scorer.score(texts.select(named.alias("_vid"), "_text"), text_col="_text", id_col="_vid").select(
         "_vid", F.col("prob_harmful").alias("_pv"))
-    return v.select(id_col, "word", "_p0", "_vid").join(vs, "_vid").select(
-        id_col, "word", (F.col("_p0") - F.col("_pv")).alias("attribution"))
+    v = orig.select(id_col, "_p0", F.explode(F.array_distinct(toks)).alias("word")).withColumn("_vid", named)
+    return v.join(vs, "_vid").select(id_col, "word", (F.col("_p0") - F.col("_pv")).alias("attribution"))
+
+
+def _without_each(id_col: str, frames):
+    """The text without each of its distinct words, from tokens ``_t`` and what
+    stands between them ``_s``; a few MB of texts at a time."""
+    for frame in frames:
+        ids, words, texts, held = [], [], [], 0
+        for i, toks, seps in zip(frame[id_col], frame["_t"], frame["_s"], strict=True):
+            if toks is None or not len(toks):
+                continue
+            pieces = [seps[0]]
+            at: dict[str, list[int]] = {}
+            for k, (t, s) in enumerate(zip(toks, seps[1:], strict=True)):
+                at.setdefault(t, []).append(2 * k + 1)
+                pieces += [t, s]
+            for word, places in at.items():
+                for k in places:
+                    pieces[k] = ""
+                text = "".join(pieces)
+                for k in places:
+                    pieces[k] = word
+                ids.append(i), words.append(word), texts.append(text)
+                held += len(text)
+                if held > VARIANT_CHARS:
+                    yield pd.DataFrame({id_col: ids, "word": words, "_text": texts})
+                    ids, words, texts, held = [], [], [], 0
+        if ids:
+            yield pd.DataFrame({id_col: ids, "word": words, "_text": texts})
 
 
 def valid_token(c="token"):
