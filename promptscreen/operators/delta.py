@@ -93,9 +93,9 @@ def _v(tf, spec: T.TfidfSpec):
 def known_terms(scorer: LinearScorer, base: DataFrame, text_col: str = "prompt",
                 id_col: str = "prompt_id") -> DataFrame:
     """``(id, idx, tf, idf, coef)`` of the known terms of each document."""
-    dt = T.doc_terms(base.select(id_col, text_col), scorer.spec, text_col, id_col)
     v = scorer.vocab.select("term", "idx", "idf", F.col("weight").alias("coef"))
-    return dt.join(F.broadcast(v), "term").select(id_col, "idx", "tf", "idf", "coef")
+    dt = T.known_terms(base.select(id_col, text_col), v, scorer.spec, text_col, id_col, carry=("coef",))
+    return dt.select(id_col, "idx", "tf", "idf", "coef")
 
 
 def prepared(scorer: LinearScorer, base: DataFrame, text_col: str = "prompt",

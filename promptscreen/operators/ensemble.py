@@ -169,8 +169,7 @@ class TreeScorer:
     def score(self, df: DataFrame, text_col: str = "prompt", id_col: str = "prompt_id",
               partitioned: bool = False) -> DataFrame:
         base = df if partitioned else T.by_id(df, id_col)
-        dt = T.doc_terms(base.select(id_col, text_col), self.spec, text_col, id_col)
-        rows = with_bins(base, T.transform(dt, self.vocab, self.spec, id_col), id_col)
+        rows = with_bins(base, T.features(base.select(id_col, text_col), self.vocab, self.spec, text_col, id_col), id_col)
         p = self.total_of(F.col("_bins.idx"), F.col("_bins.bin"))
         out = rows.select(*(F.col(f"`{c}`") for c in df.columns), F.round(p / F.lit(float(self.trees)), P_DECIMALS).alias("prob_harmful"))
         return out.withColumn("logit", logit_of("prob_harmful"))
@@ -196,8 +195,7 @@ def training_rows(train: DataFrame, vocab: DataFrame, spec: T.TfidfSpec, trees:
     """``(label, _bins, _draws)`` per document with known terms or without, where
     ``_draws`` counts how often each tree has drawn it."""
     base = T.by_id(train.select("prompt_id", "prompt", "label"))
-    dt = T.doc_terms(base.select("prompt_id", "prompt"), spec)
-    rows = with_bins(base.select("prompt_id", "label"), T.transform(dt, vocab, spec))
+    rows = with_bins(base.select("prompt_id", "label"), T.features(base.select("prompt_id", "prompt"), vocab, spec))
 
     def count(u):
         return sum(((u >= limit).cast("int") for limit in poisson_limits()), F.lit(0))
@@ -304,7 +302,8 @@ def fit(train: DataFrame, spec: T.TfidfSpec | None = None, num_trees: int = FORE
         n_docs, _, _ = linear.class_counts(train)
         vocab = T.vocabulary_from_stats(stats, n_docs, spec).checkpoint(eager=True)
     size = vocab.count()
-    docs = training_rows(train, vocab, spec, num_trees, seed).checkpoint(eager=True)
+    # stored over as many tasks as texts need; a walk adds up more in fewer
+    docs = training_rows(train, vocab, spec, num_trees, seed).checkpoint(eager=True).coalesce(spark.sparkContext.defaultParallelism)
     n_h, n_b = docs.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not (n_h and n_b):
         raise ValueError("the forest needs training rows of both classes")

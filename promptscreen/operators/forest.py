@@ -67,8 +67,8 @@ class ForestScorer:
     def featurize(self, df: DataFrame, text_col: str = "prompt", id_col: str = "prompt_id",
                   partitioned: bool = False) -> DataFrame:
         base = df if partitioned else T.by_id(df, id_col)
-        dt = T.doc_terms(base.select(id_col, text_col), self.spec, text_col, id_col)
-        return vectors(T.transform(dt, self.vocab, self.spec, id_col), base, self.size, id_col)
+        x = T.features(base.select(id_col, text_col), self.vocab, self.spec, text_col, id_col)
+        return vectors(x, base, self.size, id_col)
 
     def score(self, df: DataFrame, text_col: str = "prompt", id_col: str = "prompt_id",
               partitioned: bool = False) -> DataFrame:
@@ -102,8 +102,7 @@ def fit_forest(train: DataFrame, spec: T.TfidfSpec | None = None, num_trees: int
         vocab = T.vocabulary_from_stats(stats, n_docs, spec).checkpoint(eager=True)
     size = spec.max_features
     base = T.by_id(linear.with_class_weight(train.select("prompt_id", "prompt", "label")))
-    dt = T.doc_terms(base.select("prompt_id", "prompt"), spec)
-    v = stored_vectors(T.transform(dt, vocab, spec), base.drop("prompt"), size).select(
+    v = stored_vectors(T.features(base.select("prompt_id", "prompt"), vocab, spec), base.drop("prompt"), size).select(
         "features", F.col("label").cast("double").alias("label"), "weight")
     rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 weightCol="weight", featureSubsetStrategy="sqrt",

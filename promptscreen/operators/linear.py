@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from promptscreen.constants import DECIMALS
 from promptscreen.functions.scalar import sigmoid
 from promptscreen.operators import tfidf as T
+from promptscreen.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -37,16 +38,14 @@ class LinearScorer:
 
     def features(self, df: DataFrame, text_col: str = "prompt",
                  id_col: str = "prompt_id") -> DataFrame:
-        dt = T.doc_terms(df, self.spec, text_col, id_col)
-        return T.transform(dt, self.vocab, self.spec, id_col)
+        return T.features(df, self.vocab, self.spec, text_col, id_col)
 
     def contributions(self, df: DataFrame, text_col: str = "prompt",
                       id_col: str = "prompt_id") -> DataFrame:
         """``(id, idx, term, tf, x, coef, contribution)`` per known term
         (one broadcast join of the model table)."""
-        dt = T.doc_terms(df, self.spec, text_col, id_col)
         v = self.vocab.select("term", "idx", "idf", F.col("weight").alias("coef"))
-        x = T.transform(dt, v, self.spec, id_col, carry=("coef",)).withColumnRenamed("weight", "x")
+        x = T.features(df, v, self.spec, text_col, id_col, carry=("coef",)).withColumnRenamed("weight", "x")
         return x.withColumn("contribution", F.col("coef") * F.col("x"))
 
     def score(self, df: DataFrame, text_col: str = "prompt", id_col: str = "prompt_id",
@@ -61,9 +60,8 @@ class LinearScorer:
         """
         base = df if partitioned else T.by_id(df, id_col)
         others = tuple(c for c in base.columns if c not in (id_col, text_col))
-        dt = T.doc_terms(base, self.spec, text_col, id_col, keep=others).drop(*others)
         v = self.vocab.select("term", "idx", "idf", F.col("weight").alias("coef"))
-        x = T.transform(dt, v, self.spec, id_col, carry=("coef",))
+        x = T.features(base, v, self.spec, text_col, id_col, carry=("coef",), keep=others)
         sums = x.groupBy(id_col).agg(F.sum(F.col("coef") * F.col("weight")).alias("_s"))
         out = base.join(sums, id_col, "left")
         logit = F.round(F.coalesce(F.col("_s"), F.lit(0.0)) + F.lit(self.bias), DECIMALS)
@@ -81,10 +79,11 @@ def class_counts(train: DataFrame, label_col: str = "label"):
 
 def train_term_stats(train: DataFrame, spec: T.TfidfSpec, text_col: str = "prompt",
                      id_col: str = "prompt_id", label_col: str = "label") -> DataFrame:
-    """Per-term corpus count and document frequencies (overall and per class)."""
+    """Per-term corpus count and document frequencies (overall and per class).
+    A task's only table is one of its distinct terms: documents are counted inside
+    their row."""
     base = T.by_id(train.select(id_col, text_col, label_col), id_col)
-    dt = T.doc_terms(base, spec, text_col, id_col, keep=(label_col,))
-    return T.term_stats(dt, label_col)
+    return T.row_stats(T.merged_term_rows(base, spec, text_col, id_col, label_col), label_col)
 
 
 def fit_logodds(train: DataFrame, spec: T.TfidfSpec | None = None, alpha: float = 1.0,
@@ -157,8 +156,8 @@ def fit_logreg(train: DataFrame, spec: T.TfidfSpec | None = None, reg_param: flo
     n_docs, _, _ = class_counts(train)
     vocab = T.vocabulary_from_stats(stats, n_docs, spec).checkpoint(eager=True)
     base = T.by_id(with_class_weight(train.select("prompt_id", "prompt", "label")))
-    dt = T.doc_terms(base.select("prompt_id", "prompt"), spec)
-    v = stored_vectors(T.transform(dt, vocab, spec), base.drop("prompt"), spec.max_features).select(
+    x = T.features(base.select("prompt_id", "prompt"), vocab, spec)
+    v = stored_vectors(x, base.drop("prompt"), spec.max_features).select(
         "features", F.col("label").cast("double").alias("label"), "weight")
     lr = LogisticRegression(weightCol="weight", regParam=reg_param, maxIter=max_iter,
                             tol=tol, standardization=False)
@@ -182,7 +181,9 @@ def select_by_val_f1(train: DataFrame, val: DataFrame, spec: T.TfidfSpec, alphas
     """
     from promptscreen.operators import metrics
 
-    base = fit_logodds(train, spec, 1.0, stats=stats)
+    # the model table is read twice, the candidates' figures three times: both are stored
+    ensure_checkpoint_dir(train.sparkSession)
+    base = fit_logodds(train, spec, 1.0, stats=stats).materialize()
     n_docs, n_h, n_b = class_counts(train)
     n = n_h + n_b
     cands = F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("candidate", "alpha")
@@ -191,8 +192,7 @@ def select_by_val_f1(train: DataFrame, val: DataFrame, spec: T.TfidfSpec, alphas
     vocab = vocab.withColumn("coef", F.log((F.col("df_h") + a * n_h / n) / n_h)
                              - F.log((F.col("df_b") + a * n_b / n) / n_b))
     vb = T.by_id(val.select(id_col, "prompt", "label"), id_col)
-    dt = T.doc_terms(vb.select(id_col, "prompt"), spec, "prompt", id_col)
-    x = T.transform(dt, base.vocab, spec, id_col).select(id_col, "term", F.col("weight").alias("x"))
+    x = T.features(vb.select(id_col, "prompt"), base.vocab, spec, "prompt", id_col).select(id_col, "term", F.col("weight").alias("x"))
     contrib = x.join(F.broadcast(vocab.select("term", "candidate", "alpha", "coef")), "term")
     sums = contrib.groupBy(id_col, "candidate").agg(F.sum(F.col("coef") * F.col("x")).alias("_s"))
     grid = vb.select(id_col, "label", F.posexplode(F.array(*[F.lit(float(v)) for v in alphas]))
@@ -202,7 +202,7 @@ def select_by_val_f1(train: DataFrame, val: DataFrame, spec: T.TfidfSpec, alphas
     scored = scored.withColumn("predicted_label",
                                ((F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))) >= threshold)
                                .cast("int"))
-    per = metrics.prf(scored, by=["candidate", "alpha"])
+    per = metrics.prf(scored, by=["candidate", "alpha"]).checkpoint(eager=True)
     best = metrics.best_candidate(per).select("candidate", F.lit(True).alias("best"))
     return per.join(best, "candidate", "left").withColumn(
         "best", F.coalesce(F.col("best"), F.lit(False)))

@@ -146,7 +146,7 @@ def sparse_rows(df: DataFrame, vocab: DataFrame, spec: T.TfidfSpec, keep: tuple
                 text_col: str = "prompt", id_col: str = "prompt_id") -> DataFrame:
     """``(id, *keep, idx, x)``: one row per document, its known terms as two arrays."""
     base = T.by_id(df.select(id_col, text_col, *keep), id_col)
-    x = T.transform(T.doc_terms(base.select(id_col, text_col), spec, text_col, id_col), vocab, spec, id_col)
+    x = T.features(base.select(id_col, text_col), vocab, spec, text_col, id_col)
     pairs = x.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("weight").alias("x")))).alias("_a"))
     out = base.drop(text_col).join(pairs, id_col, "left").withColumn("_a", F.coalesce("_a", F.array().cast(pairs.schema["_a"].dataType)))
     return out.select(id_col, *keep, F.col("_a.idx").alias("idx"), F.col("_a.x").alias("x"))
@@ -206,8 +206,7 @@ class NetworkScorer:
 
     def _terms(self, base: DataFrame, text_col: str, id_col: str) -> DataFrame:
         v = self.vocab.select("term", "idx", "idf", "e")
-        return T.transform(T.doc_terms(base.select(id_col, text_col), self.spec, text_col, id_col), v,
-                           self.spec, id_col, carry=("e",))
+        return T.features(base.select(id_col, text_col), v, self.spec, text_col, id_col, carry=("e",))
 
     def _hidden(self, pooled):
         return [F.tanh(F.coalesce(s, F.lit(0.0)) + F.lit(b)) for s, b in zip(pooled, self.b, strict=True)]

@@ -10,6 +10,7 @@ differs in all of these, so this is written as DataFrame jobs.
 The sparse matrix is a long table ``(prompt_id, term, tf, weight)``. Input
 rows are hash-partitioned by id once (the text moves, not the far larger
 n-gram rows); per-document counting and norms then need no other shuffle.
+Scoring groups the rows of known terms alone (:func:`known_terms`).
 The vocabulary is capped at ``max_features`` rows, which is what makes its
 broadcast safe.
 """
@@ -54,7 +55,12 @@ def doc_terms(df: DataFrame, spec: TfidfSpec, text_col: str = "prompt",
 
 
 def by_id(df: DataFrame, id_col: str = "prompt_id") -> DataFrame:
-    return df.repartition(id_col)
+    """``df`` hashed by id. The number of partitions is given, because adaptive
+    execution would put texts together up to one task per core by their size,
+    and their term rows are many times larger."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, id_col)
 
 
 def term_stats(dterms: DataFrame, label_col: str | None = "label") -> DataFrame:
@@ -71,8 +77,20 @@ def term_rows(docs: DataFrame, spec: TfidfSpec, text_col: str = "prompt",
     """``([label,] once, term)``: every term of every text (``once`` 0), and again
     each distinct one (``once`` 1). One row is one document, so neither its text
     nor its counts are moved."""
+    return _rows_of(docs, terms_column(text_col, spec), label_col)
+
+
+def merged_term_rows(base: DataFrame, spec: TfidfSpec, text_col: str = "prompt", id_col: str = "prompt_id",
+                     label_col: str = "label") -> DataFrame:
+    """:func:`term_rows` when rows of one id and label are one document. Expects
+    ``base`` partitioned by ``id_col``."""
+    docs = base.groupBy(id_col, label_col).agg(F.collect_list(text_col).alias("_texts"))
+    return _rows_of(docs, F.flatten(F.transform("_texts", lambda t: terms_column(t, spec))), label_col)
+
+
+def _rows_of(docs: DataFrame, terms, label_col: str | None) -> DataFrame:
     keep = [label_col] if label_col else []
-    rows = docs.select(*keep, terms_column(text_col, spec).alias("_t"))
+    rows = docs.select(*keep, terms.alias("_t"))
     rows = rows.select(*keep, F.posexplode(F.array(F.col("_t"), F.array_distinct("_t"))).alias("once", "_t"))
     return rows.select(*keep, "once", F.explode("_t").alias("term"))
 
@@ -114,8 +132,31 @@ def transform(dterms: DataFrame, vocab: DataFrame, spec: TfidfSpec,
     rows here (its vector is empty).
     """
     v = F.broadcast(vocab.select("term", "idx", "idf", *carry))
+    return _weighted(dterms.join(v, "term"), spec, id_col, carry)
+
+
+def known_terms(df: DataFrame, vocab: DataFrame, spec: TfidfSpec, text_col: str = "prompt",
+                id_col: str = "prompt_id", carry: tuple = (), keep: tuple = ()) -> DataFrame:
+    """``(id, idx, term, idf, *carry, tf)``: :func:`doc_terms` of the known terms,
+    joined with their vocabulary rows. Unknown terms, most of a large corpus, end
+    at the broadcast, before any row is grouped. ``keep`` only groups: columns
+    that depend on the id, under names of their own."""
+    v = F.broadcast(vocab.select("term", "idx", "idf", *carry))
+    kept = {f"_keep{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
+    rows = df.select(id_col, *(c.alias(n) for n, c in kept.items()), F.explode(terms_column(text_col, spec)).alias("term"))
+    cols = [id_col, "idx", "term", "idf", *carry]
+    return rows.join(v, "term").groupBy(*cols, *kept).agg(F.count("*").alias("tf")).select(*cols, "tf")
+
+
+def features(df: DataFrame, vocab: DataFrame, spec: TfidfSpec, text_col: str = "prompt",
+             id_col: str = "prompt_id", carry: tuple = (), keep: tuple = ()) -> DataFrame:
+    """:func:`transform` of the texts of ``df``, which is partitioned by ``id_col``."""
+    return _weighted(known_terms(df, vocab, spec, text_col, id_col, carry, keep), spec, id_col, carry)
+
+
+def _weighted(known: DataFrame, spec: TfidfSpec, id_col: str, carry: tuple) -> DataFrame:
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if spec.sublinear_tf else F.col("tf").cast("double")
-    x = dterms.join(v, "term").withColumn("_v", tfw * F.col("idf"))
+    x = known.withColumn("_v", tfw * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))
     return x.withColumn("weight", F.col("_v") / norm).select(
         id_col, "idx", "term", "tf", "weight", *carry)
