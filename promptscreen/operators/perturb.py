@@ -86,9 +86,11 @@ def synonym_flips(scorer, rows: DataFrame, lexicon: DataFrame, top_k: int = TOP_
         new_words = delta.words(F.concat("_left", "synonym", "_right"), scorer.spec)
         old_words = delta.words(F.concat("_left", "token", "_right"), scorer.spec)
         cand = cand.withColumn("edit", delta.edit(F.col("_prev"), old_words, new_words, F.col("_next"), scorer.spec))
+        cand = stored(cand.select(id_col, *keys, "pos", "token", "synonym", "edit"))    # read three times
         new = delta.variant_scores(scorer, cand.select(id_col, *keys, "edit"), known, stats, keys, id_col)
     else:
-        cand = synonym_candidates(top, synonyms).join(base, id_col)
+        picked = stored(synonym_candidates(top, synonyms).select(id_col, *keys, "pos", "token", "synonym"))
+        cand = picked.join(base, id_col)
         text = replace_first(lp, F.col("token"), F.col("synonym"))
         cand = (cand.withColumn("_text", text).filter(F.col("_text").isNotNull() & (F.col("_text") != lp))
                 .withColumn("_cid", F.concat_ws(":", F.col(id_col).cast("string"), *keys)))
