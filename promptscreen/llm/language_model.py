@@ -46,7 +46,9 @@ ROUNDS = ((0, 1, 32, 0.02), (1, 4, 64, 0.01), (4, 32, 192, 0.005))
 UNIT = 1_000_000            # training tokens of a unit of work, about
 SCORE_TOKENS = 3_000_000    # tokens scored together in a Python worker
 SCORE_WINDOW = 32
-SLICE = 1 << 13             # tokens whose class scores fit the cache
+SIDE = 2048                 # texts scored side by side: their states fit the cache
+SLICE = 1 << 14             # tokens scored together
+BLOCK = 1 << 11             # tokens whose class scores fit the cache
 END = 0x5E4DE4D5E4DE4D51    # the hash of the end token
 LN10 = float(np.log(10))
 
@@ -77,7 +79,9 @@ class Tokens(Words):
         eight = np.ndarray(len(self.raw), "<u8", self.raw + bytes(8), strides=(1,))
         with np.errstate(over="ignore"):
             h = left.astype(np.uint64) * RATIO
-            rows, at = np.arange(len(left)), self.start
+            h = mix(h ^ (eight[self.start] & LOW_BYTES[np.minimum(left, 8)]))
+            rows = np.flatnonzero(left > 8)
+            at, left = self.start[rows] + 8, left[rows] - 8
             while len(rows):
                 h[rows] = mix(h[rows] ^ (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
                 more = left > 8
@@ -85,10 +89,11 @@ class Tokens(Words):
         return h
 
 
-def spelled(w: Words) -> np.ndarray:
-    """Spelling class of each word."""
-    first, last = w.buf[w.start].astype(np.uint32), w.buf[w.end - 1].astype(np.uint32)
-    second = np.where(w.end - w.start > 1, w.buf[np.minimum(w.start + 1, max(0, len(w.buf) - 1))], 32).astype(np.uint32)
+def spelled(w: Words, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Spelling class of each word, or of those ``at`` some places."""
+    start, end = w.start[at], w.end[at]
+    first, last = w.buf[start].astype(np.uint32), w.buf[end - 1].astype(np.uint32)
+    second = np.where(end - start > 1, w.buf[np.minimum(start + 1, max(0, len(w.buf) - 1))], 32).astype(np.uint32)
     mixed = first * np.uint32(0x9E3779B1) ^ second * np.uint32(0x85EBCA6B) ^ last * np.uint32(0xC2B2AE35)
     return ((mixed >> np.uint32(12)) % np.uint32(SPELLED)).astype(np.int64)
 
@@ -116,7 +121,7 @@ def _count(batches):
         ends += rb.num_rows
         if len(w):
             k, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-            held.append((k, spelled(w)[first], n))
+            held.append((k, spelled(w, first), n))
             size += len(k)
         if size > 1 << 20:
             keys, cls, counts = merged()
@@ -186,10 +191,26 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
                       np.log10(mass), share / share.sum())
 
 
+def found(h: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Where each of ``h`` stands in the sorted hashes ``head``, -1: nowhere. The
+    first 16 bits of a hash tell where to look."""
+    cut = np.searchsorted(head, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+    at = np.take(cut, h >> np.uint64(48))
+    out = np.full(len(h), -1, np.int64)
+    for _ in range(int(np.diff(cut, append=len(head)).max())):
+        near = np.minimum(at, len(head) - 1)
+        np.copyto(out, near, where=np.take(head, near) == h)
+        at += 1
+    return out
+
+
 def numbers(w: Words, h: np.ndarray, v: Vocabulary) -> np.ndarray:
     """Model input number of each word: a neural word's own, else its class's."""
-    at = np.minimum(np.searchsorted(v.head, h), len(v.head) - 1)
-    return np.where(v.head[at] == h, v.place[at], v.classes * SLOTS + spelled(w)).astype(np.int32)
+    at = found(h, v.head)
+    out = np.take(v.place, at).astype(np.int32)         # -1: any
+    rest = np.flatnonzero(at < 0)
+    out[rest] = v.classes * SLOTS + spelled(w, rest)
+    return out
 
 
 # -------------------------------------------------------------------- model ----
@@ -224,55 +245,93 @@ def unflat(x: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def step(a, ut, h):
+    """One GRU step of texts side by side, a column each (so every operation runs over
+    contiguous rows): the new state and what back-propagation needs. ``a`` are the
+    inputs, ``ut`` the recurrent weights, by output."""
+    k = HIDDEN
+    hu = ut @ h
+    zr = hu[:2 * k]
+    zr += a[:2 * k]
+    np.exp(np.negative(zr, out=zr), out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r, hun = hu[:k], hu[k:2 * k], hu[2 * k:]
+    n = r * hun
+    n += a[2 * k:]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, hun)
 
 
 def cell(p, number, h):
-    """One GRU step: the new state and what back-propagation needs."""
-    k = HIDDEN
-    a, hu = p["a"][number], h @ p["u"]
-    zr = _sigmoid(a[:, :2 * k] + hu[:, :2 * k])
-    z, r = zr[:, :k], zr[:, k:]
-    n = np.tanh(a[:, 2 * k:] + r * hu[:, 2 * k:])
-    return n + z * (h - n), (z, r, n, hu[:, 2 * k:])
+    """:func:`step` of tokens ``number`` with a state per row."""
+    new, saved = step(np.take(p["a"], number, 0).T, p["u"].T, h.T)
+    return new.T, tuple(x.T for x in saved)
+
+
+def _softmax(w, b, h, at, want_grad):
+    """Log softmax of ``w.T h + b`` at ``at``, one per row of ``h``, and its slope
+    (a column per row of ``h``) if wanted."""
+    x = w.T @ h.T
+    x += b[:, None]
+    x -= x.max(0)
+    rows = np.arange(len(at))
+    out = x[at, rows]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    out -= np.log(total)
+    if not want_grad:
+        return out, None
+    x *= -1 / total
+    x[at, rows] += 1
+    return out, x
 
 
 def log_probs(p, h, y, n_class, want_grad=False):
     """Natural log probability of tokens ``y`` in states ``h`` (up to the
     in-class share of spelled classes), and gradients if wanted."""
     neural = y < n_class * SLOTS
-    cls = np.where(neural, y // SLOTS, y - n_class * SLOTS + n_class)
-    logits = h @ p["wc"] + p["bc"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1)
-    rows = np.arange(len(y))
-    out = logits[rows, cls] - np.log(total)
+    cls = np.where(neural, y // SLOTS, y - n_class * SLOTS + n_class).astype(np.int16)
+    order = np.argsort(cls, kind="stable")              # a class's tokens lie together
+    h, y, cls = np.take(h, order, 0), y[order], cls[order]
+    out = np.empty(len(y), h.dtype)
     if want_grad:
-        d = -(e / total[:, None])
-        d[rows, cls] += 1
-        g = {"wc": h.T @ d, "bc": d.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        dh = d @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(n_class + 1))
+        g, dh = {name: np.zeros_like(p[name]) for name in ("wc", "bc", "wo", "bo")}, np.empty_like(h)
+    for i in range(0, len(y), BLOCK):
+        s = slice(i, i + BLOCK)
+        out[s], d = _softmax(p["wc"], p["bc"], h[s], cls[s], want_grad)
+        if want_grad:
+            g["wc"] += h[s].T @ d.T
+            g["bc"] += d.sum(1)
+            dh[s] = d.T @ p["wc"].T
+    edge = np.searchsorted(cls, np.arange(n_class + 1))
     for k in range(n_class):
-        i = order[edge[k]:edge[k + 1]]
-        if not len(i):
+        s = slice(edge[k], edge[k + 1])
+        if s.start == s.stop:
             continue
-        hk, slot = h[i], y[i] % SLOTS
-        x = hk @ p["wo"][k] + p["bo"][k]
-        x -= x.max(1, keepdims=True)
-        ex = np.exp(x)
-        s = ex.sum(1)
-        j = np.arange(len(i))
-        out[i] += x[j, slot] - np.log(s)
+        more, d = _softmax(p["wo"][k], p["bo"][k], h[s], y[s] % SLOTS, want_grad)
+        out[s] += more
         if want_grad:
-            d = -(ex / s[:, None])
-            d[j, slot] += 1
-            g["wo"][k], g["bo"][k] = hk.T @ d, d.sum(0)
-            dh[i] += d @ p["wo"][k].T
-    return (out, g, dh) if want_grad else out
+            g["wo"][k], g["bo"][k] = h[s].T @ d.T, d.sum(1)
+            dh[s] += d.T @ p["wo"][k].T
+    back = np.empty_like(out)
+    back[order] = out
+    if not want_grad:
+        return back
+    dh_back = np.empty_like(h)
+    dh_back[order] = dh
+    return back, g, dh_back
+
+
+def sums_by(keys, rows):
+    """The distinct keys and the sum of the rows of each."""
+    order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
+    sorted_ = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], np.add.reduceat(np.take(rows, order, 0), first)
 
 
 class Trainer:
@@ -298,54 +357,72 @@ class Trainer:
         self.tokens += len(stream)
 
     def _window(self, y, h):
-        p, steps = self.p, y.shape[1]
-        states, saved, keeps = [], [], []
+        p, steps, k = self.p, y.shape[1], HIDDEN
+        lanes = len(h)
+        ys = y.T.ravel()
+        number = np.maximum(ys, 0)
+        a, ut = np.take(p["a"], number, 0), np.ascontiguousarray(p["u"].T)
+        keeps = ((ys != self.end) & (ys >= 0)).astype(np.float32).reshape(steps, lanes)
+        states, saved, h = [], [], np.ascontiguousarray(h.T)
         for t in range(steps):
             states.append(h)
-            number = np.maximum(y[:, t], 0)
-            new, save = cell(p, number, h)
-            keep = ((y[:, t] != self.end) & (y[:, t] >= 0)).astype(np.float32)[:, None]
-            saved.append(save), keeps.append(keep)
-            h = new * keep
-        hs, ys = np.concatenate(states), y.T.ravel()
+            new, save = step(a[t * lanes:(t + 1) * lanes].T, ut, h)
+            saved.append(save)
+            h = new * keeps[t]
+        before = np.concatenate([x.T for x in states])  # a row per token, window step after step
         live = ys >= 0
         n = max(1, int(live.sum()))
-        _, g, d_live = log_probs(p, hs[live], ys[live], self.n_class, True)
-        d_out = np.zeros_like(hs)
-        d_out[live] = d_live
-        d_out = d_out.reshape(steps, -1, HIDDEN)
-        k, du = HIDDEN, np.zeros_like(p["u"])
-        da_all, dh = np.empty((steps, len(h), 3 * k), np.float32), np.zeros_like(h)
+        if n == len(ys):
+            _, g, d_out = log_probs(p, before, ys, self.n_class, True)
+        else:
+            _, g, d_live = log_probs(p, before[live], ys[live], self.n_class, True)
+            d_out = np.zeros((len(ys), k), before.dtype)
+            d_out[live] = d_live
+        da, dhu = np.empty((len(ys), 3 * k), before.dtype), np.empty((3 * k, lanes), before.dtype)
+        dh, du = np.zeros_like(h), np.zeros_like(p["u"])
         for t in range(steps - 1, -1, -1):
             z, r, nn, hun = saved[t]
-            prev = states[t]
-            dn_ = dh * keeps[t]
-            dz = dn_ * (prev - nn) * z * (1 - z)
-            dn = dn_ * (1 - z) * (1 - nn * nn)
-            dr = dn * hun * r * (1 - r)
-            da = da_all[t]
-            da[:, :k], da[:, k:2 * k], da[:, 2 * k:] = dz, dr, dn
-            dhu = np.concatenate([dz, dr, dn * r], 1)
-            du += prev.T @ dhu
-            dh = dn_ * z + dhu @ p["u"].T + d_out[t]
-        number = np.maximum(y.T.ravel(), 0)
-        order = np.argsort(number, kind="stable")
-        sorted_ = number[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        rows = sorted_[first]
+            at = slice(t * lanes, (t + 1) * lanes)
+            dh *= keeps[t]
+            rest = 1 - z
+            dz = np.subtract(states[t], nn, out=dhu[:k])
+            dz *= z
+            dz *= rest
+            dz *= dh
+            dn = nn * nn
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= dh
+            dr = np.subtract(1, r, out=dhu[k:2 * k])
+            dr *= r
+            dr *= hun
+            dr *= dn
+            da[at, :2 * k], da[at, 2 * k:] = dhu[:2 * k].T, dn.T
+            np.multiply(dn, r, out=dhu[2 * k:])
+            du += states[t] @ dhu.T
+            dh *= z
+            dh += p["u"] @ dhu
+            dh += d_out[at].T
         g["u"] = du
         self.steps += 1
-        self._adam("a", np.add.reduceat(da_all.reshape(-1, 3 * k)[order], first) / n, rows)
+        rows, sums = sums_by(number, da)
+        self._adam("a", sums / n, rows)
         for name in ("u", "wc", "bc", "wo", "bo"):
             self._adam(name, g[name] / n, slice(None))
-        return h
+        return h.T
 
     def _adam(self, name, grad, rows):
-        m, s = self.m[name], self.s[name]
-        m[rows] = 0.9 * m[rows] + 0.1 * grad
-        s[rows] = 0.99 * s[rows] + 0.01 * grad * grad
-        step = self.rate * np.sqrt(1 - 0.99 ** self.steps) / (1 - 0.9 ** self.steps)
-        self.p[name][rows] += (step * m[rows] / (np.sqrt(s[rows]) + 1e-7)).astype(np.float32)
+        m, s = 0.9 * self.m[name][rows], 0.99 * self.s[name][rows]
+        m += 0.1 * grad
+        grad *= grad
+        grad *= 0.01
+        s += grad
+        self.m[name][rows], self.s[name][rows] = m, s
+        m *= float(self.rate * np.sqrt(1 - 0.99 ** self.steps) / (1 - 0.9 ** self.steps))
+        np.sqrt(s, out=s)
+        s += 1e-7
+        m /= s
+        self.p[name][rows] += m
 
 
 def stream_of(w: Words, v: Vocabulary, end: int) -> np.ndarray:
@@ -392,27 +469,33 @@ def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
     return weights
 
 
-def score_tokens(p: dict, y: np.ndarray, counts: np.ndarray, n_class: int) -> np.ndarray:
-    """Natural log probability of every token of texts laid one after another.
-    Texts run side by side, longest first; the state goes on from window to
-    window until the text ends."""
-    out = np.zeros(len(y))
-    order = np.argsort(-counts, kind="stable")
-    begin, length = (np.cumsum(counts) - counts)[order], counts[order]
-    longest = int(length[0]) if len(length) else 0
+def _score_side(p: dict, ut, y, begin, length, n_class: int, out) -> None:
+    """Fill in ``out`` for the texts of these places and lengths, longest first."""
+    longest = int(length[0])
     alive = np.searchsorted(-length, -np.arange(longest), "left")
-    h = np.zeros((len(counts), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(length)), np.float32)
     for t0 in range(0, longest, SCORE_WINDOW):
         states, places = [], []
         for t in range(t0, min(longest, t0 + SCORE_WINDOW)):
             n = int(alive[t])
-            h = h[:n]
-            rows = begin[:n] + t
-            states.append(h), places.append(rows)
-            h = cell(p, y[rows], h)[0]
+            h = h[:, :n]
+            at = begin[:n] + t
+            states.append(h.T), places.append(at)
+            h = step(np.take(p["a"], y[at], 0).T, ut, h)[0]
         hs, at = np.concatenate(states), np.concatenate(places)
         for i in range(0, len(at), SLICE):
             out[at[i:i + SLICE]] = log_probs(p, hs[i:i + SLICE], y[at[i:i + SLICE]], n_class)
+
+
+def score_tokens(p: dict, y: np.ndarray, counts: np.ndarray, n_class: int) -> np.ndarray:
+    """Natural log probability of every token of texts laid one after another.
+    Texts run side by side, longest first; the state goes on from window to
+    window until the text ends."""
+    out = np.zeros(len(y))
+    order = np.argsort(-counts, kind="stable")
+    begin, length, ut = (np.cumsum(counts) - counts)[order], counts[order], np.ascontiguousarray(p["u"].T)
+    for i in range(0, len(counts), SIDE):
+        _score_side(p, ut, y, begin[i:i + SIDE], length[i:i + SIDE], n_class, out)
     return out
 
 

@@ -190,3 +190,28 @@ def test_tokens_are_the_words():
     assert cut(t) == cut(w) and t.counts.tolist() == w.counts.tolist() and t.doc.tolist() == w.doc.tolist()
     assert len(set(t.hashes().tolist())) == len(set(cut(t))) and (lm.spelled(t) == lm.spelled(w)).all()
     assert len(lm.Tokens([])) == len(lm.Tokens([None]).hashes()) == 0
+
+
+def test_look_ups_and_sums_of_the_language_model():
+    rng = np.random.default_rng(5)
+    head = np.unique(np.concatenate([rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2), np.arange(7, dtype=np.uint64) << np.uint64(40)]))
+    h = np.concatenate([head, head + np.uint64(1), np.array([(1 << 64) - 1], np.uint64)])
+    assert lm.found(h, head).tolist() == [*range(len(head)), *[-1] * (len(head) + 1)]
+    assert lm.found(h, head[:1]).tolist() == [0, *[-1] * (len(h) - 1)] and len(lm.found(h[:0], head)) == 0
+    for keys in (rng.integers(0, 40, 500), np.array([70_000, 3, 70_000]), np.array([2])):
+        rows = rng.standard_normal((len(keys), 6))
+        met, sums = lm.sums_by(keys, rows)
+        assert met.tolist() == sorted(set(keys.tolist()))
+        assert np.allclose(sums, [rows[keys == k].sum(0) for k in met])
+
+
+def test_a_text_scores_the_same_in_any_company():
+    rng = np.random.default_rng(6)
+    v = lm.Vocabulary(10, 5, np.array([lm.END], np.uint64), np.zeros(1), np.arange(64, dtype=np.uint64), np.arange(64), rng.integers(1, 50, 64),
+                      np.zeros(lm.SPELLED), np.full(lm.SPELLED + 1, 1 / (lm.SPELLED + 1)))
+    p, counts = lm.start_weights(v), rng.integers(1, 9, lm.SIDE + 40)      # more than are scored side by side
+    y = rng.integers(0, 64 + lm.SPELLED, counts.sum())
+    got, start = lm.score_tokens(p, y, counts, 1), np.cumsum(counts) - counts
+    for i in (0, 1, lm.SIDE, len(counts) - 1):
+        own = slice(start[i], start[i] + counts[i])
+        assert np.allclose(got[own], lm.score_tokens(p, y[own], counts[i:i + 1], 1), atol=1e-4)
