@@ -30,12 +30,18 @@ def remove_stop_words(toks, stop_words) -> Column:
 
 
 def ngrams(toks, n_max: int = 2) -> Column:
-    """Unigrams followed by bigrams (space-joined) of a token array."""
+    """Unigrams followed by bigrams (space-joined) of a token array. The array is
+    bound by a lambda: named more than once, a text would be cut into tokens as
+    often."""
     t = col_(toks)
     if n_max == 1:
         return t
     if n_max != 2:
         raise ValueError("only 1- and 2-grams are supported")
+    return F.get(F.transform(F.array(t), _with_bigrams), F.lit(0))
+
+
+def _with_bigrams(t) -> Column:
     k = F.greatest(F.size(t) - 1, F.lit(0))
     bigrams = F.zip_with(F.slice(t, 1, k), F.slice(t, 2, k),
                          lambda a, b: F.concat_ws(" ", a, b))

@@ -30,3 +30,11 @@ def test_decide_at_half(spark):
     df = spark.createDataFrame([(0.5,), (0.4999,), (0.6,)], "p double")
     r = df.select(decide("p").alias("i"), decide("p", inclusive=False).alias("e")).collect()
     assert [(x.i, x.e) for x in r] == [(1, 0), (0, 0), (1, 1)]
+
+
+def test_a_text_is_cut_into_tokens_once_for_its_ngrams(spark):
+    df = spark.range(3).select(F.when(F.col("id") > 0, F.concat_ws(" ", F.lit("ab cd"), "id")).alias("t"))
+    out = df.select(X.ngrams(X.remove_stop_words(X.tokens("t"), ["cd"]), 2).alias("g"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert [r.g for r in out.collect()] == [None, ["ab"], ["ab"]]
+    assert df.select(X.ngrams(X.tokens("t"), 2).alias("g")).collect()[2].g == ["ab", "cd", "ab cd"]
