@@ -48,6 +48,7 @@ LEAST_GAIN = 1e-9
 P_DECIMALS = 9              # sums over trees differ below it with their order
 DOCS, PAIRS = 512, 50_000   # documents, and (document, tree) pairs, handled together in a task
 HELD = 4_000_000            # counts a task holds before it adds them up
+NODES = 100                 # least nodes a task draws features for
 
 
 def poisson_limits(k: int = 5) -> list[int]:
@@ -206,7 +207,8 @@ def training_rows(train: DataFrame, vocab: DataFrame, spec: T.TfidfSpec, trees:
 
 
 def candidates(spark: SparkSession, nodes: Nodes, vocabulary: int, seed: int) -> DataFrame:
-    """``(pos, n_h, n_b, _drawn)``: the features each open node has drawn."""
+    """``(pos, n_h, n_b, _drawn)``: the features each open node has drawn. Tasks draw
+    them: over a local table the driver would do it alone while it plans."""
     at = nodes.open()
     m = math.ceil(math.sqrt(vocabulary))
     rows = spark.createDataFrame(pa.table({
@@ -215,7 +217,8 @@ def candidates(spark: SparkSession, nodes: Nodes, vocabulary: int, seed: int) ->
         "n_b": pa.array([nodes.b[i] for i in at], pa.int64())}))
     drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: (
         draw32(seed, "feature", F.col("tree"), F.col("heap"), j) % F.lit(vocabulary)).cast("int")))
-    return rows.select("pos", "n_h", "n_b", drawn.alias("_drawn"))
+    spread = rows.repartition(max(1, min(spark.sparkContext.defaultParallelism, len(at) // NODES)))
+    return spread.select("pos", "n_h", "n_b", drawn.alias("_drawn"))
 
 
 def purity(h, b):
@@ -234,19 +237,21 @@ def _histograms(shared, trees: int, level: int, size: int, frames):
     slot_of = np.full(len(table["feature"]), -1)
     slot_of[shared.value["pos"]] = np.arange(len(drawn))
     m, keys, counts, held = drawn.shape[1], [], [], 0
+    column = np.where(drawn < 0, size, drawn)
     for frame in frames:
         for k in range(0, len(frame), DOCS):
             part = frame.iloc[k:k + DOCS]
             steps = dense(part["_idx"], part["_steps"], size)
-            slots = slot_of[leaves(table, steps, trees, level)]
+            flat, slots = steps.ravel(), slot_of[leaves(table, steps, trees, level)]
             n, is_h = np.stack(part["_draws"].to_numpy()), (part["label"] == 1).to_numpy()
             doc, tree = np.nonzero((slots >= 0) & (n > 0))
             for j in range(0, len(doc), PAIRS):
                 d, t = doc[j:j + PAIRS], tree[j:j + PAIRS]
                 slot = slots[d, t]
-                met = steps[d[:, None], drawn[slot]]
-                row, col = np.nonzero(met)
-                keys.append(((slot[row] * m + col) * 16 + met[row, col]) * 2 + is_h[d[row]])
+                met = flat.take(column[slot] + (d * (size + 1))[:, None]).ravel()
+                at = np.flatnonzero(met != 0)           # few: on bytes of truth values it is fast
+                row, col = np.divmod(at, m)
+                keys.append(((slot[row] * m + col) * 16 + met[at]) * 2 + is_h[d[row]])
                 counts.append(n[d[row], t[row]])
                 held += len(row)
                 if held > HELD:

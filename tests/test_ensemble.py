@@ -124,3 +124,12 @@ def test_counts_of_a_task_equal_plain_counts(monkeypatch):
                 h, b = got.get((r.pos, r.idx, r.cut), (0, 0))
                 got[r.pos, r.idx, r.cut] = (h + r.h, b + r.b)
         assert got == want
+
+
+def test_tasks_draw_the_features_of_open_nodes(spark):
+    """Not the planner: over a local table it would work the draws out on the driver alone."""
+    drawn = ensemble.candidates(spark, ensemble.Nodes(400), 50, 1)
+    assert "md5" in drawn._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["pos"]: r["_drawn"] for r in drawn.collect()}
+    few = ensemble.candidates(spark, ensemble.Nodes(2), 50, 1).collect()
+    assert len(rows) == 400 and all(rows[r["pos"]] == r["_drawn"] for r in few)
