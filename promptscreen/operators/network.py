@@ -205,8 +205,10 @@ class NetworkScorer:
         return NetworkScorer(spec, spark.read.parquet(f"{path}/vocab"), head["u"], head["b"], head["c"])
 
     def _terms(self, base: DataFrame, text_col: str, id_col: str) -> DataFrame:
-        v = self.vocab.select("term", "idx", "idf", "e")
-        return T.features(base.select(id_col, text_col), v, self.spec, text_col, id_col, carry=("e",))
+        # a term's vector joins its counted row: as a key it would be grouped and sorted for every word
+        v = self.vocab.select("term", "idx", "idf")
+        x = T.features(base.select(id_col, text_col), v, self.spec, text_col, id_col)
+        return x.join(F.broadcast(self.vocab.select("idx", "e")), "idx").select(*x.columns, "e")
 
     def _hidden(self, pooled):
         return [F.tanh(F.coalesce(s, F.lit(0.0)) + F.lit(b)) for s, b in zip(pooled, self.b, strict=True)]

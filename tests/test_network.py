@@ -150,3 +150,13 @@ def test_runs_through_the_scorer_interface(spark):
     chk = spark.createDataFrame([(i, r.perturbed_prompt, r.new_predicted_label) for i, r in enumerate(flips)],
                                 "prompt_id bigint, prompt string, want int")
     assert m.score(chk).filter((F.col("prob_harmful") >= 0.5).cast("int") != F.col("want")).count() == 0
+
+
+def test_vectors_are_no_keys_of_the_counted_terms(spark):
+    vocab = spark.createDataFrame([(0, "one", 1.0, [0.5, 1.0]), (1, "two", 2.0, [1.5, -1.0])], "idx int, term string, idf double, e array<double>")
+    m = network.NetworkScorer(SPEC, vocab, [1.0, 2.0], [0.0, 0.1], 0.2)
+    t = _table(spark, [(1, "one two one", 1), (1, "one", 1), (2, None, 0), (None, "two", 0)])
+    plan = m.score(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.split("], [")[0].count(", e#") for line in plan.splitlines() if "Aggregate [" in line)
+    rows = sorted((str(r["prompt_id"]), r["term"], r["tf"], r["e"]) for r in m._terms(t, "prompt", "prompt_id").collect())
+    assert rows == [("1", "one", 3, [0.5, 1.0]), ("1", "two", 1, [1.5, -1.0]), ("None", "two", 1, [1.5, -1.0])]
