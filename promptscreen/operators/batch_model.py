@@ -87,10 +87,10 @@ class LinearTexts:
         return np.bincount(row, self.weight[term] * v, len(lists)), np.bincount(row, v * v, len(lists))
 
     def predict(self, texts: np.ndarray) -> np.ndarray:
+        first = self.first(texts)
         s, q, whole = np.zeros(len(texts)), np.zeros(len(texts)), []
         for k, text in enumerate(texts):
-            first = self.first(texts[0], text, k)
-            gone = first.lacking(text) if first else None
+            gone = first.lacking(text) if first and text is not None else None
             if gone is None:
                 whole.append(k)
             else:
@@ -100,17 +100,18 @@ class LinearTexts:
         logit = np.round(s / np.sqrt(np.where(q > 0, q, 1.0)) + self.bias, DECIMALS)
         return 1.0 / (1.0 + np.exp(-logit))
 
-    def first(self, first, text, k: int) -> ReadText | None:
-        """The first text as read, if ``text`` is to be compared with it. The
-        last one read is kept, for a text may have several batches of variants."""
-        if first is None or text is None or self.most is not None:
+    def first(self, texts) -> ReadText | None:
+        """The first text as read, if others begin or end as it does. The last
+        one read is kept, for a text may have several batches of variants."""
+        if not len(texts) or texts[0] is None or self.most is not None:
             return None
-        if self.held and self.held.text == first:
-            return self.held
-        if k and len(text) <= len(first) and (text[:ALIKE] == first[:ALIKE] or text[-ALIKE:] == first[-ALIKE:]):
-            self.held = ReadText(self, first)
-            return self.held
-        return None
+        text = texts[0]
+        if self.held is None or self.held.text != text:
+            begins, ends = text[:ALIKE], text[-ALIKE:]
+            if not any(t is not None and (t.startswith(begins) or t.endswith(ends)) for t in texts[1:]):
+                return None
+            self.held = ReadText(self, text)
+        return self.held
 
 
 class ReadText:
@@ -122,13 +123,16 @@ class ReadText:
         self.low = whole.lower()
         # then no letter changes, whatever stands beside it, nor does a text made of parts of this one
         self.is_low = self.low == whole
-        self.token_at, self.ends, self.place, self.words = {}, [], [], []
-        for n, m in enumerate(model.cut(self.low).finditer(self.low)):
-            self.token_at[m.start()] = n
-            self.ends.append(m.end())
-            self.place.append(-1 if m.group() in model.stop else len(self.words))
-            if self.place[-1] >= 0:
-                self.words.append(m.group())
+        spans = [m.span() for m in model.cut(self.low).finditer(self.low)]
+        self.token_at, self.ends = {i: n for n, (i, _) in enumerate(spans)}, [j for _, j in spans]
+        self.place, self.words, self.near = [], [], 0
+        for i, j in spans:
+            word = self.low[i:j]
+            if word in model.stop:
+                self.place.append(-1)
+            else:
+                self.place.append(len(self.words))
+                self.words.append(word)
         self.grams = model.grams(self.words)
         self.tf = Counter(g for g in self.grams if g >= 0)
         s, q = model.sums([self.grams])
@@ -141,20 +145,24 @@ class ReadText:
         a, b = self.model.prefix + text if self.model.prefix else text, self.low
         if not self.is_low:
             a = a.lower()
-        i = j = 0
+        len_a, len_b, same = len(a), len(b), a.startswith
+        # variants often come in the order of what they lack: begin where the last one first differed
+        i = j = self.near if same(b[:self.near]) else 0
         gone = []
-        while len(a) - i <= len(b) - j:
-            if len(a) - i == len(b) - j and a.startswith(b[j:], i):
+        while len_a - i <= len_b - j:
+            if len_a - i == len_b - j and same(b[j:], i):
                 return gone
-            step = 64
-            while j + step <= len(b) and a.startswith(b[j:j + step], i):
+            step = 16
+            while j + step <= len_b and same(b[j:j + step], i):
                 i, j, step = i + step, j + step, 2 * step
             while step := step // 2:
-                if j + step <= len(b) and a.startswith(b[j:j + step], i):
+                if j + step <= len_b and same(b[j:j + step], i):
                     i, j = i + step, j + step
             n = self.token_at.get(j)
             if n is None:
                 return None
+            if not gone:
+                self.near = j
             gone.append(n)
             j = self.ends[n]
         return None
